@@ -1,0 +1,53 @@
+"""Table snapshots: a new state is written beside the old one and then named as current."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_COLUMNS = "version long, path string"
+
+
+def _log(root: str) -> str:
+    return f"{root.rstrip('/')}/_versions"
+
+
+def _entries(spark: SparkSession, root: str) -> DataFrame | None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_log(root))
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(_COLUMNS).json(_log(root))
+
+
+def current_version(spark: SparkSession, root: str) -> int:
+    """Number of the newest finished snapshot, 0 without one."""
+    entries = _entries(spark, root)
+    return 0 if entries is None else (entries.agg(F.max("version")).first()[0] or 0)
+
+
+def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
+    """The table as of a version, the newest by default; None for an empty table."""
+    number = current_version(spark, root) if version is None else version
+    return spark.read.parquet(f"{root.rstrip('/')}/v{number}") if number else None
+
+
+def write_snapshot(
+    df: DataFrame, root: str, partition_by: tuple[str, ...] = (), per_file: int = 1_000_000,
+    files: int | None = None,
+) -> int:
+    """Write the next snapshot and return its number.
+
+    The data is complete before its entry is added, so a reader never sees half a state and a job
+    that is lost on the way leaves the old one in place. ``files`` compacts the output.
+    """
+    spark = df.sparkSession
+    number = current_version(spark, root) + 1
+    data = df.coalesce(files) if files else df
+    writer = data.write.mode("overwrite").option("maxRecordsPerFile", per_file)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    target = f"{root.rstrip('/')}/v{number}"
+    writer.parquet(target)
+    entry = spark.createDataFrame([(number, target)], _COLUMNS)
+    entry.coalesce(1).write.mode("append").json(_log(root))
+    return number
