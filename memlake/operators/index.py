@@ -118,8 +118,8 @@ def chunk_keywords(
 def fill_section(
     hits: DataFrame, chunks: DataFrame, on: Sequence[str] = ("path", "start_line", "end_line")
 ) -> DataFrame:
-    """Give keyword-only hits the section name of their chunk."""
-    names = chunks.select(*on, F.col("section").alias("_section"))
+    """Give keyword-only hits the section name of their chunk, the first one of those lines."""
+    names = chunks.groupBy(*on).agg(F.min("section").alias("_section"))
     base = hits if "section" in hits.columns else hits.withColumn("section", F.lit(None).cast("string"))
     own = F.nullif(F.col("section"), F.lit(""))
     return (

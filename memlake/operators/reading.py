@@ -155,9 +155,9 @@ def _grep_small(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     array = patterns.agg(
         F.array_sort(F.collect_list(F.struct(F.col("_qid").alias("q"), F.col("_pattern").alias("p")))).alias("a")
     ).scalar()
-    low = docs.withColumn("_low", F.lower("content")).withColumn(
-        "_asked",
-        F.filter(array, lambda x: F.contains(F.col("_low"), x["p"])),
+    low = docs.withColumn("_low", F.lower("content")).withColumn("_all", array)
+    low = low.withColumn(
+        "_asked", F.filter("_all", lambda x: F.contains(F.col("_low"), x["p"]))
     ).where(F.size("_asked") > 0)
     lines = low.select("path", "_asked", F.posexplode(raw_lines(F.col("content"))).alias("line", "text"))
     hits = lines.withColumn("_l", F.lower("text")).withColumn(
@@ -176,9 +176,10 @@ def _grep_large(docs: DataFrame, patterns: DataFrame, gram: int = 8) -> DataFram
     )
     sizes = anchors.agg(F.collect_set("_n").alias("s")).scalar()
     lines = doc_lines(docs).withColumn("_l", F.lower("text"))
+    lines = lines.withColumn("_sizes", sizes)
     grams = F.flatten(
         F.transform(
-            sizes,
+            "_sizes",
             lambda n: F.when(
                 F.length("_l") >= n,
                 F.transform(
@@ -187,7 +188,7 @@ def _grep_large(docs: DataFrame, patterns: DataFrame, gram: int = 8) -> DataFram
             ).otherwise(F.array().cast("array<string>")),
         )
     )
-    spread = lines.withColumn("_gram", F.explode(F.array_distinct(grams)))
+    spread = lines.withColumn("_gram", F.explode(F.array_distinct(grams))).drop("_sizes")
     pairs = salted_join(spread, anchors.select("_gram", "_qid", "_pattern"), ["_gram"], spread=["path", "line"])
     return pairs.where(F.contains(F.col("_l"), F.col("_pattern"))).select("_qid", "path", "line", "text")
 

@@ -12,6 +12,8 @@ from memlake.functions.paths import ancestors
 from memlake.operators.skew import fits_broadcast, salted_join, top_k_per_key
 
 CHUNK_KEY = ("path", "start_line", "end_line")
+# Windows of one long line share their line numbers; the section tells them apart.
+CHUNK_ROW = (*CHUNK_KEY, "section")
 # Fixed value: rank constant of the fusion.
 RRF_K = 60
 
@@ -95,11 +97,11 @@ def bm25(
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / mean))
     # Adding the parts in term order gives the same sum on every run.
     score = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("term", (F.col("idf") * gain).alias("part")))),
+        F.array_sort(F.collect_list(F.struct("term", "part"))),
         F.lit(0.0),
         lambda acc, x: acc + x["part"],
     )
-    scored = hits.groupBy(*keys, qid).agg(score.alias("score"))
+    scored = hits.withColumn("part", F.col("idf") * gain).groupBy(*keys, qid).agg(score.alias("score"))
     return top_k_per_key(scored, [qid], [F.desc(F.round("score", 9)), *keys], k)
 
 
@@ -119,14 +121,20 @@ def rrf(
     then keyword order. Adds ``score``, ``match`` and the new ``rank``.
     """
     on = [qid, *keys]
-    payload = list(dict.fromkeys(c for c in [*vector.columns, *keyword.columns] if c not in (*on, rank)))
+    payload = list(dict.fromkeys(c for c in [*vector.columns, *keyword.columns] if c not in (*on, rank, "score")))
 
-    def lane(df, name):
-        cells = [F.col(c).alias(f"_{name}_{c}") for c in payload if c in df.columns]
-        return df.select(*on, F.col(rank).alias(f"_{name}_rank"), *cells)
+    def lane(df, name, pick):
+        """One row per key: a key met twice in a lane adds up, at the place of its first rank."""
+        held = [c for c in payload if c in df.columns]
+        cells = pick(F.struct(F.lit(1).alias("_one"), *held), F.col(rank)).alias(f"_{name}")
+        part = F.sum(F.lit(1.0) / (F.lit(k) + F.col(rank))).alias(f"_{name}_part")
+        rows = df.groupBy(*on).agg(cells, part, F.min(rank).alias(f"_{name}_rank"))
+        return rows.select(
+            *on, f"_{name}_part", f"_{name}_rank", *[F.col(f"_{name}")[c].alias(f"_{name}_{c}") for c in held]
+        )
 
-    both = lane(vector, "v").join(lane(keyword, "k"), on, "full_outer")
-    part = lambda r: F.coalesce(F.lit(1.0) / (F.lit(k) + F.col(r)), F.lit(0.0))
+    both = lane(vector, "v", F.max_by).join(lane(keyword, "k", F.min_by), on, "full_outer")
+    part = lambda c: F.coalesce(F.col(c), F.lit(0.0))
 
     def value(c):
         v, w = f"_v_{c}", f"_k_{c}"
@@ -143,8 +151,8 @@ def rrf(
     )
     fused = both.select(
         *on,
-        *[value(c) for c in payload if c != "score"],
-        (part("_v_rank") + part("_k_rank")).alias("score"),
+        *[value(c) for c in payload],
+        (part("_v_part") + part("_k_part")).alias("score"),
         match.alias("match"),
         "_v_rank",
         "_k_rank",

@@ -91,10 +91,9 @@ def _as_number(df: DataFrame, split_on: str) -> Column:
 def bucketed(df: DataFrame, split_on: str, descending: bool = False, parts: int | None = None) -> DataFrame:
     """Add ``_bucket``: an even share of all rows by ``split_on``, numbered in sort order."""
     value = _as_number(df, split_on)
-    cuts = F.coalesce(_splits(df, value, parts or _parts(df)), F.array())
-    below = F.size(F.filter(cuts, lambda s: s < value))
-    below = F.coalesce(below, F.lit(0))
-    return df.withColumn("_bucket", -below if descending else below)
+    cut = df.withColumn("_cuts", _splits(df, value, parts or _parts(df)))
+    below = F.greatest(F.size(F.filter("_cuts", lambda s: s < value)), F.lit(0))
+    return cut.withColumn("_bucket", -below if descending else below).drop("_cuts")
 
 
 def split_rank(

@@ -37,10 +37,10 @@ def chunk_documents(
 
 
 def keyword_rows(chunks: DataFrame, extractor: str = "identifiers") -> DataFrame:
-    """path, start_line, end_line, keywords (joined by blanks) and the terms that did not fit."""
+    """path, lines, section, keywords (joined by blanks) and the terms that did not fit."""
     found = EXTRACTORS[extractor](F.col("section"), F.col("text"))
     keep = [F.col("updated").alias("extracted_at")] if "updated" in chunks.columns else []
-    rows = chunks.select("path", "start_line", "end_line", found.alias("_k"), *keep)
+    rows = chunks.select("path", "start_line", "end_line", "section", found.alias("_k"), *keep)
     return rows.withColumn("keywords", F.array_join(F.col("_k")["kept"], " ")).withColumn(
         "dropped", F.col("_k")["dropped"]
     ).drop("_k")

@@ -11,7 +11,7 @@ from memlake.operators.code import code_prefilter
 from memlake.operators.index import fill_section
 from memlake.operators.knn import knn_join
 from memlake.operators.reading import GREP_CAP, MAX_FULL_BYTES, grep
-from memlake.operators.retrieval import CHUNK_KEY, bm25, hydrate, rrf
+from memlake.operators.retrieval import CHUNK_KEY, CHUNK_ROW, bm25, hydrate, rrf
 from memlake.operators.skew import salted_join, top_k_per_key
 
 # Default numbers of results.
@@ -33,10 +33,9 @@ def vector_sections(
     scopes: str | None = None, metric: str = "l2",
 ) -> DataFrame:
     """Nearest chunks per query with their section name."""
-    near = knn_join(
-        _with_vectors(queries, encode), chunks, k, keys=CHUNK_KEY, scopes=scopes, metric=metric
+    return knn_join(
+        _with_vectors(queries, encode), chunks, k, keys=CHUNK_ROW, scopes=scopes, metric=metric
     )
-    return fill_section(near, chunks)
 
 
 def search_sections(queries: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = TOP_SECTIONS,
@@ -51,14 +50,15 @@ def hybrid_search(
     k: int = TOP_SECTIONS, *, encode: Encoder | str = "hashed64", scopes: str | None = None,
 ) -> DataFrame:
     """Vector lane and keyword lane fused; without a keyword table the vector lane alone."""
-    vector = knn_join(_with_vectors(queries, encode), chunks, k, keys=CHUNK_KEY, scopes=scopes)
+    vector = vector_sections(queries, chunks, k, encode=encode, scopes=scopes)
     if keywords is None:
         fused = vector.withColumn("match", F.lit("vector"))
     else:
-        lane = bm25(queries, keywords, k, scopes=scopes).drop("score").withColumn("distance", F.lit(0.0))
-        fused = rrf(vector, lane, k)
-    named = fill_section(fused, chunks)
-    return named if docs is None else hydrate(named, docs, spread=["qid", "rank"])
+        keys = CHUNK_ROW if "section" in keywords.columns else CHUNK_KEY
+        lane = bm25(queries, keywords, k, keys=keys, scopes=scopes).drop("score")
+        fused = rrf(vector, lane.withColumn("distance", F.lit(0.0)), k)
+        fused = fused if "section" in keywords.columns else fill_section(fused, chunks)
+    return fused if docs is None else hydrate(fused, docs, spread=["qid", "rank"])
 
 
 def cascade(

@@ -12,7 +12,7 @@ from memlake.functions.paths import has_extension
 from memlake.operators.index import merge_units
 from memlake.operators.skew import bucketed
 from memlake.plans.indexing import IndexTables, build_index
-from memlake.sources.snapshots import current_version, read_snapshot, write_snapshot
+from memlake.sources.snapshots import read_snapshot, write_snapshot
 
 # Quiet time before a changed file is taken up, and how late an event may be.
 GAP_SECONDS = 7
@@ -125,15 +125,12 @@ def maintain_index(
 ) -> StreamingQuery:
     """Keep an index snapshot up to date from a stream of operations.
 
-    Every micro-batch writes one snapshot. A batch that is run again after a failure finds its
-    snapshot number taken and does nothing.
+    Every micro-batch writes one snapshot. A file is replaced whole, so a batch that is run again
+    after a failure leads to the same state.
     """
     spark = operations.sparkSession
-    start = current_version(spark, root)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if current_version(spark, root) > start + batch_id:
-            return
         target = read_snapshot(spark, root)
         target = empty if target is None else target
         write_snapshot(apply_operations(target, batch, load_units, on), root)
