@@ -6,7 +6,7 @@ import importlib
 
 from memlake.catalog.base import ORACLES, QUERIES, Query
 
-_MODULES = ("search",)
+_MODULES = ("search", "texts")
 
 
 def _load() -> None:

@@ -216,9 +216,8 @@ def bm25_sql(queries: str, corpus: str, qid: str, query: str, keys: str, text: s
                 SELECT {keys}, len({terms_sql(text)}) AS dl, unnest({terms_sql(text)}) AS term FROM {corpus}) p0
               GROUP BY {keys}, term) p
         JOIN (SELECT {qid}, unnest(list_distinct({terms_sql(query)})) AS term FROM {queries}) a USING (term)
-        JOIN (SELECT term, ln(1.0 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM (
-                SELECT unnest(list_distinct({terms_sql(text)})) AS term, count(*) OVER () AS n_rows,
-                  (SELECT count(*) FROM {corpus}) AS n FROM {corpus}) f0 GROUP BY term) f USING (term)
+        JOIN (SELECT term, ln(1.0 + ((SELECT count(*) FROM {corpus}) - count(*) + 0.5) / (count(*) + 0.5)) AS idf
+              FROM (SELECT unnest(list_distinct({terms_sql(text)})) AS term FROM {corpus}) f0 GROUP BY term) f USING (term)
         CROSS JOIN (SELECT avg(len({terms_sql(text)})) AS avg_len FROM {corpus}) m
         GROUP BY {qid}, {keys}
       ) s

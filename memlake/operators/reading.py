@@ -166,31 +166,38 @@ def _grep_small(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return hits.select(F.col("_hit")["q"].alias("_qid"), "path", (F.col("line") + 1).alias("line"), "text")
 
 
-def _grep_large(docs: DataFrame, patterns: DataFrame, gram: int = 8) -> DataFrame:
-    """Join on the opening characters of every pattern, then test the whole pattern.
+def _grep_large(docs: DataFrame, patterns: DataFrame, widest: int = 8) -> DataFrame:
+    """Join lines and patterns on short pieces, then test the whole pattern.
 
-    Patterns shorter than ``gram`` are looked up by their own length, so nothing is missed.
+    A line is cut into blocks of g characters. A pattern of at least 2g - 1 characters covers a whole
+    block wherever it stands, so one of its pieces at the offsets 0 to g - 1 equals that block. g goes
+    with the length of the pattern, so none is missed, and a line gives only length / g rows.
     """
-    anchors = patterns.withColumn("_n", F.least(F.length("_pattern"), F.lit(gram))).withColumn(
-        "_gram", F.substring(F.col("_pattern"), F.lit(1), F.col("_n"))
+    width = F.least(F.floor((F.length("_pattern") + 1) / 2), F.lit(widest)).cast("int")
+    sized = patterns.withColumn("_g", width)
+    pieces = F.transform(
+        F.sequence(F.lit(1), F.col("_g")), lambda i: F.substring(F.col("_pattern"), i, F.col("_g"))
     )
-    sizes = anchors.agg(F.collect_set("_n").alias("s")).scalar()
-    lines = doc_lines(docs).withColumn("_l", F.lower("text"))
-    lines = lines.withColumn("_sizes", sizes)
-    grams = F.flatten(
-        F.transform(
-            "_sizes",
-            lambda n: F.when(
-                F.length("_l") >= n,
-                F.transform(
-                    F.sequence(F.lit(1), F.length("_l") - n + 1), lambda i: F.substring(F.col("_l"), i, n)
-                ),
-            ).otherwise(F.array().cast("array<string>")),
+    anchors = sized.withColumn("_gram", F.explode(F.array_distinct(pieces))).select(
+        "_gram", "_qid", "_pattern"
+    )
+    used = sized.agg(F.collect_set("_g").alias("s")).scalar()
+    lines = doc_lines(docs).withColumn("_l", F.lower("text")).withColumn("_used", used)
+    blocks = F.flatten(
+        F.array(
+            *[
+                F.when(
+                    F.array_contains("_used", g), F.regexp_extract_all("_l", F.lit(f"(?s).{{{g}}}"), 0)
+                ).otherwise(F.array().cast("array<string>"))
+                for g in range(1, widest + 1)
+            ]
         )
     )
-    spread = lines.withColumn("_gram", F.explode(F.array_distinct(grams))).drop("_sizes")
-    pairs = salted_join(spread, anchors.select("_gram", "_qid", "_pattern"), ["_gram"], spread=["path", "line"])
-    return pairs.where(F.contains(F.col("_l"), F.col("_pattern"))).select("_qid", "path", "line", "text")
+    spread = lines.withColumn("_gram", F.explode(F.array_distinct(blocks))).drop("_used")
+    pairs = salted_join(spread, anchors, ["_gram"], spread=["path", "line"])
+    hits = pairs.where(F.contains(F.col("_l"), F.col("_pattern")))
+    # Several pieces of one pattern may meet the same line.
+    return hits.groupBy("_qid", "path", "line").agg(F.any_value("text").alias("text"))
 
 
 def grep(
