@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions.paths import is_test
@@ -63,9 +63,10 @@ def file_outline(
     if project:
         units = units.where(F.col("project") == project)
     if isinstance(path, DataFrame):
+        parts = F.split("path", "/")
         tails = F.transform(
-            F.sequence(F.lit(1), F.size(F.split("path", "/"))),
-            lambda n: F.substring_index(F.col("path"), "/", -n),
+            F.sequence(F.lit(1), F.size(parts)),
+            lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"),
         )
         files = units.select("path").distinct().withColumn("asked", F.explode(tails))
         asked = path.select(F.col("path").alias("asked")).distinct()
