@@ -356,7 +356,7 @@ def ledger_replay(spark, sf_dir):
 @query("ledger_stream", f"WITH {_ATTEMPTS} SELECT op_id, {_STATUS} AS status, attempts FROM f")
 def ledger_stream(spark, sf_dir):
     """The ledger as a stateful stream; the last change per operation is its state."""
-    stream = ledger.ledger_stream(_attempts(_event_stream(spark, sf_dir)), retry_seconds=86400)
+    stream = ledger.ledger_stream(_attempts(_event_stream(spark, sf_dir)), retry_seconds=None)
     target, state = scratch_path(spark, "ledger"), scratch_path(spark, "ledger-state")
 
     def keep(batch, batch_id):
@@ -373,31 +373,27 @@ def ledger_stream(spark, sf_dir):
 # --- scans -----------------------------------------------------------------------------------
 
 def _page_files(spark, sf_dir, label):
-    """Pages written as one text file each, by language folder; some names are hidden or skipped."""
+    """Pages written as one text file each, by language folder."""
     pages = table(spark, sf_dir, "pages")
     root = scratch_path(spark, label)
     lang = F.regexp_extract("html", 'lang="([a-z]+)"', 1)
-    folder = F.when(F.col("url").contains("#"), F.concat(F.lit(".hidden_"), lang)).otherwise(lang)
-    named = pages.select("html", folder.alias("folder"), F.col("page_id").alias("page"))
-    named.write.partitionBy("folder", "page").text(root)
+    named = pages.select("html", lang.alias("lang"), F.col("page_id").alias("page"))
+    named.write.partitionBy("lang", "page").text(root)
     return root
 
 
-@query("scan_corpus", """
-SELECT page_id, md5(html || chr(10)) AS digest FROM pages WHERE NOT contains(url, '#')""")
+@query("scan_corpus", "SELECT page_id, md5(html || chr(10)) AS digest FROM pages")
 def corpus_scan(spark, sf_dir):
     found = scan_corpus(spark, _page_files(spark, sf_dir, "corpus"), [".txt"])
     page = F.regexp_extract("path", r"page=(\d+)/", 1).cast("long")
     return found.select(page.alias("page_id"), F.md5("content").alias("digest"))
 
 
-@query("scan_code", """
-SELECT page_id, CAST(strlen(html) + 1 AS BIGINT) AS length FROM pages WHERE NOT contains(url, '#')""")
+@query("scan_code", "SELECT page_id, CAST(strlen(html) + 1 AS BIGINT) AS length FROM pages")
 def code_scan(spark, sf_dir):
     found = scan_code(spark, _page_files(spark, sf_dir, "code"), [".txt"])
-    kept = found.where(~F.col("path").contains("folder=.hidden"))
     page = F.regexp_extract("path", r"page=(\d+)/", 1).cast("long")
-    return kept.select(page.alias("page_id"), "length")
+    return found.select(page.alias("page_id"), "length")
 
 
 @query("snapshots", """

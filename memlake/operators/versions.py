@@ -200,9 +200,9 @@ def repair_header(docs: DataFrame, hist: DataFrame, live: DataFrame | None = Non
     broken = ~has_session_header("content")
     block = F.coalesce("_live_block", "_old_block")
     repaired = broken & block.isNotNull()
-    return joined.withColumn(
-        "content", F.when(repaired, F.concat(block, F.col("content"))).otherwise(F.col("content"))
-    ).withColumn("repaired", repaired).select(*docs.columns, "repaired")
+    return joined.withColumn("repaired", repaired).withColumn(
+        "content", F.when(F.col("repaired"), F.concat(block, F.col("content"))).otherwise(F.col("content"))
+    ).select(*docs.columns, "repaired")
 
 
 def recycle(docs: DataFrame, paths: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:

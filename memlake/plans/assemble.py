@@ -92,7 +92,8 @@ def sanitize_by(text: Column, sanitize: Column) -> Column:
     presets = F.create_map(*[x for k, v in NOISE.items() for x in (F.lit(k), F.lit(v))])
 
     def one(acc, rule):
-        to = F.replace(F.replace(F.coalesce(rule["replace"], F.lit("")), F.lit("$"), F.lit("\\$")), F.lit("\\\\"), F.lit("$"))
+        plain = F.replace(F.coalesce(rule["replace"], F.lit("")), F.lit("$"), F.lit("\\$"))
+        to = F.regexp_replace(plain, r"\\(\d)", r"\$$1")
         known = F.element_at(presets, rule["preset"])
         out = F.when(
             known.isNotNull(), F.regexp_replace(acc, F.concat(F.lit("(?ms)"), known), to)

@@ -63,9 +63,12 @@ _OUTPUT = "op_id long, status string, attempts long"
 _STATE = "status string, attempts long, final_us long"
 
 
-def ledger_stream(attempts: DataFrame, retry_seconds: int = RETRY_SECONDS) -> DataFrame:
+def ledger_stream(attempts: DataFrame, retry_seconds: int | None = RETRY_SECONDS) -> DataFrame:
     """Status changes of operations as attempts arrive, and ``retry`` when a pending one is due again.
 
+    Retries run on the clock and keep a query alive for good; pass None for a run that ends with
+    its input.
+
     The state is one small row per operation, and a batch of attempts is read piece by piece, so the
     number of attempts does not matter. A settled operation keeps its first final answer.
     """
@@ -86,7 +89,7 @@ def ledger_stream(attempts: DataFrame, retry_seconds: int = RETRY_SECONDS) -> Da
                 if final_us is None or first["at_us"] < final_us:
                     status, final_us = first["outcome"], int(first["at_us"])
         state.update((status, attempts_so_far, final_us))
-        if status == "pending":
+        if status == "pending" and retry_seconds is not None:
             state.setTimeoutDuration(retry_seconds * 1000)
         yield pd.DataFrame({"op_id": [key[0]], "status": [status], "attempts": [attempts_so_far]})
 
@@ -95,6 +98,5 @@ def ledger_stream(attempts: DataFrame, retry_seconds: int = RETRY_SECONDS) -> Da
         outcome("http_code").alias("outcome"),
         F.unix_micros(F.col("attempt_ts").cast("timestamp")).alias("at_us"),
     )
-    return answers.groupBy("op_id").applyInPandasWithState(
-        track, _OUTPUT, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    clock = GroupStateTimeout.NoTimeout if retry_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
+    return answers.groupBy("op_id").applyInPandasWithState(track, _OUTPUT, _STATE, "update", clock)
