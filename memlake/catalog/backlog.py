@@ -395,5 +395,5 @@ def semantic_tasks(spark, sf_dir):
     queries = table(spark, sf_dir, "customer").select(
         F.col("c_mktsegment").alias("qid"), F.concat(F.lit("customer "), "c_mktsegment", F.lit(" waits")).alias("query")
     ).distinct()
-    found = search_tasks_semantic(queries, inputs.tasks(spark, sf_dir))
+    found = search_tasks_semantic(queries, inputs.tasks(spark, sf_dir, spread=True))
     return found.withColumn("score", F.round("score", 4))

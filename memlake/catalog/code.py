@@ -126,7 +126,7 @@ r AS (SELECT *, CASE WHEN nth = 1 THEN chunk_name ELSE chunk_name || '_L' || sta
 s AS (SELECT *, row_number() OVER (PARTITION BY project, d, chunk_type, renamed ORDER BY position) AS same FROM r)
 SELECT project, d AS path, chunk_type, position, CASE WHEN same = 1 THEN renamed ELSE renamed || '_' || nth END AS chunk_name FROM s""")
 def dup_names(spark, sf_dir):
-    u = inputs.units(spark, sf_dir)
+    u = inputs.units(spark, sf_dir, spread=True)
     rows = u.select(
         "project", F.concat(F.lit("mod_"), (F.col("l_orderkey") % 50).cast("string")).alias("path"), "chunk_type",
         "chunk_name", "start_line",

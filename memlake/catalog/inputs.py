@@ -66,8 +66,8 @@ FROM orders
 """
 
 
-def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+def tasks(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    o = table(spark, sf_dir, "orders", spread)
     price = F.col("o_totalprice")
     kind = F.when(price > 250000, "F").when(price > 100000, "B").otherwise("TD")
     state = F.col("o_orderstatus")
@@ -113,8 +113,8 @@ FROM lineitem
 """
 
 
-def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+def units(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem", spread)
     text = lambda c: F.col(c).cast("string")
     test = F.col("l_suppkey") % 7 == 0
     return li.select(

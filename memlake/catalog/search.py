@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memlake.catalog import inputs
@@ -11,10 +10,12 @@ from memlake.functions.chunking import overlap_chunks
 from memlake.functions.embedding import embed
 from memlake.functions.keywords import extract_keywords, identifier_terms
 from memlake.operators.knn import knn_join
-from memlake.operators.retrieval import bm25, bm25_stats, document_frequency, hydrate, limit_lanes, rrf
+from memlake.operators.retrieval import bm25, bm25_stats, document_frequency, limit_lanes, rrf
 from memlake.operators.skew import top_k_per_key
 from memlake.plans import searching
-from memlake.plans.indexing import chunk_documents, clean_view, keyword_rows
+from memlake.plans.indexing import chunk_documents, clean_view
+from memlake.session import scratch_path
+from memlake.sources.snapshots import read_snapshot, write_snapshot
 
 
 def _vectors(spark, sf_dir):
@@ -216,18 +217,31 @@ def keyword_budget(spark, sf_dir):
 
 # --- lanes and fusion ------------------------------------------------------------------------
 
-@query("bm25_topk", f"""
+_BM25_SQL = f"""
 WITH q AS (SELECT item_id AS qid, text AS query FROM benchmark),
 c AS (SELECT doc_id, text FROM documents)
 SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score
-FROM ({inputs.bm25_sql('q', 'c', 'qid', 'query', 'doc_id', 'text', 5)}) r""")
-def bm25_topk(spark, sf_dir):
+FROM ({inputs.bm25_sql('q', 'c', 'qid', 'query', 'doc_id', 'text', 5)}) r"""
+
+
+def _bm25(spark, sf_dir, **options):
     queries = table(spark, sf_dir, "benchmark").selectExpr("item_id AS qid", "text AS query")
     docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
-    top = bm25(queries, docs, 5, keys=["doc_id"], text="text")
+    top = bm25(queries, docs, 5, keys=["doc_id"], text="text", **options)
     return top.select("qid", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
+@query("bm25_topk", _BM25_SQL)
+def bm25_topk(spark, sf_dir):
+    return _bm25(spark, sf_dir)
+
+
+@query("bm25_join", _BM25_SQL)
+def bm25_join(spark, sf_dir):
+    """The plan for query sides whose weights are too many to share."""
+    return _bm25(spark, sf_dir, max_weights=0)
+
+
 @query("bm25_statistics", f"""
 WITH t AS (SELECT doc_id, {inputs.terms_sql('text')} AS ts FROM documents),
 f AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(ts)) AS term FROM t) u GROUP BY term)
@@ -281,12 +295,14 @@ qv AS MATERIALIZED ({inputs.hashed_sql('SELECT item_id AS qid, text FROM benchma
 
 
 def _passages(spark, sf_dir):
-    """Documents, their embedded chunks, and the benchmark items as queries."""
+    """Documents, the table of their embedded chunks, and the benchmark items as queries."""
     docs = table(spark, sf_dir, "documents", spread=True).select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
         F.col("text").alias("content"),
     )
-    chunks = embed(chunk_documents(docs), "text", cap=None)
+    root = scratch_path(spark, "chunks")
+    write_snapshot(embed(chunk_documents(docs), "text", cap=None), root)
+    chunks = read_snapshot(spark, root)
     queries = table(spark, sf_dir, "benchmark").selectExpr("item_id AS qid", "text AS query")
     return docs, chunks, queries
 
@@ -334,3 +350,16 @@ def hybrid_search(spark, sf_dir):
         "qid", "rank", "path", "start_line", "end_line", "section", F.round("distance", 4).alias("distance"),
         F.round("score", 6).alias("score"), "match",
     )
+
+
+@query("limited_lanes", """
+WITH l AS (SELECT 0 AS lane, c_name AS path, CAST(c_nationkey AS INTEGER) AS line FROM customer UNION ALL SELECT 1, s_name, s_nationkey FROM supplier)
+SELECT lane, path, line FROM l ORDER BY lane, path, line LIMIT 100""")
+def limited_lanes(spark, sf_dir):
+    """A hundred rows in all, the second lane only once the first is used up."""
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    lanes = [
+        c.select(F.col("c_name").alias("path"), F.col("c_nationkey").alias("line")),
+        s.select(F.col("s_name").alias("path"), F.col("s_nationkey").alias("line")),
+    ]
+    return limit_lanes(lanes, 100).select("lane", "path", "line")

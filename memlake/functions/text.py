@@ -57,15 +57,17 @@ def render(text: Column | str, variables: Column) -> Column:
     """
     text = col(text)
 
-    def fill(piece, key):
-        value = F.coalesce(
-            F.element_at(variables, F.upper(key)), F.concat(F.lit("{{"), key, F.lit("}}")), F.lit("")
+    def fill(known):
+        return lambda piece, key: F.concat(
+            piece,
+            F.coalesce(
+                F.element_at(known, F.upper(key)), F.concat(F.lit("{{"), key, F.lit("}}")), F.lit("")
+            ),
         )
-        return F.concat(piece, value)
 
     pieces = F.split(text, r"\{\{[^}]+\}\}", -1)
     keys = F.regexp_extract_all(text, F.lit(_PLACEHOLDER), 1)
-    return F.array_join(F.zip_with(pieces, keys, fill), "")
+    return let(variables, lambda known: F.array_join(F.zip_with(pieces, keys, fill(known)), ""))
 
 
 def unresolved(text: Column | str, variables: Column) -> Column:

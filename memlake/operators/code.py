@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions.paths import is_test
 from memlake.operators.skew import broadcast_if_small, split_rank, top_k_per_key
+from memlake.session import cut_lineage
 
 UNIT_KEY = ("project", "path", "chunk_type", "chunk_name")
 # Unit kinds shown per outline depth, and whether their text is left out.
@@ -138,7 +139,8 @@ def dedupe_names(units: DataFrame, order: str = "position", project: str = "proj
     renamed = ranked.withColumn("_base", F.col("chunk_name")).withColumn(
         "chunk_name", F.when(F.col("_nth") == 1, F.col("chunk_name")).otherwise(lined)
     )
-    again = split_rank(renamed, keys, order, name="_same")
+    # Ranking reads its input more than once, so the first numbering is written before the second.
+    again = split_rank(cut_lineage(renamed), keys, order, name="_same")
     return again.withColumn(
         "chunk_name",
         F.when(F.col("_same") == 1, F.col("chunk_name")).otherwise(

@@ -76,14 +76,14 @@ def rename_paths(
 ) -> tuple[DataFrame, DataFrame]:
     """(index with old paths replaced, renames that had no rows and need indexing anew).
 
-    ``renames`` has old_path and new_path. Rows already at a new path give way to the moved ones.
+    ``renames`` has old_path and new_path. Rows that were at a new path
+    before give way.
     """
     moves = broadcast_if_small(renames.select("old_path", "new_path").distinct())
     on_old = F.col(path) == F.col("old_path")
     moved = index.join(moves, on_old).withColumn(path, F.col("new_path")).select(*index.columns)
-    arrived = moved.select(path).distinct()
-    leaving = renames.select(F.col("old_path").alias(path)).unionByName(arrived).distinct()
-    staying = index.join(broadcast_if_small(leaving), path, "left_anti").select(*index.columns)
+    vacated = moves.select(F.explode(F.array("old_path", "new_path")).alias(path)).distinct()
+    staying = index.join(vacated, path, "left_anti").select(*index.columns)
     known = index.select(F.col(path).alias("old_path")).distinct()
     fallback = renames.join(known, "old_path", "left_anti").select("old_path", "new_path")
     return staying.unionByName(moved), fallback

@@ -139,9 +139,10 @@ def _masks(block: _Block, corpus: pa.Table, opts: dict):
 
 
 def _shrink(parts: list[pa.Table], opts: dict) -> pa.Table:
-    """k best rows per query over several blocks."""
+    """k best rows per query over several blocks; the last column is the value to order by."""
     frame = pa.concat_tables(parts).to_pandas()
-    order = frame.assign(_d=frame["distance"].round(_DIGITS)).sort_values(
+    value = frame[opts["names"][-1]].round(_DIGITS)
+    order = frame.assign(_d=-value if opts.get("descending") else value).sort_values(
         [opts["qid"], "_d", *opts["keys"]], kind="stable"
     )
     kept = order.groupby(opts["qid"], sort=False).head(opts["k"]).drop(columns="_d")

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from memlake.functions import markdown
-from memlake.functions.exprs import col, is_blank, let, newline_count, raw_lines, split_lines, strip
+from memlake.functions.exprs import let, raw_lines, split_lines, strip
 from memlake.functions.paths import hidden
-from memlake.operators.skew import broadcast_if_small, fits_broadcast, salted_join, top_k_per_key
+from memlake.operators.skew import fits_broadcast, salted_join, top_k_per_key
+
+try:
+    import ahocorasick
+except ImportError:  # the array plan does the same, pattern by pattern
+    ahocorasick = None
 
 # Largest text read in one piece, default page, most grep rows.
 MAX_FULL_BYTES = 1024 * 1024
@@ -155,17 +164,65 @@ def _grep_small(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     array = patterns.agg(
         F.array_sort(F.collect_list(F.struct(F.col("_qid").alias("q"), F.col("_pattern").alias("p")))).alias("a")
     ).scalar()
-    low = docs.withColumn("_low", F.lower("content")).withColumn("_all", array)
-    low = low.withColumn(
-        "_asked", F.filter("_all", lambda x: F.contains(F.col("_low"), x["p"]))
-    ).where(F.size("_asked") > 0)
-    lines = low.select("path", "_asked", F.posexplode(raw_lines(F.col("content"))).alias("line", "text"))
-    hits = lines.withColumn("_l", F.lower("text")).withColumn(
-        "_hit", F.explode(F.filter("_asked", lambda x: F.contains(F.col("_l"), x["p"])))
-    )
+    def matching(text, asked):
+        # Bound once, or every pattern would fold the case of the whole text again.
+        return let(F.lower(text), lambda low: F.filter(asked, lambda x: F.contains(low, x["p"])))
+
+    named = docs.withColumn("_all", array)
+    some = named.withColumn("_asked", matching(F.col("content"), F.col("_all"))).where(F.size("_asked") > 0)
+    lines = some.select("path", "_asked", F.posexplode(raw_lines(F.col("content"))).alias("line", "text"))
+    hits = lines.withColumn("_hit", F.explode(matching(F.col("text"), F.col("_asked"))))
     return hits.select(F.col("_hit")["q"].alias("_qid"), "path", (F.col("line") + 1).alias("line"), "text")
 
 
+def _grep_automaton(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """All patterns in one automaton, shared with the tasks; every document is read through once."""
+    rows = [(r["_qid"], r["_pattern"]) for r in patterns.collect()]
+    by_text: dict[str, list] = {}
+    for q, p in rows:
+        if "\n" not in p:
+            by_text.setdefault(p, []).append(q)
+    shared = docs.sparkSession.sparkContext.broadcast(by_text)
+
+    def run(batches):
+        machine = ahocorasick.Automaton()
+        for p, ids in shared.value.items():
+            machine.add_word(p, ids)
+        machine.make_automaton()
+        for batch in batches:
+            out = [], [], [], []
+            if len(machine):
+                paths, texts, lows = (batch.column(i).to_pylist() for i in range(3))
+                for path, text, low in zip(paths, texts, lows):
+                    for q, line, shown in _line_hits(machine, text, low):
+                        for column, value in zip(out, (q, path, line, shown)):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, type=f.type) for v, f in zip(out, arrow)], schema=arrow
+            )
+
+    schema = T.StructType(
+        [
+            patterns.schema["_qid"], T.StructField("path", T.StringType()),
+            T.StructField("line", T.IntegerType()), T.StructField("text", T.StringType()),
+        ]
+    )
+    arrow = to_arrow_schema(schema)
+    return docs.select("path", "content", F.lower("content").alias("_low")).mapInArrow(run, schema)
+
+
+def _line_hits(machine, text: str, low: str) -> Iterator[tuple]:
+    """(query, 1-based line, line text), each query once per line."""
+    found = list(machine.iter(low))
+    if not found:
+        return
+    ends = [i for i, c in enumerate(low) if c == "\n"]
+    lines = text.split("\n")
+    seen = {(q, bisect_left(ends, at)) for at, ids in found for q in ids}
+    for q, i in seen:
+        yield q, i + 1, lines[i]
+
+
 def _grep_large(docs: DataFrame, patterns: DataFrame, widest: int = 8) -> DataFrame:
     """Join lines and patterns on short pieces, then test the whole pattern.
 
@@ -194,7 +251,7 @@ def _grep_large(docs: DataFrame, patterns: DataFrame, widest: int = 8) -> DataFr
         )
     )
     spread = lines.withColumn("_gram", F.explode(F.array_distinct(blocks))).drop("_used")
-    pairs = salted_join(spread, anchors, ["_gram"], spread=["path", "line"])
+    pairs = salted_join(spread, anchors, ["_gram"], spread=["path", "line"], find_hot=False)
     hits = pairs.where(F.contains(F.col("_l"), F.col("_pattern")))
     # Several pieces of one pattern may meet the same line.
     return hits.groupBy("_qid", "path", "line").agg(F.any_value("text").alias("text"))
@@ -213,7 +270,11 @@ def grep(
     if max_bytes is not None:
         seen = seen.where(F.octet_length("content") <= max_bytes)
     patterns = _patterns(queries, qid, query)
-    found = (_grep_small if fits_broadcast(patterns, max_rows=max_patterns) else _grep_large)(seen, patterns)
+    if not fits_broadcast(patterns, max_rows=max_patterns):
+        plan = _grep_large
+    else:
+        plan = _grep_small if ahocorasick is None else _grep_automaton
+    found = plan(seen.where(F.col("content").isNotNull()), patterns)
     rows = found.select(F.col("_qid").alias(qid), "path", "line", strip(F.col("text")).alias("content"))
     return rows if cap is None else top_k_per_key(rows, [qid], ["path", "line"], cap).drop("rank")
 

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from memlake.functions.exprs import col, is_blank, join_lines, split_lines
+from memlake.functions.exprs import col, join_lines, split_lines
 from memlake.functions.paths import ancestors
+from memlake.operators.knn import _masks, _pick, _shrink
 from memlake.operators.skew import fits_broadcast, salted_join, top_k_per_key
+from memlake.session import cut_lineage
 
 CHUNK_KEY = ("path", "start_line", "end_line")
 # Windows of one long line share their line numbers; the section tells them apart.
@@ -40,6 +46,9 @@ def document_frequency(
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+MAX_WEIGHTS = 20_000_000
+
+
 def bm25(
     queries: DataFrame,
     corpus: DataFrame,
@@ -53,56 +62,141 @@ def bm25(
     path: str = "path",
     k1: float = 1.2,
     b: float = 0.75,
+    max_weights: int = MAX_WEIGHTS,
 ) -> DataFrame:
     """Top-k corpus rows per query by BM25: qid, keys, score, rank. ``keys`` identify a row.
 
-    Corpus rows are partitioned by their key once. With a small query side every row meets all
-    query terms where it lies, its scores are summed there, and only k rows per query and
-    partition are shuffled. A large query side is joined on the term, heavy terms spread out.
+    Equal scores (to nine digits) are ordered by ``keys``. While queries times their distinct terms
+    stay within ``max_weights``, the weights of all queries go to the tasks that scan the corpus:
+    every block of rows is scored by one matrix product and hands on at most k rows per query, so no
+    posting is shuffled. Beyond that, postings and queries are joined on the term, heavy terms spread
+    out.
     """
     keys = list(keys)
-    stats = bm25_stats(corpus, text)
-    mean, n = stats.select("avg_len").scalar(), stats.select("n_docs").scalar()
-    small = fits_broadcast(queries)
-    hint = F.broadcast if small else (lambda df: df)
     asked = queries.select(qid, F.explode(F.array_distinct(search_terms(query))).alias("term"))
-    vocabulary = hint(asked.select("term").distinct())
-    df = F.col("df")
+    size = asked.agg(
+        F.count_distinct("term").alias("t"), F.count_distinct(qid).alias("q"), F.count(F.lit(1)).alias("n")
+    ).first()
+    small = size["t"] * size["q"] <= max_weights and fits_broadcast(queries)
+    vocabulary = asked.select("term").distinct()
+    if small:
+        vocabulary = F.broadcast(vocabulary)
+    stats = bm25_stats(corpus, text)
+    n, df = stats.select("n_docs").scalar(), F.col("df")
     idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
-    terms = asked.join(document_frequency(corpus, text, vocabulary), "term").select(
-        qid, "term", idf.alias("idf")
-    )
+    found = document_frequency(corpus, text, vocabulary).select("term", idf.alias("idf"))
+    ids = asked.schema[qid]
+    opts = {
+        "qid": qid, "keys": keys, "k": k, "path": path, "by": [], "k1": k1, "b": b, "scopes": scopes,
+        "names": [qid, *keys, "score"], "descending": True,
+    }
+    schema = T.StructType([ids, *[corpus.schema[c] for c in keys], T.StructField("score", T.DoubleType())])
+    if small:
+        near = _score_blocks(queries, asked, found, stats, corpus, text, opts, schema)
+    else:
+        near = _score_join(queries, asked, found, stats, corpus, text, opts)
+    return top_k_per_key(near, [qid], [F.desc(F.round("score", 9)), *keys], k)
+
+
+def _score_blocks(queries, asked, found, stats, corpus, text, opts, schema) -> DataFrame:
+    """Score whole blocks of the corpus against the measured, shared weights of all queries."""
+    qid, keys, scopes, path = opts["qid"], opts["keys"], opts["scopes"], opts["path"]
+    spark = corpus.sparkSession
+    weights = asked.join(F.broadcast(found), "term").toArrow()
+    mean = stats.first()["avg_len"]
+    sides = queries.select(qid, *([scopes] if scopes else [])).toArrow()
+    shared = spark.sparkContext.broadcast((weights, sides, mean))
+    cols = list(dict.fromkeys([*keys, *([path] if scopes else [])]))
+
+    def run(batches):
+        weights, sides, mean = shared.value
+        scorer = BlockScorer(weights, sides, mean, opts)
+        best = None
+        for batch in batches:
+            rows = scorer.best(pa.Table.from_batches([batch]))
+            if rows is not None:
+                best = rows if best is None else _shrink([best, rows.cast(best.schema)], opts)
+        if best is not None:
+            yield from best.to_batches()
+
+    return corpus.select(*cols, search_terms(text).alias("_bag")).mapInArrow(run, schema)
+
+
+class BlockScorer:
+    """BM25 of all queries over a block of tokenised rows."""
+
+    _ROWS = 512
+    _CELLS = 4_000_000
+
+    def __init__(self, weights: pa.Table, sides: pa.Table, mean: float, opts: dict):
+        self.opts, self.mean = opts, mean
+        self.groups = None
+        self.ids = sides.column(opts["qid"]).combine_chunks()
+        self.scopes = (
+            [None if s is None else tuple(s) for s in sides.column(opts["scopes"]).to_pylist()]
+            if opts["scopes"] else None
+        )
+        self.terms = pc.unique(weights.column("term")).cast(pa.string())
+        self.matrix = np.zeros((len(self.terms), len(self.ids)))
+        at = pc.index_in(weights.column("term").cast(pa.string()), value_set=self.terms).to_numpy()
+        to = pc.index_in(weights.column(opts["qid"]), value_set=self.ids).to_numpy()
+        self.matrix[at, to] = weights.column("idf").to_numpy()
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def best(self, rows: pa.Table) -> pa.Table | None:
+        if not len(self.terms) or not rows.num_rows:
+            return None
+        rows = rows.sort_by([(c, "ascending") for c in self.opts["keys"]])
+        step = max(1, min(self._ROWS, self._CELLS // max(len(self.terms), len(self.ids))))
+        parts = [self._block(rows.slice(at, step)) for at in range(0, rows.num_rows, step)]
+        parts = [p for p in parts if p.num_rows]
+        return _shrink(parts, self.opts) if parts else None
+
+    def _block(self, rows: pa.Table) -> pa.Table:
+        opts, width = self.opts, len(self.terms)
+        bags = rows.column("_bag").combine_chunks()
+        length = pc.list_value_length(bags).to_numpy(zero_copy_only=False)
+        term = pc.index_in(bags.flatten().cast(pa.string()), value_set=self.terms)
+        owner = np.repeat(np.arange(rows.num_rows), length)
+        known = term.is_valid().to_numpy(zero_copy_only=False)
+        cell = owner[known] * width + term.drop_null().to_numpy()
+        tf = np.bincount(cell, minlength=rows.num_rows * width).reshape(rows.num_rows, width)
+        damp = opts["k1"] * (1 - opts["b"] + opts["b"] * length / self.mean)
+        gain = tf * (opts["k1"] + 1) / (tf + damp[:, None])
+        score = (gain @ self.matrix).T
+        rank_by = np.where(score > 0, -np.round(score, 9), np.inf)
+        masks = _masks(self, rows, opts)
+        if masks is not None:
+            rank_by[~masks(0, len(self))] = np.inf
+        q, d = _pick(rank_by, opts["k"])
+        picked = rows.select(opts["keys"]).take(pa.array(d))
+        arrays = [self.ids.take(pa.array(q)), *picked.columns, pa.array(score[q, d])]
+        return pa.Table.from_arrays(arrays, names=opts["names"])
+
+
+def _score_join(queries, asked, found, stats, corpus, text, opts) -> DataFrame:
+    """Score by joining postings and query terms; parts are added up before the last shuffle."""
+    qid, keys, scopes, path, k1, b = (opts[x] for x in ("qid", "keys", "scopes", "path", "k1", "b"))
+    mean = stats.select("avg_len").scalar()
+    terms = asked.join(found, "term")
     if scopes:
         terms = terms.join(queries.select(qid, F.col(scopes).alias("_scopes")), qid)
-    cols = [*keys, *([path] if scopes and path not in keys else [])]
-    placed = corpus.select(*cols, text)
-    if small:
-        placed = placed.repartition(*keys)
-    bag = placed.select(*cols, search_terms(text).alias("_bag")).withColumn("_len", F.size("_bag"))
-    exploded = bag.select(*cols, "_len", F.explode("_bag").alias("term"))
+    cols = list(dict.fromkeys([*keys, *([path] if scopes else [])]))
+    bag = corpus.select(*cols, search_terms(text).alias("_bag")).withColumn("_len", F.size("_bag"))
     postings = (
-        exploded.join(vocabulary, "term", "left_semi")
+        bag.select(*cols, "_len", F.explode("_bag").alias("term"))
         .groupBy(*cols, "_len", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    hits = (
-        postings.join(F.broadcast(terms), "term")
-        if small
-        else salted_join(postings, terms, ["term"], spread=keys)
-    )
+    hits = salted_join(postings, terms, ["term"], spread=keys, find_hot=False)
     if scopes:
         inside = F.coalesce(F.size("_scopes"), F.lit(0)) <= 0
         under = F.exists("_scopes", lambda s: F.startswith(F.col(path), F.concat(s, F.lit("/"))))
         hits = hits.where(inside | under)
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / mean))
-    # Adding the parts in term order gives the same sum on every run.
-    score = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("term", "part"))),
-        F.lit(0.0),
-        lambda acc, x: acc + x["part"],
-    )
-    scored = hits.withColumn("part", F.col("idf") * gain).groupBy(*keys, qid).agg(score.alias("score"))
-    return top_k_per_key(scored, [qid], [F.desc(F.round("score", 9)), *keys], k)
+    return hits.groupBy(*keys, qid).agg(F.sum(F.col("idf") * gain).alias("score")).select(qid, *keys, "score")
 
 
 def rrf(
@@ -167,9 +261,11 @@ def hydrate(
 ) -> DataFrame:
     """Attach the lines of every hit. A missing document leaves null content and a warning.
 
+    The hits are few beside what it took to find them, so they are written once and read from there.
     A document hit by many queries is copied to several tasks instead of drawing all its hits
     into one.
     """
+    hits = cut_lineage(hits)
     text = docs.select(F.col(path), F.col(content).alias("_text"), F.lit(True).alias("_known"))
     found = salted_join(hits, text, [path], "left", spread=spread or hits.columns)
     lines = F.slice(
@@ -216,7 +312,3 @@ def limit_lanes(lanes: Sequence[DataFrame], n: int, order: Sequence[str] = ("pat
         lane = df.withColumn("lane", F.lit(i))
         out = lane if out is None else out.unionByName(lane, allowMissingColumns=True)
     return out.orderBy("lane", *order).limit(n)
-
-
-def non_blank(queries: DataFrame, query: str = "query") -> DataFrame:
-    return queries.where(~is_blank(F.col(query)))

@@ -47,25 +47,34 @@ def salted_join(
     how: str = "inner",
     spread: Sequence[str] | None = None,
     salts: int = SALTS,
+    find_hot: bool = True,
 ) -> DataFrame:
     """Equi-join whose left side may have hot keys.
 
     Left rows of the heaviest keys are spread over ``salts`` tasks by a hash of ``spread``;
     only the matching right rows are copied that often. ``how`` must keep left rows at most:
     inner, left, left_semi or left_anti.
+
+    Finding the heavy keys reads the left side once more, so a left side that is dear to compute is
+    written first (``cut_lineage``). Where the right side is small, ``find_hot`` off spreads all keys
+    without looking.
     """
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot do a {how} join")
     on = list(on)
     spread = list(spread or left.columns)
-    hot = F.broadcast(hot_keys(left, on).withColumn("_hot", F.lit(True)))
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread]), F.lit(salts)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    if not find_hot:
+        copied = right.withColumn("_salt", F.explode(every))
+        return left.withColumn("_salt", salt).join(copied, [*on, "_salt"], how).drop("_salt")
+    hot = F.broadcast(hot_keys(left, on).withColumn("_hot", F.lit(True)))
     spread_left = (
         left.join(hot, on, "left")
         .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
         .drop("_hot")
     )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))
     copied_right = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return spread_left.join(copied_right, [*on, "_salt"], how).drop("_salt")
 

@@ -13,6 +13,7 @@ from memlake.operators.knn import knn_join
 from memlake.operators.reading import GREP_CAP, MAX_FULL_BYTES, grep
 from memlake.operators.retrieval import CHUNK_KEY, CHUNK_ROW, bm25, hydrate, rrf
 from memlake.operators.skew import salted_join, top_k_per_key
+from memlake.session import cut_lineage
 
 # Default numbers of results.
 TOP_SECTIONS = 5
@@ -66,7 +67,7 @@ def cascade(
     n_documents: int = CASCADE_DOCUMENTS, cap: int = GREP_CAP,
 ) -> DataFrame:
     """Per query the nearest documents with a snippet, then grep lines, ``cap`` rows in all."""
-    near = knn_join(_with_vectors(queries, encode), documents, n_documents, keys=["path"])
+    near = cut_lineage(knn_join(_with_vectors(queries, encode), documents, n_documents, keys=["path"]))
     heads = docs.select("path", snippet("content").alias("content"))
     semantic = salted_join(near, heads, ["path"], "left", spread=["qid", "rank"]).select(
         "qid", F.lit(0).alias("lane"), F.col("rank").alias("nth"), "path", F.lit(1).alias("line"),
