@@ -209,17 +209,16 @@ def terms_sql(text: str) -> str:
 def bm25_sql(queries: str, corpus: str, qid: str, query: str, keys: str, text: str, k: int) -> str:
     """SQL for BM25 top-k: CTE names of queries (qid, query) and corpus (keys, text)."""
     return f"""
+    WITH bags AS MATERIALIZED (SELECT {keys}, {terms_sql(text)} AS bag FROM {corpus}),
+    asked AS MATERIALIZED (SELECT {qid}, unnest(list_distinct({terms_sql(query)})) AS term FROM {queries}),
+    terms AS MATERIALIZED (SELECT {keys}, dl, term, count(*) AS tf
+      FROM (SELECT {keys}, len(bag) AS dl, unnest(bag) AS term FROM bags) b0 GROUP BY {keys}, dl, term),
+    held AS MATERIALIZED (SELECT * FROM terms WHERE term IN (SELECT term FROM asked)),
+    freq AS MATERIALIZED (SELECT term, ln(1.0 + ((SELECT count(*) FROM bags) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM held GROUP BY term),
+    mean AS MATERIALIZED (SELECT avg(len(bag)) AS avg_len FROM bags),
+    scores AS MATERIALIZED (SELECT {qid}, {keys}, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_len))) AS score
+      FROM held JOIN freq USING (term) JOIN asked USING (term) CROSS JOIN mean GROUP BY {qid}, {keys})
     SELECT {qid}, {keys}, score, rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY {qid} ORDER BY round(score, 9) DESC, {keys}) AS rank FROM (
-        SELECT {qid}, {keys}, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_len)) ORDER BY term) AS score
-        FROM (SELECT {keys}, term, count(*) AS tf, any_value(dl) AS dl FROM (
-                SELECT {keys}, len({terms_sql(text)}) AS dl, unnest({terms_sql(text)}) AS term FROM {corpus}) p0
-              GROUP BY {keys}, term) p
-        JOIN (SELECT {qid}, unnest(list_distinct({terms_sql(query)})) AS term FROM {queries}) a USING (term)
-        JOIN (SELECT term, ln(1.0 + ((SELECT count(*) FROM {corpus}) - count(*) + 0.5) / (count(*) + 0.5)) AS idf
-              FROM (SELECT unnest(list_distinct({terms_sql(text)})) AS term FROM {corpus}) f0 GROUP BY term) f USING (term)
-        CROSS JOIN (SELECT avg(len({terms_sql(text)})) AS avg_len FROM {corpus}) m
-        GROUP BY {qid}, {keys}
-      ) s
-    ) r WHERE rank <= {k}
+      SELECT *, row_number() OVER (PARTITION BY {qid} ORDER BY round(score, 9) DESC, {keys}) AS rank FROM scores) r
+    WHERE rank <= {k}
     """
