@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def local_session(cpus: int | str = "*", app: str = "memlake", **conf: str) -> SparkSession:
@@ -41,8 +42,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="memlake-")
-        spark.conf.set(_CHECKPOINT_KEY, root)
+        app = spark.sparkContext.applicationId
+        root = _LOCAL_ROOTS.get(app) or _LOCAL_ROOTS.setdefault(app, tempfile.mkdtemp(prefix="memlake-"))
     return root
 
 
