@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.functions.exprs import let
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_KEYS = 1000
@@ -79,10 +82,12 @@ def salted_join(
     return spread_left.join(copied_right, [*on, "_salt"], how).drop("_salt")
 
 
-def _splits(df: DataFrame, value: Column, parts: int) -> Column:
-    """Cut points that share out the rows evenly, as a one-value sub-query."""
+def _splits(df: DataFrame, value: Column, parts: int, step: int) -> Column:
+    """Cut points that share out the rows evenly, all of them and every ``step``-th, as a sub-query."""
     points = [i / parts for i in range(1, parts)]
-    return df.agg(F.percentile_approx(value, points, 10_000).alias("s")).scalar()
+    cuts = df.agg(F.percentile_approx(value, points, 10_000).alias("s"))
+    coarse = F.filter("s", lambda _, i: i % step == 0)
+    return cuts.select(F.struct(F.col("s").alias("fine"), coarse.alias("coarse")).alias("c")).scalar()
 
 
 def _parts(df: DataFrame) -> int:
@@ -98,10 +103,22 @@ def _as_number(df: DataFrame, split_on: str) -> Column:
 
 
 def bucketed(df: DataFrame, split_on: str, descending: bool = False, parts: int | None = None) -> DataFrame:
-    """Add ``_bucket``: an even share of all rows by ``split_on``, numbered in sort order."""
+    """Add ``_bucket``: an even share of all rows by ``split_on``, numbered in sort order.
+
+    A row finds its share in two steps, so thousands of shares cost it little.
+    """
     value = _as_number(df, split_on)
-    cut = df.withColumn("_cuts", _splits(df, value, parts or _parts(df)))
-    below = F.greatest(F.size(F.filter("_cuts", lambda s: s < value)), F.lit(0))
+    parts = parts or _parts(df)
+    step = max(1, math.isqrt(parts))
+    cut = df.withColumn("_cuts", _splits(df, value, parts, step))
+    fine, coarse = F.col("_cuts")["fine"], F.col("_cuts")["coarse"]
+
+    def within(k):
+        first = (k - 1) * step
+        near = F.filter(F.slice(fine, first + 1, F.lit(step)), lambda s: s < value)
+        return F.when(k > 0, first + F.size(near)).otherwise(F.lit(0))
+
+    below = F.coalesce(let(F.size(F.filter(coarse, lambda s: s < value)), within), F.lit(0))
     return cut.withColumn("_bucket", -below if descending else below).drop("_cuts")
 
 

@@ -55,6 +55,13 @@ def test_split_rank_never_groups_a_whole_key(skewed):
     assert cells.agg(F.max("count")).first()[0] <= 1000 // 8 + 20
 
 
+@pytest.mark.parametrize("parts", [8, 100, 997])
+def test_buckets_follow_the_order(skewed, parts):
+    cells = skew.bucketed(skewed, "t", parts=parts).groupBy("_bucket").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    spans = [(r.a, r.b) for r in cells.orderBy("_bucket").collect()]
+    assert all(x[1] < y[0] for x, y in zip(spans, spans[1:])) and len(spans) > min(parts, 900) * 0.6
+
+
 def test_split_lag_is_lag(skewed):
     w = Window.partitionBy("key").orderBy("t", "id")
     plain = skewed.withColumn("prev_v", F.lag("v").over(w)).withColumn("prev_id", F.lag("id").over(w))
