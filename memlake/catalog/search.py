@@ -10,7 +10,7 @@ from memlake.functions.chunking import overlap_chunks
 from memlake.functions.embedding import embed
 from memlake.functions.keywords import extract_keywords, identifier_terms
 from memlake.operators.knn import knn_join
-from memlake.operators.retrieval import bm25, bm25_stats, document_frequency, limit_lanes, rrf
+from memlake.operators.retrieval import bm25, bm25_stats, document_frequency, hydrate, limit_lanes, rrf
 from memlake.operators.skew import top_k_per_key
 from memlake.plans import searching
 from memlake.plans.indexing import chunk_documents, clean_view
@@ -363,3 +363,47 @@ def limited_lanes(spark, sf_dir):
         s.select(F.col("s_name").alias("path"), F.col("s_nationkey").alias("line")),
     ]
     return limit_lanes(lanes, 100).select("lane", "path", "line")
+
+
+@query("knn_scoped", _knn_oracle(_GAP, "b.label IN (a.label, a.label + 1)"))
+def knn_scoped(spark, sf_dir):
+    """Every vector searches below two directories: those of its label and of the next one."""
+    v = _vectors(spark, sf_dir)
+    folder = lambda n: F.concat(F.lit("l"), n.cast("string"))
+    label = F.col("label")
+    queries = v.select(F.col("vec_id").alias("qid"), "vector", F.array(folder(label), folder(label + 1)).alias("scopes"))
+    corpus = v.select(
+        F.col("vec_id").alias("key"), "vector", F.concat(folder(label), F.lit("/v"), F.col("vec_id").cast("string")).alias("path")
+    )
+    near = knn_join(queries, corpus, 5, scopes="scopes")
+    return near.select("qid", "key", "rank", F.round("distance", 4).alias("distance"))
+
+
+@query("embed_documents", f"""
+WITH v AS ({inputs.hashed_sql('SELECT doc_id, text FROM documents', 'doc_id', 'text')})
+SELECT doc_id, CAST(len(vector) AS INTEGER) AS width, round(list_sum(list_transform(vector, lambda x, i: CAST(x AS DOUBLE) * i)), 4) AS mark FROM v""")
+def embed_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
+    marked = F.aggregate(
+        F.transform("vector", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda acc, x: acc + x
+    )
+    return embed(docs, "text").select("doc_id", F.size("vector").alias("width"), F.round(marked, 4).alias("mark"))
+
+
+@query("hydrate_hits", """
+WITH h AS (SELECT doc_id AS qid, doc_id + quality AS doc, 1 + toxic AS s, 2 + quality AS e FROM labels)
+SELECT qid, 'doc/' || doc AS path, CASE WHEN lang = 'en' THEN md5(array_to_string(string_split(text, chr(10))[s:e], chr(10))) END AS digest,
+  CASE WHEN coalesce(lang, '') <> 'en' THEN 'Source file no longer exists at path: doc/' || doc || '.' END AS warning
+FROM h LEFT JOIN documents ON doc_id = doc""")
+def hydrate_hits(spark, sf_dir):
+    """Hits in labelled documents or their neighbours; only English documents are still there."""
+    path = lambda c: F.concat(F.lit("doc/"), c.cast("string")).alias("path")
+    docs = table(spark, sf_dir, "documents", spread=True).where("lang = 'en'").select(
+        path(F.col("doc_id")), F.col("text").alias("content")
+    )
+    hits = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("qid"), path(F.col("doc_id") + F.col("quality")),
+        (F.col("toxic") + 1).alias("start_line"), (F.col("quality") + 2).alias("end_line"),
+    )
+    found = hydrate(hits, docs, spread=["qid"])
+    return found.select("qid", "path", F.md5("content").alias("digest"), "warning")

@@ -49,7 +49,7 @@ def _gaps(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return np.round(np.maximum(d, 0.0), _DIGITS)
 
 
-def _pick(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def pick_smallest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the k smallest entries per row; among equals the first columns win."""
     if d.shape[1] <= k:
         keep = np.isfinite(d)
@@ -88,14 +88,14 @@ def _best(block: _Block, corpus: pa.Table, opts: dict) -> pa.Table:
     vectors = _matrix(corpus.column(vector))
     out = []
     if len(block) and corpus.num_rows:
-        masks = _masks(block, corpus, opts)
+        masks = block_masks(block, corpus, opts)
         per = max(1, _CELLS // corpus.num_rows)
         for at in range(0, len(block), per):
             q = block.vectors[at : at + per]
             d = _gaps(q, vectors, opts["metric"])
             if masks is not None:
                 d[~masks(at, at + per)] = np.inf
-            rows, cols = _pick(d, k)
+            rows, cols = pick_smallest(d, k)
             picked = corpus.select(keys).take(pa.array(cols))
             exact = _exact(q[rows], vectors[cols], opts["metric"])
             arrays = [block.ids.take(pa.array(rows + at)), *picked.columns, pa.array(exact)]
@@ -110,7 +110,7 @@ def _exact(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return (gap * gap).sum(axis=1)
 
 
-def _masks(block: _Block, corpus: pa.Table, opts: dict):
+def block_masks(block: _Block, corpus: pa.Table, opts: dict):
     """Which corpus rows each query may see, or None when all queries see all rows."""
     if block.groups is None and block.scopes is None:
         return None
@@ -138,7 +138,7 @@ def _masks(block: _Block, corpus: pa.Table, opts: dict):
     return mask
 
 
-def _shrink(parts: list[pa.Table], opts: dict) -> pa.Table:
+def keep_best(parts: list[pa.Table], opts: dict) -> pa.Table:
     """k best rows per query over several blocks; the last column is the value to order by."""
     frame = pa.concat_tables(parts).to_pandas()
     value = frame[opts["names"][-1]].round(_DIGITS)
@@ -206,7 +206,7 @@ def _scan(queries, corpus, opts, scopes, schema) -> DataFrame:
         for batch in batches:
             found = _best(block, pa.Table.from_batches([batch]), opts)
             if found is not None:
-                best = found if best is None else _shrink([best, found.cast(best.schema)], opts)
+                best = found if best is None else keep_best([best, found.cast(best.schema)], opts)
         if best is not None:
             yield from best.to_batches()
 

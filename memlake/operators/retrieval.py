@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from memlake.functions.exprs import col, join_lines, split_lines
 from memlake.functions.paths import ancestors
-from memlake.operators.knn import _masks, _pick, _shrink
+from memlake.operators.knn import block_masks, pick_smallest, keep_best
 from memlake.operators.skew import fits_broadcast, salted_join, top_k_per_key
 from memlake.session import cut_lineage
 
@@ -46,7 +46,8 @@ def document_frequency(
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-MAX_WEIGHTS = 20_000_000
+# Most weights (queries times their distinct terms) that are shared with the tasks, about 80 MB.
+MAX_WEIGHTS = 10_000_000
 
 
 def bm25(
@@ -115,7 +116,7 @@ def _score_blocks(queries, asked, found, stats, corpus, text, opts, schema) -> D
         for batch in batches:
             rows = scorer.best(pa.Table.from_batches([batch]))
             if rows is not None:
-                best = rows if best is None else _shrink([best, rows.cast(best.schema)], opts)
+                best = rows if best is None else keep_best([best, rows.cast(best.schema)], opts)
         if best is not None:
             yield from best.to_batches()
 
@@ -152,7 +153,7 @@ class BlockScorer:
         step = max(1, min(self._ROWS, self._CELLS // max(len(self.terms), len(self.ids))))
         parts = [self._block(rows.slice(at, step)) for at in range(0, rows.num_rows, step)]
         parts = [p for p in parts if p.num_rows]
-        return _shrink(parts, self.opts) if parts else None
+        return keep_best(parts, self.opts) if parts else None
 
     def _block(self, rows: pa.Table) -> pa.Table:
         opts, width = self.opts, len(self.terms)
@@ -167,10 +168,10 @@ class BlockScorer:
         gain = tf * (opts["k1"] + 1) / (tf + damp[:, None])
         score = (gain @ self.matrix).T
         rank_by = np.where(score > 0, -np.round(score, 9), np.inf)
-        masks = _masks(self, rows, opts)
+        masks = block_masks(self, rows, opts)
         if masks is not None:
             rank_by[~masks(0, len(self))] = np.inf
-        q, d = _pick(rank_by, opts["k"])
+        q, d = pick_smallest(rank_by, opts["k"])
         picked = rows.select(opts["keys"]).take(pa.array(d))
         arrays = [self.ids.take(pa.array(q)), *picked.columns, pa.array(score[q, d])]
         return pa.Table.from_arrays(arrays, names=opts["names"])
