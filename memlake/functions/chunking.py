@@ -15,7 +15,7 @@ from memlake.functions.exprs import (
     split_lines,
     strip,
 )
-from memlake.functions.markdown import _in_fence, fence_ranges
+from memlake.functions.markdown import outside_fences
 
 MAX_CHARS = 2000
 OVERLAP = 0.15
@@ -115,21 +115,22 @@ def overlap_chunks(
     )
 
 
-def _headings(lines: Column, fences: Column) -> Column:
+def _headings(lines: Column) -> Column:
     """Headings of level 1 to 3 outside fences, in order."""
-    return F.filter(
-        F.transform(
-            lines,
-            lambda line, i: F.struct(
-                i.alias("at"),
-                F.when(
-                    line.rlike(r"(?U)^#{1,3}[ \t]+\S"),
-                    F.length(F.regexp_extract(line, r"^(#+)", 1)),
-                ).otherwise(0).alias("level"),
+    found = F.filter(
+        F.transform(lines, lambda line, i: F.struct(i.alias("at"), line.alias("line"))),
+        lambda x: x["line"].rlike(r"(?U)^#{1,3}[ \t]+\S"),
+    )
+    free = outside_fences(F.transform(found, lambda x: x["at"]), lines)
+    return F.transform(
+        free,
+        lambda at: let(
+            F.get(lines, at),
+            lambda line: F.struct(
+                at.alias("at"), F.length(F.regexp_extract(line, r"^(#+)", 1)).alias("level"),
                 strip(line).alias("title"),
             ),
         ),
-        lambda h: (h["level"] > 0) & ~_in_fence(h["at"], fences),
     )
 
 
@@ -185,12 +186,7 @@ def header_chunks(
 
     structured = let(
         raw_lines(text),
-        lambda lines: let(
-            fence_ranges(lines),
-            lambda fences: let(
-                _breadcrumbs(_headings(lines, fences)), lambda marks: build(lines, marks)
-            ),
-        ),
+        lambda lines: let(_breadcrumbs(_headings(lines)), lambda marks: build(lines, marks)),
     )
     # Only a text with a line that starts like '## ' can have structured chunks.
     maybe = text.rlike(r"(?m)^#{2,3}[ \t]")

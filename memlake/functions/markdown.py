@@ -23,6 +23,7 @@ from memlake.functions.exprs import (
 )
 
 _RANGES = "array<struct<first:int,last:int>>"
+_MARK = "struct<at:int,run:string,bare:boolean>"
 
 
 def fence_ranges(lines: Column) -> Column:
@@ -43,37 +44,64 @@ def fence_ranges(lines: Column) -> Column:
         lambda m: m["run"] != "",
     )
 
-    def closer(m, ms):
-        fits = F.filter(
-            ms,
-            lambda c: (c["at"] > m["at"])
-            & c["bare"]
-            & (F.substring(c["run"], 1, 1) == F.substring(m["run"], 1, 1))
-            & (F.length(c["run"]) >= F.length(m["run"])),
+    none = F.array().cast(_RANGES)
+
+    def closes(o, c):
+        return (
+            c["bare"]
+            & (F.substring(c["run"], 1, 1) == F.substring(o["run"], 1, 1))
+            & (F.length(c["run"]) >= F.length(o["run"]))
         )
-        return F.try_element_at(fits, F.lit(1))["at"]
 
-    paired = let(
-        marks,
-        lambda ms: F.transform(
-            ms, lambda m: F.struct(m["at"].alias("first"), closer(m, ms).alias("last"))
-        ),
-    )
-    none = F.array().cast(_RANGES)
-    folded = F.aggregate(
-        paired,
-        F.struct(F.lit(-1).alias("until"), none.alias("out")),
-        lambda acc, p: F.when(
-            (p["first"] > acc["until"]) & p["last"].isNotNull(),
-            F.struct(p["last"].alias("until"), F.concat(acc["out"], F.array(p)).alias("out")),
-        ).otherwise(acc),
-        lambda acc: acc["out"],
-    )
-    return F.coalesce(folded, none)
+    def pair(first, last):
+        return F.array(F.struct(first.alias("first"), last.alias("last")))
+
+    def walk(acc, m):
+        opened = acc["open"].isNotNull()
+        shut = opened & closes(acc["open"], m)
+        return F.struct(
+            F.when(shut, F.lit(None)).when(opened, acc["open"]).otherwise(m).alias("open"),
+            F.when(shut, F.concat(acc["out"], pair(acc["open"]["at"], m["at"]))).otherwise(acc["out"]).alias("out"),
+        )
+
+    def search(ms):
+        """Each opener looks for its closer: needed only behind an opener that never closes."""
+        def closer(m):
+            fits = F.filter(ms, lambda c: (c["at"] > m["at"]) & closes(m, c))
+            return F.try_element_at(fits, F.lit(1))["at"]
+
+        def step(acc, m):
+            return F.when(m["at"] <= acc["until"], acc).otherwise(
+                let(
+                    closer(m),
+                    lambda last: F.when(last.isNull(), acc).otherwise(
+                        F.struct(last.alias("until"), F.concat(acc["out"], pair(m["at"], last)).alias("out"))
+                    ),
+                )
+            )
+
+        start = F.struct(F.lit(-1).alias("until"), none.alias("out"))
+        return F.aggregate(ms, start, step, lambda acc: acc["out"])
+
+    def ranges(ms):
+        start = F.struct(F.lit(None).cast(_MARK).alias("open"), none.alias("out"))
+        walked = F.aggregate(ms, start, walk)
+        return let(
+            walked,
+            lambda w: F.when(w["open"].isNull(), w["out"]).otherwise(
+                F.concat(
+                    w["out"], let(F.filter(ms, lambda m: m["at"] > w["open"]["at"]), search)
+                )
+            ),
+        )
 
+    return F.coalesce(let(marks, ranges), none)
 
-def _in_fence(at: Column, fences: Column) -> Column:
-    return F.exists(fences, lambda r: (r["first"] <= at) & (at <= r["last"]))
+
+def outside_fences(positions: Column, lines: Column) -> Column:
+    """Those of the 0-based line numbers that lie in no fenced block."""
+    fenced = F.flatten(F.transform(fence_ranges(lines), lambda r: F.sequence(r["first"], r["last"])))
+    return F.array_except(positions, fenced)
 
 
 def _title_key(title: Column) -> Column:
@@ -85,21 +113,19 @@ def clean_section_name(name: Column) -> Column:
     return strip(F.regexp_replace(name, r"\A#+", ""))
 
 
-def _heading_rows(lines: Column) -> Column:
-    return F.filter(
-        F.transform(
-            lines,
-            lambda line, i: F.struct(
-                i.alias("at"),
-                F.length(F.regexp_extract(line, r"^(#+)", 1)).alias("level"),
-                line.rlike(r"(?U)^#+(\s|$)").alias("spaced"),
-                _title_key(F.regexp_extract(line, r"(?s)^#+(.*)$", 1)).alias("title"),
-            ),
-        ),
-        lambda h: h["level"] > 0,
+def _heading(line: Column, at: Column) -> Column:
+    return F.struct(
+        at.alias("at"),
+        F.length(F.regexp_extract(line, r"^(#+)", 1)).alias("level"),
+        line.rlike(r"(?U)^#+(\s|$)").alias("spaced"),
+        _title_key(F.regexp_extract(line, r"(?s)^#+(.*)$", 1)).alias("title"),
     )
 
 
+def _heading_rows(lines: Column) -> Column:
+    return F.filter(F.transform(lines, _heading), lambda h: h["level"] > 0)
+
+
 def section_ranges(lines: Column, name: Column, fence_aware: bool = False) -> Column:
     """Every section with this heading as (first, last, level): 0-based, ``last`` excluded.
 
@@ -107,12 +133,10 @@ def section_ranges(lines: Column, name: Column, fence_aware: bool = False) -> Co
     """
     wanted = _title_key(clean_section_name(name))
 
-    def ranges(heads, fences):
+    def ranges(heads, ends):
         def stops(m):
             later = F.filter(
-                heads,
-                lambda h: (h["at"] > m["at"]) & (h["level"] <= m["level"]) & h["spaced"]
-                & (F.lit(True) if fences is None else ~_in_fence(h["at"], fences)),
+                ends, lambda h: (h["at"] > m["at"]) & (h["level"] <= m["level"]) & h["spaced"]
             )
             return F.coalesce(F.try_element_at(later, F.lit(1))["at"], F.size(lines))
 
@@ -123,12 +147,16 @@ def section_ranges(lines: Column, name: Column, fence_aware: bool = False) -> Co
             ),
         )
 
-    if fence_aware:
-        return let(
-            F.struct(_heading_rows(lines).alias("h"), fence_ranges(lines).alias("f")),
-            lambda s: ranges(s["h"], s["f"]),
-        )
-    return let(_heading_rows(lines), lambda heads: ranges(heads, None))
+    def open_heads(heads):
+        free = outside_fences(F.transform(heads, lambda h: h["at"]), lines)
+        return F.transform(free, lambda at: _heading(F.get(lines, at), at))
+
+    return let(
+        _heading_rows(lines),
+        lambda heads: let(open_heads(heads), lambda ends: ranges(heads, ends))
+        if fence_aware
+        else ranges(heads, heads),
+    )
 
 
 def _span(lines: Column, r: Column) -> Column:
