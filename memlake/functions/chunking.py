@@ -22,7 +22,6 @@ OVERLAP = 0.15
 LOOKBACK = 40
 
 CHUNKS = "array<struct<section:string,start_line:int,end_line:int,text:string>>"
-_WINDOWS = "array<struct<line:int,end_line:int,text:string>>"
 
 
 def overlap_chunks(
@@ -41,9 +40,13 @@ def overlap_chunks(
     # Cutting a string costs its whole length, so windows are taken from two pages of it.
     page = 2 * max_chars
 
+    def view(pages, pos):
+        """At most one window of text from a position on."""
+        first = (pos / page).cast("int")
+        two = F.concat(F.get(pages, first), F.coalesce(F.get(pages, first + 1), F.lit("")))
+        return F.substring(two, pos - first * page + 1, F.lit(max_chars))
+
     def step(pages, size, acc):
-        first = (acc["pos"] / page).cast("int")
-        view = F.concat(F.get(pages, first), F.coalesce(F.get(pages, first + 1), F.lit("")))
         left = size - acc["pos"]
 
         def window(raw):
@@ -54,52 +57,52 @@ def overlap_chunks(
                 ),
             )
             n = F.when(left <= max_chars, left).otherwise(F.lit(max_chars) - back)
-            return let(n, lambda n: keep(raw, n))
+            return let(n, lambda n: emit(F.substring(raw, F.lit(1), n), n))
 
-        def keep(raw, n):
+        def emit(body, n):
             move = F.greatest(n - F.lit(shared), F.lit(1))
-            return let(F.substring(raw, F.lit(1), n), lambda body: emit(body, n, move))
-
-        def emit(body, n, move):
-            found = F.struct(
-                acc["line"].alias("line"),
-                (acc["line"] + newline_count(body)).alias("end_line"),
-                body.alias("text"),
-            )
+            end_line = acc["line"] + newline_count(body)
             return F.struct(
                 (acc["pos"] + move).alias("pos"),
                 (acc["line"] + newline_count(F.substring(body, F.lit(1), move))).alias("line"),
                 (acc["pos"] + n >= size).alias("done"),
-                F.concat(acc["out"], F.array(found)).alias("out"),
+                F.concat(acc["out"], F.array(acc["pos"], n, acc["line"], end_line)).alias("out"),
             )
 
-        raw = let(view, lambda v: F.substring(v, acc["pos"] - first * page + 1, F.lit(max_chars)))
-        return F.when(acc["done"], acc).otherwise(let(raw, window))
+        return F.when(acc["done"], acc).otherwise(let(view(pages, acc["pos"]), window))
 
     start = F.struct(
         F.lit(0).alias("pos"),
         F.lit(1).alias("line"),
         F.lit(False).alias("done"),
-        F.array().cast(_WINDOWS).alias("out"),
+        F.array().cast("array<int>").alias("out"),
     )
     pages = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{page}}}"), 0)
-    windows = let(
-        F.struct(pages.alias("pages"), size.alias("size")),
-        lambda doc: F.aggregate(
+
+    def walk(doc):
+        """Four numbers per window: position, length, first and last line. Plain numbers copy fast."""
+        return F.aggregate(
             F.sequence(F.lit(1), steps),
             start,
             lambda acc, _: step(doc["pages"], doc["size"], acc),
             lambda acc: acc["out"],
-        ),
-    )
-    many = F.transform(
-        windows,
-        lambda w, i: F.struct(
-            F.concat(F.lit("chunk_"), (i + 1).cast("string")).alias("section"),
-            w["line"].alias("start_line"),
-            w["end_line"].alias("end_line"),
-            w["text"].alias("text"),
-        ),
+        )
+
+    def chunks(doc, cells):
+        def chunk(i):
+            cell = lambda j: F.get(cells, i * 4 + j)
+            return F.struct(
+                F.concat(F.lit("chunk_"), (i + 1).cast("string")).alias("section"),
+                cell(2).alias("start_line"),
+                cell(3).alias("end_line"),
+                F.substring(view(doc["pages"], cell(0)), F.lit(1), cell(1)).alias("text"),
+            )
+
+        return F.transform(F.sequence(F.lit(0), (F.size(cells) / 4).cast("int") - 1), chunk)
+
+    many = let(
+        F.struct(pages.alias("pages"), size.alias("size")),
+        lambda doc: let(walk(doc), lambda cells: chunks(doc, cells)),
     )
     one = F.array(
         F.struct(
