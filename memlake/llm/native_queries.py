@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlake.llm import decontamination, licenses, line_quality, mixing
+from memlake.llm import decontamination, licenses, line_quality, mixing, surrogates
 from memlake.llm.base import query, read
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -180,3 +180,10 @@ def op2_license_scan(spark, sf_dir):
     """Licences that every document states."""
     found = licenses.scan_licenses(read(spark, sf_dir, "documents"))
     return found.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licenses", "unmatched")])
+
+
+@query("op3_surrogates")
+def op3_surrogates(spark, sf_dir):
+    """Every text with its personal data replaced by surrogates."""
+    found = surrogates.replace_entities(read(spark, sf_dir, "documents"))
+    return found.withColumn("kinds", F.array_join("kinds", ","))
