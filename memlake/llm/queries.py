@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memlake.llm import native_queries  # noqa: F401
+from memlake.llm import model_queries, native_queries  # noqa: F401
 from memlake.llm.base import ORACLES, QUERIES
 
 
