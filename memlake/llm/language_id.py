@@ -130,16 +130,22 @@ def learn(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     """
     rows = narrow(docs, doc_id=id, text=text, lang=lang)
     labelled = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    languages = sorted(counts, key=lambda name: (-counts[name], name))
+    code = {name: k for k, name in enumerate(languages)}
+    # A little more than the sample passes the first test, so that little is ranked.
+    chance = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 31) - 1)) / F.lit(float(1 << 31))
+    near = F.lit(False)
+    for name, n in counts.items():
+        near |= (F.col("lang") == name) & (chance < 1.3 * sample_docs / n)
+    order = Window.partitionBy("lang").orderBy("_chance", "doc_id")
     chosen = (
-        labelled.select("doc_id", "lang").withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= sample_docs).drop("_n").dropDuplicates(["doc_id"])
+        labelled.where(near).select("doc_id", "lang", chance.alias("_chance"))
+        .withColumn("_n", F.row_number().over(order))
+        .where(F.col("_n") <= sample_docs).select("doc_id", "lang").dropDuplicates(["doc_id"])
     )
     picked = rows.drop("lang").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     picked = picked.dropDuplicates(["doc_id"]).select("lang", "text")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    languages = sorted(counts, key=lambda name: (-counts[name], name))
-    code = {name: k for k, name in enumerate(languages)}
 
     def grams(batches):
         for batch in batches:

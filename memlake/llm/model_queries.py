@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlake.llm import language_id
+from memlake.llm import language_id, sharding
 from memlake.llm.base import query, read
 
 
@@ -15,3 +15,13 @@ def op8_language_id(spark, sf_dir):
     held_out = F.coalesce(language_id.fold(F.col("doc_id"), 4) == 2, F.lit(False))
     model = language_id.learn(docs.where(~held_out))
     return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op1_pack_shards")
+def op1_pack_shards(spark, sf_dir):
+    """All documents in 24 shards of nearly equal bytes, equal texts together."""
+    packed = sharding.shard(read(spark, sf_dir, "documents"), 24)
+    return packed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
