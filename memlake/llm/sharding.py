@@ -115,7 +115,12 @@ def balanced(sizes: np.ndarray, ties: np.ndarray, shards: int) -> np.ndarray:
     """Best-fit-decreasing into the given number of bins at the least capacity that the search finds."""
     if not len(sizes):
         return np.empty(0, np.int64)
-    low = max(-(-int(sizes.sum()) // shards), 1)
+    # Units above an even share have their own bins; the others share the rest.
+    down = np.sort(sizes)[::-1]
+    own = 0
+    while own < min(shards - 1, len(down)) and down[own] * (shards - own) > down[own:].sum():
+        own += 1
+    low = max(-(-int(down[own:].sum()) // (shards - own)), 1)
     high = max(low, int(sizes.max())) * 2
     best = None
     while low < high or best is None:
@@ -134,7 +139,7 @@ def balanced(sizes: np.ndarray, ties: np.ndarray, shards: int) -> np.ndarray:
 
 def _packed(units: DataFrame, capacity: int, cells: int) -> DataFrame:
     """Pack units (unit, size) inside hashed cells into crates: unit, crate."""
-    def pack(key, part: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         order = part.sort_values("unit", kind="stable").reset_index(drop=True)
         bins = best_fit_decreasing(order["size"].to_numpy(), np.arange(len(order)), capacity)
         return pd.DataFrame({"unit": order["unit"], "size": order["size"], "crate": bins * cells + key[0]})
