@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlake.llm import language_id, sharding
+from memlake.llm import language_id, near_dedup, sharding
 from memlake.llm.base import query, read
 
 
@@ -25,3 +25,30 @@ def op1_pack_shards(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+spans AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM words WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s FROM spans),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT u, v FROM pairs JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v
+  WHERE 100 * both >= 85 * (x.n + y.n - both)),
+reach AS (SELECT doc_id AS node, doc_id AS at FROM words UNION SELECT node, v FROM reach JOIN links ON u = at),
+least AS (SELECT node, min(at) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM words LEFT JOIN sizes USING (doc_id) JOIN least ON node = doc_id"""
+
+
+@query("op5_near_duplicates", NEAR_SQL)
+def op5_near_duplicates(spark, sf_dir):
+    """The group of near copies that every document belongs to."""
+    found = near_dedup.similar_components(read(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -14,8 +14,8 @@ from memlake.session import cut_lineage
 OVERHEAD = 8
 #: Units that one task packs, about.
 UNITS_PER_TASK = 8_192
-#: Crates that the first level makes for every shard, at least.
-CRATES_PER_SHARD = 64
+#: Crates that a level makes for every shard, if one task can hold them all.
+CRATES_PER_SHARD = 256
 #: A group with a larger share of all rows is looked up by broadcast: there are fewer of them than its inverse.
 HEAVY_SHARE = 1 / 4096
 
@@ -164,7 +164,8 @@ def assign_groups(groups: DataFrame, shards: int, units_per_task: int = UNITS_PE
     while n > units_per_task:
         cells = -(-n // units_per_task)
         # As many crates as leave the next level a tenth of the units, but enough to fill the shards evenly.
-        crates = max(n // 10 if n > 10 * units_per_task else 0, shards * CRATES_PER_SHARD, 2 * cells)
+        fine = max(min(shards * CRATES_PER_SHARD, units_per_task // 2), 2 * shards, 2 * cells)
+        crates = max(n // 10 if n > 10 * units_per_task else 0, fine)
         packed = cut_lineage(_packed(level, max(1, -(-(total["s"] or 0) // crates)), cells))
         chain.append(packed.select("unit", "crate"))
         level = packed.groupBy(F.col("crate").alias("unit")).agg(F.sum("size").alias("size"))
