@@ -36,15 +36,15 @@ spans AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p F
 shingles AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s FROM spans),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 pairs AS (
-  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k
   FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
 links AS (
   SELECT u, v FROM pairs JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v
-  WHERE 100 * both >= 85 * (x.n + y.n - both)),
-reach AS (SELECT doc_id AS node, doc_id AS at FROM words UNION SELECT node, v FROM reach JOIN links ON u = at),
-least AS (SELECT node, min(at) AS component_id FROM reach GROUP BY node)
+  WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS node, doc_id AS other FROM words UNION SELECT node, v FROM reach JOIN links ON u = other),
+first AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
-FROM words LEFT JOIN sizes USING (doc_id) JOIN least ON node = doc_id"""
+FROM words LEFT JOIN sizes USING (doc_id) JOIN first ON node = doc_id"""
 
 
 @query("op5_near_duplicates", NEAR_SQL)

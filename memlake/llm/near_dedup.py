@@ -23,8 +23,8 @@ BANDS, ROWS = 24, 5
 SKETCH_BITS = 512
 #: A pair goes to the full comparison if its estimate is within this many deviations of the threshold.
 DEVIATIONS = 5.5
-#: Members of an open bucket that are compared block by block.
-BLOCK = 1_024
+#: Shingles of an open bucket that one block holds.
+BLOCK_ITEMS = 1 << 20
 #: Partners of one representative that one task compares.
 STAR = 512
 MAX_ROUNDS = 100
@@ -121,9 +121,16 @@ def _sketched(batches):
 
 
 def _full_sets(batches):
+    """The sets whose digest begins as asked: another row of the same id may hold another text."""
     for batch in batches:
-        items = [s.tobytes() for _, s in _sets(batch.column("text"))]
-        yield pa.record_batch([batch.column("rep"), pa.array(items, pa.binary())], names=["rep", "items"])
+        asked = batch.column("a").to_numpy(zero_copy_only=False).view(np.uint64)
+        rep, items = [], []
+        for row, some in _sets(batch.column("text")):
+            if np.add.reduce(some, dtype=np.uint64) == asked[row]:
+                rep.append(batch.column("rep")[row])
+                items.append(some.tobytes())
+        yield pa.record_batch(
+            [pa.array(rep, pa.int64()), pa.array(items, pa.binary())], names=["rep", "items"])
 
 
 def connect(links: DataFrame) -> DataFrame:
@@ -173,9 +180,9 @@ def _similar_sizes(n: Column, m: Column, threshold: float) -> Column:
     return F.least(n, m) >= F.lit(threshold - 1e-9) * F.greatest(n, m)
 
 
-def _sifted(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def _sifted(pairs: DataFrame, sides: DataFrame, threshold: float) -> DataFrame:
     """Pairs (u, v) whose sizes and sketches allow a link."""
-    side = lambda c: reps.select(
+    side = lambda c: sides.select(
         F.col("rep").alias(c), F.col("n_shingles").alias("_n" + c), F.col("sketch").alias("_s" + c))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     near = _similar_sizes(F.col("_nu"), F.col("_nv"), threshold) & (_differing("_su", "_sv") <= _cut(threshold))
@@ -195,16 +202,21 @@ def _intersections(batches):
             names=["u", "v", "both", "sizes"])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _sets_of(wanted: DataFrame, sides: DataFrame, texts: DataFrame) -> DataFrame:
+    """Full shingle sets of the wanted representatives only: rep, items (sorted 64-bit hashes as bytes)."""
+    wanted = cut_lineage(wanted.join(sides.select("rep", "a"), "rep"))
+    picked = texts.join(broadcast_if_small(wanted), "rep").select("rep", "text", "a")
+    return cut_lineage(picked.mapInArrow(_full_sets, "rep long, items binary").dropDuplicates(["rep"]))
+
+
+def _confirmed(pairs: DataFrame, sides: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose full sets are similar enough. ``texts``: rep and text.
 
     Only the sets of documents in a pair are made. A document in many pairs is copied once for every few
     hundred of them, so its pairs are compared by many tasks.
     """
     pairs = cut_lineage(pairs)
-    wanted = pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct()
-    picked = texts.join(broadcast_if_small(wanted), "rep", "left_semi")
-    sets = cut_lineage(picked.mapInArrow(_full_sets, "rep long, items binary"))
+    sets = _sets_of(pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct(), sides, texts)
     copies = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("_copies"))
     part = F.pmod(F.xxhash64("v"), F.col("_copies")).cast("int")
     dealt = pairs.join(copies, "u").select("u", "v", part.alias("_part"))
@@ -220,27 +232,68 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFram
         F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("sizes") - F.col("both"))).select("u", "v"))
 
 
-def _open_pairs(threshold: float):
-    """All pairs of an open bucket's blocks that lie in different components and may be linked."""
-    cut = _cut(threshold)
+def _sides(key: tuple, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the two blocks that this group compares; a block with itself is there once."""
+    side = part["_side"].to_numpy()
+    return np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2])
+
+
+def _able(r: int, other: np.ndarray, rep, comp, n, sketches, threshold: float) -> np.ndarray:
+    """Which of ``other`` may be linked with member ``r`` and are in another component."""
+    near = np.minimum(n[other], n[r]) >= (threshold - 1e-9) * np.maximum(n[other], n[r])
+    at = other[(comp[other] != comp[r]) & near & (rep[other] != rep[r])]
+    bits = np.bitwise_count(sketches[at] ^ sketches[r]).sum(axis=1)
+    return at[bits <= _cut(threshold)]
 
-    def pairs(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        first = part[part["_side"] == key[1]] if key[1] != key[2] else part
-        second = part[part["_side"] == key[2]] if key[1] != key[2] else part
-        sketches = np.stack(second["sketch"].to_numpy()).view(np.uint64)
-        n, comp, rep = (second[c].to_numpy() for c in ("n_shingles", "comp", "rep"))
-        found = []
-        for r, c, m, s in zip(first["rep"], first["comp"], first["n_shingles"], first["sketch"], strict=True):
-            able = (comp != c) & (np.minimum(n, m) >= (threshold - 1e-9) * np.maximum(n, m))
-            if key[1] == key[2]:
-                able &= rep > r
-            at = np.flatnonzero(able)
-            if len(at):
-                bits = np.bitwise_count(sketches[at] ^ np.asarray(s).view(np.uint64)).sum(axis=1)
-                found += [(min(r, v), max(r, v)) for v in rep[at[bits <= cut]]]
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return pairs
+def _involved(threshold: float):
+    """Members of a pair of blocks that may be linked with some member of another component."""
+    def find(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        first, second = _sides(key, part)
+        rep, comp, n = (part[c].to_numpy() for c in ("rep", "comp", "n_shingles"))
+        sketches = np.stack(part["sketch"].to_numpy()).view(np.uint64)
+        hit = np.zeros(len(part), bool)
+        for r in first:
+            at = _able(r, second, rep, comp, n, sketches, threshold)
+            hit[at] = True
+            hit[r] |= len(at) > 0
+        return part.loc[hit, ["bucket", "_i", "_j", "_side", "rep", "comp", "n_shingles", "sketch"]]
+
+    return find
+
+
+def _joining(threshold: float):
+    """Links between members of a pair of blocks, as many as join their components and no more."""
+    percent = round(threshold * 100)
+
+    def find(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("rep", kind="stable").reset_index(drop=True)
+        first, second = _sides(key, part)
+        rep, n = part["rep"].to_numpy(), part["n_shingles"].to_numpy()
+        comp = part["comp"].to_numpy().copy()
+        sketches = np.stack(part["sketch"].to_numpy()).view(np.uint64)
+        _, items = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in part["items"]]), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(n)])
+        mark = np.zeros(items.max() + 1, bool)
+        links = []
+        for r in first:
+            at = _able(r, second, rep, comp, n, sketches, threshold)
+            if not len(at):
+                continue
+            own = items[starts[r] : starts[r + 1]]
+            mark[own] = True
+            # The items of all partners in one row, and how many of each are the member's own.
+            ends = np.cumsum(n[at])
+            places = np.arange(ends[-1]) + np.repeat(starts[at] - (ends - n[at]), n[at])
+            both = np.add.reduceat(mark[items[places]].astype(np.int64), ends - n[at])
+            mark[own] = False
+            for v in at[100 * both >= percent * (n[at] + n[r] - both)]:
+                if comp[v] != comp[r]:
+                    links.append((min(rep[r], rep[v]), max(rep[r], rep[v])))
+                    comp[comp == comp[v]] = comp[r]
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+    return find
 
 
 def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
@@ -257,12 +310,13 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     3. Odd sketches, the parity bitmaps of the samples, tell by XOR and a bit count which pairs can be
        similar enough; their full sets decide. Links give components.
     4. A bucket may still hold members of different components, which were only compared with the smallest.
-       They are compared with each other by sketch, in blocks, and what passes by full sets, so no link
-       between components is lost.
+       They are compared with each other, in blocks of bounded size: by sketch first, and those that may be
+       linked across components by full sets. Only links that join components are kept, so none is lost
+       and a group gives no more links than it has members.
 
     Documents without words or with a null text have an empty set and are linked with nothing. Fewer than
-    five words are one shingle. Rows that share an id are one document if their sets are equal; otherwise
-    each keeps its set and they are not linked by the id. Null ids come back with a null component. Empty
+    five words are one shingle. Of rows that share an id but not their sets, the largest set is linked; the
+    others are only linked with equal sets. Null ids come back with a null component. Empty
     tables give no rows; other columns are ignored.
     """
     rows = narrow(docs, doc_id=id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -273,37 +327,44 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
         sketched.where("n_shingles > 0").groupBy(*digest)
         .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
-    reps = cut_lineage(classes)
+    # An id with several sets takes part with one of them.
+    whole = F.struct(*digest, "bands", "sketch")
+    reps = cut_lineage(classes.groupBy("rep").agg(F.max_by(whole, F.struct(*digest)).alias("_c")).select("rep", "_c.*"))
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("u"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     shared = cut_lineage(shared)
     members = cut_lineage(
         buckets.join(shared, "bucket").where("rep <> u").select("bucket", "u", F.col("rep").alias("v"), "_n"))
-    sides = reps.select("rep", "n_shingles", "sketch")
+    sides = reps.select("rep", "n_shingles", "a", "sketch")
     texts = known.select(F.col("doc_id").alias("rep"), "text")
-    first = _confirmed(_sifted(members.select("u", "v").distinct(), sides, threshold), texts, threshold)
+    first = _confirmed(_sifted(members.select("u", "v").distinct(), sides, threshold), sides, texts, threshold)
     comps = connect(first)
     # What is left of a bucket without its smallest member is open if it spans components.
     placed = members.where("_n > 2").select("bucket", F.col("v").alias("rep")).join(
         comps.withColumnRenamed("node", "rep"), "rep", "left"
-    ).select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
+    ).join(sides.select("rep", "n_shingles"), "rep").select(
+        "bucket", "rep", F.coalesce("comp", "rep").alias("comp"), "n_shingles")
     placed = cut_lineage(placed)
     still = placed.groupBy("bucket").agg(
-        F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count(F.lit(1)).alias("_m")).where("_a <> _b")
-    blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
+        F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.sum("n_shingles").alias("_items")).where("_a <> _b")
+    still = still.select("bucket", F.ceil(F.col("_items") / BLOCK_ITEMS).cast("int").alias("_blocks"))
     side = F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int")
-    opened = (
-        placed.join(still.select("bucket", blocks.alias("_blocks")), "bucket").join(sides, "rep")
+    blocks = (
+        placed.join(still, "bucket").join(sides.select("rep", "sketch"), "rep")
         .withColumn("_side", side)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .withColumn("_i", F.least("_side", "_other")).withColumn("_j", F.greatest("_side", "_other"))
+        .select("bucket", "_i", "_j", "_side", "rep", "comp", "n_shingles", "sketch")
     )
-    more = opened.groupBy("bucket", "_i", "_j").applyInPandas(_open_pairs(threshold), "u long, v long").distinct()
-    more = cut_lineage(more)
-    if not more.isEmpty():
-        comps = connect(first.union(_confirmed(more, texts, threshold)))
+    cell = ["bucket", "_i", "_j"]
+    involved = cut_lineage(blocks.groupBy(*cell).applyInPandas(_involved(threshold), blocks.schema))
+    if not involved.isEmpty():
+        sets = _sets_of(involved.select("rep").distinct(), sides, texts)
+        links = involved.join(sets, "rep").groupBy(*cell).applyInPandas(_joining(threshold), "u long, v long")
+        comps = connect(first.union(links.distinct()))
     final = comps.withColumnRenamed("node", "rep")
-    named = reps.select(*digest, "rep").join(final, "rep", "left").select(
+    smallest = sketched.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep"))
+    named = smallest.join(final, "rep", "left").select(
         *[F.col(c).alias("_" + c) for c in digest], F.coalesce("comp", "rep").alias("comp"))
     same = functools.reduce(lambda x, y: x & y, [F.col(c) == F.col("_" + c) for c in digest])
     found = sketched.select("doc_id", *digest).join(named, same, "left").select(
