@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlake.llm import language_id, near_dedup, sharding
+from memlake.llm import html_main, language_id, near_dedup, sharding
 from memlake.llm.base import query, read
 
 
@@ -52,3 +52,10 @@ def op5_near_duplicates(spark, sf_dir):
     """The group of near copies that every document belongs to."""
     found = near_dedup.similar_components(read(spark, sf_dir, "documents"))
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@query("op6_main_text")
+def op6_main_text(spark, sf_dir):
+    """The article of every page."""
+    found = html_main.main_text(read(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
