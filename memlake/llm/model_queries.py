@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlake.llm import html_main, language_id, near_dedup, sharding
+from memlake.llm import class_lm, html_main, language_id, near_dedup, sharding
 from memlake.llm.base import query, read
 
 
@@ -59,3 +59,15 @@ def op6_main_text(spark, sf_dir):
     """The article of every page."""
     found = html_main.main_text(read(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op4_class_lm")
+def op4_class_lm(spark, sf_dir):
+    """Log10 probability of every text under a class bigram model of six sevenths of them."""
+    docs = read(spark, sf_dir, "documents")
+    away = class_lm.held_out(F.col("doc_id"))
+    model, counts = class_lm.train(docs.where(~away).select("text"))
+    return class_lm.score_texts(docs, model, counts).select(
+        "doc_id", away.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score",
+    )

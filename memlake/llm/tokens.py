@@ -13,15 +13,21 @@ import pyarrow as pa
 CHUNK = 1 << 19
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint32)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 @dataclass
 class Words:
-    """Hashes of the words of rows ``first`` to ``first + len(bounds) - 2``; row i has bounds[i]:bounds[i+1]."""
+    """Hashes of the words of rows ``first`` to ``first + len(bounds) - 2``; row i has bounds[i]:bounds[i+1].
+
+    ``tails``: the last three bytes of each word.
+    """
 
     first: int
     bounds: np.ndarray
     hashes: np.ndarray
+    tails: np.ndarray
 
     def rows(self) -> Iterator[tuple[int, np.ndarray]]:
         for i in range(len(self.bounds) - 1):
@@ -52,8 +58,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return of_byte, np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
 
 
-def _hash_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of each word; a word ends at white space and at the positions in ``cuts``."""
+def _hash_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, tail and first byte of each word; a word ends at white space and at the positions in ``cuts``."""
     of_byte, powers, inverse = _tables()
     space = _SPACES[data]
     before, after = np.ones(len(data), bool), np.ones(len(data), bool)
@@ -67,7 +73,10 @@ def _hash_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(of_byte[data] * powers[: len(data)], out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
-    return mix(hashes), starts
+    tails = _LOWER[data[ends - 1]]
+    for k in (2, 3):
+        tails = tails * np.uint32(256) + np.where(ends - k >= starts, _LOWER[data[np.maximum(ends - k, 0)]], np.uint32(0))
+    return mix(hashes), tails, starts
 
 
 def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
@@ -93,15 +102,15 @@ def words_of(texts: pa.Array) -> Iterator[Words]:
     while at < len(texts):
         upto = int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1
         if upto <= at:
-            parts = [_hash_words(p, np.empty(0, np.int64))[0] for p in _pieces(data[offsets[at] : offsets[at + 1]])]
-            hashes = np.concatenate(parts)
-            yield Words(at, np.array([0, len(hashes)]), hashes)
+            parts = [_hash_words(p, np.empty(0, np.int64)) for p in _pieces(data[offsets[at] : offsets[at + 1]])]
+            hashes, tails = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+            yield Words(at, np.array([0, len(hashes)]), hashes, tails)
             at += 1
             continue
         upto = min(upto, len(texts))
         cuts = offsets[at : upto + 1] - offsets[at]
-        hashes, starts = _hash_words(data[offsets[at] : offsets[upto]], cuts)
-        yield Words(at, np.searchsorted(starts, cuts), hashes)
+        hashes, tails, starts = _hash_words(data[offsets[at] : offsets[upto]], cuts)
+        yield Words(at, np.searchsorted(starts, cuts), hashes, tails)
         at = upto
 
 
