@@ -54,6 +54,14 @@ def no_items(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def merged(mask: Column, copies: str, df: DataFrame) -> DataFrame:
-    """Rows repeated ``copies`` times, without that column."""
-    return df.withColumn("_again", F.explode(F.sequence(F.lit(1), mask))).drop("_again", copies)
+def packed(df: DataFrame) -> DataFrame:
+    """All columns in one, ``row``, so that no name of theirs meets a name of the operator."""
+    return df.select(F.struct(*[as_key(c).alias(c) for c in df.columns]).alias("row"))
+
+
+def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:
+    return df.select([F.col("row").getField(c).alias(c) for c in like.columns])
+
+
+def field(name: str) -> Column:
+    return F.col("row").getField(name)

@@ -181,7 +181,8 @@ def best_class(own: int, before: np.ndarray, after: np.ndarray, selfs: float, ma
     rest[:, own] -= before
     rest[own, :] -= after
     rest[own, own] -= selfs
-    into, out = rest.sum(0), rest.sum(1)
+    # The other classes' totals hold their pairs with the unit, wherever it goes.
+    into, out = rest.sum(0) + after, rest.sum(1) + before
     p, f = np.flatnonzero(before), np.flatnonzero(after)
     gain = (_xlogx(rest[p] + before[p, None]) - _xlogx(rest[p])).sum(0)
     gain += (_xlogx(rest[:, f] + after[f]) - _xlogx(rest[:, f])).sum(1)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.base import ascii_lower, narrow, no_items
+from memlake.llm.base import ascii_lower, field, narrow, no_items, packed, unpacked
 from memlake.operators.skew import broadcast_if_small
 from memlake.session import cut_lineage
 
@@ -116,8 +116,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id
     bad = cut_lineage(
         found.select(F.col("doc_id").alias("_bad_id"), F.col("fingerprint").alias("_bad_print")).distinct()
     )
-    same = docs[f"`{id}`"].eqNullSafe(F.col("_bad_id")) & (fingerprint(docs[f"`{text}`"]) == F.col("_bad_print"))
-    return docs.join(broadcast_if_small(bad), same, "left_anti")
+    same = field(id).eqNullSafe(F.col("_bad_id")) & (fingerprint(field(text)) == F.col("_bad_print"))
+    return unpacked(packed(docs).join(broadcast_if_small(bad), same, "left_anti"), docs)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text",

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.base import as_key, narrow
+from memlake.llm.base import field, narrow, packed, unpacked
 from memlake.llm.tokens import mix
 
 UNKNOWN = "und"
@@ -208,9 +208,9 @@ def identify(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "tex
 def keep_known(docs: DataFrame, model: Model, text: str = "text", least_coverage: float = LEAST_COVERAGE) -> DataFrame:
     """``docs`` without the rows in no learned language; all columns stay as they are."""
     predict = predictor(docs.sparkSession, model)
-    verdict = predict(as_key(text))
-    known = (verdict["lang"] != UNKNOWN) & (verdict["coverage"] >= least_coverage)
-    return docs.where(known)
+    judged = packed(docs).withColumn("_verdict", predict(field(text)))
+    known = (F.col("_verdict")["lang"] != UNKNOWN) & (F.col("_verdict")["coverage"] >= least_coverage)
+    return unpacked(judged.where(known), docs)
 
 
 def fold(id: Column, folds: int) -> Column:

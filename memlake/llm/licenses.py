@@ -11,7 +11,10 @@ SPACE = r"[\x20\x09-\x0D]"
 BREAK = "\x01"
 
 #: A text without any of these holds no sentence of the table below.
-STEMS = r"(?i)licen[cs]|copyright|warrant|redistribution|rights reserved|public domain|neither the name|permission"
+STEMS = (
+    r"(?i)licen[cs]|copyright|warrant|redistribution|rights reserved|public domain|neither the name|permission|"
+    r"cc[ -]by|cc0|creative commons|in no event shall|software is provided|mpl was"
+)
 
 # Licence sentences in normal form (lower case, words of letters and digits), as whole-sentence patterns.
 _V = r"(?: as published by the free software foundation)?"

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.exprs import col
-from memlake.llm.base import narrow
+from memlake.llm.base import field, narrow, packed, unpacked
+from memlake.operators.skew import broadcast_if_small
 from memlake.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,23 +63,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return levels.select("source", "source_size", F.round(target, 6).alias("target"))
 
 
-def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source",
-        weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST,
-        seed: str = "mix") -> DataFrame:
-    """How often each document is taken so that every source meets its budget of words.
-
-    Returns doc_id, size, source, source_size, target, taken and copies, one row per input row. A source's
-    documents lie on a line in the order of their random keys. The mix walks this line from its start,
-    through it again in the next epoch if the budget is larger, and stops at the exact word; ``taken`` are
-    a document's words on that way and ``copies`` the times the walk enters it.
-
-    The line is cut into cells by the leading digits of the key, so a source of any share of the rows is
-    spread over thousands of cells: sums inside the cells, then sums over the cells before.
-
-    Null text: no words, never entered. Null source: a source of its own. Null ids share one key. Ties and
-    repeated rows follow each other in order of size; equal rows are interchangeable. Empty tables give
-    no rows. Other columns are ignored.
-    """
+def _placed(docs: DataFrame, id: str, text: str, source: str, weights: Sequence[float], share: float,
+            most: float, seed: str) -> DataFrame:
+    """Every row with its place on its source's line: _key, _begin, _epochs (whole rounds) and _part (words
+    taken in the round after them)."""
     sized = narrow(docs, doc_id=id, source=source, _text=text).select(
         "doc_id", "source", word_count("_text").alias("size"), random_key("doc_id", seed).alias("_key")
     )
@@ -98,26 +86,62 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
         .withColumnsRenamed({"source": "_s", "_cell": "_c"})
     )
     inside = (
-        Window.partitionBy("source", "_cell")
-        .orderBy("_key", "doc_id", "size")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    placed = (
-        sized.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")))
-        .withColumn("_begin", F.col("_start") + F.col("_before"))
+        Window.partitionBy("source", "_cell").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
     )
     budget = F.floor(F.col("target") + F.lit(1e-6)).cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
-    left = F.col("_budget") - F.col("_epochs") * F.col("source_size") - F.col("_begin")
-    part = F.greatest(F.lit(0), F.least(left, F.col("size")))
+    left = budget - F.col("_epochs") * F.col("source_size") - F.col("_begin")
     return (
-        placed.withColumn("_budget", budget)
+        sized.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        .join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")))
+        .withColumn("_begin", F.col("_start") + F.col("_before"))
         .withColumn("_epochs", whole.cast("long"))
-        .select(
-            "doc_id", "size", "source", "source_size", "target",
-            (F.col("_epochs") * F.col("size") + part).cast("long").alias("taken"),
-            F.when(F.col("size") > 0, F.col("_epochs") + (part > 0).cast("long"))
-            .otherwise(F.lit(0)).cast("long").alias("copies"),
-        )
+        .withColumn("_part", F.greatest(F.lit(0), F.least(left, F.col("size"))).cast("long"))
+    )
+
+
+def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source",
+        weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST,
+        seed: str = "mix") -> DataFrame:
+    """How many words of each document are taken so that every source meets its budget.
+
+    Returns doc_id, size, source, source_size, target and taken, one row per input row. A source's documents
+    lie on a line in the order of their random keys. The mix walks this line from its start, through it again
+    in the next epoch if the budget is larger, and stops at the exact word; ``taken`` are a document's words
+    on that way.
+
+    The line is cut into cells by the leading digits of the key, so a source of any share of the rows is
+    spread over thousands of cells: sums inside the cells, then sums over the cells before.
+
+    Null text: no words, none taken. Null source: a source of its own. Null ids share one key. Ties and
+    repeated rows follow each other in order of size; equal rows are interchangeable. Empty tables give
+    no rows. Other columns are ignored.
+    """
+    return _placed(docs, id, text, source, weights, share, most, seed).select(
+        "doc_id", "size", "source", "source_size", "target",
+        (F.col("_epochs") * F.col("size") + F.col("_part")).alias("taken"),
+    )
+
+
+def mixed_rows(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source",
+               weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST,
+               seed: str = "mix") -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as the walk enters it, all columns as they are.
+
+    The row in which a source's walk ends comes whole; equal rows at that place all come. A row's number
+    follows from its source's cut, a few values for each source, so the texts stay where they are. Rows
+    without words go.
+    """
+    placed = _placed(docs, id, text, source, weights, share, most, seed)
+    cuts = cut_lineage(placed.groupBy(F.col("source").alias("_of")).agg(
+        F.max("_epochs").alias("_epochs"),
+        F.max(F.when(F.col("_part") > 0, F.struct("_key", "size"))).alias("_cut")))
+    here = F.struct(random_key(field(id), seed).alias("_key"), word_count(field(text)).alias("size"))
+    times = F.when(here["size"] > 0, F.col("_epochs") + F.coalesce(here <= F.col("_cut"), F.lit(False)).cast("long"))
+    rows = (
+        packed(docs).join(broadcast_if_small(cuts), field(source).eqNullSafe(F.col("_of")))
+        .withColumn("_times", F.coalesce(times, F.lit(0)))
+        .where("_times > 0")
+        .withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     )
+    return unpacked(rows, docs)

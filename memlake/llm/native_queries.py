@@ -31,7 +31,7 @@ rest AS (SELECT arg_min(level, row(cap / w, source IS NULL, source)) AS rest FRO
 targets AS (SELECT source, s, round(least(cap, w * rest), 6) AS target FROM levels, rest),
 line AS (
   SELECT d.doc_id, d.size, t.s, t.target, floor(t.target + 1e-6)::BIGINT AS budget,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, s AS source_size, target,

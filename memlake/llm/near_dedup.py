@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.base import as_key, narrow
+from memlake.llm.base import field, narrow, packed, unpacked
 from memlake.llm.tokens import mix, shingles, words_of
 from memlake.operators.skew import broadcast_if_small
 from memlake.session import cut_lineage
@@ -382,4 +382,5 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold:
     found = similar_components(docs, id, text, threshold)
     kept = found.groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("_kept"))
     drop = cut_lineage(kept.where(~F.col("_kept")).select(F.col("doc_id").alias("_drop")))
-    return docs.join(broadcast_if_small(drop), as_key(id).cast("long") == F.col("_drop"), "left_anti")
+    rest = packed(docs).join(broadcast_if_small(drop), field(id).cast("long") == F.col("_drop"), "left_anti")
+    return unpacked(rest, docs)
