@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memlake.functions.exprs import let
 from memlake.llm.base import ascii_lower, field, narrow, no_items, packed, unpacked
 from memlake.operators.skew import broadcast_if_small
 from memlake.session import cut_lineage
@@ -55,10 +56,9 @@ def _window_hash(hashes: Column) -> Column:
 def _hashes(long: int) -> Column:
     """The hash of every window of ``long`` words."""
     last = F.size("_hashes") - long
-    at = F.transform(
+    at = let(F.col("_hashes"), lambda some: F.transform(
         F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1),
-        lambda i: _window_hash(F.slice(F.col("_hashes"), i, F.lit(long))),
-    )
+        lambda i: _window_hash(F.slice(some, i, F.lit(long)))))
     return F.when(last >= 0, at).otherwise(no_items("bigint"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.base import field, narrow, packed, unpacked
 from memlake.llm.tokens import mix
+from memlake.session import cut_lineage
 
 UNKNOWN = "und"
 #: Labelled documents of each language that the filter learns from, at most.
@@ -139,11 +141,13 @@ def learn(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     for name, n in counts.items():
         near |= (F.col("lang") == name) & (chance < 1.3 * sample_docs / n)
     order = Window.partitionBy("lang").orderBy("_chance", "doc_id")
-    chosen = (
+    chosen = cut_lineage(
         labelled.where(near).select("doc_id", "lang", chance.alias("_chance"))
         .withColumn("_n", F.row_number().over(order))
         .where(F.col("_n") <= sample_docs).select("doc_id", "lang").dropDuplicates(["doc_id"])
     )
+    sampled = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
+    least = F.array(*[F.lit(math.ceil(sampled.get(name, 0) * least_share)) for name in languages] or [F.lit(0)])
     picked = rows.drop("lang").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     picked = picked.dropDuplicates(["doc_id"]).select("lang", "text")
 
@@ -152,16 +156,12 @@ def learn(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
             for name, value in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 parts = [np.unique(_grams([t for t, _ in g])[0]) for g in _pieces([value])]
                 some = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
-                yield pa.record_batch([
-                    pa.array(np.full(len(some) + 1, code[name], np.int32)),
-                    pa.array(np.append(some.view(np.int64), 0)),
-                    pa.array(np.append(np.zeros(len(some), bool), True)),
-                ], names=["lang", "gram", "doc"])
-
-    seen = picked.mapInArrow(grams, "lang int, gram long, doc boolean").groupBy("lang", "gram", "doc").count()
-    sampled = F.max(F.when(F.col("doc"), F.col("count"))).over(Window.partitionBy("lang"))
-    held = seen.withColumn("_docs", sampled).where(
-        ~F.col("doc") & (F.col("count") >= F.ceil(F.col("_docs") * F.lit(least_share))))
+                yield pa.record_batch(
+                    [pa.array(np.full(len(some), code[name], np.int32)), pa.array(some.view(np.int64))],
+                    names=["lang", "gram"])
+
+    seen = picked.mapInArrow(grams, "lang int, gram long").groupBy("lang", "gram").count()
+    held = seen.where(F.col("count") >= F.get(least, F.col("lang")))
     shift = SLOT_BITS
     slots = F.array(*[
         F.shiftrightunsigned("gram", shift * k).bitwiseAND(F.lit((1 << shift) - 1)) for k in range(HASHES)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memlake.functions.exprs import let
 from memlake.llm.base import narrow, no_items
 from memlake.llm.mixing import WORD, word_count
 
@@ -49,11 +50,31 @@ def _fails(line: Column) -> Column:
     return rules[1] | rules[2] | rules[0]
 
 
-def with_words(text: str) -> Column:
+def _lines(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     return F.coalesce(lines, no_items("string"))
 
 
+def _repeated(words: Column) -> Column:
+    """How many words lie in a run of three that comes twice or more.
+
+    Equal runs lie side by side once they are sorted. Each step is bound to a variable, so a filter on the
+    result may be evaluated anywhere without computing a step again for each element.
+    """
+    def runs(h):
+        return F.when(F.size(h) >= 3, F.sort_array(F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(h) - 3, F.lit(0))),
+            lambda i: F.struct(F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).alias("h"), i.alias("at")),
+        ))).otherwise(no_items("struct<h:bigint,at:int>"))
+
+    def inside(r):
+        again = F.filter(r, lambda x, i: (F.get(r, i - 1)["h"] == x["h"]) | (F.get(r, i + 1)["h"] == x["h"]))
+        return F.size(F.array_distinct(F.flatten(F.transform(
+            again, lambda x: F.array(x["at"], x["at"] + 1, x["at"] + 2)))))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(runs(h), inside))
+
+
 def clean_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
                 least_kept: float = LEAST_KEPT) -> DataFrame:
     """Judge every document by its lines.
@@ -68,38 +89,22 @@ def clean_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
     other columns are ignored; ids and repeated rows don't matter.
     """
     rows = narrow(docs, doc_id=id, text=text)
-    split = rows.select(
+    words = F.coalesce(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), no_items("string"))
+    judged = rows.select(
         "doc_id", "text",
-        F.coalesce(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), no_items("string")).alias("_words"),
-        with_words("text").alias("_lines"),
-    )
-    hashed = split.select(
-        "doc_id", "text", "_lines",
-        F.transform("_words", lambda w: F.xxhash64(w)).alias("_h"),
-        F.filter("_lines", lambda x: ~_fails(x)).alias("_good"),
+        let(words, lambda w: F.struct(F.size(w).alias("n"), _repeated(w).alias("again"))).alias("_w"),
+        let(_lines(F.col("text")), lambda x: F.struct(
+            (F.size(x) - F.size(F.array_distinct(x))).alias("again"),
+            F.array_join(F.filter(x, lambda line: ~_fails(line)), "\n").alias("good"))).alias("_l"),
     )
-    # Equal runs of three lie side by side after sorting.
-    runs = F.when(
-        F.size("_h") >= 3,
-        F.sort_array(F.transform(
-            F.sequence(F.lit(0), F.size("_h") - 3),
-            lambda i: F.struct(F.xxhash64(F.get("_h", i), F.get("_h", i + 1), F.get("_h", i + 2)).alias("h"),
-                               i.alias("at")),
-        )),
-    ).otherwise(no_items("struct<h:bigint,at:int>"))
-    sorted_runs = hashed.select("*", runs.alias("_runs"))
-    again = F.filter("_runs", lambda x, i: (
-        (F.get("_runs", i - 1)["h"] == x["h"]) | (F.get("_runs", i + 1)["h"] == x["h"])))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(
-        again, lambda x: F.array(x["at"], x["at"] + 1, x["at"] + 2)))))
-    counted = sorted_runs.select(
+    counted = judged.select(
         "doc_id", "text",
-        F.size("_h").cast("long").alias("n_words"),
+        F.col("_w")["n"].cast("long").alias("n_words"),
         F.coalesce(F.char_length(F.translate("text", SPACES, "")), F.lit(0)).cast("long").alias("word_chars"),
         F.coalesce(F.regexp_count("text", F.lit(SYMBOL)), F.lit(0)).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"),
-        F.array_join("_good", "\n").alias("cleaned"),
+        F.col("_l")["again"].cast("long").alias("n_dup_lines"),
+        F.col("_w")["again"].cast("long").alias("n_repeat_words"),
+        F.col("_l")["good"].alias("cleaned"),
     ).withColumn("n_kept_words", word_count("cleaned"))
     failed = (F.col("n_words") < LEAST_WORDS) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(MOST_REPEATED) * F.col("n_words"))

@@ -347,10 +347,10 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     placed = cut_lineage(placed)
     still = placed.groupBy("bucket").agg(
         F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.sum("n_shingles").alias("_items")).where("_a <> _b")
-    still = still.select("bucket", F.ceil(F.col("_items") / BLOCK_ITEMS).cast("int").alias("_blocks"))
+    still = cut_lineage(still.select("bucket", F.ceil(F.col("_items") / BLOCK_ITEMS).cast("int").alias("_blocks")))
     side = F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int")
     blocks = (
-        placed.join(still, "bucket").join(sides.select("rep", "sketch"), "rep")
+        placed.join(broadcast_if_small(still), "bucket").join(sides.select("rep", "sketch"), "rep")
         .withColumn("_side", side)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .withColumn("_i", F.least("_side", "_other")).withColumn("_j", F.greatest("_side", "_other"))

@@ -320,7 +320,8 @@ def replace_entities(docs: DataFrame, id: str = "doc_id", text: str = "text", se
             let(normal_form(part["kind"], part["value"]), known))
 
     new = split.withColumn("_new", F.transform("_parts", lambda some: F.array_join(F.transform(some, replaced), "")))
-    joined = F.array_join(F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.get("_new", i), F.lit("")))), "")
+    joined = let(F.col("_new"), lambda some: F.array_join(
+        F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.get(some, i), F.lit("")))), ""))
     kinds = F.array_sort(F.array_distinct(F.filter(
         F.transform(F.flatten("_parts"), lambda p: p["kind"]), lambda k: k.isNotNull())))
     return new.select(
