@@ -168,7 +168,7 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- hashed vectors in SQL -------------------------------------------------------------------
 
-def hashed_sql(source: str, key: str, text: str, cap: int | None = 2000, dim: int = 64) -> str:
+def hashed_sql(source: str, key: str, text: str, cap: int | None = None, dim: int = 64) -> str:
     """SQL for the unit-length hashed word vectors of a text: key, vector (FLOAT list)."""
     body = f"substr({text}, 1, {cap})" if cap else text
     return f"""

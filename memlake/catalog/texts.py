@@ -133,7 +133,7 @@ hit AS (SELECT qid, 'doc/' || doc_id AS path, CAST(ln AS INTEGER) AS line, md5(t
 SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY qid ORDER BY path, line) <= 100""")
 def grep_lines(spark, sf_dir):
     docs, queries = _grep_inputs(spark, sf_dir)
-    found = reading.grep(docs, queries)
+    found = reading.grep(docs, queries, cap=reading.GREP_CAP)
     return found.select("qid", "path", "line", F.md5("content").alias("content"))
 
 
@@ -146,6 +146,17 @@ def grep_large(spark, sf_dir):
     return reading.grep(docs, queries, cap=None, max_patterns=0).select("qid", "path", "line")
 
 
+@query("grep_all", f"""
+WITH q AS (SELECT item_id * 1000 + n AS qid, lower(p) AS p FROM (SELECT item_id, unnest(ps) AS p, unnest(range(len(ps))) AS n FROM (SELECT item_id, string_split(text, chr(10)) AS ps FROM benchmark) x) y), {_GREP_LINES}
+SELECT qid, 'doc/' || doc_id AS path, CAST(ln AS INTEGER) AS line FROM line, q WHERE p <> '' AND contains(lower(l), p)""")
+def grep_all(spark, sf_dir):
+    """Every line of every benchmark text, in all documents, all hits."""
+    docs, _ = _grep_inputs(spark, sf_dir)
+    lines = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "query"))
+    asked = lines.select((F.col("item_id") * 1000 + F.col("n")).alias("qid"), "query")
+    return reading.grep(docs, asked).select("qid", "path", "line")
+
+
 def _grep_inputs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", spread=True).select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content")

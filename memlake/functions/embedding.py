@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 
 from memlake.functions.exprs import col, collapse_spaces, is_blank
 
-TEXT_CAP = 2000
 Encoder = Callable[[Column], Column]
 
 
-def prepare(text: Column | str, cap: int | None = TEXT_CAP) -> Column:
+def prepare(text: Column | str, cap: int | None = None) -> Column:
     """One line, lower case; blank text gives null. ``cap`` cuts the text before that."""
     text = col(text)
     cut = text if cap is None else F.substring(text, 1, cap)
@@ -73,8 +72,8 @@ def encoder(name: str = "hashed64") -> Encoder:
 
 def embed(
     df: DataFrame, text: str, out: str = "vector", encode: Encoder | str = "hashed64",
-    cap: int | None = TEXT_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
-    """Add a vector column; blank text gives a null vector."""
+    """Add a vector column of the whole text; blank text gives a null vector. An encoder of bounded input may set ``cap``."""
     make = encoder(encode) if isinstance(encode, str) else encode
     return df.withColumn(out, make(prepare(text, cap)))

@@ -70,8 +70,8 @@ def transition_reason(old: Column | str, new: Column | str, allowed: Column | st
 def check_transitions(
     moves: DataFrame, table: DataFrame, old: str = "old_status", new: str = "new_status"
 ) -> DataFrame:
-    """Moves with a ``reason``. The table holds one row per status, so it is always broadcast."""
-    known = F.broadcast(table.select(F.col("old_status").alias("_from"), "allowed"))
+    """Moves with a ``reason``. The table holds one row per status."""
+    known = table.select(F.col("old_status").alias("_from"), "allowed")
     return (
         moves.join(known, F.lower(F.col(old)) == F.col("_from"), "left")
         .withColumn("reason", transition_reason(old, new, "allowed"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions import rules
-from memlake.functions.exprs import strip
+from memlake.functions.exprs import is_blank, strip
 from memlake.operators.skew import broadcast_if_small, salted_join, split_rank
 
 SUMMARY = ("key", "title", "status", "priority", "project")
@@ -87,6 +87,10 @@ def add_tasks(
     A row that fails its own rules does not claim its title.
     """
     trimmed = new
+    if dict(new.dtypes).get("blocked_by") == "string":
+        # One blocker may be given as a plain string.
+        one = F.when(~is_blank(F.col("blocked_by")), F.array(strip(F.col("blocked_by"))))
+        trimmed = new.withColumn("blocked_by", F.coalesce(one, F.array().cast("array<string>")))
     for c in ("title", "problem", "solution"):
         trimmed = trimmed.withColumn(c, strip(F.col(c)))
     filled = trimmed.withColumn("status", F.coalesce("status", F.lit("open"))).withColumn(
@@ -168,11 +172,12 @@ def update_tasks(
 ) -> tuple[DataFrame, DataFrame]:
     """(new backlog, report per patch). Supplied fields win; id, key and project never change.
 
-    A status change needs its resolution; pass a transitions table to check the move as well. At
-    most one patch per key is expected.
+    A status change needs its resolution; pass a transitions table to check the move as well. Several
+    patches of one key contradict each other and are all refused.
     """
     fields = [c for c in patches.columns if c not in PROTECTED and c in tasks.columns and c != "updated"]
-    given = patches.select("key", *[F.col(c).alias(f"_new_{c}") for c in fields])
+    several = patches.groupBy("key").agg((F.count(F.lit(1)) > 1).alias("_several"))
+    given = patches.select("key", *[F.col(c).alias(f"_new_{c}") for c in fields]).join(several, "key", "left")
     known = tasks.select("key", F.col("status").alias("_old"), F.lit(True).alias("_known"))
     state = given.join(known, "key", "left")
     none = F.lit(None).cast("string")
@@ -180,6 +185,7 @@ def update_tasks(
     note = F.col("_new_resolution") if "resolution" in fields else none
     reasons = [
         F.when(F.col("_known").isNull(), F.concat(F.lit("Task '"), F.col("key"), F.lit("' not found"))),
+        F.when(F.col("_several"), F.concat(F.lit("Several patches for task '"), F.col("key"), F.lit("'"))),
         rules.resolution_reason("_old", new_status, note),
     ]
     if transitions is not None:

@@ -77,15 +77,18 @@ def rename_paths(
     """(index with old paths replaced, renames that had no rows and need indexing anew).
 
     ``renames`` has old_path and new_path. Rows that were at a new path
-    before give way.
+    before give way. Of several new paths for one old path the first in order is taken; the others
+    come back for indexing.
     """
-    moves = broadcast_if_small(renames.select("old_path", "new_path").distinct())
+    taken = renames.groupBy("old_path").agg(F.min("new_path").alias("new_path"))
+    moves = broadcast_if_small(taken)
     on_old = F.col(path) == F.col("old_path")
     moved = index.join(moves, on_old).withColumn(path, F.col("new_path")).select(*index.columns)
     vacated = moves.select(F.explode(F.array("old_path", "new_path")).alias(path)).distinct()
     staying = index.join(vacated, path, "left_anti").select(*index.columns)
     known = index.select(F.col(path).alias("old_path")).distinct()
-    fallback = renames.join(known, "old_path", "left_anti").select("old_path", "new_path")
+    done = taken.join(known, "old_path", "left_semi")
+    fallback = renames.select("old_path", "new_path").join(done, ["old_path", "new_path"], "left_anti")
     return staying.unionByName(moved), fallback
 
 

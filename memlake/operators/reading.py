@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from memlake.functions import markdown
 from memlake.functions.exprs import let, raw_lines, split_lines, strip
 from memlake.functions.paths import hidden
 from memlake.operators.skew import fits_broadcast, salted_join, top_k_per_key
 
-try:
-    import ahocorasick
-except ImportError:  # the array plan does the same, pattern by pattern
-    ahocorasick = None
-
-# Largest text read in one piece, default page, most grep rows.
+# Largest text read in one piece, default page, usual most of grep rows.
 MAX_FULL_BYTES = 1024 * 1024
 PAGE_CHARS = 10_000
 GREP_CAP = 100
@@ -175,54 +164,6 @@ def _grep_small(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return hits.select(F.col("_hit")["q"].alias("_qid"), "path", (F.col("line") + 1).alias("line"), "text")
 
 
-def _grep_automaton(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """All patterns in one automaton, shared with the tasks; every document is read through once."""
-    rows = [(r["_qid"], r["_pattern"]) for r in patterns.collect()]
-    by_text: dict[str, list] = {}
-    for q, p in rows:
-        if "\n" not in p:
-            by_text.setdefault(p, []).append(q)
-    shared = docs.sparkSession.sparkContext.broadcast(by_text)
-
-    def run(batches):
-        machine = ahocorasick.Automaton()
-        for p, ids in shared.value.items():
-            machine.add_word(p, ids)
-        machine.make_automaton()
-        for batch in batches:
-            out = [], [], [], []
-            if len(machine):
-                paths, texts, lows = (batch.column(i).to_pylist() for i in range(3))
-                for path, text, low in zip(paths, texts, lows):
-                    for q, line, shown in _line_hits(machine, text, low):
-                        for column, value in zip(out, (q, path, line, shown)):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, type=f.type) for v, f in zip(out, arrow)], schema=arrow
-            )
-
-    schema = T.StructType(
-        [
-            patterns.schema["_qid"], T.StructField("path", T.StringType()),
-            T.StructField("line", T.IntegerType()), T.StructField("text", T.StringType()),
-        ]
-    )
-    arrow = to_arrow_schema(schema)
-    return docs.select("path", "content", F.lower("content").alias("_low")).mapInArrow(run, schema)
-
-
-def _line_hits(machine, text: str, low: str) -> Iterator[tuple]:
-    """(query, 1-based line, line text), each query once per line."""
-    found = list(machine.iter(low))
-    if not found:
-        return
-    ends = [i for i, c in enumerate(low) if c == "\n"]
-    lines = text.split("\n")
-    seen = {(q, bisect_left(ends, at)) for at, ids in found for q in ids}
-    for q, i in seen:
-        yield q, i + 1, lines[i]
-
-
 def _grep_large(docs: DataFrame, patterns: DataFrame, widest: int = 8) -> DataFrame:
     """Join lines and patterns on short pieces, then test the whole pattern.
 
@@ -258,22 +199,19 @@ def _grep_large(docs: DataFrame, patterns: DataFrame, widest: int = 8) -> DataFr
 
 
 def grep(
-    docs: DataFrame, queries: DataFrame, cap: int | None = GREP_CAP, *, qid: str = "qid",
-    query: str = "query", max_bytes: int | None = MAX_FULL_BYTES, max_patterns: int = 5000,
+    docs: DataFrame, queries: DataFrame, cap: int | None = None, *, qid: str = "qid",
+    query: str = "query", max_bytes: int | None = None, max_patterns: int = 5000,
 ) -> DataFrame:
     """Case-insensitive substring search: qid, path, line, content (trimmed).
 
-    Hidden documents and ones over ``max_bytes`` are not searched. ``cap`` keeps the first rows per
-    query in path and line order; None keeps all.
+    Hidden documents are not searched; all others are, whatever their size. A caller may set ``max_bytes``
+    to leave larger documents out, and ``cap`` to keep the first rows per query in path and line order.
     """
     seen = docs.where(~hidden("path"))
     if max_bytes is not None:
         seen = seen.where(F.octet_length("content") <= max_bytes)
     patterns = _patterns(queries, qid, query)
-    if not fits_broadcast(patterns, max_rows=max_patterns):
-        plan = _grep_large
-    else:
-        plan = _grep_small if ahocorasick is None else _grep_automaton
+    plan = _grep_small if fits_broadcast(patterns, max_rows=max_patterns) else _grep_large
     found = plan(seen.where(F.col("content").isNotNull()), patterns)
     rows = found.select(F.col("_qid").alias(qid), "path", "line", strip(F.col("text")).alias("content"))
     return rows if cap is None else top_k_per_key(rows, [qid], ["path", "line"], cap).drop("rank")

@@ -29,8 +29,9 @@ def version_name(path: Column | str, ts: Column | str) -> Column:
 
 
 def versions(hist: DataFrame, path: str = "path") -> DataFrame:
-    """Every version of every document, newest first: rank 1 is the latest."""
-    ranked = split_rank(hist, [path], "version_ts", descending=True, name="rank")
+    """Every version of every document, newest first: rank 1 is the latest. At one time, the later text leads."""
+    ranked = split_rank(
+        hist, [path], "version_ts", ties=[F.desc("content")], descending=True, name="rank")
     return ranked.select(
         path, "rank", version_name(path, "version_ts").alias("name"), "version_ts",
         F.octet_length("content").alias("size"),
@@ -39,7 +40,7 @@ def versions(hist: DataFrame, path: str = "path") -> DataFrame:
 
 def latest_versions(hist: DataFrame, path: str = "path") -> DataFrame:
     """The newest version per document, found by a maximum that is combined before the shuffle."""
-    newest = hist.groupBy(path).agg(F.max_by(F.struct("version_ts", "content"), "version_ts").alias("v"))
+    newest = hist.groupBy(path).agg(F.max(F.struct("version_ts", "content")).alias("v"))
     return newest.select(path, "v.version_ts", "v.content")
 
 
@@ -58,11 +59,12 @@ def restore(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, history, report). The content replaced is first kept as a new version.
 
-    ``requests`` names one (path, version_ts) per document; an unknown version changes nothing.
+    ``requests`` names one (path, version_ts) per document; of several the newest counts. An unknown
+    version changes nothing.
     """
-    chosen = requests.select("path", "version_ts").join(
-        hist.select("path", "version_ts", F.col("content").alias("_old")), ["path", "version_ts"], "left"
-    )
+    wanted = requests.groupBy("path").agg(F.max("version_ts").alias("version_ts"))
+    old = hist.groupBy("path", "version_ts").agg(F.max("content").alias("_old"))
+    chosen = wanted.join(old, ["path", "version_ts"], "left")
     error = F.when(F.col("_old").isNull(), F.concat(F.lit("Version not found for "), F.col("path")))
     report = chosen.select("path", "version_ts", error.alias("error"))
     found = chosen.where(F.col("_old").isNotNull()).select("path", "_old")
@@ -139,13 +141,13 @@ def role_transitions(history: DataFrame, project: str = "project") -> DataFrame:
     is logged when either version names no role or the old one says nothing useful.
     """
     facts = history.select(
-        project, "version_ts",
+        project, "version_ts", "content",
         next_agent_role("content").alias("role"),
         current_task("content").alias("task"),
         handover("content").alias("note"),
         (F.coalesce("content", F.lit("")) == "").alias("empty"),
     )
-    pairs = split_lag(facts, [project], "version_ts", ["role", "task", "note", "empty"])
+    pairs = split_lag(facts, [project], "version_ts", ["role", "task", "note", "empty"], ties=["content"])
     useful = F.col("prev_task").isNotNull() | ~F.col("prev_note")["fallback"]
     moved = pairs.where(
         ~F.col("prev_empty") & F.col("role").isNotNull() & F.col("prev_role").isNotNull()
@@ -166,7 +168,7 @@ def role_transitions(history: DataFrame, project: str = "project") -> DataFrame:
 
 def check_prepend_only(history: DataFrame, path: str = "path") -> DataFrame:
     """Per version: whether all earlier text is still there, below what was added."""
-    pairs = split_lag(history, [path], "version_ts", ["content"])
+    pairs = split_lag(history, [path], "version_ts", ["content"], ties=["content"])
     valid = F.col("prev_content").isNull() | F.endswith(F.col("content"), F.col("prev_content"))
     return pairs.select(path, "version_ts", valid.alias("valid"))
 

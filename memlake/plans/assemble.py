@@ -138,7 +138,8 @@ def assemble_parts(
     """Every step of every build as text: project, build, step, part, file, error.
 
     ``manifests`` has one row per step (STEP_FIELDS); ``docs`` has project, path, content. Steps of
-    one build stay separate rows, so a build of any size is written by many tasks.
+    one build stay separate rows, so a build of any size is written by many tasks. A step whose action is
+    neither built in nor registered comes back with an error.
     """
     steps = _steps(manifests).withColumn("_from", F.coalesce("source_project", "project"))
     text = docs.select(F.col("project").alias("_from"), "path", F.col("content").alias("_text"))
@@ -146,7 +147,8 @@ def assemble_parts(
         steps.where(F.col("action") == "include_artifact"), text, ["_from", "path"], "left",
         spread=["project", "build", "step"],
     )
-    own = steps.where(F.col("action") == "append_text").withColumn("_text", F.lit(None).cast("string"))
+    elsewhere = F.coalesce(F.col("action").isin("include_artifact", *ACTIONS), F.lit(False))
+    own = steps.where(~elsewhere).withColumn("_text", F.lit(None).cast("string"))
     rows = joined.unionByName(own, allowMissingColumns=True)
     mode = F.coalesce("mode", F.lit("full"))
     body = F.col("_text")
@@ -168,7 +170,9 @@ def assemble_parts(
     )
     include = F.col("action") == "include_artifact"
     error = (
-        F.when(include & (F.coalesce("path", F.lit("")) == ""), "Action 'include_artifact' requires 'path'")
+        F.when(~F.coalesce(F.col("action").isin("include_artifact", "append_text"), F.lit(False)),
+               F.concat(F.lit("Unknown pipeline action: '"), F.coalesce("action", F.lit("")), F.lit("'")))
+        .when(include & (F.coalesce("path", F.lit("")) == ""), "Action 'include_artifact' requires 'path'")
         .when(include & body.isNull(), F.concat(F.lit("File not found: "), F.col("path")))
         .when(include & (mode == "regex") & F.col("regex").isNull(), "Mode 'regex' requires 'regex' pattern")
         .when(

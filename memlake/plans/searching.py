@@ -10,7 +10,7 @@ from memlake.functions.text import snippet
 from memlake.operators.code import code_prefilter
 from memlake.operators.index import fill_section
 from memlake.operators.knn import knn_join
-from memlake.operators.reading import GREP_CAP, MAX_FULL_BYTES, grep
+from memlake.operators.reading import GREP_CAP, grep
 from memlake.operators.retrieval import CHUNK_KEY, CHUNK_ROW, bm25, hydrate, rrf
 from memlake.operators.skew import salted_join, top_k_per_key
 from memlake.session import cut_lineage
@@ -74,7 +74,7 @@ def cascade(
         F.coalesce("content", F.lit("[Semantic vector match in file] (Read file for details)")).alias("content"),
         "distance",
     )
-    lines = grep(docs, queries, cap, max_bytes=MAX_FULL_BYTES).select(
+    lines = grep(docs, queries, cap).select(
         "qid", F.lit(1).alias("lane"), F.lit(0).alias("nth"), "path", "line", "content",
         F.lit(None).cast("double").alias("distance"),
     )
