@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memlake.functions import markdown
 from memlake.functions.exprs import let, raw_lines, split_lines, strip
 from memlake.functions.paths import hidden
-from memlake.operators.skew import fits_broadcast, salted_join, top_k_per_key
+from memlake.operators.skew import asked_for, fits_broadcast, salted_join, top_k_per_key
 
 # Largest text read in one piece, default page, usual most of grep rows.
 MAX_FULL_BYTES = 1024 * 1024
@@ -19,7 +19,7 @@ GREP_CAP = 100
 def read_lines(requests: DataFrame, docs: DataFrame, *, rid: str = "rid") -> DataFrame:
     """Lines start_line..end_line of a document per request, or the reason why not."""
     text = docs.select("path", F.col("content").alias("_text"), F.lit(True).alias("_known"))
-    joined = salted_join(requests, text, ["path"], "left", spread=[rid])
+    joined = salted_join(requests, asked_for(text, requests, ["path"]), ["path"], "left", spread=[rid])
     bad = (F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line"))
     error = (
         F.when(bad, "start_line must be >= 1 and end_line must be >= start_line.")
@@ -99,7 +99,7 @@ def read_docs(requests: DataFrame, docs: DataFrame, *, rid: str = "rid") -> Data
         given = F.coalesce(F.col(name), value) if name in requests.columns else value
         full = full.withColumn(name, given)
     text = docs.select("path", F.col("content").alias("_text"), F.lit(True).alias("_known"))
-    joined = salted_join(full, text, ["path"], "left", spread=[rid])
+    joined = salted_join(full, asked_for(text, requests, ["path"]), ["path"], "left", spread=[rid])
     mode, body, skip = F.col("mode"), F.col("_text"), F.col("skip_chars")
     numbers, tail = F.col("line_numbers"), F.col("direction") == "end"
     found = markdown.section(body, F.col("section_name"))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from memlake.functions.exprs import col, join_lines, split_lines
 from memlake.functions.paths import ancestors
 from memlake.operators.knn import block_masks, pick_smallest, keep_best
-from memlake.operators.skew import fits_broadcast, salted_join, top_k_per_key
+from memlake.operators.skew import asked_for, fits_broadcast, salted_join, top_k_per_key
 from memlake.session import cut_lineage
 
 CHUNK_KEY = ("path", "start_line", "end_line")
@@ -41,9 +41,9 @@ def document_frequency(
 ) -> DataFrame:
     """Rows per term, optionally for the terms of ``only``; combined before the shuffle."""
     terms = corpus.select(F.explode(F.array_distinct(search_terms(text))).alias("term"))
-    if only is not None:
-        terms = terms.join(only, "term", "left_semi")
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Counted first, so that a term in most rows is one row when it meets the others.
+    return counts if only is None else counts.join(only, "term", "left_semi")
 
 
 # Most weights (queries times their distinct terms) that are shared with the tasks, about 80 MB.
@@ -268,7 +268,7 @@ def hydrate(
     """
     hits = cut_lineage(hits)
     text = docs.select(F.col(path), F.col(content).alias("_text"), F.lit(True).alias("_known"))
-    found = salted_join(hits, text, [path], "left", spread=spread or hits.columns)
+    found = salted_join(hits, asked_for(text, hits, [path]), [path], "left", spread=spread or hits.columns)
     lines = F.slice(
         split_lines(F.col("_text")), F.col("start_line"),
         F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0)),

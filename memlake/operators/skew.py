@@ -33,6 +33,16 @@ def broadcast_if_small(df: DataFrame, **limits: int) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, **limits) else df
 
 
+def asked_for(df: DataFrame, requests: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose key some request names, before a join that would shuffle them all.
+
+    The distinct keys are measured and sent to the rows, so large values that nobody asks for stay where
+    they are. Beyond the bound the rows come back as they are, for the join to sort out.
+    """
+    wanted = requests.select(*on).distinct()
+    return df.join(F.broadcast(wanted), list(on), "left_semi") if fits_broadcast(wanted) else df
+
+
 def hot_keys(df: DataFrame, on: Sequence[str], n: int = HOT_KEYS) -> DataFrame:
     """The ``n`` most frequent keys. Any key left out has less than 1/n of the rows.
 

@@ -18,7 +18,7 @@ from memlake.functions.text import (
     skill_stub,
     template_variables,
 )
-from memlake.operators.skew import salted_join
+from memlake.operators.skew import asked_for, salted_join
 from memlake.plans.registry import ACTIONS
 
 # Well-known documents, default gate texts and the notice above a skill list.
@@ -143,8 +143,9 @@ def assemble_parts(
     """
     steps = _steps(manifests).withColumn("_from", F.coalesce("source_project", "project"))
     text = docs.select(F.col("project").alias("_from"), "path", F.col("content").alias("_text"))
+    including = steps.where(F.col("action") == "include_artifact")
     joined = salted_join(
-        steps.where(F.col("action") == "include_artifact"), text, ["_from", "path"], "left",
+        including, asked_for(text, including, ["_from", "path"]), ["_from", "path"], "left",
         spread=["project", "build", "step"],
     )
     elsewhere = F.coalesce(F.col("action").isin("include_artifact", *ACTIONS), F.lit(False))
@@ -260,7 +261,7 @@ def assemble(
 def resolve_version(sources: DataFrame, docs: DataFrame) -> DataFrame:
     """Build versions taken from a document: project, build, path, regex in; version, error out."""
     text = docs.select("project", "path", F.col("content").alias("_text"))
-    joined = sources.join(text, ["project", "path"], "left")
+    joined = sources.join(asked_for(text, sources, ["project", "path"]), ["project", "path"], "left")
     found = first_match(F.col("_text"), F.col("regex"))
     error = F.when(
         F.col("_text").isNull(), F.concat(F.lit("Source file for versioning not found: "), F.col("path"))
@@ -278,7 +279,8 @@ def assert_docs(checks: DataFrame, docs: DataFrame) -> DataFrame:
         if name not in checks.columns:
             checks = checks.withColumn(name, F.lit(None).cast(kind))
     text = docs.select("project", "path", F.col("content").alias("_text"), F.lit(True).alias("_known"))
-    joined = salted_join(checks, text, ["project", "path"], "left", spread=["check_id"])
+    asked = asked_for(text, checks, ["project", "path"])
+    joined = salted_join(checks, asked, ["project", "path"], "left", spread=["check_id"])
     named = F.coalesce("section_name", F.lit("")) != ""
     scoped = joined.withColumn(
         "_scope", F.when(named, markdown.section(F.col("_text"), F.col("section_name"))).otherwise(F.col("_text"))
@@ -330,7 +332,7 @@ def role_decisions(requests: DataFrame, profiles: DataFrame, docs: DataFrame) ->
     everything = state.where(F.col("adrs").isNull()).select("project", "role").join(index, "project")
     chosen = listed.unionByName(everything.select(*listed.columns))
     text = docs.select("project", "path", F.col("content").alias("_text"))
-    found = chosen.join(text, ["project", "path"], "left")
+    found = chosen.join(asked_for(text, chosen, ["project", "path"]), ["project", "path"], "left")
     return found.select(
         "project", "role", F.col("_at").alias("position"), "decision_id", "path",
         decision_summary("_text", "path").alias("summary"), F.col("_text").isNull().alias("missing"),
@@ -352,7 +354,7 @@ def role_skills(requests: DataFrame, profiles: DataFrame, docs: DataFrame) -> Da
         "project", "role", F.posexplode("playbooks").alias("_at", "path")
     )
     text = docs.select("project", "path", F.col("content").alias("_text"))
-    found = listed.join(text, ["project", "path"]).withColumn("_entry", skill_stub("_text", "path"))
+    found = listed.join(asked_for(text, listed, ["project", "path"]), ["project", "path"]).withColumn("_entry", skill_stub("_text", "path"))
     joined = _ordered_text(found, "_at", "_entry", "\n\n", "skills")
     return joined.withColumn("skills", F.concat(F.lit(SKILL_NOTICE + "\n\n"), F.col("skills")))
 

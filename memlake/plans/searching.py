@@ -12,7 +12,7 @@ from memlake.operators.index import fill_section
 from memlake.operators.knn import knn_join
 from memlake.operators.reading import GREP_CAP, grep
 from memlake.operators.retrieval import CHUNK_KEY, CHUNK_ROW, bm25, hydrate, rrf
-from memlake.operators.skew import salted_join, top_k_per_key
+from memlake.operators.skew import asked_for, salted_join, top_k_per_key
 from memlake.session import cut_lineage
 
 # Default numbers of results.
@@ -69,7 +69,7 @@ def cascade(
     """Per query the nearest documents with a snippet, then grep lines, ``cap`` rows in all."""
     near = cut_lineage(knn_join(_with_vectors(queries, encode), documents, n_documents, keys=["path"]))
     heads = docs.select("path", snippet("content").alias("content"))
-    semantic = salted_join(near, heads, ["path"], "left", spread=["qid", "rank"]).select(
+    semantic = salted_join(near, asked_for(heads, near, ["path"]), ["path"], "left", spread=["qid", "rank"]).select(
         "qid", F.lit(0).alias("lane"), F.col("rank").alias("nth"), "path", F.lit(1).alias("line"),
         F.coalesce("content", F.lit("[Semantic vector match in file] (Read file for details)")).alias("content"),
         "distance",

@@ -184,3 +184,14 @@ def test_project_map_reads_no_text(spark, sf_dir):
 def test_no_cross_join(spark, sf_dir, name):
     text = plan(catalog.queries()[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_texts_that_nobody_asks_for_stay_where_they_are(spark, sf_dir):
+    """The documents are sifted by a broadcast of the requested paths before anything is shuffled."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("concat('d/', doc_id) AS path", "text AS content")
+    asked = spark.createDataFrame([(1, "d/3", 1, 2), (2, "d/none", 1, 1)], "rid int, path string, start_line int, end_line int")
+    hits = asked.selectExpr("rid AS qid", "path", "start_line", "end_line")
+    for plan in (reading.read_lines(asked, docs), retrieval.hydrate(hits, docs)):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in text and "LeftSemi" in text and "CartesianProduct" not in text
+        assert plan.count() == 2
