@@ -117,8 +117,9 @@ def block_masks(block: _Block, corpus: pa.Table, opts: dict):
     groups = list(zip(*[corpus.column(b).to_pylist() for b in opts["by"]])) if block.groups else None
     codes: dict = {}
     if groups is not None:
-        row_code = np.array([codes.setdefault(g, len(codes)) for g in groups])
-        query_code = np.array([codes.get(g, -1) for g in block.groups])
+        # As in a join, a null equals nothing.
+        row_code = np.array([-2 if None in g else codes.setdefault(g, len(codes)) for g in groups])
+        query_code = np.array([-1 if None in g else codes.get(g, -1) for g in block.groups])
     seen: dict = {}
     if block.scopes is not None:
         paths = corpus.column(opts["path"]).to_pylist()

@@ -12,7 +12,6 @@ from memlake.functions.exprs import let
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_KEYS = 1000
 SALTS = 16
 
 
@@ -43,14 +42,16 @@ def asked_for(df: DataFrame, requests: DataFrame, on: Sequence[str]) -> DataFram
     return df.join(F.broadcast(wanted), list(on), "left_semi") if fits_broadcast(wanted) else df
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], n: int = HOT_KEYS) -> DataFrame:
-    """The ``n`` most frequent keys. Any key left out has less than 1/n of the rows.
+def hot_keys(df: DataFrame, on: Sequence[str], parts: int | None = None) -> DataFrame:
+    """Keys with more rows than an even share of a partition, and _n, the number of shares they fill.
 
-    Counts are combined on the map side before they are shuffled.
+    Fewer than ``parts`` keys can have that many rows. Counts are combined on the map side before they are
+    shuffled.
     """
-    return (
-        df.groupBy(*on).count().where("count > 1").orderBy(F.desc("count"), *on).limit(n).select(*on)
-    )
+    parts = parts or _parts(df)
+    counts = df.groupBy(*on).count()
+    share = counts.agg(F.greatest(F.sum("count") / parts, F.lit(1.0)).alias("s")).scalar()
+    return counts.where(F.col("count") > share).select(*on, F.ceil(F.col("count") / share).cast("int").alias("_n"))
 
 
 def salted_join(
@@ -64,31 +65,33 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join whose left side may have hot keys.
 
-    Left rows of the heaviest keys are spread over ``salts`` tasks by a hash of ``spread``;
-    only the matching right rows are copied that often. ``how`` must keep left rows at most:
-    inner, left, left_semi or left_anti.
+    A key with more than a partition's share of the left rows is spread over as many tasks as it fills
+    shares, by a hash of ``spread``; only the matching right rows are copied that often. Left rows with a
+    null key match nothing and are spread as well. ``how`` must keep left rows at most: inner, left,
+    left_semi or left_anti.
 
     Finding the heavy keys reads the left side once more, so a left side that is dear to compute is
-    written first (``cut_lineage``). Where the right side is small, ``find_hot`` off spreads all keys
-    without looking.
+    written first (``cut_lineage``). Where the right side is small, ``find_hot`` off spreads all keys over
+    ``salts`` tasks without looking.
     """
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot do a {how} join")
     on = list(on)
     spread = list(spread or left.columns)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread]), F.lit(salts)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in spread])
     if not find_hot:
+        every = F.sequence(F.lit(0), F.lit(salts - 1))
         copied = right.withColumn("_salt", F.explode(every))
+        salt = F.pmod(hashed, F.lit(salts)).cast("int")
         return left.withColumn("_salt", salt).join(copied, [*on, "_salt"], how).drop("_salt")
-    hot = F.broadcast(hot_keys(left, on).withColumn("_hot", F.lit(True)))
-    spread_left = (
-        left.join(hot, on, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
-    copies = F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))
-    copied_right = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    hot = F.broadcast(hot_keys(left, on))
+    lost = F.lit(False)
+    for c in on:
+        lost |= F.col(f"`{c}`").isNull()
+    shares = F.when(lost, F.lit(_parts(left))).otherwise(F.coalesce("_n", F.lit(1)))
+    spread_left = left.join(hot, on, "left").withColumn("_salt", F.pmod(hashed, shares).cast("int")).drop("_n")
+    copies = F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)
+    copied_right = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_n")
     return spread_left.join(copied_right, [*on, "_salt"], how).drop("_salt")
 
 

@@ -195,3 +195,18 @@ def test_texts_that_nobody_asks_for_stay_where_they_are(spark, sf_dir):
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in text and "LeftSemi" in text and "CartesianProduct" not in text
         assert plan.count() == 2
+
+
+def test_hot_keys_get_as_many_salts_as_they_fill_shares(spark):
+    df = spark.range(1000).selectExpr("IF(id < 600, 'most', IF(id < 700, NULL, concat('k', id))) AS key", "id")
+    assert rows(skew.hot_keys(df, ["key"], parts=10)) == [("most", 6)]
+    right = spark.createDataFrame([("most", 1), ("k900", 2), (None, 3)], "key string, w int")
+    got = skew.salted_join(df, right, ["key"], "left")
+    assert rows(got.groupBy("w").count().where("w IS NOT NULL")) == [(1, 600), (2, 1)] and got.count() == 1000
+
+
+def test_a_null_group_matches_nothing(spark):
+    corpus = spark.createDataFrame([("a", None, [1.0, 0.0]), ("b", "x", [0.0, 1.0])], "path string, g string, vector array<float>")
+    queries = spark.createDataFrame([(1, None, [1.0, 0.0]), (2, "x", [1.0, 0.0])], "qid int, g string, vector array<float>")
+    found = knn.knn_join(queries, corpus, 3, keys=["path"], by=["g"])
+    assert {(r.qid, r.path) for r in found.collect()} == {(2, "b")}
