@@ -51,6 +51,8 @@ OUT_NAMES = frozenset(
     "topbar pagination pager footer masthead toolbar paywall hidden copyright disclaimer rating ratings reviews "
     "tagcloud".split()
 )
+#: Names with one of these tell a state of the element, not its role.
+STATES = frozenset("open closed has no with without enabled disabled off on single".split())
 #: ``header`` goes unless it is the article's own.
 OWN_HEADER = frozenset("article entry post content story title".split())
 
@@ -84,7 +86,11 @@ def _out(tag: str, attrs: str) -> bool:
             if name == "role" and value.lower() in OUT_ROLES:
                 return True
             if name in ("class", "id"):
-                names.update(_SPLIT.split(_CAMEL.sub("-", value).lower()))
+                for one in value.split():
+                    parts = _SPLIT.split(_CAMEL.sub("-", one).lower())
+                    # An article may say that it has comments; only a name that says no more makes it one.
+                    if len(parts) == 1 or tag != "article" and not STATES & set(parts):
+                        names.update(parts)
     if tag in ("html", "body", "main"):
         return False
     if tag == "header" or "header" in names:

@@ -19,6 +19,7 @@ def text_of(page):
     ("<p>a<script>if (a < b) '</p>'</script>b</p><!-- c --><style>p{}</style>", "ab"),
     ("<ul><li>a<li>b</ul><table><tr><td>1<td>2</table>", "a b 1 2"),
     ("x < y & z &lt; &#233;&bogus; <b unclosed", "x < y & z < é&bogus; <b unclosed"),
+    ("<div class='has-comments'><article class='post comments-open'>a</article><article class='comment'>b</article></div>", "a"),
     ("<div role=banner>b</div><div hidden>h</div><div style='display: none'>n</div><p>k</p>", "k"),
     ("<p>cut <i>off", "cut off"), ("", ""), (None, ""), ("plain", "plain"),
     ("<article><p>The notice was read.</p><p class='lead'>Comments follow.</p></article>", "The notice was read. Comments follow."),
