@@ -6,7 +6,7 @@ import importlib
 
 from memlake.catalog.base import ORACLES, QUERIES, Query
 
-_MODULES = ("search", "texts", "backlog", "code", "history", "assembly")
+_MODULES = ("search", "texts", "backlog", "code", "history", "assembly", "upkeep")
 
 
 def _load() -> None:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from memlake.catalog import inputs
 from memlake.catalog.base import query, table
 from memlake.operators import versions
+from memlake.plans.indexing import build_index
 from memlake.session import scratch_path
+from memlake.sources.batches import read_table, start_tables
 from memlake.sources.corpus import scan_code, scan_corpus
 from memlake.sources.snapshots import read_snapshot, write_snapshot
 from memlake.streaming import changes, ledger
@@ -289,32 +291,33 @@ start AS (SELECT 'src/u' || user_id || '.py' AS path, 'old' AS chunk_name FROM (
 SELECT s.path, chunk_name FROM start s WHERE s.path NOT IN (SELECT path FROM l)
 UNION ALL SELECT l.path, c_name FROM l JOIN customer ON l.path = 'src/u' || c_custkey || '.py' WHERE operation = 'upsert'""")
 def maintain_stream(spark, sf_dir):
-    """An index kept up to date from the event stream: snapshots per micro-batch, last operation wins."""
+    """An index kept up to date from the event stream: each micro-batch adds what it changed, last operation wins."""
     users = table(spark, sf_dir, "events").select(F.concat(F.lit("src/u"), F.col("user_id").cast("string"), F.lit(".py")).alias("path")).distinct()
     others = table(spark, sf_dir, "nation").select(F.concat(F.lit("src/x"), F.col("n_nationkey").cast("string"), F.lit(".py")).alias("path"))
     start = users.unionByName(others).withColumn("chunk_name", F.lit("old"))
     root = scratch_path(spark, "units")
-    write_snapshot(start, root)
+    start_tables(root, {"units": start})
     routed = changes.route_events(_file_events(_event_stream(spark, sf_dir)), [".py"])
-    running = changes.maintain_index(routed, root, start, _units_of(spark, sf_dir), scratch_path(spark, "units-state"))
+    running = changes.maintain_index(routed, root, _units_of(spark, sf_dir), scratch_path(spark, "units-state"))
     running.awaitTermination()
-    return read_snapshot(spark, root)
+    return read_table(spark, root, "units")
 
 
 @query("refresh_stream", f"""
 WITH m AS ({inputs.MARKDOWN_SQL}) SELECT path, 'nasa' AS keywords FROM m WHERE role <> 'user'""")
 def refresh_stream(spark, sf_dir):
-    """Chunk and keyword snapshots refreshed from a stream of changed conversation turns."""
+    """Document, chunk and keyword tables refreshed from a stream of changed conversation turns."""
     schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
     turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
     changed = turns.where("role <> 'user'").select(F.format_string("kb/conv_%d/turn_%d.md", "conv_id", "turn").alias("path"))
     docs = inputs.markdown(spark, sf_dir).select("path", "content")
     root = scratch_path(spark, "docs")
+    start_tables(root, build_index(docs.limit(0))._asdict())
     running = changes.refresh_documents(
         changed, root, lambda paths: docs.join(paths, "path", "left_semi"), scratch_path(spark, "docs-state")
     )
     running.awaitTermination()
-    words = read_snapshot(spark, f"{root}/keywords")
+    words = read_table(spark, root, "keywords")
     return words.where(F.col("section").endswith("### Tail")).select("path", "keywords")
 
 

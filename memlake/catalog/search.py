@@ -62,7 +62,7 @@ def knn_prefiltered(spark, sf_dir):
 @query("knn_blocks", _knn_oracle(_GAP))
 def knn_blocks(spark, sf_dir):
     """The plan for query sides beyond the broadcast bound: bounded blocks on both sides."""
-    return _knn(spark, sf_dir, max_queries=200, block_rows=1000)
+    return _knn(spark, sf_dir, max_queries=200)
 
 
 # --- chunking --------------------------------------------------------------------------------
@@ -159,7 +159,6 @@ stripped AS (SELECT {key}, ln, regexp_replace(regexp_replace(raw, '^[^\\p{{L}}\\
 facts AS (SELECT *, regexp_matches(t, '\\p{{L}}') AS letters, regexp_matches(t, '\\p{{Nd}}') AS digits,
   regexp_matches(t, '\\p{{Lu}}') AS upper_, regexp_matches(t, '(?s)^.+[-_.:/].+$') AS joined FROM stripped WHERE t <> ''),
 classed AS (SELECT {key}, ln, replace(lower(t), 'ß', 'ss') AS term, CASE
-  WHEN length(t) > 64 THEN NULL
   WHEN letters AND digits AND NOT joined THEN 0
   WHEN letters AND joined AND (digits OR upper_ OR regexp_matches(t, '[-_]') OR regexp_matches(t, '[\\p{{L}}\\p{{N}}\\p{{M}}_]{{2,}}\\.[A-Za-z0-9]{{1,5}}$')) THEN 1
   WHEN regexp_matches(t, '[\\p{{Ll}}\\p{{Lt}}]') AND regexp_matches(t, '(?s)^.+\\p{{Lu}}') THEN 2
@@ -204,7 +203,7 @@ fold(page_id, nth, n, bytes, kept, dropped) AS (
     CASE WHEN ok THEN f.kept || CASE WHEN f.n > 0 THEN ' ' ELSE '' END || term ELSE f.kept END,
     CASE WHEN ok THEN f.dropped ELSE f.dropped + 1 END
   FROM (SELECT f.*, o.term, strlen(o.term) + CASE WHEN f.n > 0 THEN 1 ELSE 0 END AS cost,
-          f.n < 20 AND f.bytes + strlen(o.term) + CASE WHEN f.n > 0 THEN 1 ELSE 0 END <= 512 AS ok
+          length(o.term) <= 64 AND f.n < 20 AND f.bytes + strlen(o.term) + CASE WHEN f.n > 0 THEN 1 ELSE 0 END <= 512 AS ok
         FROM fold f JOIN ordered o ON o.page_id = f.page_id AND o.nth = f.nth + 1) f)
 SELECT page_id, arg_max(kept, nth) AS keywords, CAST(arg_max(dropped, nth) AS INTEGER) AS n_dropped FROM fold GROUP BY page_id""")
 def keyword_budget(spark, sf_dir):
@@ -238,8 +237,8 @@ def bm25_topk(spark, sf_dir):
 
 @query("bm25_join", _BM25_SQL)
 def bm25_join(spark, sf_dir):
-    """The plan for query sides whose weights are too many to share."""
-    return _bm25(spark, sf_dir, max_weights=0)
+    """Query sides whose weights are too many for one block."""
+    return _bm25(spark, sf_dir, max_weights=200_000)
 
 
 @query("bm25_statistics", f"""

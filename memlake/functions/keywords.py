@@ -55,8 +55,7 @@ def token_class(token: Column) -> Column:
         & ~token.isin(*EMPHASIS_WORDS)
     )
     return (
-        F.when(F.length(token) > MAX_TERM_CHARS, None)
-        .when(letters & digits & ~joined, 0)
+        F.when(letters & digits & ~joined, 0)
         .when(letters & joined & marked, 1)
         .when(token.rlike(r"[\p{Ll}\p{Lt}]") & token.rlike(r"(?s)^.+\p{Lu}"), 2)
         .when(acronym, 3)
@@ -92,13 +91,16 @@ def identifier_terms(body: Column | str) -> Column:
     return F.transform(ordered, lambda x: x["term"])
 
 
-def budget(terms: Column, max_terms: int = MAX_TERMS, max_bytes: int = MAX_BYTES) -> Column:
-    """Greedy struct<kept, dropped>: a term over the byte budget is dropped, later ones may fit."""
+def budget(
+    terms: Column, max_terms: int = MAX_TERMS, max_bytes: int = MAX_BYTES, max_chars: int = MAX_TERM_CHARS
+) -> Column:
+    """Greedy struct<kept, dropped>: a term that is too long or over the byte budget is dropped, later ones may fit."""
     none = F.array().cast(_NONE)
 
     def step(acc, term):
         cost = F.octet_length(term) + F.when(F.size(acc["kept"]) > 0, 1).otherwise(0)
-        fits = (F.size(acc["kept"]) < max_terms) & (acc["bytes"] + cost <= max_bytes)
+        short = F.length(term) <= max_chars
+        fits = short & (F.size(acc["kept"]) < max_terms) & (acc["bytes"] + cost <= max_bytes)
         keep = F.struct(
             F.concat(acc["kept"], F.array(term)).alias("kept"),
             acc["dropped"].alias("dropped"),

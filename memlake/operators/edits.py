@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from memlake.functions import markdown, rules
 from memlake.functions.exprs import let
 from memlake.functions.paths import base_name
-from memlake.operators.skew import split_rank
+from memlake.operators.skew import asked_for, broadcast_if_small, split_rank
 from memlake.operators.versions import snapshot
 from memlake.session import cut_lineage
 
@@ -129,16 +130,36 @@ def _fold(text: Column, path: Column, edits: Column) -> Column:
 
 
 def _round(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """path, content, whether anything was changed so far, and the results of this round."""
     grouped = batch.groupBy("path").agg(F.array_sort(F.collect_list(_sorted_edit())).alias("_edits"))
-    joined = state.join(grouped, "path", "left")
-    folded = joined.withColumn(
-        "_f", F.when(F.col("_edits").isNotNull(), _fold(F.col("content"), F.col("path"), F.col("_edits")))
-    )
-    return folded.select(
-        "path",
-        F.coalesce(F.col("_f")["content"], F.col("content")).alias("content"),
-        F.concat("results", F.coalesce(F.col("_f")["results"], F.array().cast(_RESULTS))).alias("results"),
+    folded = state.join(grouped, "path").withColumn("_f", _fold(F.col("content"), F.col("path"), F.col("_edits")))
+    results = F.col("_f")["results"]
+    written = folded.select(
+        "path", F.col("_f")["content"].alias("content"),
+        (F.col("changed") | F.exists(results, lambda r: r["error"].isNull())).alias("changed"),
+        results.alias("results"),
     )
+    # Documents and results are both read from it, so no edit is applied twice.
+    return cut_lineage(written)
+
+
+def _rounds(state: DataFrame, valid: DataFrame, most: int, per_round: int) -> tuple[DataFrame, DataFrame]:
+    """(final documents, result rows). A document leaves the rounds with its last edit."""
+    if most <= per_round:
+        folded = _round(state, valid)
+        return folded.drop("results"), folded.select("path", F.inline("results"))
+    numbered = cut_lineage(order_edits(valid))
+    finished, outcomes = [], []
+    for low in range(0, most, per_round):
+        high = low + per_round
+        batch = numbered.where((F.col("position") > low) & (F.col("position") <= high))
+        folded = _round(state, batch.drop("position"))
+        more = broadcast_if_small(numbered.where(F.col("position") > high).select("path").distinct())
+        outcomes.append(folded.select("path", F.inline("results")))
+        finished.append(folded.drop("results").join(more, "path", "left_anti"))
+        state = folded.drop("results").join(more, "path", "left_semi")
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    return union(finished), union(outcomes)
 
 
 def apply_edits(
@@ -151,7 +172,8 @@ def apply_edits(
     does not exist starts empty.
 
     Edits of one document must follow each other, so they meet in one row, at most ``per_round`` at
-    a time: a document with more goes through several rounds, its state kept in between.
+    a time: a document with more goes through several rounds, its state kept in between. Rounds are
+    written as they are computed; only documents with edits left go into the next one.
     """
     have = set(edits.columns)
     full = edits.select(
@@ -164,19 +186,11 @@ def apply_edits(
     )
     valid = judged.where(F.col("_reason").isNull()).drop("_reason")
     touched = valid.select("path").distinct()
-    state = touched.join(docs.select("path", "content"), "path", "left").select(
-        "path", F.coalesce("content", F.lit("")).alias("content"), F.array().cast(_RESULTS).alias("results")
+    state = touched.join(asked_for(docs.select("path", "content"), touched, ["path"]), "path", "left").select(
+        "path", F.coalesce("content", F.lit("")).alias("content"), F.lit(False).alias("changed")
     )
     most = valid.groupBy("path").count().agg(F.max("count").alias("m")).first()["m"] or 0
-    if most <= per_round:
-        state = _round(state, valid)
-    else:
-        numbered = cut_lineage(order_edits(valid))
-        for r in range(-(-most // per_round)):
-            low, high = r * per_round, (r + 1) * per_round
-            batch = numbered.where((F.col("position") > low) & (F.col("position") <= high))
-            state = cut_lineage(_round(state, batch.drop("position")))
-    outcome = state.select("path", F.inline("results"))
+    state, outcome = _rounds(state, valid, most, per_round)
     message = F.coalesce(
         F.col("error"), F.concat(F.lit("Applied "), F.col("mode"), F.lit(" to memory successfully. File saved."))
     )
@@ -184,9 +198,11 @@ def apply_edits(
         "seq", "path", "mode", F.when(F.col("error").isNull(), "success").otherwise("error").alias("status"),
         message.alias("message"),
     )
-    changed = state.where(F.exists("results", lambda r: r["error"].isNull())).select("path", "content")
+    changed = state.where("changed").select("path", "content")
     kept = snapshot(docs, changed, now)
-    fresh = changed.withColumnRenamed("content", "_new")
-    merged = docs.join(fresh, "path", "full_outer")
-    new_docs = merged.withColumn("content", F.coalesce("_new", "content")).select(*docs.columns)
+    fresh = broadcast_if_small(changed.withColumnRenamed("content", "_new"))
+    replaced = docs.join(fresh, "path", "left").withColumn("content", F.coalesce("_new", "content")).drop("_new")
+    known = asked_for(docs.select("path"), changed, ["path"])
+    added = changed.join(known, "path", "left_anti")
+    new_docs = replaced.select(*docs.columns).unionByName(added, allowMissingColumns=True)
     return EditResult(new_docs, results.unionByName(refused), kept)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,15 +92,26 @@ def rename_paths(
     return staying.unionByName(moved), fallback
 
 
+#: How a table tells which paths are alive: any DataFrame in, a ``path`` column out.
+EXISTENCE: dict[str, Callable[[DataFrame], DataFrame]] = {"table": lambda live: live.select("path")}
+
+
+def register_existence(name: str, strategy: Callable[[DataFrame], DataFrame]) -> None:
+    EXISTENCE[name] = strategy
+
+
 def prune_ghosts(
-    tables: dict[str, DataFrame], live: DataFrame, path: str = "path", by: str = "chunks"
+    tables: dict[str, DataFrame], live: DataFrame, path: str = "path", by: str = "chunks",
+    existence: str = "table",
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """(index tables without rows of vanished documents, the vanished paths).
 
-    ``by`` names the table whose paths decide; the same paths go from every table.
+    ``by`` names the table whose paths decide; the same paths go from every table. ``existence`` is the
+    registered strategy that reads the living paths from ``live``.
     """
+    alive = EXISTENCE[existence](live).select(F.col("path").alias(path)).distinct()
     known = tables[by].select(path).distinct()
-    ghosts = known.join(live.select(path).distinct(), path, "left_anti")
+    ghosts = known.join(alive, path, "left_anti")
     kept = {name: _drop_keys(df, ghosts, [path]) for name, df in tables.items()}
     return kept, ghosts
 

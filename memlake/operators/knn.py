@@ -6,6 +6,7 @@ at most k rows per query, so the pairs themselves are never rows of a DataFrame.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,13 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from memlake.operators.skew import fits_broadcast, top_k_per_key
+from memlake.operators.skew import BROADCAST_BYTES, fits_broadcast, top_k_per_key
+from memlake.session import cut_lineage
 
 METRICS = ("l2", "cosine")
 MAX_QUERIES = 20_000
-BLOCK_ROWS = 10_000
 _CELLS = 2_000_000
 _DIGITS = 9
 
@@ -63,23 +63,56 @@ def pick_smallest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Block:
-    """Query side of a block: ids, vectors and the optional partition key and scopes."""
+    """Query side of a block: ids, vectors and, per partition key and scopes, the queries that share them."""
 
     def __init__(self, table: pa.Table, qid: str, vector: str, by: list[str], scopes: str | None):
-        keep = pc.is_valid(table.column(vector))
-        table = table.filter(keep)
+        table = table.filter(pc.is_valid(table.column(vector)))
         self.ids = table.column(qid)
         self.vectors = _matrix(table.column(vector))
-        self.groups = list(zip(*[table.column(b).to_pylist() for b in by])) if by else None
-        self.scopes = (
-            [None if s is None else tuple(s) for s in table.column(scopes).to_pylist()] if scopes else None
-        )
+        every = [()] * len(self.ids)
+        groups = list(zip(*[table.column(b).to_pylist() for b in by])) if by else every
+        dirs = [tuple(s or ()) for s in table.column(scopes).to_pylist()] if scopes else every
+        asked: dict = {}
+        for at, (group, under) in enumerate(zip(groups, dirs)):
+            # As in a join, a null equals nothing.
+            if None not in group:
+                asked.setdefault((group, under), []).append(at)
+        self.asked = {key: np.array(rows) for key, rows in asked.items()}
 
     def __len__(self) -> int:
         return len(self.ids)
 
 
-def _best(block: _Block, corpus: pa.Table, opts: dict) -> pa.Table:
+def below(paths: pa.ChunkedArray, scopes: tuple[str, ...]) -> np.ndarray:
+    """Which paths lie below any of the directories; without directories all do."""
+    found = np.full(len(paths), not scopes)
+    for scope in scopes:
+        hit = pc.fill_null(pc.starts_with(paths, scope + "/"), False)
+        found |= hit.combine_chunks().to_numpy(zero_copy_only=False)
+    return found
+
+
+def _cells(block: _Block, corpus: pa.Table, opts: dict):
+    """(queries, corpus rows) that may meet: only these are ever compared."""
+    by, every = opts["by"], np.arange(corpus.num_rows)
+    members: dict = {(): every}
+    if by:
+        found: dict = {}
+        for at, group in enumerate(zip(*[corpus.column(b).to_pylist() for b in by])):
+            found.setdefault(group, []).append(at)
+        members = {group: np.array(rows) for group, rows in found.items()}
+    masks: dict = {}
+    for (group, scopes), queries in block.asked.items():
+        rows = members.get(group)
+        if rows is not None and scopes:
+            if scopes not in masks:
+                masks[scopes] = below(corpus.column(opts["path"]), scopes)
+            rows = rows[masks[scopes][rows]]
+        if rows is not None and len(rows):
+            yield queries, rows
+
+
+def _best(block: _Block, corpus: pa.Table, opts: dict) -> pa.Table | None:
     """Best k corpus rows per query of one corpus block."""
     keys, vector, k = opts["keys"], opts["vector"], opts["k"]
     corpus = corpus.filter(pc.is_valid(corpus.column(vector)))
@@ -87,18 +120,16 @@ def _best(block: _Block, corpus: pa.Table, opts: dict) -> pa.Table:
     corpus = corpus.sort_by([(c, "ascending") for c in keys])
     vectors = _matrix(corpus.column(vector))
     out = []
-    if len(block) and corpus.num_rows:
-        masks = block_masks(block, corpus, opts)
-        per = max(1, _CELLS // corpus.num_rows)
-        for at in range(0, len(block), per):
-            q = block.vectors[at : at + per]
-            d = _gaps(q, vectors, opts["metric"])
-            if masks is not None:
-                d[~masks(at, at + per)] = np.inf
-            rows, cols = pick_smallest(d, k)
-            picked = corpus.select(keys).take(pa.array(cols))
-            exact = _exact(q[rows], vectors[cols], opts["metric"])
-            arrays = [block.ids.take(pa.array(rows + at)), *picked.columns, pa.array(exact)]
+    for queries, members in _cells(block, corpus, opts):
+        near = vectors if len(members) == len(vectors) else vectors[members]
+        per = max(1, _CELLS // len(members))
+        for at in range(0, len(queries), per):
+            asking = queries[at : at + per]
+            q = block.vectors[asking]
+            rows, cols = pick_smallest(_gaps(q, near, opts["metric"]), k)
+            picked = corpus.select(keys).take(pa.array(members[cols]))
+            exact = _exact(q[rows], near[cols], opts["metric"])
+            arrays = [block.ids.take(pa.array(asking[rows])), *picked.columns, pa.array(exact)]
             out.append(pa.Table.from_arrays(arrays, names=opts["names"]))
     return pa.concat_tables(out) if out else None
 
@@ -110,35 +141,6 @@ def _exact(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return (gap * gap).sum(axis=1)
 
 
-def block_masks(block: _Block, corpus: pa.Table, opts: dict):
-    """Which corpus rows each query may see, or None when all queries see all rows."""
-    if block.groups is None and block.scopes is None:
-        return None
-    groups = list(zip(*[corpus.column(b).to_pylist() for b in opts["by"]])) if block.groups else None
-    codes: dict = {}
-    if groups is not None:
-        # As in a join, a null equals nothing.
-        row_code = np.array([-2 if None in g else codes.setdefault(g, len(codes)) for g in groups])
-        query_code = np.array([-1 if None in g else codes.get(g, -1) for g in block.groups])
-    seen: dict = {}
-    if block.scopes is not None:
-        paths = corpus.column(opts["path"]).to_pylist()
-        for scopes in set(block.scopes):
-            prefixes = tuple(s + "/" for s in scopes or ())
-            seen[scopes] = np.array([not prefixes or (p or "").startswith(prefixes) for p in paths])
-
-    def mask(a: int, b: int) -> np.ndarray:
-        out = None
-        if groups is not None:
-            out = query_code[a:b, None] == row_code[None, :]
-        if block.scopes is not None:
-            scoped = np.stack([seen[s] for s in block.scopes[a:b]])
-            out = scoped if out is None else out & scoped
-        return out
-
-    return mask
-
-
 def keep_best(parts: list[pa.Table], opts: dict) -> pa.Table:
     """k best rows per query over several blocks; the last column is the value to order by."""
     frame = pa.concat_tables(parts).to_pandas()
@@ -163,7 +165,6 @@ def knn_join(
     scopes: str | None = None,
     path: str = "path",
     max_queries: int = MAX_QUERIES,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The ``k`` nearest corpus rows of every query: qid, keys, distance, rank.
 
@@ -172,8 +173,9 @@ def knn_join(
     Filter the corpus before the call. ``by`` limits a query to rows with equal columns; ``scopes``
     names an array column of the queries with directories the row's ``path`` must lie below.
 
-    A measured, small query side is sent to the tasks that scan the corpus. A larger one is cut,
-    like the corpus, into blocks of bounded size, and every pair of blocks is one task group.
+    The query side goes to the tasks that scan the corpus in blocks of about ``max_queries`` rows, one scan
+    for each block, and a task hands on at most k rows per query. Neither side is copied or shuffled, and
+    only rows of equal ``by`` inside the scopes are compared.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -188,16 +190,30 @@ def knn_join(
         "qid": qid, "keys": keys, "vector": vector, "k": k, "metric": metric, "by": by,
         "path": path, "names": schema.names,
     }
-    if fits_broadcast(queries, max_rows=max_queries):
-        near = _scan(queries, corpus, opts, scopes, schema)
-    else:
-        near = _grid(queries, corpus, opts, scopes, schema, max_queries, block_rows)
+    blocks = query_blocks(queries, [qid], max_queries)
+    near = functools.reduce(DataFrame.unionAll, [_scan(b, corpus, opts, scopes, schema) for b in blocks])
     ranked = top_k_per_key(near, [qid], [F.round("distance", _DIGITS), *keys], k)
     return ranked
 
 
+def query_blocks(queries: DataFrame, ids: Sequence[str], max_rows: int) -> list[DataFrame]:
+    """The queries in measured blocks, each small enough to be sent to the tasks.
+
+    A row goes to the block its hashed ids name.
+    """
+    if fits_broadcast(queries, max_rows=max_rows):
+        return [queries]
+    written = cut_lineage(queries)
+    block = F.pmod(F.xxhash64(*ids), F.lit(1 << 30))
+    sizes = F.sum(F.length(F.to_json(F.struct(*written.columns))).cast("long"))
+    held = written.agg(F.count(F.lit(1)).alias("n"), sizes.alias("b")).first()
+    # Half full on average, so that chance does not fill a block over its bound.
+    n = 2 * max(-(-held["n"] // max_rows), -(-held["b"] // BROADCAST_BYTES))
+    return [written.where(block % n == i) for i in range(n)]
+
+
 def _scan(queries, corpus, opts, scopes, schema) -> DataFrame:
-    """Every corpus partition against the whole, measured query side."""
+    """Every corpus partition against one measured block of queries."""
     table = queries.toArrow()
     shared = queries.sparkSession.sparkContext.broadcast(table)
 
@@ -212,34 +228,3 @@ def _scan(queries, corpus, opts, scopes, schema) -> DataFrame:
             yield from best.to_batches()
 
     return corpus.mapInArrow(run, schema)
-
-
-def _grid(queries, corpus, opts, scopes, schema, max_queries, block_rows) -> DataFrame:
-    """Blocks of queries times blocks of corpus rows; each pair is bounded on both sides."""
-    per_query = min(max_queries, block_rows)
-    n_query = max(1, -(-queries.count() // per_query))
-    n_corpus = max(1, -(-corpus.count() // block_rows))
-
-    def blocked(df, mine, n_mine, other, n_other, ids):
-        block = F.pmod(F.xxhash64(*ids), F.lit(n_mine)).cast("int")
-        every = F.sequence(F.lit(0), F.lit(n_other - 1))
-        return df.withColumn(mine, block).withColumn(other, F.explode(every))
-
-    # Own names on the query side keep a self-join of one table unambiguous.
-    plain = queries.columns
-    queries = queries.select(*[F.col(c).alias(f"_q{i}") for i, c in enumerate(plain)])
-    left = blocked(queries, "_lq", n_query, "_lc", n_corpus, ["_q0"])
-    right = blocked(corpus, "_rc", n_corpus, "_rq", n_query, opts["keys"])
-
-    empty = to_arrow_schema(schema).empty_table()
-
-    def run(q: pa.Table, c: pa.Table) -> pa.Table:
-        if not q.num_rows:
-            return empty
-        q = q.select(range(len(plain))).rename_columns(plain)
-        block = _Block(q, opts["qid"], opts["vector"], opts["by"], scopes)
-        found = _best(block, c, opts) if len(block) and c.num_rows else None
-        return empty if found is None else found
-
-    pairs = left.groupBy("_lq", "_lc").cogroup(right.groupBy("_rq", "_rc"))
-    return pairs.applyInArrow(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,8 +15,8 @@ from pyspark.sql import types as T
 
 from memlake.functions.exprs import col, join_lines, split_lines
 from memlake.functions.paths import ancestors
-from memlake.operators.knn import block_masks, pick_smallest, keep_best
-from memlake.operators.skew import asked_for, fits_broadcast, salted_join, top_k_per_key
+from memlake.operators.knn import below, keep_best, pick_smallest, query_blocks
+from memlake.operators.skew import asked_for, broadcast_if_small, salted_join, top_k_per_key
 from memlake.session import cut_lineage
 
 CHUNK_KEY = ("path", "start_line", "end_line")
@@ -46,7 +48,7 @@ def document_frequency(
     return counts if only is None else counts.join(only, "term", "left_semi")
 
 
-# Most weights (queries times their distinct terms) that are shared with the tasks, about 80 MB.
+# Most weights (queries times their distinct terms) that one block of queries shares with the tasks, about 80 MB.
 MAX_WEIGHTS = 10_000_000
 
 
@@ -64,49 +66,63 @@ def bm25(
     k1: float = 1.2,
     b: float = 0.75,
     max_weights: int = MAX_WEIGHTS,
+    stats: DataFrame | None = None,
+    frequency: DataFrame | None = None,
 ) -> DataFrame:
     """Top-k corpus rows per query by BM25: qid, keys, score, rank. ``keys`` identify a row.
 
-    Equal scores (to nine digits) are ordered by ``keys``. While queries times their distinct terms
-    stay within ``max_weights``, the weights of all queries go to the tasks that scan the corpus:
-    every block of rows is scored by one matrix product and hands on at most k rows per query, so no
-    posting is shuffled. Beyond that, postings and queries are joined on the term, heavy terms spread
-    out.
+    Equal scores (to nine digits) are ordered by ``keys``. The weights of the queries go to the tasks
+    that scan the corpus, in blocks of at most about ``max_weights`` queries times distinct terms and one
+    scan for each block: rows are scored by matrix products and a task hands on at most k rows per query,
+    so no posting is shuffled. ``stats`` and ``frequency`` are the results of ``bm25_stats`` and
+    ``document_frequency`` as stored with an index; without them the corpus is read for them.
     """
     keys = list(keys)
     asked = queries.select(qid, F.explode(F.array_distinct(search_terms(query))).alias("term"))
-    size = asked.agg(
-        F.count_distinct("term").alias("t"), F.count_distinct(qid).alias("q"), F.count(F.lit(1)).alias("n")
-    ).first()
-    small = size["t"] * size["q"] <= max_weights and fits_broadcast(queries)
     vocabulary = asked.select("term").distinct()
-    if small:
-        vocabulary = F.broadcast(vocabulary)
-    stats = bm25_stats(corpus, text)
-    n, df = stats.select("n_docs").scalar(), F.col("df")
+    if stats is None:
+        stats = bm25_stats(corpus, text)
+    if frequency is None:
+        frequency = document_frequency(corpus, text, broadcast_if_small(vocabulary))
+    totals = stats.first()
+    n, df = F.lit(totals["n_docs"]), F.col("df")
     idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
-    found = document_frequency(corpus, text, vocabulary).select("term", idf.alias("idf"))
+    found = frequency.select("term", idf.alias("idf"))
     ids = asked.schema[qid]
     opts = {
         "qid": qid, "keys": keys, "k": k, "path": path, "by": [], "k1": k1, "b": b, "scopes": scopes,
         "names": [qid, *keys, "score"], "descending": True,
     }
     schema = T.StructType([ids, *[corpus.schema[c] for c in keys], T.StructField("score", T.DoubleType())])
-    if small:
-        near = _score_blocks(queries, asked, found, stats, corpus, text, opts, schema)
-    else:
-        near = _score_join(queries, asked, found, stats, corpus, text, opts)
-    return top_k_per_key(near, [qid], [F.desc(F.round("score", 9)), *keys], k)
+    blocks = _weight_blocks(queries, asked, qid, max_weights)
+    if len(blocks) > 1:
+        # Every block weighs its terms; the corpus is not to be counted again for each.
+        found = cut_lineage(found.join(broadcast_if_small(vocabulary), "term", "left_semi"))
+    near = [_score_block(b, found, totals["avg_len"], corpus, query, text, opts, schema) for b in blocks]
+    return top_k_per_key(
+        functools.reduce(DataFrame.unionAll, near), [qid], [F.desc(F.round("score", 9)), *keys], k
+    )
+
+
+def _weight_blocks(queries: DataFrame, asked: DataFrame, qid: str, max_weights: int) -> list[DataFrame]:
+    """Blocks of queries that have about ``max_weights`` cells of query and term between them."""
+    size = asked.agg(
+        F.count_distinct("term").alias("t"), F.count_distinct(qid).alias("q"), F.count(F.lit(1)).alias("n")
+    ).first()
+    if not size["n"]:
+        return [queries]
+    # Few queries have few terms: a block of q has no more than q times the terms of one query.
+    most = max(max_weights / size["t"], math.sqrt(max_weights * size["q"] / size["n"]), 1)
+    return query_blocks(queries, [qid], int(most))
 
 
-def _score_blocks(queries, asked, found, stats, corpus, text, opts, schema) -> DataFrame:
-    """Score whole blocks of the corpus against the measured, shared weights of all queries."""
+def _score_block(queries, found, mean, corpus, query, text, opts, schema) -> DataFrame:
+    """Score whole batches of the corpus against the shared weights of a block of queries."""
     qid, keys, scopes, path = opts["qid"], opts["keys"], opts["scopes"], opts["path"]
-    spark = corpus.sparkSession
-    weights = asked.join(F.broadcast(found), "term").toArrow()
-    mean = stats.first()["avg_len"]
+    asked = queries.select(qid, F.explode(F.array_distinct(search_terms(query))).alias("term"))
+    weights = found.join(F.broadcast(asked), "term").select(qid, "term", "idf").toArrow()
     sides = queries.select(qid, *([scopes] if scopes else [])).toArrow()
-    shared = spark.sparkContext.broadcast((weights, sides, mean))
+    shared = corpus.sparkSession.sparkContext.broadcast((weights, sides, mean))
     cols = list(dict.fromkeys([*keys, *([path] if scopes else [])]))
 
     def run(batches):
@@ -131,11 +147,9 @@ class BlockScorer:
 
     def __init__(self, weights: pa.Table, sides: pa.Table, mean: float, opts: dict):
         self.opts, self.mean = opts, mean
-        self.groups = None
         self.ids = sides.column(opts["qid"]).combine_chunks()
         self.scopes = (
-            [None if s is None else tuple(s) for s in sides.column(opts["scopes"]).to_pylist()]
-            if opts["scopes"] else None
+            [tuple(s or ()) for s in sides.column(opts["scopes"]).to_pylist()] if opts["scopes"] else None
         )
         self.terms = pc.unique(weights.column("term")).cast(pa.string())
         self.matrix = np.zeros((len(self.terms), len(self.ids)))
@@ -168,38 +182,16 @@ class BlockScorer:
         gain = tf * (opts["k1"] + 1) / (tf + damp[:, None])
         score = (gain @ self.matrix).T
         rank_by = np.where(score > 0, -np.round(score, 9), np.inf)
-        masks = block_masks(self, rows, opts)
-        if masks is not None:
-            rank_by[~masks(0, len(self))] = np.inf
+        if self.scopes is not None:
+            paths = rows.column(opts["path"])
+            inside = {scopes: below(paths, scopes) for scopes in set(self.scopes)}
+            rank_by[~np.stack([inside[scopes] for scopes in self.scopes])] = np.inf
         q, d = pick_smallest(rank_by, opts["k"])
         picked = rows.select(opts["keys"]).take(pa.array(d))
         arrays = [self.ids.take(pa.array(q)), *picked.columns, pa.array(score[q, d])]
         return pa.Table.from_arrays(arrays, names=opts["names"])
 
 
-def _score_join(queries, asked, found, stats, corpus, text, opts) -> DataFrame:
-    """Score by joining postings and query terms; parts are added up before the last shuffle."""
-    qid, keys, scopes, path, k1, b = (opts[x] for x in ("qid", "keys", "scopes", "path", "k1", "b"))
-    mean = stats.select("avg_len").scalar()
-    terms = asked.join(found, "term")
-    if scopes:
-        terms = terms.join(queries.select(qid, F.col(scopes).alias("_scopes")), qid)
-    cols = list(dict.fromkeys([*keys, *([path] if scopes else [])]))
-    bag = corpus.select(*cols, search_terms(text).alias("_bag")).withColumn("_len", F.size("_bag"))
-    postings = (
-        bag.select(*cols, "_len", F.explode("_bag").alias("term"))
-        .groupBy(*cols, "_len", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    hits = salted_join(postings, terms, ["term"], spread=keys, find_hot=False)
-    if scopes:
-        inside = F.coalesce(F.size("_scopes"), F.lit(0)) <= 0
-        under = F.exists("_scopes", lambda s: F.startswith(F.col(path), F.concat(s, F.lit("/"))))
-        hits = hits.where(inside | under)
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / mean))
-    return hits.groupBy(*keys, qid).agg(F.sum(F.col("idf") * gain).alias("score")).select(qid, *keys, "score")
-
-
 def rrf(
     vector: DataFrame,
     keyword: DataFrame,

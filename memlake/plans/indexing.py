@@ -88,10 +88,33 @@ def reindex(docs: DataFrame, dry_run: bool = False, **options) -> IndexTables |
         return clean_view(docs).agg(
             F.count(F.lit(1)).alias("documents"), F.count_if(is_blank(F.col("content"))).alias("blank")
         )
-    return build_index(docs, **options)
+    return build_index(docs.where(~_unreadable()), **options)
+
+
+def _unreadable() -> Column:
+    return F.col("path").isNull() | F.col("content").isNull()
+
+
+def reindex_rejects(docs: DataFrame) -> DataFrame:
+    """Documents that a reindex leaves out, with the reason; the others are indexed all the same."""
+    reason = F.when(F.col("path").isNull(), "no path").otherwise("no content")
+    return docs.where(_unreadable()).select("path", reason.alias("reason"))
+
+
+def write_index(tables: IndexTables, root: str, files: int | None = None) -> IndexTables:
+    """Write every table of an index below a folder and read it back; ``files`` compacts each of them."""
+    spark = tables.documents.sparkSession
+    written = []
+    for name, df in zip(IndexTables._fields, tables):
+        if df is not None:
+            target = f"{root.rstrip('/')}/{name}"
+            (df.repartition(files) if files else df).write.mode("overwrite").parquet(target)
+            df = spark.read.schema(df.schema).parquet(target)
+        written.append(df)
+    return IndexTables(*written)
 
 
 __all__ = [
     "IndexTables", "build_index", "changed_paths", "chunk_documents", "clean_view", "keyword_rows",
-    "refresh_index", "reindex", "upsert_by_path",
+    "refresh_index", "reindex", "reindex_rejects", "upsert_by_path", "write_index",
 ]

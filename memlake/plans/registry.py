@@ -11,6 +11,7 @@ from memlake.functions import chunking, keywords
 from memlake.functions.embedding import encoder, register_encoder  # noqa: F401
 from memlake.functions.paths import extension
 from memlake.operators.edits import register_hook, register_mode  # noqa: F401
+from memlake.operators.index import register_existence  # noqa: F401
 
 Chunker = Callable[[Column, int, float], Column]
 Extractor = Callable[[Column, Column], Column]
@@ -18,7 +19,6 @@ Extractor = Callable[[Column, Column], Column]
 CHUNKERS: dict[str, Chunker] = {".md": chunking.header_chunks}
 EXTRACTORS: dict[str, Extractor] = {"identifiers": keywords.extract_keywords}
 ACTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {}
-EXISTENCE: dict[str, Callable[[DataFrame], DataFrame]] = {"table": lambda live: live.select("path").distinct()}
 
 
 def register_chunker(ext: str, chunker: Chunker) -> None:
@@ -35,11 +35,6 @@ def register_action(name: str, action: Callable[[DataFrame], DataFrame]) -> None
     ACTIONS[name] = action
 
 
-def register_existence(name: str, strategy: Callable[[DataFrame], DataFrame]) -> None:
-    """How a table tells which paths are alive: any DataFrame in, a ``path`` column out."""
-    EXISTENCE[name] = strategy
-
-
 def chunk_column(path: Column, text: Column, max_chars: int, overlap: float) -> Column:
     """Chunks of a text by the chunker of its extension; sliding windows for all others."""
     out = chunking.overlap_chunks(text, max_chars, overlap)

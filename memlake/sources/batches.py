@@ -1,0 +1,66 @@
+"""Tables that grow by batches: every batch adds the rows of the paths it touched and leaves all other files alone."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from memlake.operators.skew import fits_broadcast, salted_join
+
+_TOUCHED = "touched"
+
+
+def _folder(root: str, name: str) -> str:
+    return f"{root.rstrip('/')}/{name}"
+
+
+def start_tables(root: str, tables: dict[str, DataFrame], on: Sequence[str] = ("path",)) -> None:
+    """Write the first state of some tables that change together."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{_folder(root, name)}/batch=0")
+    none = next(iter(tables.values())).select(*on).limit(0)
+    none.write.mode("overwrite").parquet(f"{_folder(root, _TOUCHED)}/batch=0")
+
+
+def last_batch(spark: SparkSession, root: str) -> int:
+    """Number of the newest finished batch, 0 for the first state."""
+    return spark.read.parquet(_folder(root, _TOUCHED)).agg(F.max("batch").alias("b")).first()["b"] or 0
+
+
+def append_batch(
+    root: str, tables: dict[str, DataFrame], touched: DataFrame, on: Sequence[str] = ("path",)
+) -> int:
+    """Replace the rows of the touched paths in all tables and return the number of the batch.
+
+    The touched paths are written last and make the rows of the batch valid in all tables at once. A batch
+    that was lost on the way is overwritten by the next one; one that is run again replaces the same paths.
+    """
+    number = last_batch(touched.sparkSession, root) + 1
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{_folder(root, name)}/batch={number}")
+    paths = touched.select(*on).distinct()
+    paths.coalesce(1).write.mode("overwrite").parquet(f"{_folder(root, _TOUCHED)}/batch={number}")
+    return number
+
+
+def read_table(spark: SparkSession, root: str, name: str, on: Sequence[str] = ("path",)) -> DataFrame:
+    """The present rows of a table: those of the last batch that touched their path."""
+    on = list(on)
+    rows = spark.read.parquet(_folder(root, name))
+    newest = spark.read.parquet(_folder(root, _TOUCHED)).groupBy(*on).agg(F.max("batch").alias("_last"))
+    # Without many changes since the first state its rows stay where they are.
+    if fits_broadcast(newest):
+        joined = rows.join(F.broadcast(newest), on, "left")
+    else:
+        joined = salted_join(rows, newest, on, "left")
+    alive = (F.col("_last") == F.col("batch")) | (F.col("_last").isNull() & (F.col("batch") == 0))
+    return joined.where(alive).drop("_last", "batch")
+
+
+def compact(
+    spark: SparkSession, root: str, names: Sequence[str], target: str, on: Sequence[str] = ("path",)
+) -> None:
+    """Write the present rows as the first state of another folder, once the batches have become many."""
+    start_tables(target, {name: read_table(spark, root, name, on) for name in names}, on)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions.paths import base_name, has_extension, hidden, in_skipped_dir, relative_to
 
-# What a corpus scan takes, and when a source file counts as binary or too large.
+# What a corpus scan takes, where a source file shows that it is binary, and the usual bound of one.
 CORPUS_EXTS = (".md", ".txt", ".json")
 BINARY_PROBE = 8192
 MAX_SOURCE_BYTES = 3 * 1024 * 1024
@@ -33,8 +33,8 @@ def scan_corpus(spark: SparkSession, root: str, exts: Sequence[str] = CORPUS_EXT
     return rows.where(~hidden("path") & ~base_name("path").startswith("backlog_"))
 
 
-def scan_code(spark: SparkSession, root: str, exts: Sequence[str]) -> DataFrame:
-    """Source files below a root: path, content, length, updated. Binary and oversized files are left out."""
+def _code_files(spark: SparkSession, root: str, exts: Sequence[str], max_bytes: int | None) -> DataFrame:
+    """Source files with the reason why a file is left out, if there is one."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -42,14 +42,30 @@ def scan_code(spark: SparkSession, root: str, exts: Sequence[str]) -> DataFrame:
         .load(root)
     )
     named = files.withColumn("path", relative_to(F.col("path"), root))
-    kept = named.where(
-        (F.col("length") <= MAX_SOURCE_BYTES)
-        & has_extension("path", exts)
-        & ~hidden("path")
-        & ~in_skipped_dir("path")
-    )
+    kept = named.where(has_extension("path", exts) & ~hidden("path") & ~in_skipped_dir("path"))
     head = F.decode(F.substring("content", 1, BINARY_PROBE), "ISO-8859-1")
-    return kept.where(~F.contains(head, F.lit("\u0000"))).select(
+    binary = F.when(F.contains(head, F.lit("\u0000")), F.lit("binary"))
+    if max_bytes is not None:
+        binary = F.when(F.col("length") > max_bytes, F.lit("too large")).otherwise(binary)
+    return kept.withColumn("reason", binary)
+
+
+def scan_code(spark: SparkSession, root: str, exts: Sequence[str], max_bytes: int | None = None) -> DataFrame:
+    """Source files below a root: path, content, length, updated.
+
+    Binary files are left out and so are, if the caller sets a bound, larger ones; ``scan_code_rejects``
+    names them.
+    """
+    return _code_files(spark, root, exts, max_bytes).where(F.col("reason").isNull()).select(
         "path", F.decode("content", "UTF-8").alias("content"), "length",
         F.col("modificationTime").alias("updated"),
     )
+
+
+def scan_code_rejects(
+    spark: SparkSession, root: str, exts: Sequence[str], max_bytes: int | None = None
+) -> DataFrame:
+    """The files that ``scan_code`` leaves out: path, length, reason (binary or too large)."""
+    return _code_files(spark, root, exts, max_bytes).where(F.col("reason").isNotNull()).select(
+        "path", "length", "reason"
+    )

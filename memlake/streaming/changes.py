@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from memlake.functions.paths import has_extension
-from memlake.operators.index import merge_units
 from memlake.operators.skew import bucketed
-from memlake.plans.indexing import IndexTables, build_index
-from memlake.sources.snapshots import read_snapshot, write_snapshot
+from memlake.plans.indexing import build_index
+from memlake.session import cut_lineage
+from memlake.sources.batches import append_batch
 
 # Quiet time before a changed file is taken up, and how late an event may be.
 GAP_SECONDS = 7
@@ -109,31 +109,20 @@ def latest_operation(batch: DataFrame, on: Sequence[str] = ("path",)) -> DataFra
     return batch.groupBy(*on).agg(newest.alias("operation"), F.max("ts").alias("ts"))
 
 
-def apply_operations(
-    target: DataFrame, operations: DataFrame, load_units: Callable[[DataFrame], DataFrame],
-    on: Sequence[str] = ("path",),
-) -> DataFrame:
-    """Index after a batch of operations; an upserted path without units ends up empty."""
-    latest = latest_operation(operations, on)
-    wanted = latest.where("operation = 'upsert'").select(*on)
-    return merge_units(target, load_units(wanted), cleared=latest, on=on)
-
-
 def maintain_index(
-    operations: DataFrame, root: str, empty: DataFrame, load_units: Callable[[DataFrame], DataFrame],
+    operations: DataFrame, root: str, load_units: Callable[[DataFrame], DataFrame],
     checkpoint: str, on: Sequence[str] = ("path",), **trigger,
 ) -> StreamingQuery:
-    """Keep an index snapshot up to date from a stream of operations.
+    """Keep the table ``units`` below ``root`` up to date from a stream of operations.
 
-    Every micro-batch writes one snapshot. A file is replaced whole, so a batch that is run again
-    after a failure leads to the same state.
+    ``root`` was begun with ``start_tables``. A micro-batch writes the rows of the paths it changes and
+    nothing else. A file is replaced whole, so a batch that is run again after a failure leads to the
+    same state.
     """
-    spark = operations.sparkSession
-
     def apply(batch: DataFrame, batch_id: int) -> None:
-        target = read_snapshot(spark, root)
-        target = empty if target is None else target
-        write_snapshot(apply_operations(target, batch, load_units, on), root)
+        latest = cut_lineage(latest_operation(batch, on))
+        wanted = latest.where("operation = 'upsert'").select(*on)
+        append_batch(root, {"units": load_units(wanted)}, latest, on)
 
     writer = operations.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -143,19 +132,14 @@ def refresh_documents(
     changed: DataFrame, root: str, load_docs: Callable[[DataFrame], DataFrame], checkpoint: str,
     encode="hashed64", **trigger,
 ) -> StreamingQuery:
-    """Keep document, chunk and keyword snapshots up to date from a stream of changed paths."""
-    spark = changed.sparkSession
-    names = IndexTables._fields
+    """Keep the tables documents, chunks and keywords below ``root`` up to date from a stream of changed paths.
 
+    ``root`` was begun with ``start_tables``. A micro-batch indexes the documents it names, and all three
+    tables show its rows at the same time.
+    """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        paths = batch.select("path").distinct()
-        fresh = build_index(load_docs(paths), encode=encode)
-        for name, new in zip(names, fresh):
-            folder = f"{root.rstrip('/')}/{name}"
-            old = read_snapshot(spark, folder)
-            # Writing the same paths again gives the same rows, so a repeated batch does no harm.
-            state = new if old is None else merge_units(old, new, cleared=paths, on=["path"])
-            write_snapshot(state, folder)
+        paths = cut_lineage(batch.select("path").distinct())
+        append_batch(root, build_index(load_docs(paths), encode=encode)._asdict(), paths)
 
     writer = changed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -100,7 +100,7 @@ def test_bursts_match_a_plain_window(skewed, gap):
 
 # --- nearest neighbours ----------------------------------------------------------------------
 
-@pytest.mark.parametrize("options", [{}, {"max_queries": 7, "block_rows": 40}])
+@pytest.mark.parametrize("options", [{}, {"max_queries": 7}])
 def test_copies_of_one_vector_are_ordered_by_key(spark, options):
     """A third of the corpus is one vector: nothing is dropped and ties follow the key."""
     data = [(i, [1.0, 0.0] if i % 3 == 0 else [float(i), 1.0]) for i in range(300)]
@@ -110,7 +110,7 @@ def test_copies_of_one_vector_are_ordered_by_key(spark, options):
     assert rows(got.select("qid", "rank", "key")) == [(q, r + 1, 3 * r) for q in range(20) for r in range(4)]
 
 
-@pytest.mark.parametrize("options", [{}, {"max_queries": 1, "block_rows": 2}])
+@pytest.mark.parametrize("options", [{}, {"max_queries": 1}])
 def test_scopes_and_groups_limit_each_query(spark, options):
     corpus = spark.createDataFrame(
         [("a/b/x", "p", [0.0]), ("a/bc/y", "p", [0.0]), ("a/b/z", "q", [5.0]), ("c/w", "q", [1.0])],

@@ -1,6 +1,8 @@
 """Scans, snapshots, registries and streams on small files."""
 
 import datetime
+import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,8 @@ from pyspark.sql import functions as F
 from memlake.functions import embedding
 from memlake.plans import indexing, registry
 from memlake.session import scratch_path, scratch_root
-from memlake.sources.corpus import scan_code, scan_corpus
+from memlake.sources.batches import append_batch, compact, last_batch, read_table, start_tables
+from memlake.sources.corpus import MAX_SOURCE_BYTES, scan_code, scan_code_rejects, scan_corpus
 from memlake.sources.snapshots import current_version, read_snapshot, write_snapshot
 from memlake.streaming import changes, ledger
 
@@ -32,7 +35,7 @@ def test_scan_corpus(spark, tree):
 
 
 def test_scan_code(spark, tree):
-    got = {r.path: r.content for r in scan_code(spark, tree, [".py"]).collect()}
+    got = {r.path: r.content for r in scan_code(spark, tree, [".py"], MAX_SOURCE_BYTES).collect()}
     assert got == {"sub/c.py": "print(1)", "src/h i+j.py": "h"}
 
 
@@ -129,3 +132,38 @@ def test_ledger_stream_matches_the_table(spark):
     last = spark.read.option("recursiveFileLookup", "true").parquet(out).groupBy("op_id").agg(F.max_by("status", "batch").alias("s"))
     plain = ledger.attempt_state(table)
     assert sorted(map(tuple, last.collect())) == sorted((r.op_id, r.status) for r in plain.collect())
+
+
+def test_batches_leave_other_files_alone_and_become_valid_at_once(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "path string, v int")
+    state = lambda root, name: sorted(tuple(r) for r in read_table(spark, root, name).select("path", "v").collect())
+    root, target = scratch_path(spark, "grown"), scratch_path(spark, "compact")
+    first = [("a", 1), ("a", 2), ("b", 3), (None, 9)]
+    start_tables(root, {"x": frame(first), "y": frame([("a", 7)])})
+    assert last_batch(spark, root) == 0 and len(state_with_null(spark, root)) == 4
+    before = {f: os.path.getmtime(f) for f in glob.glob(f"{root}/x/batch=0/*")}
+    assert append_batch(root, {"x": frame([("b", 4)]), "y": frame([("b", 5)])}, frame([("b", 0), ("a", 0)])) == 1
+    assert state(root, "y") == [("b", 5)] and len(state_with_null(spark, root)) == 2
+    assert before == {f: os.path.getmtime(f) for f in glob.glob(f"{root}/x/batch=0/*")}
+    # Rows of a batch that never came to its end don't count, and the next one takes its number.
+    frame([("b", 100), ("new", 1)]).write.parquet(f"{root}/x/batch=2")
+    assert ("b", 100) not in [tuple(r) for r in read_table(spark, root, "x").collect()]
+    assert append_batch(root, {"x": frame([("c", 6)]), "y": frame([])}, frame([("c", 0)])) == 2
+    assert [(r.path, r.v) for r in read_table(spark, root, "x").orderBy("v").collect()] == [("b", 4), ("c", 6), (None, 9)]
+    compact(spark, root, ["x", "y"], target)
+    assert last_batch(spark, target) == 0 and read_table(spark, target, "x").count() == 3 and state(target, "y") == [("b", 5)]
+
+
+def state_with_null(spark, root):
+    return read_table(spark, root, "x").collect()
+
+
+def test_scan_code_names_what_it_leaves_out(spark):
+    root = scratch_path(spark, "sources")
+    os.makedirs(root)
+    for name, body in (("one.py", b"x = 1\n"), ("bin.py", b"a\0b"), ("wide.py", b"#" * 5000)):
+        with open(f"{root}/{name}", "wb") as out:
+            out.write(body)
+    assert {r.path for r in scan_code(spark, root, [".py"]).collect()} == {"one.py", "wide.py"}
+    got = {(r.path, r.reason) for r in scan_code_rejects(spark, root, [".py"], max_bytes=4000).collect()}
+    assert got == {("bin.py", "binary"), ("wide.py", "too large")}
