@@ -64,14 +64,19 @@ def token_class(token: Column) -> Column:
     )
 
 
-def identifier_terms(body: Column | str) -> Column:
-    """Case-folded identifier-like terms, first occurrence kept, ordered by class then position."""
+def identifier_terms(body: Column | str, max_chars: int | None = MAX_TERM_CHARS) -> Column:
+    """Case-folded identifier-like terms, first occurrence kept, ordered by class then position.
+
+    Longer tokens than ``max_chars`` are no terms; without it all are, for ``budget`` to report.
+    """
     # Every class needs a digit, or a capital or joiner past the first character; most words
     # have none and stop here.
     likely = F.filter(
         F.split(col(body), r"(?U)\s+", -1), lambda t: t.rlike(r"(?s)\p{Nd}|.\p{Lu}|.[-_.:/].")
     )
     tokens = F.transform(likely, lambda t: F.regexp_replace(t, r"(?U)\A\W+|\W+\z", ""))
+    if max_chars is not None:
+        tokens = F.filter(tokens, lambda t: F.length(t) <= max_chars)
     classed = F.filter(
         F.transform(
             tokens,
@@ -127,5 +132,5 @@ def extract_keywords(section: Column | str, text: Column | str) -> Column:
         chunk_body(section, text),
         lambda body: F.when(
             is_stub(body), F.struct(none.alias("kept"), none.alias("dropped"))
-        ).otherwise(budget(identifier_terms(body))),
+        ).otherwise(budget(identifier_terms(body, None))),
     )
