@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,12 +12,15 @@ from memlake.llm.base import ascii_lower, narrow, no_items
 SPACE = r"[\x20\x09-\x0D]"
 BREAK = "\x01"
 
-#: A text without any of these holds no sentence of the table below.
+#: A normalised sentence without any of these is none of the table below.
 STEMS = (
     r"(?i)licen[cs]|copyright|warrant|redistribution|rights reserved|public domain|neither the name|permission|"
     r"cc[ -]by|cc0|creative commons|in no event shall|software is provided|mpl was"
 )
 
+#: A raw text without any of these holds none: line ends, comment marks and blanks may stand between two words.
+RAW_STEMS = re.sub(r" |\[ -\]", "[^A-Za-z0-9]+", STEMS)
+
 # Licence sentences in normal form (lower case, words of letters and digits), as whole-sentence patterns.
 _V = r"(?: as published by the free software foundation)?"
 _LATER = r" (?:or (?:at your option )?any later version)"
@@ -164,7 +169,7 @@ def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     """
     rows = narrow(docs, doc_id=id, _text=text)
     known = F.when(
-        F.col("_text").rlike(STEMS),
+        F.col("_text").rlike(RAW_STEMS),
         F.filter(F.transform(F.filter(sentences(F.col("_text")), lambda s: s.rlike(STEMS)), identifier),
                  lambda x: x.isNotNull()),
     ).otherwise(no_items("string"))

@@ -43,6 +43,17 @@ def test_a_wrapped_comment_is_one_sentence(spark):
     assert scan(spark, text)[0] == ["Apache2Ref", "ApacheCopy"]
 
 
+@pytest.mark.parametrize("text, ids", [
+    ("This file was released into the public\n# domain", ["PublicDomain"]),
+    ("All rights\nreserved.", ["AllRights"]),
+    ("/* IN NO EVENT\n * SHALL THE REGENTS BE\n * LIABLE */", []),
+    ("# in no event\n# shall the regents be liable for it.", ["BsdLiability"]),
+    ("Made with  creative\t commons zero 1.0.", ["Cc0"]),
+])
+def test_wrapped_phrases_are_found(spark, text, ids):
+    assert scan(spark, text)[0] == ids
+
+
 def test_tables_agree():
     names = [n for n, _ in SENTENCES]
     assert len(set(names)) == len(names)
