@@ -79,14 +79,36 @@ def _hash_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(hashes), tails, starts
 
 
-def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
-    """A long text in parts that end at white space wherever there is any."""
+def _hash_long_word(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and tail of one word of any length: its sum is carried over from chunk to chunk."""
+    of_byte, powers, _ = _tables()
+    every, total, scale = (1 << 64) - 1, len(data), 1
+    for at in range(0, len(data), CHUNK):
+        part = data[at : at + CHUNK]
+        total += scale * int(np.add.reduce(of_byte[part] * powers[: len(part)]))
+        scale = scale * int(powers[CHUNK]) & every
+    tail = 0
+    for byte in data[: -4 : -1].tolist():
+        tail = tail * 256 + int(_LOWER[byte])
+    return mix(np.array([total & every], np.uint64)), np.array([tail], np.uint32)
+
+
+def _long_text(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and tails of the words of a long text, in parts that end at white space."""
     while len(data) > CHUNK:
         gaps = np.flatnonzero(_SPACES[data[:CHUNK]])
-        cut = int(gaps[-1]) + 1 if len(gaps) else CHUNK
-        yield data[:cut]
+        if len(gaps):
+            cut = int(gaps[-1]) + 1
+            yield _hash_words(data[:cut], np.empty(0, np.int64))[:2]
+        else:
+            # No part holds the end of this word, so it is hashed by itself.
+            cut = CHUNK
+            while cut < len(data) and not (gaps := np.flatnonzero(_SPACES[data[cut : cut + CHUNK]])).size:
+                cut += CHUNK
+            cut = min(cut + int(gaps[0]) if cut < len(data) else cut, len(data))
+            yield _hash_long_word(data[:cut])
         data = data[cut:]
-    yield data
+    yield _hash_words(data, np.empty(0, np.int64))[:2]
 
 
 def words_of(texts: pa.Array) -> Iterator[Words]:
@@ -102,7 +124,7 @@ def words_of(texts: pa.Array) -> Iterator[Words]:
     while at < len(texts):
         upto = int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1
         if upto <= at:
-            parts = [_hash_words(p, np.empty(0, np.int64)) for p in _pieces(data[offsets[at] : offsets[at + 1]])]
+            parts = list(_long_text(data[offsets[at] : offsets[at + 1]]))
             hashes, tails = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
             yield Words(at, np.array([0, len(hashes)]), hashes, tails)
             at += 1
