@@ -18,8 +18,9 @@ from memlake.session import cut_lineage
 
 SHINGLE = 5
 THRESHOLD = 0.85
-#: A pair at the threshold shares none of the bands with a chance of 5e-8.
-BANDS, ROWS = 24, 5
+ROWS = 5
+#: A pair at the threshold shares none of the bands with this chance at most.
+MISSED = 1e-6
 SKETCH_BITS = 512
 #: A pair goes to the full comparison if its estimate is within this many deviations of the threshold.
 DEVIATIONS = 5.5
@@ -29,26 +30,36 @@ BLOCK_ITEMS = 1 << 20
 STAR = 512
 MAX_ROUNDS = 100
 
-_SAMPLES = BANDS * ROWS
 _WORDS = SKETCH_BITS // 64
 
 
+def bands_for(threshold: float) -> int:
+    """Bands that a pair at the threshold needs: it shares one with the chance threshold ** ROWS."""
+    return max(1, int(np.ceil(np.log(MISSED) / np.log1p(-min(threshold, 1 - 1e-9) ** ROWS))))
+
+
+#: 24 bands, 7.7e-7.
+BANDS = bands_for(THRESHOLD)
+#: Samples in an odd sketch, the same for every threshold.
+_SAMPLES = BANDS * ROWS
+
+
 @functools.cache
-def _hash_family() -> tuple[np.ndarray, np.ndarray]:
+def _hash_family(samples: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(85)
-    return rng.integers(1, 1 << 32, _SAMPLES, dtype=np.uint32) | np.uint32(1), rng.integers(
-        0, 1 << 32, _SAMPLES, dtype=np.uint32)
+    return rng.integers(1, 1 << 32, samples, dtype=np.uint32) | np.uint32(1), rng.integers(
+        0, 1 << 32, samples, dtype=np.uint32)
 
 
-def minhash(items: np.ndarray) -> np.ndarray:
+def minhash(items: np.ndarray, samples: int = _SAMPLES) -> np.ndarray:
     """The smallest hashed item under each function of the family.
 
     A multiplication and a shift of the folded hash stand for a random order.
     """
-    a, b = _hash_family()
+    a, b = _hash_family(samples)
     low, high = (items & np.uint64(0xFFFFFFFF)).astype(np.uint32), (items >> np.uint64(32)).astype(np.uint32)
-    best = np.full(_SAMPLES, 0xFFFFFFFF, np.uint32)
-    step = max(1, 65_536 // _SAMPLES)
+    best = np.full(samples, 0xFFFFFFFF, np.uint32)
+    step = max(1, 65_536 // samples)
     for at in range(0, len(items), step):
         h = low[at : at + step, None] * a
         h ^= h >> np.uint32(15)
@@ -60,16 +71,16 @@ def minhash(items: np.ndarray) -> np.ndarray:
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmap of the samples: each flips the bit that it and its place are hashed to."""
+    """Parity bitmap of the first samples: each flips the bit that it and its place are hashed to."""
     place = np.arange(_SAMPLES, dtype=np.uint64) << np.uint64(32)
-    bits = mix(samples.astype(np.uint64) | place) % np.uint64(SKETCH_BITS)
+    bits = mix(samples[:_SAMPLES].astype(np.uint64) | place) % np.uint64(SKETCH_BITS)
     flips = np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(flips.astype(np.uint8)).view(np.uint64)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
-    key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
-    for column in samples.reshape(BANDS, ROWS).T.astype(np.uint64):
+    key = np.arange(len(samples) // ROWS, dtype=np.uint64) + np.uint64(1)
+    for column in samples.reshape(-1, ROWS).T.astype(np.uint64):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ column)
     return key
 
@@ -102,22 +113,29 @@ def _sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 _SKETCHED = "doc_id long, n_shingles long, a long, b long, bands array<long>, sketch array<long>"
 
 
-def _sketched(batches):
+def _sketched(threshold: float):
     """Size, 128-bit digest, band keys and odd sketch of every document's shingle set."""
-    for batch in batches:
-        n, a, b, bands, sketch = [], [], [], [], []
-        for _, items in _sets(batch.column("text")):
-            n.append(len(items))
-            a.append(np.add.reduce(items, dtype=np.uint64))
-            b.append(np.add.reduce(mix(items ^ np.uint64(0xD1B54A32D192ED03)), dtype=np.uint64))
-            samples = minhash(items) if len(items) else None
-            bands.append(np.empty(0, np.int64) if samples is None else band_keys(samples).view(np.int64))
-            sketch.append(np.empty(0, np.int64) if samples is None else odd_sketch(samples).view(np.int64))
-        yield pa.record_batch([
-            batch.column("doc_id"), pa.array(n, pa.int64()),
-            pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)),
-            pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())),
-        ], names=["doc_id", "n_shingles", "a", "b", "bands", "sketch"])
+    # A sketch takes as many samples as the bands of the default threshold have.
+    n_bands = bands_for(threshold)
+    samples_each = max(n_bands * ROWS, _SAMPLES)
+
+    def sketch_of(batches):
+        for batch in batches:
+            n, a, b, bands, sketch = [], [], [], [], []
+            for _, items in _sets(batch.column("text")):
+                n.append(len(items))
+                a.append(np.add.reduce(items, dtype=np.uint64))
+                b.append(np.add.reduce(mix(items ^ np.uint64(0xD1B54A32D192ED03)), dtype=np.uint64))
+                samples = minhash(items, samples_each) if len(items) else None
+                bands.append(np.empty(0, np.int64) if samples is None else band_keys(samples[: n_bands * ROWS]).view(np.int64))
+                sketch.append(np.empty(0, np.int64) if samples is None else odd_sketch(samples).view(np.int64))
+            yield pa.record_batch([
+                batch.column("doc_id"), pa.array(n, pa.int64()),
+                pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)),
+                pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())),
+            ], names=["doc_id", "n_shingles", "a", "b", "bands", "sketch"])
+
+    return sketch_of
 
 
 def _full_sets(batches):
@@ -321,7 +339,7 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     """
     rows = narrow(docs, doc_id=id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = rows.where(F.col("doc_id").isNotNull())
-    sketched = cut_lineage(known.mapInArrow(_sketched, _SKETCHED))
+    sketched = cut_lineage(known.mapInArrow(_sketched(threshold), _SKETCHED))
     digest = ["n_shingles", "a", "b"]
     classes = (
         sketched.where("n_shingles > 0").groupBy(*digest)

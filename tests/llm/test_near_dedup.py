@@ -59,6 +59,18 @@ def test_blocks_of_an_open_bucket(spark, rng, monkeypatch):
     assert found(spark, texts) == plain(texts)
 
 
+@pytest.mark.parametrize("threshold", [0.7, 0.8, 0.85, 0.95])
+def test_bands_follow_the_threshold(threshold):
+    missed = (1 - threshold**near_dedup.ROWS) ** near_dedup.bands_for(threshold)
+    assert 1e-8 < missed <= near_dedup.MISSED or threshold > 0.9 and missed <= near_dedup.MISSED
+
+
+def test_lower_threshold_like_all_pairs(spark, rng):
+    texts = list(enumerate(drifting(rng, 60, 100, 3) + drifting(rng, 60, 60, 2)))
+    rows = similar_components(spark.createDataFrame(texts, "doc_id long, text string"), threshold=0.8).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == plain(texts, 80)
+
+
 def test_a_passage_that_many_share_links_nothing(spark, rng):
     passage = " ".join(f"p{k}" for k in range(60))
     texts = [(i, passage + " " + " ".join(f"u{i}x{k}" for k in range(60))) for i in range(200)]
