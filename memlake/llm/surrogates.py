@@ -45,6 +45,37 @@ GIVEN = {
     ("m", "cyrillic"): ["Александр", "Дмитрий", "Сергей", "Андрей", "Алексей", "Иван", "Михаил", "Николай"],
     ("f", "cyrillic"): ["Анна", "Мария", "Елена", "Ольга", "Наталья", "Ирина", "Татьяна", "Светлана"],
 }
+#: Given names that are found besides those above; surrogates are not drawn from them. Names that are mostly words
+#: of the language (Will, May, April, Hope, Art) or places (Austin, Paris, Virginia) are left out.
+FOUND = {
+    "m": """John David Richard Joseph Charles Christopher Mark Donald Paul Andrew George Brian Timothy Ronald Jason Jeffrey
+        Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Scott Brandon Benjamin Samuel Gregory Alexander Patrick
+        Raymond Dennis Jerry Tyler Aaron Henry Douglas Peter Adam Nathan Zachary Walter Kyle Harold Carl Jeremy Keith
+        Roger Gerald Ethan Arthur Terry Lawrence Sean Christian Albert Joe Austen Jesse Bryan Billy Bruce Ralph Roy
+        Louis Eugene Philip Bobby Johnny Simon Oliver Harry Jack Luke Martin Adrian Victor Oscar Felix Leon Hugo Max
+        Tom Tim Bob Mike Dave Steve Jim Dan Ben Sam Alex Nick Chris Matt Tony Fred Alan Ian Neil Graham Colin Howard
+        Hans Klaus Karl Heinrich Friedrich Günter Günther Dieter Helmut Manfred Uwe Bernd Rainer Andreas Matthias
+        Tobias Sebastian Florian Jörg Jens Lars Sven Lukas Jonas Jean Jacques Michel Philippe Alain Bernard Luc
+        Nicolas Laurent Olivier Julien Antoine Marc René Étienne Gérard Guillaume Henri José Juan Luis Antonio
+        Francisco Manuel Javier Pedro Jorge Alejandro Fernando Rafael Diego Pablo Sergio Andrés Ángel Ramón Enrique
+        Roberto Ricardo Eduardo Mario Marco Giovanni Giuseppe Paolo Luca Ahmed Mohammed Muhammad Mohamed Ali Omar
+        Hassan Ibrahim Yusuf Raj Ravi Amit Sanjay Vijay Rahul Wei Hiroshi Kenji Takashi Ivan Igor Dmitri Sergei
+        Владимир Юрий Павел Виктор Олег Игорь Константин Роман Василий Пётр Борис Григорий Максим Антон Евгений
+        Никита Илья Кирилл Артём""".split(),
+    "f": """Sarah Karen Lisa Nancy Betty Donna Carol Michelle Amanda Melissa Deborah Stephanie Rebecca Sharon Laura Cynthia
+        Dorothy Amy Kathleen Angela Shirley Brenda Emma Anna Pamela Nicole Samantha Katherine Catherine Christine
+        Helen Debra Rachel Carolyn Janet Maria Heather Diane Olivia Julie Joyce Victoria Ruth Lauren Kelly Christina
+        Joan Evelyn Judith Andrea Hannah Megan Cheryl Jacqueline Martha Teresa Sara Ann Anne Kathryn Gloria Alice
+        Jean Abigail Sophia Sophie Frances Julia Judy Isabella Theresa Diana Natalie Brittany Marie Kayla Alexis Lori
+        Jane Kate Lucy Ella Claire Charlotte Eleanor Fiona Gillian Hazel Irene Joanna Nina Paula Rosemary Sheila Tina
+        Vanessa Wendy Yvonne Anja Birgit Brigitte Christa Claudia Gabriele Gisela Heike Helga Ingrid Jutta Karin Katrin
+        Kerstin Petra Renate Silke Stefanie Susanne Ulrike Ute Greta Anke Isabelle Nathalie Françoise Catherine
+        Martine Monique Jacqueline Valérie Véronique Céline Hélène Élodie Aurélie Camille Juliette Ana Isabel Rosa
+        Pilar Dolores Teresa Cristina Marta Elena Beatriz Raquel Silvia Mónica Inés María Giulia Francesca Chiara
+        Fatima Aisha Leila Priya Anita Sunita Mei Yuki Natasha Svetlana Olga Irina
+        Екатерина Анастасия Юлия Людмила Галина Вера Надежда Валентина Дарья Ксения Полина Виктория Марина Софья
+        Любовь Александра Евгения""".split(),
+}
 SURNAMES = {
     "latin": ["Abbott", "Barnett", "Caldwell", "Donovan", "Ellsworth", "Fairchild", "Garrison", "Holloway",
               "Ingram", "Jennings", "Kendall", "Lockwood", "Merritt", "Norwood", "Osborne", "Prescott", "Quimby",
@@ -54,7 +85,23 @@ SURNAMES = {
 }
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = "|".join(t for some in TITLES.values() for t in some)
-_FIRST = "|".join(n for some in GIVEN.values() for n in some)
+
+
+def _given(gender: str) -> list[str]:
+    """All given names of one gender that are found. A name of both lists is of none."""
+    of = {g: [n for (x, _), some in GIVEN.items() if x == g for n in some] + FOUND[g] for g in FOUND}
+    other = {n for g, some in of.items() if g != gender for n in some}
+    return sorted(set(of[gender]) - other)
+
+
+def _any_of(names: list[str]) -> str:
+    """A pattern for listed names, by their first letters, longer ones first."""
+    heads = sorted({n[0] for n in names})
+    return "|".join(h + "(?:" + "|".join(sorted((n[1:] for n in set(names) if n[0] == h), key=len, reverse=True)) + ")"
+                    for h in heads)
+
+
+_FIRST = _any_of([n for some in GIVEN.values() for n in some] + FOUND["m"] + FOUND["f"])
 TITLED = rf"(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}"
 NAMED = rf"(?:{_FIRST})(?: {_NAME}){{1,2}}"
 #: Everything starts where a word starts, or at a sign that opens a telephone number.
@@ -79,13 +126,16 @@ def _name_segments(mention: Column) -> Column:
     def build(words):
         first = F.regexp_replace(F.get(words, F.lit(0)), r"\.$", "")
         titled = first.isin(*[t for some in TITLES.values() for t in some])
-        man = first.isin(*TITLES["m"], *[n for (g, _), some in GIVEN.items() if g == "m" for n in some])
-        woman = first.isin(*TITLES["f"], *[n for (g, _), some in GIVEN.items() if g == "f" for n in some])
+        man = first.isin(*TITLES["m"], *_given("m"))
+        woman = first.isin(*TITLES["f"], *_given("f"))
         given = F.when(man, "given_m").when(woman, "given_f").otherwise("given_x")
+        # An 's after a name is no part of it, or the name would be another in the genitive.
+        core = lambda w: F.regexp_replace(w, "['’]s$", "")
         return F.flatten(F.transform(words, lambda w, i: F.array(
             _segment(None, F.when(i > 0, " ").otherwise("")),
             _segment(F.when(titled & (i == 0), F.lit(None).cast("string"))
-                     .when(i == F.size(words) - 1, "surname").otherwise(given), w),
+                     .when(i == F.size(words) - 1, "surname").otherwise(given), core(w)),
+            _segment(None, F.substring(w, F.char_length(core(w)) + 1, F.char_length(w))),
         )))
 
     return let(F.split(mention, " "), build)
@@ -243,6 +293,13 @@ def mentions(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(MENTION), F.lit(0)), no_items("string"))
 
 
+def repeats_of(names: Column) -> Column:
+    """A pattern for bare repeats of names in normal form: whole words that begin with a capital."""
+    longest_first = F.sort_array(F.transform(names, lambda n: n["normal"]), asc=False)
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}])(?=\p{Lu})(?iu:"), F.array_join(longest_first, "|"),
+                    F.lit(r")(?![\p{L}\p{N}])"))
+
+
 def entities(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Distinct entities of every document: doc_id, print (of its text), kind, normal."""
     rows = narrow(docs, doc_id=id, _text=text)
@@ -288,7 +345,8 @@ def replace_entities(docs: DataFrame, id: str = "doc_id", text: str = "text", se
 
     Returns doc_id, text, n_entities (mentions) and kinds (of the entities, sorted), one row per input row.
     A surrogate follows from the key, the kind and the entity's normal form, so mentions of one entity agree
-    wherever they are, and mail addresses of one domain share a domain. Only entities whose first try met
+    wherever they are, and mail addresses of one domain share a domain. Names that a title or a listed given
+    name tells are then looked for in the rest of the same text, alone, and replaced there too. Only entities whose first try met
     another's are looked up: their documents get the number of tries by a join, all other rows need none.
 
     Null text: stays null, no entities. Empty and long texts are treated alike; repeated rows each come back;
@@ -319,12 +377,30 @@ def replace_entities(docs: DataFrame, id: str = "doc_id", text: str = "text", se
         return F.when(part["kind"].isNull(), part["value"]).otherwise(
             let(normal_form(part["kind"], part["value"]), known))
 
-    new = split.withColumn("_new", F.transform("_parts", lambda some: F.array_join(F.transform(some, replaced), "")))
+    # Names of the text, a word that is both kinds of name as a surname; what is between the mentions may repeat them.
+    pieces = F.filter(F.flatten("_parts"), lambda p: p["kind"].isin(*_NAMES))
+    found = F.array_distinct(F.transform(pieces, lambda p: F.struct(
+        normal_form(p["kind"], p["value"]).alias("normal"), p["kind"].alias("kind"))))
+    split = split.withColumn("_names", F.filter(found, lambda n: n["normal"] != ""))
+    split = split.withColumn("_bare", F.when(F.size("_names") > 0, repeats_of(F.col("_names"))))
+    split = split.withColumn("_again", F.transform("_gaps", lambda g: F.coalesce(
+        F.regexp_extract_all(g, F.col("_bare"), F.lit(0)), no_items("string"))))
+    n_again = F.aggregate("_again", F.lit(0), lambda n, some: n + F.size(some))
+
+    def repeated(word):
+        kind = F.array_max(F.transform(F.filter("_names", lambda n: n["normal"] == F.lower(word)), lambda n: n["kind"]))
+        return let(_segment(kind, word), replaced)
+
+    filled = F.transform("_gaps", lambda g, i: F.when(F.size(F.get("_again", i)) == 0, g).otherwise(
+        F.array_join(F.transform(F.split(g, F.col("_bare"), -1), lambda rest, k: F.concat(
+            rest, F.coalesce(repeated(F.get(F.get("_again", i), k)), F.lit("")))), "")))
+    new = split.withColumn("_n", F.size("_m") + n_again).withColumn("_gaps", filled).withColumn(
+        "_new", F.transform("_parts", lambda some: F.array_join(F.transform(some, replaced), "")))
     joined = let(F.col("_new"), lambda some: F.array_join(
         F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.get(some, i), F.lit("")))), ""))
     kinds = F.array_sort(F.array_distinct(F.filter(
         F.transform(F.flatten("_parts"), lambda p: p["kind"]), lambda k: k.isNotNull())))
     return new.select(
         "doc_id", F.when(F.size("_m") > 0, joined).otherwise(F.col("text")).alias("text"),
-        F.size("_m").cast("long").alias("n_entities"), kinds.alias("kinds"),
+        F.col("_n").cast("long").alias("n_entities"), kinds.alias("kinds"),
     )

@@ -52,6 +52,31 @@ def test_coreference(spark):
     assert c.startswith(mail.upper()) and c.endswith("@" + mail.split("@")[1])
 
 
+def test_bare_repeats_in_the_same_text(spark):
+    a, b = replaced(spark, "Mary Jones met him. Jones left; JONES's hat and Jones-Bay stay with Mary, not Jonesy or mary.",
+                    "Jones and Mary are strangers here.")
+    m = re.fullmatch(r"(\S+) (\S+) met him\. (\S+) left; (\S+)'s hat and (\S+)-Bay stay with (\S+), not Jonesy or mary\.", a)
+    assert m and m[1] in GIVEN["f", "latin"] and m[1] == m[6] != "Mary"
+    assert m[2] == m[3] == m[5] and m[4] == m[2].upper() and m[2] in SURNAMES["latin"]
+    assert b == "Jones and Mary are strangers here."
+
+
+def test_repeats_count_and_follow_later_tries(spark):
+    names = [f"Name{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)]
+    docs = spark.createDataFrame([(i, f"Mr. {n} came, {n} left.") for i, n in enumerate(names)], "doc_id long, text string")
+    rows = replace_entities(docs).collect()
+    said = [re.fullmatch(r"Mr\. (\S+) came, (\S+) left\.", r["text"]) for r in rows]
+    assert all(m and m[1] == m[2] for m in said) and len({m[1] for m in said}) == len(names)
+    assert {r["n_entities"] for r in rows} == {2}
+
+
+def test_given_names_beyond_the_surrogates(spark):
+    new = replaced(spark, "John Miller, Sarah O'Neill's friend, wrote to David Baker-Hill. O'Neill read it.")[0]
+    m = re.fullmatch(r"(\S+) (\S+), (\S+) (\S+)'s friend, wrote to (\S+) (\S+)\. (\S+) read it\.", new)
+    assert m[1] in GIVEN["m", "latin"] and m[5] in GIVEN["m", "latin"] and m[3] in GIVEN["f", "latin"]
+    assert m[4] == m[7] and not {"Miller", "O'Neill", "Baker-Hill"} & set(m.groups())
+
+
 def test_the_key_decides(spark):
     text = "Call +1 (914) 555-2760."
     assert replaced(spark, text, secret="a") == replaced(spark, text, secret="a") != replaced(spark, text, secret="b")
