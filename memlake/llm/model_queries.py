@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlake.llm import class_lm, html_main, language_id, near_dedup, sharding
+from memlake.llm import class_lm, html_main, language_id, near_dedup, pieces, sharding
 from memlake.llm.base import query, read
 
 
@@ -71,3 +71,22 @@ def op4_class_lm(spark, sf_dir):
         "doc_id", away.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         "base_score", "score",
     )
+
+
+def piece_model() -> str:
+    """The public 32k merge vocabulary of the machine; other models are passed to the operator by their path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op11_piece_ids")
+def op11_piece_ids(spark, sf_dir):
+    """Ids of every text in a merge vocabulary, and the text that they decode to."""
+    model = piece_model()
+    encoded = pieces.encode(read(spark, sf_dir, "documents"), model, eos=True).select("doc_id", "pieces")
+    ids = F.col("pieces")["ids"]
+    return encoded.select(
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"), pieces.digest(ids).alias("ids_sha256"),
+        F.sha2(pieces.decode(ids, model), 256).alias("decoded_sha256"), F.col("pieces")["agrees"].alias("agrees"),
+    )
