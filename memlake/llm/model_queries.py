@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlake.llm import class_lm, html_main, language_id, near_dedup, pieces, sharding
+from memlake.llm import class_lm, hard_negatives, html_main, language_id, near_dedup, pieces, sharding
 from memlake.llm.base import query, read
 
 
@@ -90,3 +90,36 @@ def op11_piece_ids(spark, sf_dir):
         "doc_id", F.size(ids).cast("long").alias("n_tokens"), pieces.digest(ids).alias("ids_sha256"),
         F.sha2(pieces.decode(ids, model), 256).alias("decoded_sha256"), F.col("pieces")["agrees"].alias("agrees"),
     )
+
+
+NEGATIVES_SQL = """
+WITH base AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END::BIGINT AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other,
+    coalesce(list_sum(list_transform(list_zip(a.v, b.v),
+      lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))), 0)::BIGINT AS score
+  FROM base a JOIN base b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positive AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def op12_hard_negatives(spark, sf_dir):
+    """Rows of other labels that score nearly as high as an anchor's best rows of its own label."""
+    rows = hard_negatives.usable(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    moved = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    # A row without an id isn't divisible by anything.
+    rows = rows.withColumn("label", F.when(F.col("id") == hard_negatives.NO_ID, F.col("label")).otherwise(moved))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
