@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlake.llm import class_lm, hard_negatives, html_main, language_id, near_dedup, pieces, sharding
+from memlake.llm import class_lm, hard_negatives, html_main, language_id, near_dedup, pieces, sharding, turns
 from memlake.llm.base import query, read
 
 
@@ -123,3 +123,79 @@ def op12_hard_negatives(spark, sf_dir):
     # A row without an id isn't divisible by anything.
     rows = rows.withColumn("label", F.when(F.col("id") == hard_negatives.NO_ID, F.col("label")).otherwise(moved))
     return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+TURNS_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i AS byte, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL
+  SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY byte) AS t FROM bits WHERE k = 8),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+hashed AS (
+  SELECT * EXCLUDE (name), xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(name, '.'), lambda x: ascii(x)::BIGINT)),
+    lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1])), 4294967295) % 20 AS fault
+  FROM named, crc),
+broken AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM broken),
+judged AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    CASE substr(role, 1, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS kind,
+    i > 1 AND substr(lag(role) OVER w, 1, 1) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au') AS illegal
+  FROM placed WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal, max(i) AS n
+  FROM judged GROUP BY conv_id),
+inserts(s, put, at, added) AS (VALUES
+  (0, '', 0, []), (0, 'I', 2, ['user:']), (0, 'II', 3, ['user:', 'assistant:']),
+  (1, '', 1, []), (1, 'I', 2, ['user:']), (1, 'II', 3, ['user:', 'assistant:']),
+  (2, '', 2, []), (2, 'I', 3, ['assistant:']), (2, 'II', 2, ['assistant:', 'user:']),
+  (3, '', 3, []), (3, 'I', 2, ['user:']), (3, 'II', 3, ['user:', 'assistant:'])),
+steps AS (
+  SELECT s, put || edit AS put, added, edit, at,
+    2 * len(put) + CASE edit WHEN 'D' THEN 3 WHEN 'K' THEN 0 ELSE 2 END AS paid
+  FROM inserts, (VALUES ('D'), ('K'), ('R')) e(edit)),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS s, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS said FROM counted
+  UNION ALL
+  SELECT conv_id, i, s, cost, audit, said FROM (
+    SELECT w.conv_id, r.i, w.cost + paid + (edit <> 'D' AND fault = 'truncated')::INT AS cost, audit || put AS audit,
+      CASE edit WHEN 'D' THEN at WHEN 'K' THEN kind ELSE CASE at WHEN 2 THEN 3 ELSE 2 END END AS s,
+      list_concat(said, added, CASE edit WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text]
+        ELSE [CASE at WHEN 2 THEN 'assistant:' ELSE 'user:' END || text] END) AS said
+    FROM walk w JOIN judged r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1 JOIN steps USING (s)
+    WHERE (edit = 'D' OR fault NOT IN ('blank', 'duplicate'))
+      AND (edit <> 'K' OR kind = 1 AND at = 0 OR kind = 2 AND at <> 2 OR kind = 3 AND at = 2))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, s ORDER BY cost, audit) = 1),
+ended AS (
+  SELECT w.conv_id, cost + CASE s WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END AS cost,
+    audit || CASE s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit,
+    list_concat(said, CASE s WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END) AS said
+  FROM walk w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = c.n
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY 2, 3) = 1)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+  coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+@query("op13_turn_repair", TURNS_SQL)
+def op13_turn_repair(spark, sf_dir):
+    """The cheapest edits after which the roles of every damaged conversation take turns."""
+    return turns.repair(turns.damaged(read(spark, sf_dir, "conversations")))
