@@ -159,13 +159,13 @@ counted AS (
     count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
     count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal, max(i) AS n
   FROM judged GROUP BY conv_id),
-inserts(s, put, at, added) AS (VALUES
+inserts(s, put, mid, added) AS (VALUES
   (0, '', 0, []), (0, 'I', 2, ['user:']), (0, 'II', 3, ['user:', 'assistant:']),
   (1, '', 1, []), (1, 'I', 2, ['user:']), (1, 'II', 3, ['user:', 'assistant:']),
   (2, '', 2, []), (2, 'I', 3, ['assistant:']), (2, 'II', 2, ['assistant:', 'user:']),
   (3, '', 3, []), (3, 'I', 2, ['user:']), (3, 'II', 3, ['user:', 'assistant:'])),
 steps AS (
-  SELECT s, put || edit AS put, added, edit, at,
+  SELECT s, put || edit AS put, added, edit, mid,
     2 * len(put) + CASE edit WHEN 'D' THEN 3 WHEN 'K' THEN 0 ELSE 2 END AS paid
   FROM inserts, (VALUES ('D'), ('K'), ('R')) e(edit)),
 walk AS (
@@ -173,26 +173,26 @@ walk AS (
   UNION ALL
   SELECT conv_id, i, s, cost, audit, said FROM (
     SELECT w.conv_id, r.i, w.cost + paid + (edit <> 'D' AND fault = 'truncated')::INT AS cost, audit || put AS audit,
-      CASE edit WHEN 'D' THEN at WHEN 'K' THEN kind ELSE CASE at WHEN 2 THEN 3 ELSE 2 END END AS s,
+      CASE edit WHEN 'D' THEN mid WHEN 'K' THEN kind ELSE CASE mid WHEN 2 THEN 3 ELSE 2 END END AS s,
       list_concat(said, added, CASE edit WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text]
-        ELSE [CASE at WHEN 2 THEN 'assistant:' ELSE 'user:' END || text] END) AS said
+        ELSE [CASE mid WHEN 2 THEN 'assistant:' ELSE 'user:' END || text] END) AS said
     FROM walk w JOIN judged r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1 JOIN steps USING (s)
     WHERE (edit = 'D' OR fault NOT IN ('blank', 'duplicate'))
-      AND (edit <> 'K' OR kind = 1 AND at = 0 OR kind = 2 AND at <> 2 OR kind = 3 AND at = 2))
+      AND (edit <> 'K' OR kind = 1 AND mid = 0 OR kind = 2 AND mid <> 2 OR kind = 3 AND mid = 2))
   QUALIFY row_number() OVER (PARTITION BY conv_id, s ORDER BY cost, audit) = 1),
 ended AS (
   SELECT w.conv_id, cost + CASE s WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END AS cost,
     audit || CASE s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit,
     list_concat(said, CASE s WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END) AS said
-  FROM walk w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = c.n
-  QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY 2, 3) = 1)
+  FROM walk w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = c.n),
+chosen AS (SELECT * FROM ended QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1)
 SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
   coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
   coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
   sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
-LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+LEFT JOIN chosen e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
 
 
 @query("op13_turn_repair", TURNS_SQL)
