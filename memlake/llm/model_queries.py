@@ -83,12 +83,11 @@ def piece_model() -> str:
 @query("op11_piece_ids")
 def op11_piece_ids(spark, sf_dir):
     """Ids of every text in a merge vocabulary, and the text that they decode to."""
-    model = piece_model()
-    encoded = pieces.encode(read(spark, sf_dir, "documents"), model, eos=True).select("doc_id", "pieces")
+    encoded = pieces.encode(read(spark, sf_dir, "documents"), piece_model(), eos=True, back=True)
     ids = F.col("pieces")["ids"]
     return encoded.select(
         "doc_id", F.size(ids).cast("long").alias("n_tokens"), pieces.digest(ids).alias("ids_sha256"),
-        F.sha2(pieces.decode(ids, model), 256).alias("decoded_sha256"), F.col("pieces")["agrees"].alias("agrees"),
+        F.sha2(F.col("pieces")["decoded"], 256).alias("decoded_sha256"),
     )
 
 

@@ -13,7 +13,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,32 @@ SPACE = "▁"
 #: Characters of a text that are encoded at once, where a word ends.
 CHUNK = 1 << 20
 #: Characters of words that a worker remembers before it starts anew.
-REMEMBERED = 1 << 21
-_ENCODED = "struct<ids:array<int>,agrees:boolean>"
+REMEMBERED = 1 << 22
+#: New words after which a check is due, and how many of them make one text.
+FRESH = 1 << 15
+JOINED = 1 << 9
+CHECKS = ("words", "texts", "none")
+
+
+class _Known(dict):
+    """Words or parts of words and their ids as bytes; what is not known yet is found and noted as ``fresh``."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find, self.fresh, self.held = find, [], 0
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.find(word)
+        self.fresh.append(word)
+        self.held += len(word)
+        return ids
+
+    def checked(self) -> None:
+        """Nothing is new any more. Starts anew when much is held."""
+        self.fresh = []
+        if self.held > REMEMBERED:
+            self.clear()
+            self.held = 0
 
 
 class Vocabulary:
@@ -70,15 +94,17 @@ class Vocabulary:
         cuttable = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces)
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if cuttable else "(?s:.+)")
         self.word_end = re.compile(f"(?<=[^{SPACE}])(?={SPACE})") if cuttable else None
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.held = 0
+        #: Neighbours inside some piece; no piece spans any others.
+        self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.known, self.parts = _Known(self.word_ids), _Known(self.part_ids)
 
     def normalized(self, text: str) -> str:
         """The text with marks for blanks, one in front if the model says so."""
         if self.squeeze:
-            text = re.sub(" {2,}", " ", text.strip(" "))
+            text = re.sub(" {2,}", " ", text.lstrip(" "))
         text = text.replace(" ", SPACE)
-        return SPACE + text if text and self.prefix else text
+        text = SPACE + text if text and self.prefix else text
+        return text.rstrip(SPACE) if self.squeeze else text
 
     def merged(self, word: str) -> list[str]:
         """The symbols that are left of a run of characters."""
@@ -112,18 +138,26 @@ class Vocabulary:
                     heappush(agenda, (found[0], prior, size + len(symbols[prior])))
         return [s for s in symbols if s]
 
-    def word_ids(self, word: str) -> tuple[int, ...]:
-        """Ids of one word; a symbol without a piece becomes the pieces of its bytes, or the unknown id."""
-        ids: list[int] = []
-        for symbol in self.merged(word):
+    def part_ids(self, part: str) -> bytes:
+        """Ids of merged symbols; one without a piece becomes the pieces of its bytes, or the unknown id."""
+        ids = array("i")
+        for symbol in self.merged(part):
             found = self.pieces.get(symbol)
             if found:
                 ids.append(found[1])
             elif self.byte_fallback:
-                ids.extend(self.bytes[b] for b in symbol.encode())
+                ids.extend([self.bytes[b] for b in symbol.encode()])
             else:
                 ids.append(self.unknown)
-        return tuple(ids)
+        return ids.tobytes()
+
+    def word_ids(self, word: str) -> bytes:
+        """Ids of one word, whose parts between neighbours that no piece holds are merged by themselves."""
+        pairs = self.pairs
+        cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in pairs]
+        if not cuts:
+            return self.parts[word]
+        return b"".join([self.parts[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)])])
 
     def _blocks(self, text: str) -> Iterator[str]:
         """A long text in parts that end where a word does."""
@@ -136,26 +170,33 @@ class Vocabulary:
             at = cut.start()
         yield text[at:] if at else text
 
-    def encode(self, text: str, bos: bool = False, eos: bool = False) -> array:
-        ids = array("i", [self.bos] if bos else [])
+    def encode(self, text: str, bos: bool = False, eos: bool = False) -> np.ndarray:
+        parts = [np.array([self.bos] if bos else [], np.int32).tobytes()]
         for block in self._blocks(self.normalized(text)):
-            words = self.words.findall(block)
-            if self.held > REMEMBERED:
-                self.known, self.held = {}, 0
-            known = self.known
-            for word in set(words).difference(known):
-                known[word] = self.word_ids(word)
-                self.held += len(word)
-            ids.extend(chain.from_iterable(map(known.__getitem__, words)))
+            parts.append(b"".join(map(self.known.__getitem__, self.words.findall(block))))
+        ids = np.frombuffer(b"".join(parts), np.int32)
         if not self.byte_fallback:
             # Unknown symbols in a row are one.
-            kept = np.frombuffer(ids, np.int32) if ids else np.empty(0, np.int32)
-            again = np.zeros(len(kept), bool)
-            again[1:] = (kept[1:] == self.unknown) & (kept[:-1] == self.unknown)
-            ids = array("i", kept[~again].tobytes())
-        if eos:
-            ids.append(self.eos)
-        return ids
+            again = np.zeros(len(ids), bool)
+            again[1:] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+            ids = ids[~again]
+        return np.append(ids, np.int32(self.eos)) if eos else ids
+
+    def check(self) -> None:
+        """Have the library encode and decode all words that were found since the last check; raises if it differs.
+
+        Words of one mark and some characters are checked as one text.
+        """
+        fresh, self.known.fresh = self.known.fresh, []
+        simple = [w for w in fresh if w[0] == SPACE and w[1:2] not in ("", SPACE)] if self.prefix else []
+        other = [w for w in fresh if w[0] != SPACE or w[1:2] in ("", SPACE)] if self.prefix else fresh
+        texts = ["".join(simple[i : i + JOINED])[1:] for i in range(0, len(simple), JOINED)]
+        for text in texts + [w[self.prefix and w[0] == SPACE :] for w in other]:
+            ids = self.encode(text).tolist()
+            if ids != self.library.encode(text) or self.decode(ids) != self.library.decode(ids):
+                raise RuntimeError(f"the sentencepiece library has other ids for {text[:80]!r}")
+        self.known.checked()
+        self.parts.checked()
 
     def decode(self, ids: list[int]) -> str:
         """The text of a list of ids; a byte that is part of no character becomes U+FFFD."""
@@ -180,36 +221,45 @@ def vocabulary(model: bytes) -> Vocabulary:
     return Vocabulary(model)
 
 
-def _lists(parts: list[array]) -> pa.Array:
+def _lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) for p in parts], out=offsets[1:])
-    flat = np.frombuffer(b"".join(p.tobytes() for p in parts), np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.empty(0, np.int32)])))
 
 
 def encode(
     docs: DataFrame, model: str, text: str = "text", name: str = "pieces", bos: bool = False, eos: bool = False,
-    check: bool = True,
+    back: bool = False, check: str = "words",
 ) -> DataFrame:
-    """Add ``name``: a struct of ``ids``, the ids of every whole text, and ``agrees``.
+    """Add ``name``: a struct of ``ids``, the ids of every whole text, and ``decoded``, their text if ``back`` asks.
 
     ``model`` is the path of a model file on the driver; its bytes go to the tasks. A null text counts as empty and an
-    empty text has no ids but the asked ends. ``check`` has the sentencepiece library encode each Arrow batch as well:
-    ``agrees`` tells whether its ids are the same, and is null without a check. Ids are never taken from the library.
-    Rows, their other columns and repeated rows stay as they are; a column called ``name`` is replaced.
+    empty text has no ids but the asked ends. The ids are never the library's, but each Arrow batch is checked against
+    it: all new words (of which every text is made, since no piece spans the start of a word), all whole ``texts``, or
+    ``none``; a difference fails the job. Rows, their other columns and repeated rows stay as they are; a column called
+    ``name`` is replaced.
     """
+    if check not in CHECKS:
+        raise ValueError(f"check must be one of {CHECKS}")
     shared = docs.sparkSession.sparkContext.broadcast(_model_bytes(model))
 
-    @F.arrow_udf(_ENCODED)
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
     def run(texts: pa.Array) -> pa.Array:
         words = vocabulary(shared.value)
-        rows = pc.fill_null(texts, "").to_pylist()
-        parts = [words.encode(row, bos, eos) for row in rows]
-        same = pa.nulls(len(rows), pa.bool_())
-        if check:
-            asked = (words.library.encode(row, add_bos=bos, add_eos=eos) for row in rows)
-            same = pa.array([part.tolist() == ids for part, ids in zip(parts, asked)], pa.bool_())
-        return pa.StructArray.from_arrays([_lists(parts), same], ["ids", "agrees"])
+        parts, shown = [], []
+        for scalar in texts:
+            row = scalar.as_py() or ""
+            parts.append(words.encode(row, bos, eos))
+            if back:
+                shown.append(words.decode(parts[-1].tolist()))
+            if check == "texts" and words.library.encode(row, add_bos=bos, add_eos=eos) != parts[-1].tolist():
+                raise RuntimeError(f"the sentencepiece library has other ids for {row[:80]!r}")
+            if check == "words" and len(words.known.fresh) > FRESH:
+                words.check()
+        if check == "words":
+            words.check()
+        shown = pa.array(shown, pa.string()) if back else pa.nulls(len(texts), pa.string())
+        return pa.StructArray.from_arrays([_lists(parts), shown], ["ids", "decoded"])
 
     return docs.withColumn(name, run(as_key(text)))
 

@@ -75,12 +75,27 @@ def test_agenda_takes_the_best_pair_and_the_leftmost_of_equals():
 def test_long_texts_and_forgotten_words(rng, monkeypatch):
     monkeypatch.setattr(pieces, "CHUNK", 500)
     monkeypatch.setattr(pieces, "REMEMBERED", 300)
+    monkeypatch.setattr(pieces, "FRESH", 2)
     known, library = pieces.Vocabulary(MODELS["plain"]), SentencePieceProcessor(model_file=MODEL)
     for text in (
         " ".join("".join(rng.choices("abcdeäß", k=rng.randint(1, 9))) for _ in range(3000)),
         "x" * 100_000, " " * 3001, ("a" * 499 + "  ") * 20,
     ):
         assert known.encode(text).tolist() == library.encode(text)
+        known.check()
+
+
+@pytest.mark.parametrize("kind", MODELS)
+def test_check_finds_a_wrong_word(kind):
+    known = pieces.Vocabulary(MODELS[kind])
+    known.encode("so the  house stands\nthere ")
+    known.check()
+    assert not known.known.fresh
+    known.encode("all well")
+    word = known.known.fresh[-1]
+    known.known[word] = b"\x05\0\0\0"
+    with pytest.raises(RuntimeError):
+        known.check()
 
 
 def test_models_that_need_other_rules_are_refused():
@@ -92,15 +107,15 @@ def test_models_that_need_other_rules_are_refused():
 
 def test_odd_rows(spark, odd_docs, no_docs):
     docs = odd_docs.withColumn("pieces", F.lit("clash"))
-    rows = pieces.encode(docs, MODEL, eos=True).collect()
+    rows = pieces.encode(docs, MODEL, eos=True, back=True).collect()
     library = SentencePieceProcessor(model_file=MODEL)
     assert len(rows) == docs.count()
     for row in rows:
         assert list(row["pieces"]["ids"]) == library.encode(row["text"] or "", add_eos=True)
-        assert row["pieces"]["agrees"]
+        assert row["pieces"]["decoded"] == (row["text"] or "")
     assert pieces.encode(no_docs, MODEL).count() == 0
-    back = pieces.encode(odd_docs, MODEL, check=False)
-    back = back.select("text", pieces.decode(F.col("pieces")["ids"], MODEL).alias("b"), F.col("pieces")["agrees"].alias("c"))
+    back = pieces.encode(odd_docs, MODEL, check="texts")
+    back = back.select("text", pieces.decode(F.col("pieces")["ids"], MODEL).alias("b"), F.col("pieces")["decoded"].alias("c"))
     assert all(r["b"] == (r["text"] or "") and r["c"] is None for r in back.collect())
     lists = spark.createDataFrame([([1, None, 99_999, 306],), (None,), ([],)], "ids array<int>")
     assert {r["t"] for r in lists.select(pieces.decode(F.col("ids"), MODEL).alias("t")).collect()} == {
@@ -117,4 +132,4 @@ def test_query(spark, sf_dir):
         ids = library.encode(doc["text"] or "", add_eos=True)
         row = found[doc["doc_id"]]
         assert (row["n_tokens"], row["ids_sha256"]) == (len(ids), sha(" ".join(map(str, ids))))
-        assert row["decoded_sha256"] == sha(library.decode(ids)) and row["agrees"]
+        assert row["decoded_sha256"] == sha(library.decode(ids))
