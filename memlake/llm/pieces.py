@@ -13,6 +13,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 from operator import add
 
 import numpy as np
@@ -26,8 +27,11 @@ from memlake.llm.base import as_key
 SPACE = "▁"
 #: Characters of a text that are encoded at once, where a word ends.
 CHUNK = 1 << 20
-#: Characters of words that a worker remembers before it starts anew.
-REMEMBERED = 1 << 22
+#: Characters of words that a worker remembers before it starts to forget.
+REMEMBERED = 1 << 21
+#: Symbols up to which the agenda is a plain list; of more symbols it is a heap.
+FEW = 24
+_NO_PIECE = 1 << 40
 #: New words after which a check is due, and how many of them make one text.
 FRESH = 1 << 15
 JOINED = 1 << 9
@@ -39,18 +43,22 @@ class _Known(dict):
 
     def __init__(self, find):
         super().__init__()
-        self.find, self.fresh, self.held = find, [], 0
+        self.find, self.fresh, self.held, self.earlier = find, [], 0, {}
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = ids = self.find(word)
-        self.fresh.append(word)
+        ids = self.earlier.get(word)
+        if ids is None:
+            ids = self.find(word)
+            self.fresh.append(word)
+        self[word] = ids
         self.held += len(word)
         return ids
 
     def checked(self) -> None:
-        """Nothing is new any more. Starts anew when much is held."""
+        """Nothing is new any more. When much is held, what was not asked for since the last time is forgotten."""
         self.fresh = []
         if self.held > REMEMBERED:
+            self.earlier = dict(self)
             self.clear()
             self.held = 0
 
@@ -75,8 +83,11 @@ class Vocabulary:
         self.prefix = proto.normalizer_spec.add_dummy_prefix
         self.squeeze = proto.normalizer_spec.remove_extra_whitespaces
         self.bos, self.eos, self.unknown = (self.library.bos_id(), self.library.eos_id(), self.library.unk_id())
-        #: Piece to (order on the agenda, id).
-        self.pieces = {p.piece: (-p.score, i) for i, p in enumerate(proto.pieces) if p.type == kinds.NORMAL}
+        normal = [(p.piece, p.score, i) for i, p in enumerate(proto.pieces) if p.type == kinds.NORMAL]
+        place = {score: k for k, score in enumerate(sorted({score for _, score, _ in normal}, reverse=True))}
+        #: Piece to its place on the agenda, the same for equal scores, and to its id.
+        self.order = {piece: place[score] for piece, score, _ in normal}
+        self.pieces = {piece: i for piece, _, i in normal}
         self.bytes = [-1] * 256
         for i, p in enumerate(proto.pieces):
             if p.type == kinds.BYTE:
@@ -109,13 +120,20 @@ class Vocabulary:
     def merged(self, word: str) -> list[str]:
         """The symbols that are left of a run of characters."""
         symbols, n = list(word), len(word)
-        pieces = self.pieces
+        get = self.order.get
+        agenda = list(map(get, map(add, word, word[1:]), repeat(_NO_PIECE)))
+        if n <= FEW:
+            while agenda and (best := min(agenda)) < _NO_PIECE:
+                left = agenda.index(best)
+                joined = symbols[left] = symbols[left] + symbols.pop(left + 1)
+                del agenda[left]
+                if left < len(agenda):
+                    agenda[left] = get(joined + symbols[left + 1], _NO_PIECE)
+                if left:
+                    agenda[left - 1] = get(symbols[left - 1] + joined, _NO_PIECE)
+            return symbols
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            found = pieces.get(symbols[i] + symbols[i + 1])
-            if found:
-                agenda.append((found[0], i, 2))
+        agenda = [(order, i, 2) for i, order in enumerate(agenda) if order < _NO_PIECE]
         heapify(agenda)
         while agenda:
             _, left, size = heappop(agenda)
@@ -128,14 +146,14 @@ class Vocabulary:
             beyond = after[left] = after[right]
             if beyond < n:
                 before[beyond] = left
-                found = pieces.get(joined + symbols[beyond])
-                if found:
-                    heappush(agenda, (found[0], left, size + len(symbols[beyond])))
+                found = get(joined + symbols[beyond])
+                if found is not None:
+                    heappush(agenda, (found, left, size + len(symbols[beyond])))
             prior = before[left]
             if prior >= 0:
-                found = pieces.get(symbols[prior] + joined)
-                if found:
-                    heappush(agenda, (found[0], prior, size + len(symbols[prior])))
+                found = get(symbols[prior] + joined)
+                if found is not None:
+                    heappush(agenda, (found, prior, size + len(symbols[prior])))
         return [s for s in symbols if s]
 
     def part_ids(self, part: str) -> bytes:
@@ -143,8 +161,8 @@ class Vocabulary:
         ids = array("i")
         for symbol in self.merged(part):
             found = self.pieces.get(symbol)
-            if found:
-                ids.append(found[1])
+            if found is not None:
+                ids.append(found)
             elif self.byte_fallback:
                 ids.extend([self.bytes[b] for b in symbol.encode()])
             else:

@@ -57,18 +57,18 @@ def test_any_ids_decode_as_in_the_library(ids):
     assert pieces.vocabulary(MODELS["plain"]).decode(ids) == SentencePieceProcessor(model_file=MODEL).decode(ids)
 
 
-def test_agenda_takes_the_best_pair_and_the_leftmost_of_equals():
+@pytest.mark.parametrize("few", [0, 1000])
+def test_agenda_takes_the_best_pair_and_the_leftmost_of_equals(monkeypatch, few):
     known = pieces.vocabulary(MODELS["plain"])
-    best = {}
-    for word in ("▁thethe", "aaaaa", "▁▁▁▁▁▁▁", "▁internationalisation"):
+    monkeypatch.setattr(pieces, "FEW", few)
+    for word in ("▁thethe", "aaaaa", "▁▁▁▁▁▁▁", "▁internationalisation", "▁" + "abracadabra" * 5):
         symbols = list(word)
         while True:
-            pairs = [(known.pieces[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in known.pieces]
+            pairs = [(known.order[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in known.order]
             if not pairs:
                 break
-            i = min(pairs, key=lambda p: (p[0][0], p[1]))[1]
+            i = min(pairs)[1]
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-        best[word] = symbols
         assert known.merged(word) == symbols
 
 
