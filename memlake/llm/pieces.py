@@ -2,7 +2,7 @@
 
 A text is cut into symbols of one character. An agenda holds the adjacent pairs of symbols that are pieces of the
 vocabulary, best score first and the leftmost first among equals; the best pair becomes one symbol until the agenda is
-empty. No piece spans the start of a word in most vocabularies, so words can be merged one by one and remembered.
+empty. Runs of characters that no piece spans are merged one by one and remembered.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ SPACE = "▁"
 #: Characters of a text that are encoded at once, where a word ends.
 CHUNK = 1 << 20
 #: Characters of words that a worker remembers before it starts to forget.
-REMEMBERED = 1 << 21
+REMEMBERED = 1 << 22
 #: Symbols up to which the agenda is a plain list; of more symbols it is a heap.
 FEW = 24
 _NO_PIECE = 1 << 40
@@ -39,7 +39,7 @@ CHECKS = ("words", "texts", "none")
 
 
 class _Known(dict):
-    """Words or parts of words and their ids as bytes; what is not known yet is found and noted as ``fresh``."""
+    """Runs and their ids as bytes; what is not known yet is found and noted as ``fresh``."""
 
     def __init__(self, find):
         super().__init__()
@@ -102,12 +102,29 @@ class Vocabulary:
         ]
         self.control = {i for i, p in enumerate(proto.pieces) if p.type == kinds.CONTROL}
         self.normal = {i for i, p in enumerate(proto.pieces) if p.type == kinds.NORMAL}
-        cuttable = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces)
-        self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if cuttable else "(?s:.+)")
-        self.word_end = re.compile(f"(?<=[^{SPACE}])(?={SPACE})") if cuttable else None
         #: Neighbours inside some piece; no piece spans any others.
         self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
-        self.known, self.parts = _Known(self.word_ids), _Known(self.part_ids)
+        self.words, self.word_end = self._cuts()
+        self.known = _Known(self.word_ids)
+
+    def _cuts(self) -> tuple[re.Pattern, re.Pattern | None]:
+        """Patterns of runs that can be merged by themselves, and of places between them.
+
+        A run is marks with letters or with other characters. Letters that stand beside other characters in some piece
+        count as such, so that no piece spans two runs.
+        """
+        if any(b == SPACE != a for a, b in self.pairs):
+            return re.compile("(?s:.+)"), None
+        letter, others = re.compile(r"[^\W\d_]"), ""
+        while True:
+            is_letter = lambda c: bool(letter.match(c)) and c not in others  # noqa: B023, E731
+            odd = {(a if is_letter(a) else b) for a, b in self.pairs if a != SPACE and is_letter(a) != is_letter(b)}
+            if not odd:
+                break
+            others += "".join(sorted(odd))
+        kept = re.escape(others)
+        runs = rf"{SPACE}*[^\W\d_{kept}]+|{SPACE}*(?:(?!{SPACE})[\W\d_{kept}])+|{SPACE}+"
+        return re.compile(runs), re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 
     def normalized(self, text: str) -> str:
         """The text with marks for blanks, one in front if the model says so."""
@@ -156,10 +173,10 @@ class Vocabulary:
                     heappush(agenda, (found, prior, size + len(symbols[prior])))
         return [s for s in symbols if s]
 
-    def part_ids(self, part: str) -> bytes:
-        """Ids of merged symbols; one without a piece becomes the pieces of its bytes, or the unknown id."""
+    def word_ids(self, word: str) -> bytes:
+        """Ids of one run; a symbol without a piece becomes the pieces of its bytes, or the unknown id."""
         ids = array("i")
-        for symbol in self.merged(part):
+        for symbol in self.merged(word):
             found = self.pieces.get(symbol)
             if found is not None:
                 ids.append(found)
@@ -169,14 +186,6 @@ class Vocabulary:
                 ids.append(self.unknown)
         return ids.tobytes()
 
-    def word_ids(self, word: str) -> bytes:
-        """Ids of one word, whose parts between neighbours that no piece holds are merged by themselves."""
-        pairs = self.pairs
-        cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in pairs]
-        if not cuts:
-            return self.parts[word]
-        return b"".join([self.parts[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)])])
-
     def _blocks(self, text: str) -> Iterator[str]:
         """A long text in parts that end where a word does."""
         at = 0
@@ -192,41 +201,49 @@ class Vocabulary:
         parts = [np.array([self.bos] if bos else [], np.int32).tobytes()]
         for block in self._blocks(self.normalized(text)):
             parts.append(b"".join(map(self.known.__getitem__, self.words.findall(block))))
-        ids = np.frombuffer(b"".join(parts), np.int32)
-        if not self.byte_fallback:
-            # Unknown symbols in a row are one.
-            again = np.zeros(len(ids), bool)
-            again[1:] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
-            ids = ids[~again]
+        ids = self._told(np.frombuffer(b"".join(parts), np.int32))
         return np.append(ids, np.int32(self.eos)) if eos else ids
 
-    def check(self) -> None:
-        """Have the library encode and decode all words that were found since the last check; raises if it differs.
+    def _told(self, ids: np.ndarray) -> np.ndarray:
+        """Unknown symbols in a row are one."""
+        if self.byte_fallback:
+            return ids
+        again = np.zeros(len(ids), bool)
+        again[1:] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+        return ids[~again]
 
-        Words of one mark and some characters are checked as one text.
-        """
+    def _one_text(self, runs: list[str]) -> list[str]:
+        """Runs that stand by themselves if they are joined: between two that would grow together another one is put."""
+        letter, other = SPACE + "a", SPACE + "."
+        return [x for r in runs for x in ([] if r[0] == SPACE else [letter if self.words.match(letter + r).end() == 2 else other]) + [r]]
+
+    def check(self) -> None:
+        """Have the library encode all runs that were found since the last check; raises if it differs."""
         fresh, self.known.fresh = self.known.fresh, []
-        simple = [w for w in fresh if w[0] == SPACE and w[1:2] not in ("", SPACE)] if self.prefix else []
-        other = [w for w in fresh if w[0] != SPACE or w[1:2] in ("", SPACE)] if self.prefix else fresh
-        texts = ["".join(simple[i : i + JOINED])[1:] for i in range(0, len(simple), JOINED)]
-        for text in texts + [w[self.prefix and w[0] == SPACE :] for w in other]:
-            ids = self.encode(text).tolist()
-            if ids != self.library.encode(text) or self.decode(ids) != self.library.decode(ids):
+        some = [r for r in fresh if r.strip(SPACE)]
+        joined = [self._one_text(some[i : i + JOINED]) for i in range(0, len(some), JOINED)]
+        for runs in joined + [[r] for r in fresh if not r.strip(SPACE)]:
+            whole = "".join(runs)
+            text = whole[1:] if self.prefix else whole
+            ids = self._told(np.frombuffer(b"".join(map(self.known.__getitem__, runs)), np.int32)).tolist()
+            if self.normalized(text) == whole and ids != self.library.encode(text):
                 raise RuntimeError(f"the sentencepiece library has other ids for {text[:80]!r}")
         self.known.checked()
-        self.parts.checked()
 
     def decode(self, ids: list[int]) -> str:
         """The text of a list of ids; a byte that is part of no character becomes U+FFFD."""
-        first, squeezed = 0, False
-        # Marks are left out until a piece has given text.
-        while first < len(ids) and ids[first] in self.control:
-            first += 1
-        raw = b"".join(map(self.surface.__getitem__, ids[first:]))
-        if (self.prefix or self.squeeze) and first < len(ids) and ids[first] in self.normal:
-            while raw.startswith(b" ") and not squeezed:
-                raw = raw[1:]
-                squeezed = not self.squeeze
+        shown = list(map(self.surface.__getitem__, ids))
+        if self.prefix or self.squeeze:
+            # Pieces lose a mark until one has given text.
+            for i, id in enumerate(ids):
+                if id in self.normal:
+                    marked = shown[i].startswith(b" ")
+                    shown[i] = shown[i][marked:]
+                    if shown[i] or marked and not self.squeeze:
+                        break
+                elif id not in self.control:
+                    break
+        raw = b"".join(shown)
         return raw.decode("utf-8", "memlake.each_byte")
 
 
@@ -253,7 +270,7 @@ def encode(
 
     ``model`` is the path of a model file on the driver; its bytes go to the tasks. A null text counts as empty and an
     empty text has no ids but the asked ends. The ids are never the library's, but each Arrow batch is checked against
-    it: all new words (of which every text is made, since no piece spans the start of a word), all whole ``texts``, or
+    it: all new runs (of which every text is made, since no piece spans two), all whole ``texts``, or
     ``none``; a difference fails the job. Rows, their other columns and repeated rows stay as they are; a column called
     ``name`` is replaced.
     """

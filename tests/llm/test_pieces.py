@@ -91,11 +91,13 @@ def test_check_finds_a_wrong_word(kind):
     known.encode("so the  house stands\nthere ")
     known.check()
     assert not known.known.fresh
-    known.encode("all well")
-    word = known.known.fresh[-1]
-    known.known[word] = b"\x05\0\0\0"
-    with pytest.raises(RuntimeError):
-        known.check()
+    for text in ("all well", "x.well", "y1", "z \n."):
+        known.encode(text)
+        word = known.known.fresh[-1]
+        right, known.known[word] = known.known[word], b"\x05\0\0\0"
+        with pytest.raises(RuntimeError):
+            known.check()
+        known.known[word] = right
 
 
 def test_models_that_need_other_rules_are_refused():
