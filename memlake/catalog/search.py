@@ -12,6 +12,7 @@ from memlake.functions.keywords import extract_keywords, identifier_terms
 from memlake.operators.knn import knn_join
 from memlake.operators.retrieval import bm25, bm25_stats, document_frequency, hydrate, limit_lanes, rrf
 from memlake.operators.skew import top_k_per_key
+from memlake.operators.vector_index import read_vector_index, search_vectors, write_vector_index
 from memlake.plans import searching
 from memlake.plans.indexing import chunk_documents, clean_view
 from memlake.session import scratch_path
@@ -65,6 +66,37 @@ def knn_blocks(spark, sf_dir):
     return _knn(spark, sf_dir, max_queries=200)
 
 
+def _indexed(spark, sf_dir):
+    root = scratch_path(spark, "vectors")
+    v = _vectors(spark, sf_dir).withColumnRenamed("vec_id", "key")
+    write_vector_index(v, root, ["key"])
+    return v.select(F.col("key").alias("qid"), "vector"), read_vector_index(spark, root)
+
+
+@query("knn_indexed_exact", _knn_oracle(_GAP))
+def knn_indexed_exact(spark, sf_dir):
+    """A stored index, of which each query reads the lists that can hold a nearer row."""
+    queries, index = _indexed(spark, sf_dir)
+    return search_vectors(queries, index, 5).select("qid", "key", "rank", F.round("distance", 4).alias("distance"))
+
+
+@query("knn_indexed", """
+SELECT count(*) AS n_queries, count(*) * least(10, count(*)) AS n_found, true AS reached FROM embeddings""")
+def knn_indexed(spark, sf_dir):
+    """Rows that the nearest lists give, and whether 0.95 of the ten true neighbours are among them.
+
+    A query looks into as many lists as reached a recall of 0.97 on the sample.
+    """
+    queries, index = _indexed(spark, sf_dir)
+    found = search_vectors(queries, index, 10, recall=0.97).select("qid", "key", F.lit(True).alias("seen"))
+    true = knn_join(queries, _vectors(spark, sf_dir).withColumnRenamed("vec_id", "key"), 10).select("qid", "key")
+    both = found.join(true.withColumn("near", F.lit(True)), ["qid", "key"], "full_outer")
+    return both.agg(
+        F.count_distinct(F.when(F.col("seen"), F.col("qid"))).alias("n_queries"), F.count("seen").alias("n_found"),
+        (F.count(F.when(F.col("seen") & F.col("near"), 1)) >= 0.95 * F.count("near")).alias("reached"),
+    )
+
+
 # --- chunking --------------------------------------------------------------------------------
 
 WINDOWS_SQL = """

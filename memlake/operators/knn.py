@@ -7,6 +7,7 @@ at most k rows per query, so the pairs themselves are never rows of a DataFrame.
 from __future__ import annotations
 
 import functools
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
@@ -69,44 +70,66 @@ class _Block:
         table = table.filter(pc.is_valid(table.column(vector)))
         self.ids = table.column(qid)
         self.vectors = _matrix(table.column(vector))
-        every = [()] * len(self.ids)
-        groups = list(zip(*[table.column(b).to_pylist() for b in by])) if by else every
-        dirs = [tuple(s or ()) for s in table.column(scopes).to_pylist()] if scopes else every
+        dirs = [tuple(s or ()) for s in table.column(scopes).to_pylist()] if scopes else None
         asked: dict = {}
-        for at, (group, under) in enumerate(zip(groups, dirs)):
-            # As in a join, a null equals nothing.
-            if None not in group:
-                asked.setdefault((group, under), []).append(at)
-        self.asked = {key: np.array(rows) for key, rows in asked.items()}
+        for group, rows in groups_of(table, by):
+            if dirs is None:
+                asked[group, ()] = rows
+                continue
+            for at in rows.tolist():
+                asked.setdefault((group, dirs[at]), []).append(at)
+        self.asked = {key: np.asarray(rows) for key, rows in asked.items()}
 
     def __len__(self) -> int:
         return len(self.ids)
 
 
-def below(paths: pa.ChunkedArray, scopes: tuple[str, ...]) -> np.ndarray:
-    """Which paths lie below any of the directories; without directories all do."""
-    found = np.full(len(paths), not scopes)
-    for scope in scopes:
-        hit = pc.fill_null(pc.starts_with(paths, scope + "/"), False)
-        found |= hit.combine_chunks().to_numpy(zero_copy_only=False)
-    return found
+def groups_of(table: pa.Table, by: list[str]):
+    """(values, row numbers) of all rows with equal ``by`` columns. As in a join, a null equals nothing."""
+    every = np.arange(table.num_rows)
+    if not by:
+        yield (), every
+        return
+    held = table.select(by).append_column("_at", pa.array(every))
+    for batch in held.group_by(by, use_threads=False).aggregate([("_at", "list")]).to_batches():
+        rows = batch.column("_at_list")
+        for at, key in enumerate(zip(*[batch.column(b).to_pylist() for b in by])):
+            if None not in key:
+                yield key, rows[at].values.to_numpy()
+
+
+class PathTree:
+    """Paths in byte order, where all that lies below a directory stands together: an interval of two look-ups.
+
+    A thousand directories cost a thousand look-ups and not as many passes over the paths.
+    """
+
+    def __init__(self, paths: pa.ChunkedArray | pa.Array):
+        named = sorted((p.encode(), at) for at, p in enumerate(paths.to_pylist()) if p is not None)
+        self.size = len(paths)
+        self.paths = [p for p, _ in named]
+        self.rows = np.array([at for _, at in named], np.int64)
+
+    def below(self, scopes: tuple[str, ...]) -> np.ndarray:
+        """Which rows lie below any of the directories; without directories all do."""
+        found = np.full(self.size, not scopes)
+        for scope in scopes:
+            # "0" follows "/".
+            first, last = (bisect_left(self.paths, scope.encode() + end) for end in (b"/", b"0"))
+            found[self.rows[first:last]] = True
+        return found
 
 
 def _cells(block: _Block, corpus: pa.Table, opts: dict):
     """(queries, corpus rows) that may meet: only these are ever compared."""
-    by, every = opts["by"], np.arange(corpus.num_rows)
-    members: dict = {(): every}
-    if by:
-        found: dict = {}
-        for at, group in enumerate(zip(*[corpus.column(b).to_pylist() for b in by])):
-            found.setdefault(group, []).append(at)
-        members = {group: np.array(rows) for group, rows in found.items()}
+    members = dict(groups_of(corpus, opts["by"]))
+    tree = PathTree(corpus.column(opts["path"])) if any(scopes for _, scopes in block.asked) else None
     masks: dict = {}
     for (group, scopes), queries in block.asked.items():
         rows = members.get(group)
         if rows is not None and scopes:
             if scopes not in masks:
-                masks[scopes] = below(corpus.column(opts["path"]), scopes)
+                masks[scopes] = tree.below(scopes)
             rows = rows[masks[scopes][rows]]
         if rows is not None and len(rows):
             yield queries, rows

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from memlake.functions.exprs import col, join_lines, split_lines
 from memlake.functions.paths import ancestors
-from memlake.operators.knn import below, keep_best, pick_smallest, query_blocks
+from memlake.operators.knn import PathTree, keep_best, pick_smallest, query_blocks
 from memlake.operators.skew import asked_for, broadcast_if_small, salted_join, top_k_per_key
 from memlake.session import cut_lineage
 
@@ -183,8 +183,8 @@ class BlockScorer:
         score = (gain @ self.matrix).T
         rank_by = np.where(score > 0, -np.round(score, 9), np.inf)
         if self.scopes is not None:
-            paths = rows.column(opts["path"])
-            inside = {scopes: below(paths, scopes) for scopes in set(self.scopes)}
+            tree = PathTree(rows.column(opts["path"]))
+            inside = {scopes: tree.below(scopes) for scopes in set(self.scopes)}
             rank_by[~np.stack([inside[scopes] for scopes in self.scopes])] = np.inf
         q, d = pick_smallest(rank_by, opts["k"])
         picked = rows.select(opts["keys"]).take(pa.array(d))

@@ -13,6 +13,7 @@ from memlake.operators.knn import knn_join
 from memlake.operators.reading import GREP_CAP, grep
 from memlake.operators.retrieval import CHUNK_KEY, CHUNK_ROW, bm25, hydrate, rrf
 from memlake.operators.skew import asked_for, salted_join, top_k_per_key
+from memlake.operators.vector_index import VectorIndex, search_vectors
 from memlake.session import cut_lineage
 
 # Default numbers of results.
@@ -31,17 +32,22 @@ def _with_vectors(queries: DataFrame, encode: Encoder | str) -> DataFrame:
 
 def vector_sections(
     queries: DataFrame, chunks: DataFrame, k: int = TOP_SECTIONS, *, encode: Encoder | str = "hashed64",
-    scopes: str | None = None, metric: str = "l2",
+    scopes: str | None = None, metric: str = "l2", probes: int | None = None, recall: float | None = None,
 ) -> DataFrame:
-    """Nearest chunks per query with their section name."""
-    return knn_join(
-        _with_vectors(queries, encode), chunks, k, keys=CHUNK_ROW, scopes=scopes, metric=metric
-    )
+    """Nearest chunks per query with their section name.
+
+    ``chunks`` is a table of chunks with vectors, or a ``VectorIndex`` of one: then ``probes`` or ``recall`` may limit
+    the lists that a query looks into, and ``metric`` is the index's.
+    """
+    asked = _with_vectors(queries, encode)
+    if isinstance(chunks, VectorIndex):
+        return search_vectors(asked, chunks, k, keys=CHUNK_ROW, scopes=scopes, probes=probes, recall=recall)
+    return knn_join(asked, chunks, k, keys=CHUNK_ROW, scopes=scopes, metric=metric)
 
 
-def search_sections(queries: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = TOP_SECTIONS,
+def search_sections(queries: DataFrame, chunks: DataFrame | VectorIndex, docs: DataFrame, k: int = TOP_SECTIONS,
                     **options) -> DataFrame:
-    """Nearest chunks with their live lines. ``docs`` is the view the chunks were cut from."""
+    """Nearest chunks, or indexed chunks, with their live lines. ``docs`` is the view the chunks were cut from."""
     hits = vector_sections(queries, chunks, k, **options)
     return hydrate(hits, docs, spread=["qid", "rank"])
 
