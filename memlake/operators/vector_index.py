@@ -172,6 +172,8 @@ def _probed(queries: DataFrame, index: VectorIndex, vector: str, wanted) -> Data
     centroids, metric = index.centroids, index.metric
     radii = index.lists.column("radius").to_numpy()
     full = index.lists.column("n").to_numpy() > 0
+    if not full.any():
+        return queries.withColumn("list", F.lit(0)).where(F.lit(False))
 
     @F.arrow_udf("array<int>")
     def name(vectors: pa.Array, bounds: pa.Array) -> pa.Array:
