@@ -10,6 +10,7 @@ from memlake.functions.chunking import overlap_chunks
 from memlake.functions.embedding import embed
 from memlake.functions.keywords import extract_keywords, identifier_terms
 from memlake.operators.knn import knn_join
+from memlake.operators.postings import bm25_postings, read_postings, write_postings
 from memlake.operators.retrieval import bm25, bm25_stats, document_frequency, hydrate, limit_lanes, rrf
 from memlake.operators.skew import top_k_per_key
 from memlake.operators.vector_index import read_vector_index, search_vectors, write_vector_index
@@ -273,6 +274,17 @@ def bm25_join(spark, sf_dir):
     return _bm25(spark, sf_dir, max_weights=200_000)
 
 
+@query("bm25_postings", _BM25_SQL)
+def bm25_from_postings(spark, sf_dir):
+    """Stored postings, of which a query reads its terms' buckets and skips what can't reach its best rows."""
+    root = scratch_path(spark, "postings")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    write_postings(docs, root, ["doc_id"], "text")
+    queries = table(spark, sf_dir, "benchmark").selectExpr("item_id AS qid", "text AS query")
+    top = bm25_postings(queries, read_postings(spark, root), 5)
+    return top.select("qid", "doc_id", "rank", F.round("score", 4).alias("score"))
+
+
 @query("bm25_statistics", f"""
 WITH t AS (SELECT doc_id, {inputs.terms_sql('text')} AS ts FROM documents),
 f AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(ts)) AS term FROM t) u GROUP BY term)

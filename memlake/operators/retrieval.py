@@ -136,7 +136,9 @@ def _score_block(queries, found, mean, corpus, query, text, opts, schema) -> Dat
         if best is not None:
             yield from best.to_batches()
 
-    return corpus.select(*cols, search_terms(text).alias("_bag")).mapInArrow(run, schema)
+    # A row without text has no terms.
+    bag = F.coalesce(search_terms(text), F.array().cast("array<string>"))
+    return corpus.select(*cols, bag.alias("_bag")).mapInArrow(run, schema)
 
 
 class BlockScorer:

@@ -10,6 +10,7 @@ from memlake.functions.text import snippet
 from memlake.operators.code import code_prefilter
 from memlake.operators.index import fill_section
 from memlake.operators.knn import knn_join
+from memlake.operators.postings import PostingIndex, bm25_postings
 from memlake.operators.reading import GREP_CAP, grep
 from memlake.operators.retrieval import CHUNK_KEY, CHUNK_ROW, bm25, hydrate, rrf
 from memlake.operators.skew import asked_for, salted_join, top_k_per_key
@@ -53,18 +54,23 @@ def search_sections(queries: DataFrame, chunks: DataFrame | VectorIndex, docs: D
 
 
 def hybrid_search(
-    queries: DataFrame, chunks: DataFrame, keywords: DataFrame | None, docs: DataFrame | None = None,
+    queries: DataFrame, chunks: DataFrame | VectorIndex, keywords: DataFrame | PostingIndex | None, docs: DataFrame | None = None,
     k: int = TOP_SECTIONS, *, encode: Encoder | str = "hashed64", scopes: str | None = None,
 ) -> DataFrame:
-    """Vector lane and keyword lane fused; without a keyword table the vector lane alone."""
+    """Vector lane and keyword lane fused; without a keyword table the vector lane alone.
+
+    Either lane may be a stored index: a ``VectorIndex`` of the chunks, a ``PostingIndex`` of their keywords.
+    """
     vector = vector_sections(queries, chunks, k, encode=encode, scopes=scopes)
     if keywords is None:
         fused = vector.withColumn("match", F.lit("vector"))
     else:
-        keys = CHUNK_ROW if "section" in keywords.columns else CHUNK_KEY
-        lane = bm25(queries, keywords, k, keys=keys, scopes=scopes).drop("score")
-        fused = rrf(vector, lane.withColumn("distance", F.lit(0.0)), k)
-        fused = fused if "section" in keywords.columns else fill_section(fused, chunks)
+        stored = isinstance(keywords, PostingIndex)
+        keys = keywords.keys if stored else CHUNK_ROW if "section" in keywords.columns else CHUNK_KEY
+        lane = bm25_postings(queries, keywords, k, scopes=scopes) if stored else bm25(queries, keywords, k, keys=keys, scopes=scopes)
+        fused = rrf(vector, lane.drop("score").withColumn("distance", F.lit(0.0)), k)
+        rows = chunks.rows if isinstance(chunks, VectorIndex) else chunks
+        fused = fused if "section" in keys else fill_section(fused, rows)
     return fused if docs is None else hydrate(fused, docs, spread=["qid", "rank"])
 
 

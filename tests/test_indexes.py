@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from memlake.operators import knn, vector_index
+from memlake.operators import knn, postings, retrieval, vector_index
 from memlake.session import scratch_path
 
 
@@ -105,3 +105,70 @@ def test_groups_of_any_columns(spark):
     table = pa.table({"a": ["x", None, "x", "y"], "b": [1 << 60, 1, (1 << 60) + 1, None]})
     found = {key: at.tolist() for key, at in knn.groups_of(table, ["a", "b"])}
     assert found == {("x", 1 << 60): [0], ("x", (1 << 60) + 1): [2]}
+
+
+# --- postings --------------------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def notes(spark):
+    """One word in all rows, a third of the rows equal, rare words, rows without words."""
+    rng = random.Random(5)
+    data = []
+    for i in range(900):
+        words = ["the"] * rng.randint(1, 4) + [f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randint(0, 12))]
+        text = "the same note" if i % 3 == 0 else " ".join(words)
+        data.append((i, f"d{i % 4}/n{i}", None if i == 7 else "" if i == 8 else text))
+    return spark.createDataFrame(data, "key int, path string, keywords string").repartition(5)
+
+
+@pytest.fixture(scope="module")
+def stored(spark, notes):
+    root = scratch_path(spark, "postings")
+    postings.write_postings(notes, root, ["key", "path"], buckets=16)
+    return postings.read_postings(spark, root)
+
+
+@pytest.fixture(scope="module")
+def questions(spark):
+    data = [(1, "the w1 w250"), (2, "the"), (3, "the same note"), (4, "unknown"), (5, ""), (6, None), (7, "W2 w3, w4 w5 w6 the the note")]
+    data += [(10 + i, f"the w{i} w{i * 3 % 200} note") for i in range(30)]
+    return spark.createDataFrame(data, "qid int, query string").withColumn("scopes", F.expr("IF(qid % 2 = 0, array('d1', 'd2'), array())"))
+
+
+@pytest.mark.parametrize("scopes", [None, "scopes"])
+@pytest.mark.parametrize("first", [1, 100, 10**9])
+@pytest.mark.parametrize("k", [3])
+def test_postings_score_as_the_scan(stored, notes, questions, scopes, first, k):
+    key = lambda df: rows(df.select("qid", "rank", "key", F.round("score", 6)))
+    full = retrieval.bm25(questions, notes, k, keys=["key", "path"], scopes=scopes)
+    got = postings.bm25_postings(questions, stored, k, scopes=scopes, first_postings=first)
+    assert key(got) == key(full) != []
+
+
+def test_only_the_buckets_of_the_terms_are_read(spark, stored):
+    one = spark.createDataFrame([(1, "w1 w250")], "qid int, query string")
+    got = postings.bm25_postings(one, stored, 3)
+    filters = [part.split("]")[0] for part in plan(got).split("PartitionFilters: [")[1:]]
+    assert any("bucket" in f and ("IN" in f or "=" in f) for f in filters)
+
+
+def test_common_terms_bring_no_rows(spark, stored, monkeypatch):
+    """With a bound from the rare term the common one is only looked up for the rows found."""
+    seen = []
+    parts = postings._parts
+    monkeypatch.setattr(postings, "_parts", lambda p, w, *a: seen.append(w.select("term").distinct().collect()) or parts(p, w, *a))
+    one = spark.createDataFrame([(1, "the w250 w251")], "qid int, query string")
+    postings.bm25_postings(one, stored, 1, first_postings=1).collect()
+    assert "the" not in {r["term"] for r in seen[1]} and {r["term"] for r in seen[2]} >= {"the"}
+
+
+def test_terms_and_impacts(stored, notes):
+    df = {r["term"]: r["df"] for r in retrieval.document_frequency(notes).collect()}
+    assert {r["term"]: r["df"] for r in stored.terms.collect()} == df
+    assert stored.n_docs == 900
+
+
+def test_postings_of_no_rows(spark, notes, questions):
+    root = scratch_path(spark, "none")
+    postings.write_postings(notes.limit(0), root, ["key", "path"])
+    assert postings.bm25_postings(questions, postings.read_postings(spark, root), 3).count() == 0
