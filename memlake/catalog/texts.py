@@ -13,6 +13,7 @@ from memlake.functions.paths import (
 )
 from memlake.operators import edits, reading, retrieval, versions
 from memlake.plans.searching import cascade
+from memlake.session import scratch_path
 
 _MD = f"md AS ({inputs.MARKDOWN_SQL})"
 
@@ -123,12 +124,14 @@ def outline(spark, sf_dir):
     return reading.outline_rows(inputs.markdown(spark, sf_dir))
 
 
+_GREP_PATTERNS = """q AS (SELECT item_id * 1000 + n AS qid, p AS query, lower(p) AS p FROM (
+  SELECT item_id, unnest(ps) AS p, unnest(range(len(ps))) AS n FROM (SELECT item_id, string_split(text, chr(10)) AS ps FROM benchmark) x) y)"""
 _GREP_LINES = """
 line AS (SELECT doc_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS ln FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) x)"""
 
 
 @query("grep_lines", f"""
-WITH q AS (SELECT item_id AS qid, lower(split_part(text, '.', 1)) AS p FROM benchmark), {_GREP_LINES},
+WITH {_GREP_PATTERNS}, {_GREP_LINES},
 hit AS (SELECT qid, 'doc/' || doc_id AS path, CAST(ln AS INTEGER) AS line, md5(trim(l, ' ' || chr(9) || chr(13))) AS content FROM line, q WHERE p <> '' AND contains(lower(l), p))
 SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY qid ORDER BY path, line) <= 100""")
 def grep_lines(spark, sf_dir):
@@ -138,7 +141,7 @@ def grep_lines(spark, sf_dir):
 
 
 @query("grep_large", f"""
-WITH q AS (SELECT item_id AS qid, lower(split_part(text, '.', 1)) AS p FROM benchmark), {_GREP_LINES}
+WITH {_GREP_PATTERNS}, {_GREP_LINES}
 SELECT qid, 'doc/' || doc_id AS path, CAST(ln AS INTEGER) AS line FROM line, q WHERE p <> '' AND contains(lower(l), p)""")
 def grep_large(spark, sf_dir):
     """The plan for pattern tables beyond the broadcast bound."""
@@ -147,33 +150,41 @@ def grep_large(spark, sf_dir):
 
 
 @query("grep_all", f"""
-WITH q AS (SELECT item_id * 1000 + n AS qid, lower(p) AS p FROM (SELECT item_id, unnest(ps) AS p, unnest(range(len(ps))) AS n FROM (SELECT item_id, string_split(text, chr(10)) AS ps FROM benchmark) x) y), {_GREP_LINES}
+WITH {_GREP_PATTERNS}, {_GREP_LINES}
 SELECT qid, 'doc/' || doc_id AS path, CAST(ln AS INTEGER) AS line FROM line, q WHERE p <> '' AND contains(lower(l), p)""")
 def grep_all(spark, sf_dir):
     """Every line of every benchmark text, in all documents, all hits."""
-    docs, _ = _grep_inputs(spark, sf_dir)
-    lines = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "query"))
-    asked = lines.select((F.col("item_id") * 1000 + F.col("n")).alias("qid"), "query")
+    docs, asked = _grep_inputs(spark, sf_dir)
     return reading.grep(docs, asked).select("qid", "path", "line")
 
 
+@query("grep_indexed", f"""
+WITH {_GREP_PATTERNS}, {_GREP_LINES}
+SELECT qid, 'doc/' || doc_id AS path, CAST(ln AS INTEGER) AS line FROM line, q WHERE p <> '' AND contains(lower(l), p)""")
+def grep_indexed(spark, sf_dir):
+    """Stored grams: only the buckets of the patterns' grams and the texts that share one are read."""
+    docs, asked = _grep_inputs(spark, sf_dir)
+    root = scratch_path(spark, "grams")
+    reading.write_grams(docs, root)
+    return reading.grep(docs, asked, index=reading.read_grams(spark, root)).select("qid", "path", "line")
+
+
 def _grep_inputs(spark, sf_dir):
+    """Documents, and the whole lines of the benchmark texts."""
     docs = table(spark, sf_dir, "documents", spread=True).select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content")
     )
-    bench = table(spark, sf_dir, "benchmark")
-    return docs, bench.select(
-        F.col("item_id").alias("qid"), F.substring_index("text", ".", 1).alias("query")
-    )
+    lines = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "query"))
+    return docs, lines.select((F.col("item_id") * 1000 + F.col("n")).alias("qid"), "query")
 
 
 _SPACED = "trim(regexp_replace(substr({0}, 1, 300), '\\s+', ' ', 'g'))"
 
 
 @query("cascade_search", f"""
-WITH q AS (SELECT item_id AS qid, lower(split_part(text, '.', 1)) AS p FROM benchmark), {_GREP_LINES},
+WITH {_GREP_PATTERNS}, {_GREP_LINES},
 dv AS MATERIALIZED ({inputs.hashed_sql("SELECT 'doc/' || doc_id AS path, text FROM documents", 'path', 'text')}),
-qv AS MATERIALIZED ({inputs.hashed_sql("SELECT item_id AS qid, split_part(text, '.', 1) AS text FROM benchmark", 'qid', 'text', None)}),
+qv AS MATERIALIZED ({inputs.hashed_sql("SELECT qid, query AS text FROM q", 'qid', 'text', None)}),
 near AS ({inputs.near_sql('qv', 'dv', 'qid', 'path', 10)}),
 both_ AS (
   SELECT n.qid, 0 AS lane, n.rank AS nth, n.path, 1 AS line, '[Semantic Match] ' || {_SPACED.format('d.text')} || '...' AS content, n.distance

@@ -52,9 +52,9 @@ def write_postings(
 ) -> None:
     """Write the postings of every row of the corpus below ``root``; ``keys`` identify a row.
 
-    Terms are counted inside each row. Postings go to their bucket by ranges of term, impact and hashed keys, so a term
-    that stands in most rows is many tasks' work, and lie in order of term and falling impact: the statistics of the
-    files tell which parts hold a term and how much it can add. A row without terms counts in the mean length only.
+    Terms are counted inside each row. Several tasks share a bucket by hashed keys, so a term that stands in most rows
+    is no single task's work. Each task's postings lie in order of term and falling impact: the statistics of the files
+    tell which parts hold a term and how much it can add. A row without terms counts in the mean length only.
     """
     spark, keys = corpus.sparkSession, list(keys)
     bags = corpus.select(*keys, search_terms(text).alias("_bag"))
@@ -65,8 +65,9 @@ def write_postings(
     postings = found.select(F.col("_t")["term"].alias("term"), (tf * (k1 + 1) / (tf + F.col("_damp"))).alias("impact"), *keys)
     order = ["bucket", "term", F.desc("impact")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = postings.withColumn("bucket", _bucket(buckets)).repartitionByRange(parts, *order, F.xxhash64(*keys))
-    ranged.sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{root}/postings")
+    share = F.pmod(F.xxhash64(*keys), F.lit(max(4, 2 * parts // buckets)))
+    dealt = postings.withColumn("bucket", _bucket(buckets)).repartition(parts, "bucket", share)
+    dealt.sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{root}/postings")
     schema = f"term string, impact double, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in corpus.select(*keys).schema)}, bucket int"
     stored = spark.read.schema(schema).parquet(f"{root}/postings")
     terms = stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("most"))

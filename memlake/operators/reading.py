@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.functions import markdown
 from memlake.functions.exprs import let, raw_lines, split_lines, strip
 from memlake.functions.paths import hidden
+from memlake.operators.knn import query_blocks
 from memlake.operators.skew import asked_for, fits_broadcast, salted_join, top_k_per_key
+from memlake.session import cut_lineage
 
 # Largest text read in one piece, default page, usual most of grep rows.
 MAX_FULL_BYTES = 1024 * 1024
@@ -142,79 +147,149 @@ def doc_lines(docs: DataFrame, path: str = "path", content: str = "content") ->
     )
 
 
+#: Bytes of the blocks that a text is cut into; a pattern uses the widest of which it covers one wherever it stands.
+GRAM_WIDTHS = (16, 4)
+GRAM_BUCKETS = 64
+#: Patterns too short to cover a block that are tested on the texts at once, one scan for each such number.
+SHORT_PATTERNS = 1000
+
+
 def _patterns(queries: DataFrame, qid: str, query: str) -> DataFrame:
     return queries.where(F.col(query).isNotNull() & (F.col(query) != "")).select(
         F.col(qid).alias("_qid"), F.lower(query).alias("_pattern")
     )
 
 
-def _grep_small(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """All patterns as one array value beside every document; only matching documents are split."""
-    array = patterns.agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_qid").alias("q"), F.col("_pattern").alias("p")))).alias("a")
-    ).scalar()
-    def matching(text, asked):
-        # Bound once, or every pattern would fold the case of the whole text again.
-        return let(F.lower(text), lambda low: F.filter(asked, lambda x: F.contains(low, x["p"])))
+def _gram(value: Column, at: Column, width: int) -> Column:
+    """Hash of ``width`` bytes from the 0-based byte ``at`` on."""
+    return F.xxhash64(F.lit(width), F.substring(value, at + 1, F.lit(width)))
 
-    named = docs.withColumn("_all", array)
-    some = named.withColumn("_asked", matching(F.col("content"), F.col("_all"))).where(F.size("_asked") > 0)
-    lines = some.select("path", "_asked", F.posexplode(raw_lines(F.col("content"))).alias("line", "text"))
-    hits = lines.withColumn("_hit", F.explode(matching(F.col("text"), F.col("_asked"))))
-    return hits.select(F.col("_hit")["q"].alias("_qid"), "path", (F.col("line") + 1).alias("line"), "text")
 
+def grams(docs: DataFrame, widths: Sequence[int] = GRAM_WIDTHS, path: str = "path", content: str = "content") -> DataFrame:
+    """path and gram: the hashed blocks of each document's lower-cased text, for every width.
+
+    Blocks lie side by side, so a text of n bytes has n / width of them. A text is found by a pattern of at least
+    2 * width - 1 bytes, which covers a whole block wherever it stands: one of its grams at the offsets 0 to width - 1
+    is that block.
+    """
+    low = F.lower(F.col(content)).cast("binary")
 
-def _grep_large(docs: DataFrame, patterns: DataFrame, widest: int = 8) -> DataFrame:
-    """Join lines and patterns on short pieces, then test the whole pattern.
+    def of_width(text, width):
+        each = F.sequence(F.lit(0), F.floor(F.length(text) / width).cast("int") - 1)
+        found = F.transform(each, lambda i: _gram(text, i * width, width))
+        return F.when(F.length(text) >= width, found).otherwise(F.array().cast("array<long>"))
 
-    A line is cut into blocks of g characters. A pattern of at least 2g - 1 characters covers a whole
-    block wherever it stands, so one of its pieces at the offsets 0 to g - 1 equals that block. g goes
-    with the length of the pattern, so none is missed, and a line gives only length / g rows.
+    def blocks(text):
+        return F.array_distinct(F.concat(*[of_width(text, w) for w in widths]))
+
+    named = docs.where(F.col(content).isNotNull()).select(F.col(path).alias("path"), low.alias("_low"))
+    return named.select("path", F.explode(let(F.col("_low"), blocks)).alias("gram"))
+
+
+def write_grams(docs: DataFrame, root: str, *, path: str = "path", content: str = "content") -> None:
+    """Store the grams of documents, in buckets of grams and in order, so a search reads the grams of its patterns only.
+
+    Several tasks share a bucket by hashed paths: a block that stands in most documents is no single task's work.
     """
-    width = F.least(F.floor((F.length("_pattern") + 1) / 2), F.lit(widest)).cast("int")
-    sized = patterns.withColumn("_g", width)
-    pieces = F.transform(
-        F.sequence(F.lit(1), F.col("_g")), lambda i: F.substring(F.col("_pattern"), i, F.col("_g"))
-    )
-    anchors = sized.withColumn("_gram", F.explode(F.array_distinct(pieces))).select(
-        "_gram", "_qid", "_pattern"
-    )
-    used = sized.agg(F.collect_set("_g").alias("s")).scalar()
-    lines = doc_lines(docs).withColumn("_l", F.lower("text")).withColumn("_used", used)
-    blocks = F.flatten(
-        F.array(
-            *[
-                F.when(
-                    F.array_contains("_used", g), F.regexp_extract_all("_l", F.lit(f"(?s).{{{g}}}"), 0)
-                ).otherwise(F.array().cast("array<string>"))
-                for g in range(1, widest + 1)
-            ]
-        )
-    )
-    spread = lines.withColumn("_gram", F.explode(F.array_distinct(blocks))).drop("_used")
-    pairs = salted_join(spread, anchors, ["_gram"], spread=["path", "line"], find_hot=False)
-    hits = pairs.where(F.contains(F.col("_l"), F.col("_pattern")))
-    # Several pieces of one pattern may meet the same line.
-    return hits.groupBy("_qid", "path", "line").agg(F.any_value("text").alias("text"))
+    found = grams(docs, path=path, content=content).withColumn("bucket", _gram_bucket())
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.pmod(F.xxhash64("path"), F.lit(max(4, 2 * parts // GRAM_BUCKETS)))
+    found.repartition(parts, "bucket", share).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(root)
+
+
+def read_grams(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("path string, gram long, bucket int").parquet(root)
+
+
+def _gram_bucket() -> Column:
+    return F.pmod(F.col("gram"), F.lit(GRAM_BUCKETS)).cast("int")
+
+
+def _anchors(patterns: DataFrame) -> DataFrame:
+    """gram, _qid, _pattern: the grams of which a text that holds the pattern has at least one."""
+    def of_width(width):
+        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: _gram(F.col("_raw"), i, width))
+
+    raw = patterns.withColumn("_raw", F.col("_pattern").cast("binary"))
+    cases = F.coalesce(*[F.when(_width(F.length("_raw")) == w, of_width(w)) for w in GRAM_WIDTHS])
+    return raw.select(F.explode(F.array_distinct(cases)).alias("gram"), "_qid", "_pattern")
 
 
 def grep(
     docs: DataFrame, queries: DataFrame, cap: int | None = None, *, qid: str = "qid",
-    query: str = "query", max_bytes: int | None = None, max_patterns: int = 5000,
+    query: str = "query", max_bytes: int | None = None, max_patterns: int = 5000, index: DataFrame | None = None,
 ) -> DataFrame:
     """Case-insensitive substring search: qid, path, line, content (trimmed).
 
     Hidden documents are not searched; all others are, whatever their size. A caller may set ``max_bytes``
     to leave larger documents out, and ``cap`` to keep the first rows per query in path and line order.
+
+    The grams of the documents, stored ones (``index``, from ``read_grams`` of these documents) or those of the widths
+    in use, meet the grams of the patterns; only the documents that share one are looked at, by the pattern that they
+    share it with. Patterns are sent to the grams where they are at most ``max_patterns``, beyond it both are spread.
+    Patterns of fewer than 7 bytes have no gram and are tested on every text, in blocks of ``SHORT_PATTERNS``.
     """
-    seen = docs.where(~hidden("path"))
+    seen = docs.where(~hidden("path") & F.col("content").isNotNull())
     if max_bytes is not None:
         seen = seen.where(F.octet_length("content") <= max_bytes)
-    patterns = _patterns(queries, qid, query)
-    plan = _grep_small if fits_broadcast(patterns, max_rows=max_patterns) else _grep_large
-    found = plan(seen.where(F.col("content").isNotNull()), patterns)
-    rows = found.select(F.col("_qid").alias(qid), "path", "line", strip(F.col("text")).alias("content"))
-    return rows if cap is None else top_k_per_key(rows, [qid], ["path", "line"], cap).drop("rank")
+    patterns = cut_lineage(_patterns(queries, qid, query).distinct().withColumn("_width", _width(F.octet_length("_pattern"))))
+    widths = [w for (w,) in patterns.select("_width").distinct().collect()]
+    hits = []
+    if None in widths:
+        short = query_blocks(patterns.where("_width IS NULL"), ["_qid", "_pattern"], SHORT_PATTERNS)
+        hits += [_test_all(seen, block) for block in short]
+    used = sorted((w for w in widths if w), reverse=True)
+    if used:
+        long = patterns.where("_width IS NOT NULL").drop("_width")
+        hits.append(_test_shared(seen, long, used, index, fits_broadcast(long, max_rows=max_patterns)))
+    found = functools.reduce(DataFrame.unionAll, hits) if hits else seen.select(
+        F.lit(None).cast(queries.schema[qid].dataType).alias("_qid"), "path", F.lit(0).alias("line"), F.lit("").alias("text")).limit(0)
+    rows = found.select(F.col("_qid").alias(qid), "path", (F.col("line") + 1).alias("line"), F.col("text").alias("content"))
+    first = rows if cap is None else top_k_per_key(rows, [qid], ["path", "line"], cap).drop("rank")
+    return first.withColumn("content", strip(F.col("content")))
+
+
+def _test_all(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """A bounded block of patterns as one array value beside every text; only texts that hold one are split."""
+    every = patterns.agg(F.array_sort(F.collect_list(F.struct("_qid", "_pattern"))).alias("a")).scalar()
+
+    def holding(text, asked):
+        # Bound once, or every pattern would fold the case of the whole text again.
+        return let(F.lower(text), lambda low: F.filter(asked, lambda x: F.contains(low, x["_pattern"])))
+
+    some = docs.withColumn("_every", every).withColumn("_asked", holding(F.col("content"), F.col("_every")))
+    some = some.where(F.size("_asked") > 0)
+    lines = some.select("path", "_asked", F.posexplode(raw_lines(F.col("content"))).alias("line", "text"))
+    hits = lines.withColumn("_hit", F.explode(holding(F.col("text"), F.col("_asked"))))
+    return hits.select(F.col("_hit")["_qid"].alias("_qid"), "path", "line", "text")
+
+
+def _test_shared(docs: DataFrame, patterns: DataFrame, widths: Sequence[int], index: DataFrame | None, sent: bool) -> DataFrame:
+    """Texts and patterns that share a gram meet; whole patterns are tested on those texts, then on their lines."""
+    anchors = _anchors(patterns)
+    held = grams(docs, widths) if index is None else _stored_grams(index, anchors)
+    shared = held.join(F.broadcast(anchors), "gram") if sent else salted_join(
+        held, anchors, ["gram"], spread=["path"], find_hot=False)
+    pairs = cut_lineage(shared.select("path", "_qid", "_pattern").distinct())
+    text = docs.select("path", "content")
+    if fits_broadcast(pairs):
+        near = text.join(F.broadcast(pairs), "path")
+    else:
+        near = salted_join(pairs, asked_for(text, pairs, ["path"]), ["path"], spread=["_qid", "_pattern"])
+    some = near.where(F.contains(F.lower("content"), F.col("_pattern")))
+    lines = some.select("_qid", "_pattern", "path", F.posexplode(raw_lines(F.col("content"))).alias("line", "text"))
+    return lines.where(F.contains(F.lower("text"), F.col("_pattern"))).select("_qid", "path", "line", "text")
+
+
+def _stored_grams(index: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Only the buckets in which a pattern has a gram are read."""
+    buckets = [r["bucket"] for r in anchors.select(_gram_bucket().alias("bucket")).distinct().collect()]
+    return index.where(F.col("bucket").isin(buckets)).select("path", "gram")
+
+
+def _width(n: Column) -> Column:
+    """The widest gram of which a pattern of ``n`` bytes covers one, if there is one."""
+    return F.coalesce(*[F.when(n >= 2 * w - 1, w) for w in GRAM_WIDTHS])
 
 
 def outline_rows(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from memlake.operators import knn, postings, retrieval, vector_index
+from memlake.operators import knn, postings, reading, retrieval, vector_index
 from memlake.session import scratch_path
 
 
@@ -172,3 +172,65 @@ def test_postings_of_no_rows(spark, notes, questions):
     root = scratch_path(spark, "none")
     postings.write_postings(notes.limit(0), root, ["key", "path"])
     assert postings.bm25_postings(questions, postings.read_postings(spark, root), 3).count() == 0
+
+
+# --- grams -----------------------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    rng = random.Random(11)
+    words = ["alpha", "Beta", "gämma", "the", "日本語", "x", "delta-delta", "epsilon_zeta_eta_theta"]
+    data = [
+        (f"p{i}" if i % 9 else f".h/p{i}", None if i == 4 else "\n".join(" ".join(rng.choices(words, k=rng.randint(0, 6))) for _ in range(rng.randint(0, 5))))
+        for i in range(300)
+    ]
+    data += [("same", "The Common line of all\n" * 40), ("end", "…" * 17 + "needle"), ("empty", "")]
+    return spark.createDataFrame(data, "path string, content string").repartition(4)
+
+
+PATTERNS = [
+    (1, "needle"), (2, "the"), (3, "é"), (4, "x"), (5, "the common line"), (6, "THE COMMON LINE OF ALL"), (7, "gämma the"), (8, "日本語"),
+    (9, "delta-delta epsilon_zeta_eta_theta"), (10, "theta"), (11, ""), (12, None), (13, "all\nthe"), (14, "……needle"), (None, "alpha beta"),
+    (15, "epsilon_zeta_eta_theta epsilon_zeta_eta_theta"), (2, "beta"), (16, "no such thing anywhere at all"),
+]
+
+
+@pytest.mark.parametrize("options", [{}, {"max_patterns": 0}, {"stored": True}, {"stored": True, "max_patterns": 0}])
+def test_grep_finds_every_line(spark, texts, options, monkeypatch):
+    monkeypatch.setattr(reading, "SHORT_PATTERNS", 2)
+    options = dict(options)
+    asked = spark.createDataFrame(PATTERNS, "qid int, query string")
+    if options.pop("stored", False):
+        root = scratch_path(spark, "grams")
+        reading.write_grams(texts, root)
+        options["index"] = reading.read_grams(spark, root)
+    got = sorted(reading.grep(texts, asked, **options).collect(), key=str)
+    plain = []
+    for doc in texts.collect():
+        if doc["content"] is None or doc["path"].startswith("."):
+            continue
+        for n, line in enumerate(doc["content"].split("\n"), 1):
+            plain += [(q, doc["path"], n, line.strip()) for q, p in PATTERNS if p and p.lower() in line.lower()]
+    assert [tuple(r) for r in got] == sorted(plain, key=lambda r: str(got[0].__class__(qid=r[0], path=r[1], line=r[2], content=r[3])))
+
+
+@pytest.mark.parametrize("text", ["", "a", "abcd", "äbcdefg", "x" * 100, "日本語" * 20])
+def test_every_pattern_shares_a_gram_with_its_text(spark, text):
+    patterns = {text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1)}
+    patterns = [(0, p) for p in patterns if len(p.encode()) >= 7][:600]
+    docs = spark.createDataFrame([("d", "ü" + text + "end of text")], "path string, content string")
+    asked = spark.createDataFrame(patterns or [(0, "end of text")], "_qid int, _pattern string")
+    met = reading.grams(docs).join(reading._anchors(asked), "gram").select("_pattern").distinct()
+    assert met.count() == asked.count()
+
+
+def test_grep_reads_only_the_buckets_of_its_grams(spark, texts, monkeypatch):
+    root = scratch_path(spark, "grams")
+    reading.write_grams(texts, root)
+    read = []
+    whole = reading._stored_grams
+    monkeypatch.setattr(reading, "_stored_grams", lambda *a: read.append(whole(*a)) or read[0])
+    asked = spark.createDataFrame([(1, "zeta_eta_theta epsilon_zeta_eta")], "qid int, query string")
+    reading.grep(texts, asked, index=reading.read_grams(spark, root)).collect()
+    assert "PartitionFilters: [bucket" in plan(read[0]) or "PartitionFilters: [isnotnull(bucket" in plan(read[0]) or "IN" in plan(read[0])
+    assert read[0].count() < reading.read_grams(spark, root).count() / 2
