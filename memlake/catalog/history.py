@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from memlake.catalog import inputs
 from memlake.catalog.base import query, table
+from memlake.catalog.search import HEADERS_SQL
 from memlake.operators import versions
 from memlake.plans.indexing import build_index
 from memlake.session import scratch_path
-from memlake.sources.batches import read_table, start_tables
+from memlake.sources.buckets import read_table, start_table
 from memlake.sources.corpus import scan_code, scan_corpus
-from memlake.sources.snapshots import read_snapshot, write_snapshot
 from memlake.streaming import changes, ledger
 
 _V = f"v AS ({inputs.VERSIONS_SQL})"
@@ -296,36 +296,45 @@ def maintain_stream(spark, sf_dir):
     others = table(spark, sf_dir, "nation").select(F.concat(F.lit("src/x"), F.col("n_nationkey").cast("string"), F.lit(".py")).alias("path"))
     start = users.unionByName(others).withColumn("chunk_name", F.lit("old"))
     root = scratch_path(spark, "units")
-    start_tables(root, {"units": start})
+    start_table(start, root, buckets=8)
     routed = changes.route_events(_file_events(_event_stream(spark, sf_dir)), [".py"])
-    running = changes.maintain_index(routed, root, _units_of(spark, sf_dir), scratch_path(spark, "units-state"))
+    running = changes.maintain_index(routed, root, _units_of(spark, sf_dir), scratch_path(spark, "units-state"), buckets=8)
     running.awaitTermination()
-    return read_table(spark, root, "units")
+    return read_table(spark, root)
 
 
 @query("refresh_stream", f"""
-WITH m AS ({inputs.MARKDOWN_SQL}) SELECT path, 'nasa' AS keywords FROM m WHERE role <> 'user'""")
+WITH {HEADERS_SQL},
+vector AS (SELECT path, count(*) AS n FROM clean WHERE regexp_matches(content, '\\S') GROUP BY path)
+SELECT path, section, start_line, end_line, md5(text) AS digest, n AS n_documents, section LIKE '%### Tail' AND true AS tail,
+  CASE WHEN section LIKE '%### Tail' THEN 'nasa' END AS keywords
+FROM md_chunks JOIN vector USING (path)""")
 def refresh_stream(spark, sf_dir):
-    """Document, chunk and keyword tables refreshed from a stream of changed conversation turns."""
+    """Document, chunk and keyword tables refreshed from a stream of all conversation turns: their chunks."""
     schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
     turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
-    changed = turns.where("role <> 'user'").select(F.format_string("kb/conv_%d/turn_%d.md", "conv_id", "turn").alias("path"))
+    changed = turns.select(F.format_string("kb/conv_%d/turn_%d.md", "conv_id", "turn").alias("path"))
     docs = inputs.markdown(spark, sf_dir).select("path", "content")
     root = scratch_path(spark, "docs")
-    start_tables(root, build_index(docs.limit(0))._asdict())
+    for name, rows in build_index(docs.limit(0))._asdict().items():
+        start_table(rows, f"{root}/{name}", buckets=8)
     running = changes.refresh_documents(
-        changed, root, lambda paths: docs.join(paths, "path", "left_semi"), scratch_path(spark, "docs-state")
+        changed, root, lambda paths: docs.join(paths, "path", "left_semi"), scratch_path(spark, "docs-state"), buckets=8
     )
     running.awaitTermination()
-    words = read_table(spark, root, "keywords")
-    return words.where(F.col("section").endswith("### Tail")).select("path", "keywords")
+    documents, chunks, words = (read_table(spark, f"{root}/{name}") for name in ("documents", "chunks", "keywords"))
+    tail = F.col("section").endswith("### Tail")
+    known = documents.where("vector IS NOT NULL").groupBy("path").agg(F.count(F.lit(1)).alias("n_documents"))
+    lane = words.select("path", "section", "start_line", "end_line", F.when(tail, F.col("keywords")).alias("keywords"))
+    return chunks.join(known, "path").join(lane, ["path", "section", "start_line", "end_line"]).select(
+        "path", "section", "start_line", "end_line", F.md5("text").alias("digest"), "n_documents", tail.alias("tail"), "keywords")
 
 
 # --- delivery ledger -------------------------------------------------------------------------
 
 _ATTEMPTS = """
-a AS (SELECT user_id * 10 + event_id % 10 AS op_id, ts, CASE event_type WHEN 'purchase' THEN 200 WHEN 'signup' THEN 404 WHEN 'error' THEN NULL ELSE 503 END AS code FROM events WHERE value > 20),
-ops AS (SELECT DISTINCT user_id * 10 + event_id % 10 AS op_id FROM events),
+a AS (SELECT user_id * 10 + event_id % 10 AS op_id, ts, CASE event_type WHEN 'purchase' THEN 200 WHEN 'signup' THEN 404 WHEN 'error' THEN NULL ELSE 503 END AS code FROM events),
+ops AS (SELECT DISTINCT user_id * 10 + d AS op_id FROM events, range(10) x(d)),
 f AS (SELECT op_id, arg_min(code, ts) FILTER (code IN (200, 404)) AS code, count(*) AS attempts FROM a GROUP BY op_id)"""
 
 
@@ -335,7 +344,7 @@ def _op_id():
 
 def _attempts(events):
     kind = F.col("event_type")
-    return events.where("value > 20").select(
+    return events.select(
         _op_id(), F.col("ts").cast("timestamp").alias("attempt_ts"),
         F.when(kind == "purchase", 200).when(kind == "signup", 404).when(kind == "error", None).otherwise(503).alias("http_code"),
     )
@@ -347,8 +356,11 @@ _STATUS = "CASE f.code WHEN 200 THEN 'done' WHEN 404 THEN 'failed' ELSE 'pending
 @query("ledger_state", f"""
 WITH {_ATTEMPTS} SELECT op_id, {_STATUS} AS status, coalesce(attempts, 0) AS attempts, CASE WHEN f.code = 404 THEN 'HTTP 404' END AS last_error FROM ops LEFT JOIN f USING (op_id)""")
 def ledger_state(spark, sf_dir):
+    """Ten operations of every user, some without an attempt."""
     events = table(spark, sf_dir, "events")
-    return ledger.ledger_state(events.select(_op_id()).distinct(), _attempts(events))
+    tenth = F.explode(F.sequence(F.lit(0), F.lit(9)))
+    ops = events.select("user_id").distinct().withColumn("d", tenth).select((F.col("user_id") * 10 + F.col("d")).alias("op_id"))
+    return ledger.ledger_state(ops, _attempts(events))
 
 
 @query("ledger_replay", f"WITH {_ATTEMPTS} SELECT op_id FROM ops LEFT JOIN f USING (op_id) WHERE f.code IS NULL")
@@ -403,11 +415,13 @@ def code_scan(spark, sf_dir):
 SELECT CAST(1 AS INTEGER) AS version, count(*) AS n, CAST(sum(r_regionkey) AS BIGINT) AS s FROM region
 UNION ALL SELECT 2, count(*), CAST(sum(n_nationkey) AS BIGINT) FROM nation""")
 def snapshots(spark, sf_dir):
-    """Two states of one table; the first stays readable."""
+    """Two states of one table, each in a folder of its own; the first stays readable."""
     root = scratch_path(spark, "table")
-    write_snapshot(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k")), root)
-    write_snapshot(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), root, files=1)
-    row = lambda v: read_snapshot(spark, root, v).agg(
-        F.lit(v if v else 2).alias("version"), F.count(F.lit(1)).alias("n"), F.sum("k").alias("s")
-    )
-    return row(1).unionByName(row(None))
+    states = [
+        table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k")),
+        table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")),
+    ]
+    for version, state in enumerate(states, 1):
+        state.write.parquet(f"{root}/version={version}")
+    read = spark.read.schema("k int, version int").parquet(root)
+    return read.groupBy("version").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("s"))

@@ -17,7 +17,6 @@ from memlake.operators.vector_index import read_vector_index, search_vectors, wr
 from memlake.plans import searching
 from memlake.plans.indexing import chunk_documents, clean_view
 from memlake.session import scratch_path
-from memlake.sources.snapshots import read_snapshot, write_snapshot
 
 
 def _vectors(spark, sf_dir):
@@ -344,8 +343,8 @@ def _passages(spark, sf_dir):
         F.col("text").alias("content"),
     )
     root = scratch_path(spark, "chunks")
-    write_snapshot(embed(chunk_documents(docs), "text", cap=None), root)
-    chunks = read_snapshot(spark, root)
+    embed(chunk_documents(docs), "text", cap=None).write.parquet(root)
+    chunks = spark.read.parquet(root)
     queries = table(spark, sf_dir, "benchmark").selectExpr("item_id AS qid", "text AS query")
     return docs, chunks, queries
 

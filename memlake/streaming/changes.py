@@ -12,7 +12,7 @@ from memlake.functions.paths import has_extension
 from memlake.operators.skew import bucketed
 from memlake.plans.indexing import build_index
 from memlake.session import cut_lineage
-from memlake.sources.batches import append_batch
+from memlake.sources.buckets import BUCKETS, replace_paths
 
 # Quiet time before a changed file is taken up, and how late an event may be.
 GAP_SECONDS = 7
@@ -111,18 +111,17 @@ def latest_operation(batch: DataFrame, on: Sequence[str] = ("path",)) -> DataFra
 
 def maintain_index(
     operations: DataFrame, root: str, load_units: Callable[[DataFrame], DataFrame],
-    checkpoint: str, on: Sequence[str] = ("path",), **trigger,
+    checkpoint: str, on: Sequence[str] = ("path",), buckets: int = BUCKETS, **trigger,
 ) -> StreamingQuery:
-    """Keep the table ``units`` below ``root`` up to date from a stream of operations.
+    """Keep the table of units at ``root``, begun with ``start_table``, up to date from a stream of operations.
 
-    ``root`` was begun with ``start_tables``. A micro-batch writes the rows of the paths it changes and
-    nothing else. A file is replaced whole, so a batch that is run again after a failure leads to the
-    same state.
+    A micro-batch writes the buckets of the paths it changes and no others. A file is replaced whole, so a batch that
+    is run again after a failure leads to the same state.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         latest = cut_lineage(latest_operation(batch, on))
         wanted = latest.where("operation = 'upsert'").select(*on)
-        append_batch(root, {"units": load_units(wanted)}, latest, on)
+        replace_paths(load_units(wanted), latest, root, on, buckets)
 
     writer = operations.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -130,16 +129,14 @@ def maintain_index(
 
 def refresh_documents(
     changed: DataFrame, root: str, load_docs: Callable[[DataFrame], DataFrame], checkpoint: str,
-    encode="hashed64", **trigger,
+    encode="hashed64", buckets: int = BUCKETS, **trigger,
 ) -> StreamingQuery:
-    """Keep the tables documents, chunks and keywords below ``root`` up to date from a stream of changed paths.
-
-    ``root`` was begun with ``start_tables``. A micro-batch indexes the documents it names, and all three
-    tables show its rows at the same time.
-    """
+    """Keep the tables documents, chunks and keywords below ``root``, begun with ``start_table``, up to date from a
+    stream of changed paths. A micro-batch indexes the documents it names and writes their buckets only."""
     def apply(batch: DataFrame, batch_id: int) -> None:
         paths = cut_lineage(batch.select("path").distinct())
-        append_batch(root, build_index(load_docs(paths), encode=encode)._asdict(), paths)
+        for name, rows in build_index(load_docs(paths), encode=encode)._asdict().items():
+            replace_paths(rows, paths, f"{root}/{name}", buckets=buckets)
 
     writer = changed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

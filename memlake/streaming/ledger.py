@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 RETRY_SECONDS = 60
+#: How long a settled operation keeps its answer after its last attempt.
+SETTLED_SECONDS = 7 * 24 * 3600
 
 
 def outcome(code: Column | str) -> Column:
@@ -60,43 +62,82 @@ def replay(state: DataFrame) -> DataFrame:
 
 
 _OUTPUT = "op_id long, status string, attempts long"
-_STATE = "status string, attempts long, final_us long"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def ledger_stream(attempts: DataFrame, retry_seconds: int | None = RETRY_SECONDS) -> DataFrame:
-    """Status changes of operations as attempts arrive, and ``retry`` when a pending one is due again.
-
-    Retries run on the clock and keep a query alive for good; pass None for a run that ends with
-    its input.
+class _Delivery(StatefulProcessor):
+    """One operation: a count while it is pending, its answer for some time once it is settled.
 
-    The state is one small row per operation, and a batch of attempts is read piece by piece, so the
-    number of attempts does not matter. A settled operation keeps its first final answer.
+    With ``retry_ms`` time is the clock's: a timer asks for retries, the state store drops settled answers by their
+    age. Without, time is the attempts': a timer drops a settled answer once the watermark has passed it.
     """
-    def track(
-        key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        status, attempts_so_far, final_us = state.get if state.exists else ("pending", 0, None)
-        if state.hasTimedOut:
-            if status == "pending":
-                state.setTimeoutDuration(retry_seconds * 1000)
-                yield pd.DataFrame({"op_id": [key[0]], "status": ["retry"], "attempts": [attempts_so_far]})
-            return
-        for piece in pieces:
-            attempts_so_far += len(piece)
-            settled = piece[piece["outcome"] != "pending"]
-            if len(settled):
-                first = settled.sort_values(["at_us", "outcome"]).iloc[0]
+
+    def __init__(self, retry_ms: int | None, settled_ms: int):
+        self.retry_ms, self.settled_ms = retry_ms, settled_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "attempts long")
+        age = None if self.retry_ms is None else self.settled_ms
+        self.settled = handle.getValueState("settled", "status string, attempts long, final_us long, last_us long", age)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.settled.get() if self.settled.exists() else None
+        pending = self.open.get() if before is None and self.open.exists() else None
+        status, attempts, final_us, last_us = before or ("pending", pending[0] if pending else 0, None, 0)
+        for piece in rows:
+            attempts += len(piece)
+            last_us = max(last_us, int(piece["at_us"].max()))
+            final = piece[piece["outcome"] != "pending"]
+            if len(final):
+                first = final.sort_values(["at_us", "outcome"]).iloc[0]
                 if final_us is None or first["at_us"] < final_us:
                     status, final_us = first["outcome"], int(first["at_us"])
-        state.update((status, attempts_so_far, final_us))
-        if status == "pending" and retry_seconds is not None:
-            state.setTimeoutDuration(retry_seconds * 1000)
-        yield pd.DataFrame({"op_id": [key[0]], "status": [status], "attempts": [attempts_so_far]})
+        if status == "pending":
+            self.open.update((attempts,))
+            if self.retry_ms is not None and pending is None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.retry_ms)
+        else:
+            # A settled operation leaves no pending state and no earlier timer behind.
+            self.open.clear()
+            for timer in list(self.handle.listTimers()) if before or pending else []:
+                self.handle.deleteTimer(timer)
+            self.settled.update((status, attempts, final_us, last_us))
+            if self.retry_ms is None:
+                self.handle.registerTimer(last_us // 1000)
+        yield pd.DataFrame({"op_id": [key[0]], "status": [status], "attempts": [attempts]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.retry_ms is None:
+            self.settled.clear()
+        elif self.open.exists():
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.retry_ms)
+            yield pd.DataFrame({"op_id": [key[0]], "status": ["retry"], "attempts": [self.open.get()[0]]})
+
+    def close(self) -> None:
+        pass
+
+
+def ledger_stream(
+    attempts: DataFrame, retry_seconds: int | None = RETRY_SECONDS, settled_seconds: int = SETTLED_SECONDS
+) -> DataFrame:
+    """Status changes of operations as attempts arrive, and ``retry`` when a pending one is due again.
 
+    Retries are timers on the clock and keep a query alive for good; pass None for a run that ends with its input.
+    Attempts are read piece by piece. A pending operation holds one number; once it is settled that and its timer go,
+    and its first final answer stands for ``settled_seconds`` after its last attempt, by the clock or, without retries,
+    by the times of the attempts: then an attempt that is older than that beside the newest one is too late to count.
+    Afterwards the answer leaves the state, and an attempt would be one of a new operation. Output mode ``update``; the
+    state lies in RocksDB, which is set in the session.
+    """
+    attempts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    at = F.col("attempt_ts").cast("timestamp")
     answers = attempts.select(
-        F.col("op_id").cast("long").alias("op_id"),
-        outcome("http_code").alias("outcome"),
-        F.unix_micros(F.col("attempt_ts").cast("timestamp")).alias("at_us"),
+        F.col("op_id").cast("long").alias("op_id"), outcome("http_code").alias("outcome"), F.unix_micros(at).alias("at_us"),
+        at.alias("at"),
     )
-    clock = GroupStateTimeout.NoTimeout if retry_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
-    return answers.groupBy("op_id").applyInPandasWithState(track, _OUTPUT, _STATE, "update", clock)
+    clock = retry_seconds is not None
+    timed = answers.drop("at") if clock else answers.withWatermark("at", f"{int(settled_seconds)} seconds")
+    tracker = _Delivery(int(retry_seconds * 1000) if clock else None, int(settled_seconds * 1000))
+    return timed.groupBy("op_id").transformWithStateInPandas(
+        tracker, _OUTPUT, "Update", "processingTime" if clock else "eventTime")

@@ -1,8 +1,9 @@
-"""Scans, snapshots, registries and streams on small files."""
+"""Scans, bucketed tables, registries and streams on small files."""
 
 import datetime
 import glob
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,9 +11,8 @@ from pyspark.sql import functions as F
 from memlake.functions import embedding
 from memlake.plans import indexing, registry
 from memlake.session import scratch_path, scratch_root
-from memlake.sources.batches import append_batch, compact, last_batch, read_table, start_tables
+from memlake.sources.buckets import bucket_of, read_table, replace_paths, start_table
 from memlake.sources.corpus import MAX_SOURCE_BYTES, scan_code, scan_code_rejects, scan_corpus
-from memlake.sources.snapshots import current_version, read_snapshot, write_snapshot
 from memlake.streaming import changes, ledger
 
 
@@ -39,14 +39,6 @@ def test_scan_code(spark, tree):
     assert got == {"sub/c.py": "print(1)", "src/h i+j.py": "h"}
 
 
-def test_snapshots_keep_every_state(spark):
-    root = scratch_path(spark, "t")
-    assert read_snapshot(spark, root) is None and current_version(spark, root) == 0
-    write_snapshot(spark.range(3), root)
-    write_snapshot(spark.range(5), root, files=1)
-    assert read_snapshot(spark, root).count() == 5 and read_snapshot(spark, root, 1).count() == 3
-
-
 class _Session:
     """A session with a given setting and master."""
 
@@ -134,28 +126,65 @@ def test_ledger_stream_matches_the_table(spark):
     assert sorted(map(tuple, last.collect())) == sorted((r.op_id, r.status) for r in plain.collect())
 
 
-def test_batches_leave_other_files_alone_and_become_valid_at_once(spark):
+def test_a_change_writes_the_buckets_of_its_paths_only(spark):
     frame = lambda rows: spark.createDataFrame(rows, "path string, v int")
-    state = lambda root, name: sorted(tuple(r) for r in read_table(spark, root, name).select("path", "v").collect())
-    root, target = scratch_path(spark, "grown"), scratch_path(spark, "compact")
-    first = [("a", 1), ("a", 2), ("b", 3), (None, 9)]
-    start_tables(root, {"x": frame(first), "y": frame([("a", 7)])})
-    assert last_batch(spark, root) == 0 and len(state_with_null(spark, root)) == 4
-    before = {f: os.path.getmtime(f) for f in glob.glob(f"{root}/x/batch=0/*")}
-    assert append_batch(root, {"x": frame([("b", 4)]), "y": frame([("b", 5)])}, frame([("b", 0), ("a", 0)])) == 1
-    assert state(root, "y") == [("b", 5)] and len(state_with_null(spark, root)) == 2
-    assert before == {f: os.path.getmtime(f) for f in glob.glob(f"{root}/x/batch=0/*")}
-    # Rows of a batch that never came to its end don't count, and the next one takes its number.
-    frame([("b", 100), ("new", 1)]).write.parquet(f"{root}/x/batch=2")
-    assert ("b", 100) not in [tuple(r) for r in read_table(spark, root, "x").collect()]
-    assert append_batch(root, {"x": frame([("c", 6)]), "y": frame([])}, frame([("c", 0)])) == 2
-    assert [(r.path, r.v) for r in read_table(spark, root, "x").orderBy("v").collect()] == [("b", 4), ("c", 6), (None, 9)]
-    compact(spark, root, ["x", "y"], target)
-    assert last_batch(spark, target) == 0 and read_table(spark, target, "x").count() == 3 and state(target, "y") == [("b", 5)]
-
-
-def state_with_null(spark, root):
-    return read_table(spark, root, "x").collect()
+    state = lambda: sorted((tuple(r) for r in read_table(spark, root).collect()), key=str)
+    files = lambda: {f: os.path.getmtime(f) for f in glob.glob(f"{root}/bucket=*/*.parquet")}
+    root = scratch_path(spark, "buckets")
+    first = [(f"p{i % 40}", i) for i in range(200)] + [(None, 9)]
+    start_table(frame(first), root, buckets=16)
+    assert state() == sorted(first, key=str)
+    before = files()
+    # One path replaced, one emptied, one new; a row of a path that is not touched doesn't count.
+    fresh, touched = frame([("p1", 1000), ("new", 7), ("p9", -1)]), frame([("p1", 0), ("p2", 0), ("new", 0)])
+    expected = [r for r in first if r[0] not in ("p1", "p2")] + [("p1", 1000), ("new", 7)]
+    for _ in range(2):
+        replace_paths(fresh, touched, root, buckets=16)
+        assert state() == sorted(expected, key=str)
+    mine = {r[0] for r in touched.select(bucket_of(["path"], 16)).collect()}
+    same = {f for f, t in files().items() if before.get(f) == t}
+    assert {int(f.split("bucket=")[1].split("/")[0]) for f in same} == set(range(16)) - mine
+    replace_paths(frame([]), frame(first), root, buckets=16)
+    assert state() == [("new", 7), (None, 9)]
+    replace_paths(frame([("a", 1)]), frame([]), root, buckets=16)
+    assert len(state()) == 2
+
+
+def test_settled_operations_leave_the_state(spark):
+    root, state = scratch_path(spark, "attempts"), scratch_path(spark, "ledger-state")
+    # Operations 0 to 9 are settled by their last answer, 10 to 14 stay pending; a late attempt moves the time on.
+    data = [[(op, 1, 500) for op in range(15)], [(op, 60, 200 if op % 2 else 404) for op in range(10)], [(99, 100_000, 500)], [(98, 100_001, 500)]]
+    for i, batch in enumerate(data):
+        df = spark.createDataFrame(batch, "op_id long, t int, http_code int").withColumn("attempt_ts", F.timestamp_seconds("t"))
+        df.coalesce(1).write.parquet(f"{root}/b={i}")
+    stream = spark.readStream.schema(spark.read.parquet(root).schema).option("maxFilesPerTrigger", 1).parquet(root)
+    writer = ledger.ledger_stream(stream, retry_seconds=None, settled_seconds=3600).writeStream.outputMode("update")
+    writer.format("noop").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    held = lambda name: spark.read.format("statestore").option("path", state).option("stateVarName", name).load()
+    assert sorted(r[0] for r in held("open").select("key.op_id").collect()) == [10, 11, 12, 13, 14, 98, 99]
+    assert held("settled").count() == 0
+
+
+def test_pending_operations_are_due_again(spark):
+    root, state, out = (scratch_path(spark, name) for name in ("attempts", "ledger-state", "ledger"))
+    df = spark.createDataFrame([(1, 1, 500), (2, 1, 200)], "op_id long, t int, http_code int")
+    df.withColumn("attempt_ts", F.timestamp_seconds("t")).coalesce(1).write.parquet(f"{root}/b=0")
+    stream = spark.readStream.schema(spark.read.parquet(root).schema).parquet(root)
+    seen = []
+
+    def keep(batch, batch_id):
+        seen.extend(tuple(r) for r in batch.collect())
+
+    running = ledger.ledger_stream(stream, retry_seconds=1).writeStream.outputMode("update").foreachBatch(keep)
+    running = running.option("checkpointLocation", state).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            if sum(r == (1, "retry", 1) for r in seen) >= 2:
+                break
+            time.sleep(1)
+    finally:
+        running.stop()
+    assert {(1, "pending", 1), (2, "done", 1), (1, "retry", 1)} == set(seen) and seen.count((1, "retry", 1)) >= 2
 
 
 def test_scan_code_names_what_it_leaves_out(spark):
