@@ -134,6 +134,24 @@ def assert_docs(spark, sf_dir):
     return judged.select("check_id", "actual", "passed", "error")
 
 
+@query("assemble_asserted", f"""
+WITH {_PARTS.replace("'[' || '\\1' || ']'", "'[]'")},
+bad AS (SELECT 'c' || conv_id AS project, arg_min('Validation failed for ' || path || '. Expected ''user'', but got ''' || role || chr(39), turn) AS error
+  FROM md WHERE turn % 4 = 2 AND role <> 'user' GROUP BY conv_id),
+built AS (SELECT project, md5(string_agg(part, chr(10) ORDER BY step)) AS digest FROM parts GROUP BY project)
+SELECT project, CASE WHEN error IS NULL THEN digest END AS digest, error FROM built LEFT JOIN bad USING (project)""")
+def assemble_asserted(spark, sf_dir):
+    """The same builds with checks among their steps: every fourth turn from the third on has to be a user's."""
+    manifests, docs = _manifests(spark, sf_dir)
+    checks = docs.where(F.col("turn") % 4 == 2).select(
+        "project", F.lit("all").alias("build"), F.lit("1.0").alias("version"), (F.col("turn") + 1000).cast("int").alias("step"),
+        F.lit("validate").alias("action"), "path", F.lit(r"^Opening by (\w+)").alias("regex"), F.lit("user").alias("expected"),
+    )
+    steps = _keep_comments(manifests).unionByName(checks, allowMissingColumns=True)
+    built = plans.assemble(steps, docs.drop("conv_id", "turn", "role"), "2024-01-31", {"x": "v"})
+    return built.select("project", F.md5("content").alias("digest"), "error")
+
+
 @query("build_versions", f"""
 WITH {_MD} SELECT 'c' || conv_id || '/' || turn AS project, CASE WHEN role = 'system' THEN NULL ELSE CAST(turn AS VARCHAR) END AS version,
   CASE WHEN role = 'system' THEN 'Version regex ''## Turn (\\d+)'' not matched in file ''' || path || '''' END AS error FROM md""")

@@ -9,9 +9,9 @@ from memlake.catalog.base import query, table
 from memlake.catalog.search import HEADERS_SQL
 from memlake.operators import versions
 from memlake.plans.indexing import build_index
-from memlake.session import scratch_path
+from memlake.session import cut_lineage, scratch_path
 from memlake.sources.buckets import read_table, start_table
-from memlake.sources.corpus import scan_code, scan_corpus
+from memlake.sources.corpus import list_files, scan_changed, scan_code, scan_corpus
 from memlake.streaming import changes, ledger
 
 _V = f"v AS ({inputs.VERSIONS_SQL})"
@@ -411,6 +411,21 @@ def code_scan(spark, sf_dir):
     return found.select(page.alias("page_id"), "length")
 
 
+@query("scan_changed", """
+SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'new' ELSE 'changed' END AS state, md5(html || chr(10)) AS digest FROM pages WHERE page_id % 5 < 2
+UNION ALL SELECT page_id + 1000000, 'vanished', NULL FROM pages WHERE page_id % 5 = 2""")
+def changed_scan(spark, sf_dir):
+    """Files since an earlier listing that lacked some, had another length of some and knew some more."""
+    root = _page_files(spark, sf_dir, "changed")
+    page = F.regexp_extract("path", r"page=(\d+)/", 1).cast("long")
+    listed = cut_lineage(list_files(spark, root, [".txt"]))
+    fifth = page % 5
+    known = listed.where(fifth != 0).withColumn("length", F.col("length") + (fifth == 1).cast("int"))
+    lost = listed.where(fifth == 2).withColumn("path", F.concat(F.lit("gone/page="), (page + 1000000).cast("string"), F.lit("/x.txt")))
+    found = scan_changed(spark, root, known.unionByName(lost), [".txt"])
+    return found.select(page.alias("page_id"), "state", F.md5("content").alias("digest"))
+
+
 @query("snapshots", """
 SELECT CAST(1 AS INTEGER) AS version, count(*) AS n, CAST(sum(r_regionkey) AS BIGINT) AS s FROM region
 UNION ALL SELECT 2, count(*), CAST(sum(n_nationkey) AS BIGINT) FROM nation""")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from memlake.catalog import inputs
 from memlake.catalog.base import query, table
 from memlake.functions.chunking import overlap_chunks
-from memlake.functions.embedding import embed
+from memlake.functions.embedding import embed, linear_model
 from memlake.functions.keywords import extract_keywords, identifier_terms
 from memlake.operators.knn import knn_join
 from memlake.operators.postings import bm25_postings, read_postings, write_postings
@@ -432,6 +433,23 @@ def embed_documents(spark, sf_dir):
     return embed(docs, "text").select("doc_id", F.size("vector").alias("width"), F.round(marked, 4).alias("mark"))
 
 
+_WEIGHT = "((i * 7 + j * 13) % 11 - 5) / 10.0::DOUBLE"
+
+
+@query("encoder_batch", f"""
+WITH v AS ({inputs.hashed_sql('SELECT doc_id, text FROM documents', 'doc_id', 'text')}),
+w AS (SELECT j, list({_WEIGHT} ORDER BY i) AS ws FROM range(64) a(i), range(8) b(j) GROUP BY j)
+SELECT doc_id, CAST(j AS INTEGER) AS place, round(list_sum(list_transform(list_zip(vector, ws), lambda p: CAST(p[1] AS DOUBLE) * p[2])), 3) AS value FROM v, w WHERE vector IS NOT NULL""")
+def encoder_batch(spark, sf_dir):
+    """Documents through a model in batches: a linear projection with broadcast weights, loaded once in a worker."""
+    i, j = np.mgrid[0:64, 0:8]
+    encode = linear_model(spark, ((i * 7 + j * 13) % 11 - 5) / 10.0)
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
+    vectors = embed(docs, "text", encode=encode)
+    return vectors.select("doc_id", F.posexplode("vector").alias("place", "value")).select(
+        "doc_id", "place", F.round(F.col("value").cast("double"), 3).alias("value"))
+
+
 @query("hydrate_hits", """
 WITH h AS (SELECT doc_id AS qid, doc_id + quality AS doc, 1 + toxic AS s, 2 + quality AS e FROM labels)
 SELECT qid, 'doc/' || doc AS path, CASE WHEN lang = 'en' THEN md5(array_to_string(string_split(text, chr(10))[s:e], chr(10))) END AS digest,

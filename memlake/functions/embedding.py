@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memlake.functions.exprs import col, collapse_spaces, is_blank
 
@@ -34,19 +36,29 @@ def word_buckets(text: Column, dim: int) -> Column:
     )
 
 
+#: Rows whose words are counted at once.
+_ROWS = 4096
+
+
 def _count_buckets(dim: int):
-    def run(buckets: pd.Series) -> pd.Series:
-        out = []
-        for b in buckets:
-            if b is None:
-                out.append(None)
-                continue
-            v = np.bincount(b, minlength=dim).astype(np.float64)
-            out.append((v / np.sqrt((v * v).sum())).astype(np.float32))
-        return pd.Series(out)
+    """Unit-length counts of the buckets of whole Arrow batches; a null list stays null."""
+    @F.arrow_udf("array<float>")
+    def count(buckets: pa.Array) -> pa.Array:
+        parts = [_counted(buckets.slice(at, _ROWS), dim) for at in range(0, len(buckets), _ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
+
+    return count
+
 
-    run.__annotations__ = {"buckets": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "array<float>")
+def _counted(buckets: pa.Array, dim: int) -> pa.Array:
+    sizes = buckets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(buckets)), sizes)
+    cells = owner * dim + buckets.flatten().to_numpy(zero_copy_only=False)
+    counts = np.bincount(cells, minlength=len(buckets) * dim).reshape(len(buckets), dim).astype(np.float64)
+    length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    unit = np.divide(counts, length, out=np.zeros_like(counts), where=length > 0).astype(np.float32)
+    offsets = pa.array(np.arange(len(buckets) + 1, dtype=np.int32) * dim)
+    return pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()), mask=buckets.is_null())
 
 
 def hashed_words(dim: int = 64) -> Encoder:
@@ -63,6 +75,37 @@ def register_encoder(name: str, factory: Callable[[], Encoder]) -> None:
     _ENCODERS[name] = factory
 
 
+def model_encoder(
+    load: Callable[[], Callable[[np.ndarray], np.ndarray]], base: Encoder | str = "hashed64", width: int = 64, batch_size: int = 256,
+) -> Encoder:
+    """An encoder that runs a model over batches of feature vectors.
+
+    ``load`` is called once in every worker and returns a function from a batch of features (rows by ``width``) to a
+    batch of vectors; what it needs, such as broadcast weights, it brings along. ``base`` gives the features of a text.
+    A blank text has no vector.
+    """
+    features = encoder(base) if isinstance(base, str) else base
+    run = predict_batch_udf(load, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size, input_tensor_shapes=[[width]])
+    nothing = F.array_repeat(F.lit(0.0).cast("float"), width)
+
+    def encode(text: Column) -> Column:
+        given = features(text)
+        return F.when(given.isNotNull(), run(F.coalesce(given, nothing)))
+
+    return encode
+
+
+def linear_model(spark: SparkSession, weights: np.ndarray) -> Encoder:
+    """Features times a matrix of weights that is broadcast; the smallest model there is."""
+    shared = spark.sparkContext.broadcast(np.asarray(weights, np.float64))
+
+    def load() -> Callable[[np.ndarray], np.ndarray]:
+        matrix = shared.value
+        return lambda features: (features.astype(np.float64) @ matrix).astype(np.float32)
+
+    return model_encoder(load, width=len(weights))
+
+
 def encoder(name: str = "hashed64") -> Encoder:
     try:
         return _ENCODERS[name]()

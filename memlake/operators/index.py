@@ -77,14 +77,17 @@ def rename_paths(
     """(index with old paths replaced, renames that had no rows and need indexing anew).
 
     ``renames`` has old_path and new_path. Rows that were at a new path
-    before give way. Of several new paths for one old path the first in order is taken; the others
-    come back for indexing.
+    before give way. Of several new paths for one old path the first in order is taken, and so is the first of several
+    old paths for one new path, so that no two documents become one; the other renames come back for indexing, and
+    nothing stays at their old paths.
     """
-    taken = renames.groupBy("old_path").agg(F.min("new_path").alias("new_path"))
+    first = renames.groupBy("old_path").agg(F.min("new_path").alias("new_path"))
+    taken = first.groupBy("new_path").agg(F.min("old_path").alias("old_path")).select("old_path", "new_path")
     moves = broadcast_if_small(taken)
     on_old = F.col(path) == F.col("old_path")
     moved = index.join(moves, on_old).withColumn(path, F.col("new_path")).select(*index.columns)
-    vacated = moves.select(F.explode(F.array("old_path", "new_path")).alias(path)).distinct()
+    reached = taken.select(F.col("new_path").alias(path)).unionByName(renames.select(F.col("old_path").alias(path)))
+    vacated = broadcast_if_small(reached.distinct())
     staying = index.join(vacated, path, "left_anti").select(*index.columns)
     known = index.select(F.col(path).alias("old_path")).distinct()
     done = taken.join(known, "old_path", "left_semi")

@@ -43,8 +43,10 @@ STEP_FIELDS = {
     "project": "string", "build": "string", "version": "string", "step": "int", "action": "string",
     "path": "string", "source_project": "string", "mode": "string", "section_name": "string",
     "regex": "string", "content": "string", "filename": "string", "skip_reference": "boolean",
-    "format": "string", "sanitize": RULES,
+    "format": "string", "sanitize": RULES, "expected": "string", "use_findall": "boolean", "error_message": "string",
 }
+# Fixed value: the step that checks a document instead of giving a part.
+VALIDATE = "validate"
 
 _GROUP = r"\\.|\[(?:\\.|[^\]\\])*\]|(\((?!\?)|\(\?P?<[A-Za-z])"
 
@@ -139,7 +141,9 @@ def assemble_parts(
 
     ``manifests`` has one row per step (STEP_FIELDS); ``docs`` has project, path, content. Steps of
     one build stay separate rows, so a build of any size is written by many tasks. A step whose action is
-    neither built in nor registered comes back with an error.
+    neither built in nor registered comes back with an error. A ``validate`` step gives no part: it looks for ``regex``
+    (its first match, or with ``use_findall`` all of them) in the document or its ``section_name``, compares it with
+    ``expected`` and comes back with an error where they differ.
     """
     steps = _steps(manifests).withColumn("_from", F.coalesce("source_project", "project"))
     text = docs.select(F.col("project").alias("_from"), "path", F.col("content").alias("_text"))
@@ -148,7 +152,7 @@ def assemble_parts(
         including, asked_for(text, including, ["_from", "path"]), ["_from", "path"], "left",
         spread=["project", "build", "step"],
     )
-    elsewhere = F.coalesce(F.col("action").isin("include_artifact", *ACTIONS), F.lit(False))
+    elsewhere = F.coalesce(F.col("action").isin("include_artifact", VALIDATE, *ACTIONS), F.lit(False))
     own = steps.where(~elsewhere).withColumn("_text", F.lit(None).cast("string"))
     rows = joined.unionByName(own, allowMissingColumns=True)
     mode = F.coalesce("mode", F.lit("full"))
@@ -206,6 +210,7 @@ def assemble_parts(
         F.when(~single, directory).alias("file"),
         "error",
     )
+    out = out.unionByName(_validated(steps.where(F.col("action") == VALIDATE), docs))
     for name, action in ACTIONS.items():
         own_steps = action(steps.where(F.col("action") == name))
         out = out.unionByName(
@@ -215,14 +220,30 @@ def assemble_parts(
     return out
 
 
+def _validated(steps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Checks as steps without a part."""
+    step = ["project", "build", "version", "step", "action"]
+    checks = steps.select(
+        F.struct(*step).alias("check_id"), F.col("_from").alias("project"), "path", "regex", "expected", "section_name",
+        "use_findall", "error_message",
+    )
+    lacking = (F.coalesce("path", F.lit("")) == "") | (F.coalesce("regex", F.lit("")) == "") | F.col("expected").isNull()
+    refused = checks.where(lacking).select(
+        "check_id", F.lit("Action 'validate' requires 'path', 'regex', and 'expected'").alias("error"))
+    judged = assert_docs(checks.where(~lacking), docs).select("check_id", "error").unionByName(refused)
+    return judged.select(
+        *[F.col("check_id")[c].alias(c) for c in step], F.lit(None).cast("string").alias("part"),
+        F.lit(None).cast("string").alias("file"), "error")
+
+
 def assemble(
     manifests: DataFrame, docs: DataFrame, day: str, variables: dict[str, str] | None = None
 ) -> DataFrame:
     """One row per output file: project, build, file (null for the single file), content, error.
 
     The parts of a single file are joined by newlines in step order. In a directory build appended
-    text grows its file and an included document replaces what the file held. A failing step fails
-    its build. The parts of one file meet in one row because the file itself is that row; use
+    text grows its file and an included document replaces what the file held. A failing step, a
+    ``validate`` step among them, fails its build. The parts of one file meet in one row because the file itself is that row; use
     ``assemble_parts`` for builds that are larger than one value may be.
     """
     parts = assemble_parts(manifests, docs, day, variables)
@@ -236,6 +257,7 @@ def assemble(
     kept = (
         parts.alias("p")
         .join(last.alias("l"), (F.col("p.project") == F.col("l.project")) & (F.col("p.build") == F.col("l.build")) & same_file, "left")
+        .where(F.coalesce("action", F.lit("")) != VALIDATE)
         .where(F.col("_from").isNull() | (F.col("step") >= F.col("_from")))
         .select("p.project", "p.build", "p.file", "step", "action", "part")
     )

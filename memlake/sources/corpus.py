@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.functions.paths import base_name, has_extension, hidden, in_skipped_dir, relative_to
+from memlake.operators.skew import asked_for
+from memlake.session import cut_lineage
 
 # What a corpus scan takes, where a source file shows that it is binary, and the usual bound of one.
 CORPUS_EXTS = (".md", ".txt", ".json")
@@ -21,9 +23,16 @@ def _glob(exts: Sequence[str]) -> str:
     return "*{" + ",".join(either(e) for e in exts) + "}"
 
 
-def scan_corpus(spark: SparkSession, root: str, exts: Sequence[str] = CORPUS_EXTS) -> DataFrame:
-    """Documents below a root: path, content, updated. Hidden directories and backlog files are left out."""
+def scan_corpus(
+    spark: SparkSession, root: str, exts: Sequence[str] = CORPUS_EXTS, since: str | None = None
+) -> DataFrame:
+    """Documents below a root: path, content, updated. Hidden directories and backlog files are left out.
+
+    ``since`` (a time as ``yyyy-MM-ddTHH:mm:ss``) takes files changed after it only; the others are not opened.
+    """
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _glob(exts))
+    if since is not None:
+        files = files.option("modifiedAfter", since)
     raw = files.text(root, wholetext=True)
     rows = raw.select(
         relative_to(F.col("_metadata.file_path"), root).alias("path"),
@@ -33,30 +42,36 @@ def scan_corpus(spark: SparkSession, root: str, exts: Sequence[str] = CORPUS_EXT
     return rows.where(~hidden("path") & ~base_name("path").startswith("backlog_"))
 
 
-def _code_files(spark: SparkSession, root: str, exts: Sequence[str], max_bytes: int | None) -> DataFrame:
-    """Source files with the reason why a file is left out, if there is one."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", _glob(exts))
-        .load(root)
-    )
+def _binary_files(spark: SparkSession, root: str, exts: Sequence[str], since: str | None = None) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _glob(exts))
+    if since is not None:
+        # Older files are not even listed for the scan.
+        files = files.option("modifiedAfter", since)
+    return files.load(root)
+
+
+def _code_files(files: DataFrame, root: str, exts: Sequence[str]) -> DataFrame:
     named = files.withColumn("path", relative_to(F.col("path"), root))
-    kept = named.where(has_extension("path", exts) & ~hidden("path") & ~in_skipped_dir("path"))
+    return named.where(has_extension("path", exts) & ~hidden("path") & ~in_skipped_dir("path"))
+
+
+def _binary() -> Column:
     head = F.decode(F.substring("content", 1, BINARY_PROBE), "ISO-8859-1")
-    binary = F.when(F.contains(head, F.lit("\u0000")), F.lit("binary"))
-    if max_bytes is not None:
-        binary = F.when(F.col("length") > max_bytes, F.lit("too large")).otherwise(binary)
-    return kept.withColumn("reason", binary)
+    return F.contains(head, F.lit("\u0000"))
 
 
-def scan_code(spark: SparkSession, root: str, exts: Sequence[str], max_bytes: int | None = None) -> DataFrame:
+def scan_code(
+    spark: SparkSession, root: str, exts: Sequence[str], max_bytes: int | None = None, since: str | None = None
+) -> DataFrame:
     """Source files below a root: path, content, length, updated.
 
-    Binary files are left out and so are, if the caller sets a bound, larger ones; ``scan_code_rejects``
-    names them.
+    Binary files are left out and so are, if the caller sets a bound, larger ones, which are not opened at all;
+    ``scan_code_rejects`` names them. ``since`` (a time as ``yyyy-MM-ddTHH:mm:ss``) takes files changed after it only.
     """
-    return _code_files(spark, root, exts, max_bytes).where(F.col("reason").isNull()).select(
+    files = _binary_files(spark, root, exts, since)
+    if max_bytes is not None:
+        files = files.where(F.col("length") <= max_bytes)
+    return _code_files(files, root, exts).where(~_binary()).select(
         "path", F.decode("content", "UTF-8").alias("content"), "length",
         F.col("modificationTime").alias("updated"),
     )
@@ -66,6 +81,44 @@ def scan_code_rejects(
     spark: SparkSession, root: str, exts: Sequence[str], max_bytes: int | None = None
 ) -> DataFrame:
     """The files that ``scan_code`` leaves out: path, length, reason (binary or too large)."""
-    return _code_files(spark, root, exts, max_bytes).where(F.col("reason").isNotNull()).select(
-        "path", "length", "reason"
+    files = _binary_files(spark, root, exts)
+    opened = files if max_bytes is None else files.where(F.col("length") <= max_bytes)
+    found = _code_files(opened, root, exts).where(_binary()).select("path", "length", F.lit("binary").alias("reason"))
+    if max_bytes is None:
+        return found
+    large = _code_files(files.where(F.col("length") > max_bytes).drop("content"), root, exts)
+    return found.unionByName(large.select("path", "length", F.lit("too large").alias("reason")))
+
+
+def list_files(spark: SparkSession, root: str, exts: Sequence[str] = CORPUS_EXTS) -> DataFrame:
+    """path, length and updated of the files of a scan. None of them is opened."""
+    files = _binary_files(spark, root, exts).select("path", "length", "modificationTime")
+    return _code_files(files, root, exts).select("path", "length", F.col("modificationTime").alias("updated"))
+
+
+def scan_changed(
+    spark: SparkSession, root: str, known: DataFrame, exts: Sequence[str] = CORPUS_EXTS
+) -> DataFrame:
+    """What happened below a root since the scan that ``known`` (path, length, updated) comes from.
+
+    path, state (new, changed or vanished), content, length, updated; a vanished file has its path and state only. A
+    file counts as changed if its time or its length is another. Files are compared by a listing that opens none. Of
+    the others only those are opened whose time and length lie within the bounds of what is new or changed, which the
+    scan gets as pushed filters; files that stayed as they were and lie within them by chance are dropped by their path.
+    """
+    listing = cut_lineage(list_files(spark, root, exts))
+    before = known.select("path", F.col("length").alias("_length"), F.col("updated").alias("_updated"), F.lit(True).alias("_known"))
+    both = listing.join(before, "path", "full_outer")
+    state = (
+        F.when(F.col("length").isNull(), "vanished").when(F.col("_known").isNull(), "new")
+        .when((F.col("length") != F.col("_length")) | ~F.col("updated").eqNullSafe(F.col("_updated")), "changed")
     )
+    moved = cut_lineage(both.withColumn("state", state).where(F.col("state").isNotNull()).select("path", "state", "length", "updated"))
+    bounds = moved.where("state <> 'vanished'").agg(
+        F.min("updated").alias("a"), F.max("updated").alias("b"), F.min("length").alias("c"), F.max("length").alias("d")).first()
+    files = _binary_files(spark, root, exts)
+    within = files.where(
+        F.col("modificationTime").between(F.lit(bounds["a"]), F.lit(bounds["b"])) & F.col("length").between(bounds["c"], bounds["d"])
+    ) if bounds["a"] is not None else files.where(F.lit(False))
+    text = _code_files(within, root, exts).select("path", F.decode("content", "UTF-8").alias("content"))
+    return moved.join(asked_for(text, moved, ["path"]), "path", "left").select("path", "state", "content", "length", "updated")

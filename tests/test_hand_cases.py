@@ -363,3 +363,35 @@ def test_a_single_blocker_becomes_a_list(spark):
     tasks = spark.createDataFrame([(7, "F7", "other")], "id long, key string, title string")
     accepted, _ = backlog.add_tasks(new, tasks, "p", F.current_timestamp())
     assert {r["title"]: r["blocked_by"] for r in accepted.collect()} == {"t1": ["F7"], "t2": []}
+
+
+def test_two_documents_never_become_one(spark):
+    table = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "path string, v int")
+    moves = spark.createDataFrame([("b", "c"), ("a", "c"), ("d", "e")], "old_path string, new_path string")
+    moved, rest = index.rename_paths(table, moves)
+    assert sorted(map(tuple, moved.collect())) == [("c", 1), ("e", 4)]
+    assert [tuple(r) for r in rest.collect()] == [("b", "c")]
+
+
+def test_a_failing_check_fails_its_build(spark):
+    from memlake.plans import assemble
+
+    docs = spark.createDataFrame([("p", "v.md", "# V\nversion: 1.2\n")], "project string, path string, content string")
+    step = lambda build, n, action, **more: {"project": "p", "build": build, "version": "1", "step": n, "action": action, **more}
+    steps = [
+        *[step(b, 0, "append_text", content="text") for b in ("good", "bad", "lost", "bare")],
+        step("good", 1, "validate", path="v.md", regex=r"version: (\S+)", expected=" 1.2 "),
+        step("good", 2, "append_text", content="more"),
+        step("bad", 1, "validate", path="v.md", regex=r"version: (\S+)", expected="1.3", section_name="V"),
+        step("lost", 1, "validate", path="none.md", regex="x", expected="x"),
+        step("bare", 1, "validate", path="v.md", regex="x"),
+    ]
+    fields = "project string, build string, version string, step int, action string, path string, content string, regex string, expected string, section_name string"
+    names = [f.split()[0] for f in fields.split(", ")]
+    manifests = spark.createDataFrame([tuple(s.get(n) for n in names) for s in steps], fields)
+    built = {r["build"]: (r["content"], r["error"]) for r in assemble.assemble(manifests, docs, "2024-01-31").collect()}
+    assert built == {
+        "good": ("text\nmore", None), "bad": (None, "Validation failed for v.md. Expected '1.3', but got '1.2'"),
+        "lost": (None, "Validation source file not found: none.md"),
+        "bare": (None, "Action 'validate' requires 'path', 'regex', and 'expected'"),
+    }

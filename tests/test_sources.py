@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from memlake.functions import embedding
 from memlake.plans import indexing, registry
-from memlake.session import scratch_path, scratch_root
+from memlake.session import cut_lineage, scratch_path, scratch_root
 from memlake.sources.buckets import bucket_of, read_table, replace_paths, start_table
-from memlake.sources.corpus import MAX_SOURCE_BYTES, scan_code, scan_code_rejects, scan_corpus
+from memlake.sources.corpus import MAX_SOURCE_BYTES, list_files, scan_changed, scan_code, scan_code_rejects, scan_corpus
 from memlake.streaming import changes, ledger
 
 
@@ -39,6 +39,34 @@ def test_scan_code(spark, tree):
     assert got == {"sub/c.py": "print(1)", "src/h i+j.py": "h"}
 
 
+def test_large_files_are_not_opened(spark, tree):
+    found = scan_code(spark, tree, [".py"], MAX_SOURCE_BYTES)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,3145728)" in text.split("PushedFilters: [")[1].split("]")[0]
+    listed = list_files(spark, tree, [".py"])
+    assert "content" not in listed._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+    assert {r.path for r in listed.collect()} == {"sub/c.py", "src/f.py", "src/g.py", "src/h i+j.py"}
+
+
+def test_scans_since_a_time(spark, tree):
+    os.utime(f"{tree}/a.md", (1_000_000, 1_000_000))
+    os.utime(f"{tree}/sub/c.py", (1_000_000, 1_000_000))
+    assert {r.path for r in scan_corpus(spark, tree, since="2000-01-01T00:00:00").collect()} == {"sub/b.TXT"}
+    assert {r.path for r in scan_code(spark, tree, [".py"], 1000, since="2000-01-01T00:00:00").collect()} == {"src/h i+j.py"}
+
+
+def test_scan_of_what_changed(spark, tree):
+    known = cut_lineage(list_files(spark, tree, [".md", ".txt"]))
+    assert scan_changed(spark, tree, known, [".md", ".txt"]).count() == 0
+    os.remove(f"{tree}/a.md")
+    for name, body in (("sub/b.TXT", "longer"), ("n.md", "new")):
+        with open(f"{tree}/{name}", "w") as out:
+            out.write(body)
+    got = {(r.path, r.state, r.content) for r in scan_changed(spark, tree, known, [".md", ".txt"]).collect()}
+    assert got == {("a.md", "vanished", None), ("sub/b.TXT", "changed", "longer"), ("n.md", "new", "new")}
+    assert scan_changed(spark, tree, known.limit(0), [".md", ".txt"]).count() == 3
+
+
 class _Session:
     """A session with a given setting and master."""
 
