@@ -5,10 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memlake.functions.exprs import let
+from memlake.session import cut_lineage
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -135,6 +141,82 @@ def bucketed(df: DataFrame, split_on: str, descending: bool = False, parts: int
     return cut.withColumn("_bucket", -below if descending else below).drop("_cuts")
 
 
+_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+_EXACT = {"timestampFormat": _MICROS, "timestampNTZFormat": _MICROS}
+
+
+def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], values: Sequence[str], parts: int | None):
+    """All rows in order of keys and ``order``, dealt out by ranges and written once, and the ends of the ranges.
+
+    Adds _local (number within its key and range, from 1), _head (the row is in the first key of its range), _part and
+    _prev (the ``values`` of the row before within key and range). Rows that are equal in all of that are spread too:
+    no range holds much more than its share, whatever is repeated.
+
+    The ends are a row for each range, in order: the values of its last row, how many rows of the last key it has, and
+    whether that key is its only one.
+    """
+    spark, keys = df.sparkSession, list(keys)
+    key = F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys]), _EXACT) if keys else F.lit("")
+    packed = F.struct(*values) if values else F.struct(F.lit(None).cast("int").alias("none"))
+    marked = df.withColumns({"_key": key, "_spread": F.monotonically_increasing_id(), "_values": packed})
+    sort = [*keys, *order, "_spread"]
+    ranged = marked.repartitionByRange(parts or _parts(df), *sort).sortWithinPartitions(*sort).drop("_spread")
+    added = [
+        T.StructField("_local", T.LongType()), T.StructField("_head", T.BooleanType()), T.StructField("_part", T.IntegerType()),
+        T.StructField("_prev", marked.schema["_values"].dataType), T.StructField("_at", T.LongType()),
+    ]
+    written = cut_lineage(ranged.mapInArrow(_numbered, T.StructType([*ranged.schema.fields, *added])))
+    last = F.max_by(F.struct("_key", "_local", "_head", "_values"), "_at").alias("e")
+    first = F.min_by("_key", "_at").alias("first")
+    ends = written.groupBy("_part").agg(last, first).select("_part", "first", "e.*")
+    return written, ends
+
+
+def _numbered(batches):
+    """Add _local, _head, _part, _prev and _at to rows in order; a row is compared with the one before only."""
+    part, at, run, head, last = TaskContext.get().partitionId(), 0, 0, True, None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        keys, values = batch.column("_key"), batch.column("_values")
+        changed = np.ones(n, bool)
+        changed[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
+        changed[0] = last is None or keys[0].as_py() != last[0]
+        place = np.arange(n)
+        start = np.maximum.accumulate(np.where(changed, place, -1))
+        local = np.where(start < 0, run + place + 1, place - start + 1)
+        later = np.cumsum(changed) + (0 if head else 1) - (1 if at == 0 else 0) > 0
+        # The last row of the batch before stands ahead of the first one of this.
+        before = pa.concat_arrays([last[1] if last is not None else values[:1], values])
+        prev = before.take(pa.array(place, mask=changed))
+        extra = [pa.array(local), pa.array(~later), pa.array(np.full(n, part, np.int32)), prev, pa.array(at + place)]
+        names = ["_local", "_head", "_part", "_prev", "_at"]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *names])
+        at, run, head, last = at + n, int(local[-1]), not later[-1], (keys[n - 1].as_py(), values[n - 1 : n])
+
+
+def _carried(ends: DataFrame) -> dict[int, tuple[int, int]]:
+    """For every range whose first key goes on from before: rows of that key before it, and the range they end in.
+
+    There is one row for each range, so they are few.
+    """
+    carried, before = {}, None
+    for end in ends.select("_part", "first", "_key", "_local", "_head").orderBy("_part").collect():
+        goes_on = before is not None and end["first"] == before[0]
+        if goes_on:
+            carried[end["_part"]] = (before[1], before[2])
+        rows = end["_local"] + (before[1] if goes_on and end["_head"] else 0)
+        before = (end["_key"], rows, end["_part"])
+    return carried
+
+
+def _first_of_ranges(written: DataFrame, carried: dict[int, tuple[int, int]]) -> DataFrame:
+    rows = [(part, n, origin) for part, (n, origin) in carried.items()]
+    found = written.sparkSession.createDataFrame(rows, "_part int, _before long, _origin int")
+    return written.join(F.broadcast(found), "_part", "left")
+
+
 def split_rank(
     df: DataFrame,
     keys: Sequence[str],
@@ -146,37 +228,14 @@ def split_rank(
 ) -> DataFrame:
     """``row_number`` over (keys, split_on, ties) without sending a whole key to one task.
 
-    Rows are numbered inside (key, bucket); the count of the buckets before gives the offset.
-    With no keys this numbers the whole table. ``split_on`` is a number or a timestamp and the
-    leading sort column.
+    Rows are dealt out by ranges of (keys, split_on, ties) and numbered there; what a key had in the ranges before is
+    added. With no keys this numbers the whole table. Any number of rows may be equal in all of it.
     """
-    keys = list(keys)
-    cells = [*keys, "_bucket"]
-    data = bucketed(df, split_on, descending, parts)
     order = [F.desc(split_on) if descending else F.asc(split_on), *ties]
-    local = data.withColumn("_local", F.row_number().over(Window.partitionBy(*cells).orderBy(*order)))
-    running = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        data.groupBy(*cells)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0)))
-        .drop("_n")
-    )
-    return _join_cells(local, offsets, cells).withColumn(
-        name, F.col("_local") + F.col("_before")
-    ).drop("_local", "_before", "_bucket")
-
-
-def _join_cells(left: DataFrame, right: DataFrame, cells: list[str]) -> DataFrame:
-    """Inner join on cells whose keys may be null."""
-    renamed = right.select(
-        *[F.col(c).alias(f"_r{i}") for i, c in enumerate(cells)],
-        *[c for c in right.columns if c not in cells],
-    )
-    same = F.lit(True)
-    for i, c in enumerate(cells):
-        same = same & left[c].eqNullSafe(F.col(f"_r{i}"))
-    return left.join(renamed, same).drop(*[f"_r{i}" for i in range(len(cells))])
+    written, ends = _in_order(df, keys, order, [], parts)
+    more = F.when(F.col("_head"), F.coalesce("_before", F.lit(0))).otherwise(F.lit(0))
+    return _first_of_ranges(written, _carried(ends)).select(
+        *[F.col(f"`{c}`") for c in df.columns], (F.col("_local") + more).alias(name))
 
 
 def split_lag(
@@ -190,23 +249,16 @@ def split_lag(
 ) -> DataFrame:
     """``lag(value, 1)`` over (keys, split_on, ties) without sending a whole key to one task.
 
-    The first row of a (key, bucket) takes the last row of that key's bucket before.
+    The first row of a range takes the last row of the range before, if that has its key.
     """
-    keys, ties = list(keys), list(ties)
-    cells = [*keys, "_bucket"]
-    data = bucketed(df, split_on, parts=parts)
-    packed = F.struct(*values)
-    inside = Window.partitionBy(*cells).orderBy(split_on, *ties)
-    local = data.withColumn("_prev", F.lag(packed).over(inside))
-    tails = (
-        data.groupBy(*cells)
-        .agg(F.max_by(packed, F.struct(split_on, *ties)).alias("_tail"))
-        .withColumn("_carry", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_bucket")))
-        .drop("_tail")
-    )
-    joined = _join_cells(local, tails, cells).withColumn("_prev", F.coalesce("_prev", "_carry"))
-    out = joined.select("*", *[F.col("_prev")[v].alias(prefix + v) for v in values])
-    return out.drop("_prev", "_carry", "_bucket")
+    written, ends = _in_order(df, keys, [F.asc(split_on), *ties], list(values), parts)
+    found = _first_of_ranges(written, _carried(ends))
+    tails = ends.select(F.col("_part").alias("_origin"), F.col("_values").alias("_tail"))
+    joined = found.join(F.broadcast(tails), "_origin", "left")
+    opens = F.col("_head") & (F.col("_local") == 1) & F.col("_before").isNotNull()
+    prev = F.when(opens, F.col("_tail")).otherwise(F.col("_prev"))
+    return joined.withColumn("_prev", prev).select(
+        *[F.col(f"`{c}`") for c in df.columns], *[F.col("_prev")[v].alias(prefix + v) for v in values])
 
 
 def top_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int,

@@ -43,6 +43,32 @@ def test_split_rank_is_row_number(skewed, partitions, descending):
     assert rows(ours.select("id", "rank")) == rows(plain.select("id", "rank"))
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_equal_values_are_split_as_well(spark, descending):
+    """Ten thousand rows of one key and one time, some of them equal in all columns, and keys that are null."""
+    data = [("hot", 5, i % 4000) for i in range(10_000)] + [(None, 5, i) for i in range(50)] + [(f"k{i}", i % 3, 0) for i in range(50)]
+    df = spark.createDataFrame(data, "key string, t int, id int").repartition(7)
+    order = [F.desc("t") if descending else F.asc("t"), "id"]
+    plain = df.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order)))
+    named = lambda d: sorted((str(r[0]), *r[1:]) for r in d.select("key", "t", "id", "rank").collect())
+    assert named(skew.split_rank(df, ["key"], "t", ["id"], descending)) == named(plain)
+    written, ends = skew._in_order(df, ["key"], order, [], 8)
+    sizes = [r["n"] for r in written.groupBy("_part").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 2 * len(data) / 8 and len(sizes) == 8
+    lagged = skew.split_lag(df, ["key"], "t", ["id"], ["id"])
+    plain = df.withColumn("prev_id", F.lag("id").over(Window.partitionBy("key").orderBy("t", "id")))
+    named = lambda d: sorted(tuple(map(str, r)) for r in d.select("key", "t", "id", "prev_id").collect())
+    assert named(lagged) == named(plain)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_ranks_over_any_number_of_ranges(spark, skewed, parts):
+    ours = skew.split_rank(skewed, ["key"], "t", ["id"], parts=parts)
+    plain = skewed.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("t", "id")))
+    assert rows(ours.select("id", "rank")) == rows(plain.select("id", "rank"))
+    assert skew.split_rank(skewed.limit(0), ["key"], "t", ["id"], parts=parts).count() == 0
+
+
 def test_split_rank_of_a_whole_table(skewed):
     plain = skewed.withColumn("rank", F.row_number().over(Window.orderBy("t", "id")))
     ours = skew.split_rank(skewed, [], "t", ["id"])
