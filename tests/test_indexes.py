@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memlake.operators import knn, postings, reading, retrieval, vector_index
+from memlake.plans import indexing, searching
 from memlake.session import scratch_path
 
 
@@ -234,3 +235,28 @@ def test_grep_reads_only_the_buckets_of_its_grams(spark, texts, monkeypatch):
     reading.grep(texts, asked, index=reading.read_grams(spark, root)).collect()
     assert "PartitionFilters: [bucket" in plan(read[0]) or "PartitionFilters: [isnotnull(bucket" in plan(read[0]) or "IN" in plan(read[0])
     assert read[0].count() < reading.read_grams(spark, root).count() / 2
+
+
+# --- both lanes ------------------------------------------------------------------------------
+
+def test_hybrid_search_over_stored_lanes(spark):
+    """The plan gives the same rows from stored indexes as from plain tables, with their live lines."""
+    words = ["alpha-1", "BetaGamma", "NodeJs", "F12", "docs/x.md", "plain", "text"]
+    rng = random.Random(2)
+    data = [
+        (f"k/d{i}.md", "# T\n" + "".join(f"## S{j}\n{' '.join(rng.choices(words, k=9))} n{i}\n" for j in range(3))) for i in range(40)
+    ]
+    docs = spark.createDataFrame(data, "path string, content string")
+    tables = indexing.build_index(docs)
+    queries = spark.createDataFrame([(1, "alpha-1 NodeJs"), (2, "F12 text"), (3, "docs/x.md"), (4, "nothing known")], "qid int, query string")
+    row = ["path", "start_line", "end_line", "section"]
+    roots = scratch_path(spark, "chunks"), scratch_path(spark, "keywords")
+    vector_index.write_vector_index(tables.chunks, roots[0], row)
+    postings.write_postings(tables.keywords, roots[1], row)
+    stored = vector_index.read_vector_index(spark, roots[0]), postings.read_postings(spark, roots[1])
+    key = lambda df: rows(df.select("qid", "rank", *row, F.round("score", 6), "match", "content"))
+    view = indexing.clean_view(docs)
+    plain = key(searching.hybrid_search(queries, tables.chunks, tables.keywords, view, 4))
+    assert key(searching.hybrid_search(queries, *stored, view, 4)) == plain != []
+    near = lambda chunks: rows(searching.search_sections(queries, chunks, view, 3).select("qid", "rank", *row))
+    assert near(stored[0]) == near(tables.chunks)
