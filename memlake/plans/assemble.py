@@ -20,6 +20,7 @@ from memlake.functions.text import (
 )
 from memlake.operators.skew import asked_for, salted_join
 from memlake.plans.registry import ACTIONS
+from memlake.session import cut_lineage
 
 # Well-known documents, default gate texts and the notice above a skill list.
 DECISION_INDEX = "docs/decisions/0000-index.md"
@@ -249,7 +250,8 @@ def assemble(
     ``validate`` step among them, fails its build. The parts of one file meet in one row because the file itself is that row; use
     ``assemble_parts`` for builds that are larger than one value may be.
     """
-    parts = assemble_parts(manifests, docs, day, variables)
+    # Read three times: for errors, for the last document of a file, and for the texts.
+    parts = cut_lineage(assemble_parts(manifests, docs, day, variables))
     builds = parts.groupBy("project", "build").agg(
         F.min_by("error", F.when(F.col("error").isNotNull(), F.col("step"))).alias("error")
     )
