@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memlake.operators.knn import METRICS, knn_join
-from memlake.operators.skew import top_k_per_key
 from memlake.session import cut_lineage
 
 #: Most lists of an index: they are folders, and their centroids go to every task.
@@ -214,25 +213,48 @@ def search_vectors(
     """
     keys, vector = list(keys), index.vector
     options = {"qid": qid, "keys": keys, "vector": vector, "metric": index.metric, "scopes": scopes, "path": path}
-    asked = queries.where(F.col(vector).isNotNull()).withColumn("_bound", F.lit(0.0))
+    asked = queries.where(F.col(vector).isNotNull()).withColumn("_bound", F.lit(float("inf")))
     if recall is not None:
         probes = index.probes_for(recall)
-    first = cut_lineage(_probed(asked, index, vector, _nearest(min(probes or first_probes, index.lists.num_rows))))
-    found = _within(first, index, k, options)
+    found = _within(asked, index, k, _nearest(min(probes or first_probes, index.lists.num_rows)), options)
     if probes is not None:
         return found
-    found = cut_lineage(found)
-    distance = F.when(F.count(F.lit(1)) == k, F.max("distance"))
-    # Unit vectors: squared distances are twice the cosine distances.
-    scale = 1.0 if index.metric == "l2" else 2.0
-    reached = found.groupBy(qid).agg((distance * scale).alias("_reached"))
-    bound = F.coalesce("_reached", F.lit(float("inf")))
+    # A row without k neighbours yet has no bound, and the lists looked into first are looked into again.
+    reached = found.groupBy(qid).agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("_reached"))
+    bound = F.coalesce("_reached", F.lit(float("inf"))) + F.lit(_SLACK)
     bounded = asked.drop("_bound").join(reached, qid, "left").withColumn("_bound", bound).drop("_reached")
-    more = _probed(bounded, index, vector, _may_hold_nearer).join(first.select(qid, "list"), [qid, "list"], "left_anti")
-    both = found.drop("rank").unionByName(_within(cut_lineage(more), index, k, options).drop("rank"))
-    return top_k_per_key(both, [qid], [F.round("distance", 9), *keys], k)
+    return _within(cut_lineage(bounded), index, k, _may_hold_nearer, options)
+
+
+def _reach(index: VectorIndex, wanted):
+    """A function from vectors and bounds to a mask of the numbers of lists that they look into."""
+    # Unit vectors: squared distances are twice the cosine distances.
+    centroids, metric, scale = index.centroids, index.metric, 1.0 if index.metric == "l2" else 2.0
+    radii, full = index.lists.column("radius").to_numpy(), index.lists.column("n").to_numpy() > 0
+
+    def reach(vectors: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        found = np.zeros((len(vectors), len(centroids)), bool)
+        for at in range(0, len(vectors), 1024):
+            part = slice(at, at + 1024)
+            gaps = _gaps(_scaled(vectors[part], metric), centroids)
+            found[part] = wanted(gaps, radii, full, scale * bounds[part]) & full
+        return found
+
+    return reach
+
+
+def _within(asked: DataFrame, index: VectorIndex, k: int, wanted, options: dict) -> DataFrame:
+    """The k nearest rows of the lists that ``wanted`` names for each query; lists that none asks for are not read."""
+    vector, reach, (n, width) = index.vector, _reach(index, wanted), index.centroids.shape
+    if not any(index.lists.column("n").to_pylist()):
+        asked = asked.where(F.lit(False))
 
+    def named(batches):
+        seen = np.zeros(n, bool)
+        for batch in batches:
+            if batch.num_rows:
+                seen |= reach(_matrix(batch.column(0), width), batch.column(1).to_numpy(zero_copy_only=False)).any(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen), pa.int32())], names=["list"])
 
-def _within(probed: DataFrame, index: VectorIndex, k: int, options: dict) -> DataFrame:
-    lists = [r["list"] for r in probed.select("list").distinct().collect()]
-    return knn_join(probed, index.rows.where(F.col("list").isin(lists)), k, by=["list"], **options)
+    lists = [r["list"] for r in asked.select(vector, "_bound").mapInArrow(named, "list int").distinct().collect()]
+    return knn_join(asked, index.rows.where(F.col("list").isin(lists)), k, by=["list"], reach=reach, bound="_bound", **options)

@@ -73,6 +73,18 @@ def test_only_probed_lists_are_read(index, clouds):
     assert files.select("list").distinct().count() == 1
 
 
+def test_a_query_is_not_copied_for_each_list(monkeypatch, index, clouds):
+    """However many lists a query looks into, one row of it goes to the search."""
+    seen = []
+    join = knn.knn_join
+    monkeypatch.setattr(vector_index, "knn_join", lambda queries, *a, **b: seen.append(queries.count()) or join(queries, *a, **b))
+    some = asked(clouds)
+    most = some.where("vector IS NOT NULL").count()
+    vector_index.search_vectors(some, index, 5, first_probes=8).count()
+    vector_index.search_vectors(some, index, 5, probes=8).count()
+    assert seen == [most, most, most]
+
+
 def test_search_below_directories(spark, index, clouds):
     some = asked(clouds).where("qid < 200").withColumn("scopes", F.array(F.lit("d1"), F.lit("d3")))
     full = knn.knn_join(some, clouds, 4, scopes="scopes", metric=index.metric)

@@ -236,3 +236,18 @@ def test_a_null_group_matches_nothing(spark):
     queries = spark.createDataFrame([(1, None, [1.0, 0.0]), (2, "x", [1.0, 0.0])], "qid int, g string, vector array<float>")
     found = knn.knn_join(queries, corpus, 3, keys=["path"], by=["g"])
     assert {(r.qid, r.path) for r in found.collect()} == {(2, "b")}
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("options", [{}, {"by": ["g"]}])
+def test_many_blocks_of_queries_are_one_pass(spark, metric, options):
+    """Two hundred blocks of queries are no more steps of the plan than two, and find what one block finds."""
+    rng = random.Random(2)
+    data = [(i, f"g{i % 3}", [rng.gauss(0, 1) for _ in range(8)]) for i in range(400)]
+    data += [(400 + i, "g1", [1.0] * 8) for i in range(100)] + [(600, "g1", None), (601, "g1", [float("nan")] * 8), (602, "g1", [0.0] * 8)]
+    corpus = spark.createDataFrame(data, "key int, g string, vector array<float>").repartition(5)
+    queries = corpus.withColumnRenamed("key", "qid")
+    few, many = (knn.knn_join(queries, corpus, 6, metric=metric, max_queries=n, **options) for n in (10_000, 3))
+    assert plan(many).count("MapInArrow") == 1
+    key = lambda df: rows(df.select("qid", "rank", "key", F.round("distance", 9)))
+    assert key(many) == key(few)
