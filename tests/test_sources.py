@@ -224,3 +224,15 @@ def test_scan_code_names_what_it_leaves_out(spark):
     assert {r.path for r in scan_code(spark, root, [".py"]).collect()} == {"one.py", "wide.py"}
     got = {(r.path, r.reason) for r in scan_code_rejects(spark, root, [".py"], max_bytes=4000).collect()}
     assert got == {("bin.py", "binary"), ("wide.py", "too large")}
+
+
+def test_files_of_a_small_table_are_written_by_many_tasks(spark, tmp_path):
+    """A pages table of one file is dealt out, and a page that comes twice is still one file."""
+    from memlake.catalog.history import _page_files
+
+    pages = [(i // 2 if i < 4 else i, "http://a/b", f'<html lang="en">{i // 2 if i < 4 else i}') for i in range(60)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    rows.write.parquet(str(tmp_path / "pages.parquet"))
+    found = scan_code(spark, _page_files(spark, str(tmp_path), "small"), [".txt"]).collect()
+    assert len(found) == 58 and len({r.path.split("part-")[1][:5] for r in found}) > 3
+    assert sorted(r.content.count("<html") for r in found)[-3:] == [1, 2, 2]
