@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -81,38 +80,45 @@ class _Delivery(StatefulProcessor):
         age = None if self.retry_ms is None else self.settled_ms
         self.settled = handle.getValueState("settled", "status string, attempts long, final_us long, last_us long", age)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.settled.get() if self.settled.exists() else None
-        pending = self.open.get() if before is None and self.open.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Every call to the state is a message to the JVM: none is made whose answer is known.
+        before = self.settled.get()
+        pending = self.open.get() if before is None else None
         status, attempts, final_us, last_us = before or ("pending", pending[0] if pending else 0, None, 0)
-        for piece in rows:
-            attempts += len(piece)
-            last_us = max(last_us, int(piece["at_us"].max()))
-            final = piece[piece["outcome"] != "pending"]
-            if len(final):
-                first = final.sort_values(["at_us", "outcome"]).iloc[0]
-                if final_us is None or first["at_us"] < final_us:
-                    status, final_us = first["outcome"], int(first["at_us"])
+        first = None
+        for row in rows:
+            attempts += 1
+            at_us = row["at_us"]
+            if at_us is None:
+                continue
+            last_us = max(last_us, at_us)
+            if row["outcome"] != "pending":
+                answer = (at_us, row["outcome"])
+                first = answer if first is None else min(first, answer)
+        if first is not None and (final_us is None or first[0] < final_us):
+            final_us, status = first
         if status == "pending":
             self.open.update((attempts,))
             if self.retry_ms is not None and pending is None:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.retry_ms)
         else:
             # A settled operation leaves no pending state and no earlier timer behind.
-            self.open.clear()
-            for timer in list(self.handle.listTimers()) if before or pending else []:
-                self.handle.deleteTimer(timer)
+            if pending is not None:
+                self.open.clear()
+            if before is not None or (pending is not None and self.retry_ms is not None):
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
             self.settled.update((status, attempts, final_us, last_us))
             if self.retry_ms is None:
                 self.handle.registerTimer(last_us // 1000)
-        yield pd.DataFrame({"op_id": [key[0]], "status": [status], "attempts": [attempts]})
+        yield Row(op_id=key[0], status=status, attempts=attempts)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.retry_ms is None:
             self.settled.clear()
         elif self.open.exists():
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.retry_ms)
-            yield pd.DataFrame({"op_id": [key[0]], "status": ["retry"], "attempts": [self.open.get()[0]]})
+            yield Row(op_id=key[0], status="retry", attempts=self.open.get()[0])
 
     def close(self) -> None:
         pass
@@ -124,11 +130,11 @@ def ledger_stream(
     """Status changes of operations as attempts arrive, and ``retry`` when a pending one is due again.
 
     Retries are timers on the clock and keep a query alive for good; pass None for a run that ends with its input.
-    Attempts are read piece by piece. A pending operation holds one number; once it is settled that and its timer go,
-    and its first final answer stands for ``settled_seconds`` after its last attempt, by the clock or, without retries,
-    by the times of the attempts: then an attempt that is older than that beside the newest one is too late to count.
-    Afterwards the answer leaves the state, and an attempt would be one of a new operation. Output mode ``update``; the
-    state lies in RocksDB, which is set in the session.
+    Attempts are read one by one; an operation sends the state a few messages, whatever its attempts. A pending operation
+    holds one number; once it is settled that and its timer go, and its first final answer stands for ``settled_seconds``
+    after its last attempt, by the clock or, without retries, by the times of the attempts: then an attempt that is older
+    than that beside the newest one is too late to count. Afterwards the answer leaves the state, and an attempt would be
+    one of a new operation. Output mode ``update``; the state lies in RocksDB, which is set in the session.
     """
     attempts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     at = F.col("attempt_ts").cast("timestamp")
@@ -139,5 +145,5 @@ def ledger_stream(
     clock = retry_seconds is not None
     timed = answers.drop("at") if clock else answers.withWatermark("at", f"{int(settled_seconds)} seconds")
     tracker = _Delivery(int(retry_seconds * 1000) if clock else None, int(settled_seconds * 1000))
-    return timed.groupBy("op_id").transformWithStateInPandas(
+    return timed.groupBy("op_id").transformWithState(
         tracker, _OUTPUT, "Update", "processingTime" if clock else "eventTime")

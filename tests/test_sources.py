@@ -4,8 +4,10 @@ import datetime
 import glob
 import os
 import time
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from memlake.functions import embedding
@@ -193,6 +195,53 @@ def test_settled_operations_leave_the_state(spark):
     assert held("settled").count() == 0
 
 
+class _Told:
+    """State and timers of one operation that count the messages sent to them."""
+
+    def __init__(self):
+        self.values, self.timers, self.sent = {}, [], 0
+
+    def getValueState(self, name, schema, ttl=None):
+        return SimpleNamespace(
+            exists=lambda: self._send() or name in self.values, get=lambda: self._send() or self.values.get(name),
+            update=lambda v: self._send() or self.values.update({name: v}), clear=lambda: self._send() or self.values.pop(name, None))
+
+    def listTimers(self):
+        self._send()
+        return iter(list(self.timers))
+
+    def registerTimer(self, at):
+        self._send()
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self._send()
+        self.timers.remove(at)
+
+    def _send(self):
+        self.sent += 1
+
+
+def test_an_operation_sends_few_messages_to_its_state():
+    told = _Told()
+    tracker = ledger._Delivery(None, 1000)
+    tracker.init(told)
+    row = lambda at, outcome: Row(op_id=7, outcome=outcome, at_us=at)
+
+    def step(*rows):
+        told.sent = 0
+        (got,) = tracker.handleInputRows((7,), iter(rows), None)
+        return got.status, got.attempts, told.sent
+
+    assert step(*[row(i, "pending") for i in range(50)]) == ("pending", 50, 3)
+    # Of many answers the first one stands; a settled operation leaves no count of a pending one.
+    assert step(row(90_000, "failed"), row(70_000, "done"), row(80_000, "failed"), row(None, "failed")) == ("done", 54, 5)
+    assert told.values == {"settled": ("done", 54, 70_000, 90_000)} and told.timers == [90]
+    # A late earlier answer takes its place, and the timer moves.
+    assert step(row(60_000, "failed"), row(99_000, "done"))[:2] == ("failed", 56)
+    assert told.values == {"settled": ("failed", 56, 60_000, 99_000)} and told.timers == [99]
+
+
 def test_pending_operations_are_due_again(spark):
     root, state, out = (scratch_path(spark, name) for name in ("attempts", "ledger-state", "ledger"))
     df = spark.createDataFrame([(1, 1, 500), (2, 1, 200)], "op_id long, t int, http_code int")
