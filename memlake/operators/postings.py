@@ -39,7 +39,7 @@ def _counted(bag: Column) -> Column:
         return let(ends, lambda e: F.transform(e, lambda i, j: F.struct(
             F.get(s, i).alias("term"), (i - F.coalesce(F.get(e, j - 1), F.lit(-1))).alias("tf"))))
 
-    return F.when(F.size(bag) > 0, let(F.array_sort(bag), runs))
+    return F.when(F.size(bag) > 0, let(F.sort_array(bag), runs))
 
 
 def _bucket(buckets: int) -> Column:
@@ -146,10 +146,10 @@ def bm25_postings(
         some.join(broadcast_if_small(weakest), qid).where(F.col("score") + F.col("_more") >= F.col("_bound"))
         .select(qid, *index.keys, F.col("score").alias("_part"))
     )
-    held = broadcast_if_small(candidates.select(*index.keys).distinct())
+    # A row comes with the queries that may still take it, so a part that none of them asks for goes before any shuffle.
+    held = broadcast_if_small(candidates.groupBy(*index.keys).agg(F.collect_list(qid).alias("_asked")))
     # Common terms are looked up for the rows that are left, and for no others.
-    near = postings.join(held, index.keys, "left_semi")
-    added = _parts(near, rest.select(cols), index, qid, path, None).join(
-        broadcast_if_small(candidates.select(qid, *index.keys)), [qid, *index.keys], "left_semi")
+    near = postings.join(held, index.keys)
+    added = _parts(near, rest.select(cols), index, qid, path, F.array_contains("_asked", F.col(qid)))
     total = scored(candidates.unionByName(added))
     return top_k_per_key(total, [qid], [F.desc(F.round("score", 9)), *index.keys], k)

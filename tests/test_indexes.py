@@ -272,3 +272,18 @@ def test_hybrid_search_over_stored_lanes(spark):
     assert key(searching.hybrid_search(queries, *stored, view, 4)) == plain != []
     near = lambda chunks: rows(searching.search_sections(queries, chunks, view, 3).select("qid", "rank", *row))
     assert near(stored[0]) == near(tables.chunks)
+
+
+def test_documents_of_one_file_get_their_postings_from_many_tasks(spark, tmp_path, monkeypatch):
+    from memlake.catalog import search
+
+    docs = spark.createDataFrame([(i, f"common word{i % 7} mark{i}") for i in range(60)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    items = spark.createDataFrame([(1, "mark7 common"), (2, "word3 common")], "item_id long, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    tasks, write = [], search.write_postings
+    monkeypatch.setattr(search, "write_postings", lambda d, *more: tasks.append(d.rdd.getNumPartitions()) or write(d, *more))
+    found = {(r.qid, r["rank"]): r.doc_id for r in search.bm25_from_postings(spark, str(tmp_path)).collect()}
+    assert tasks == [spark.sparkContext.defaultParallelism]
+    # Of equal scores the smallest keys come first.
+    assert found[1, 1] == 7 and [found[2, n] for n in range(1, 6)] == [3, 10, 17, 24, 31]
