@@ -1,7 +1,10 @@
 """Stored indexes: the same rows as a full scan, and only what a search needs is read."""
 
+import glob
+import itertools
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,3 +290,15 @@ def test_documents_of_one_file_get_their_postings_from_many_tasks(spark, tmp_pat
     assert tasks == [spark.sparkContext.defaultParallelism]
     # Of equal scores the smallest keys come first.
     assert found[1, 1] == 7 and [found[2, n] for n in range(1, 6)] == [3, 10, 17, 24, 31]
+
+
+def test_stored_grams_keep_the_order_of_their_documents(spark):
+    """Nothing is sorted by gram: within a file of a bucket the grams of one document stand together."""
+    root = scratch_path(spark, "grams")
+    docs = spark.createDataFrame([(f"d{i}", " ".join(f"word{i * 37 + j}" for j in range(400))) for i in range(12)], "path string, content string")
+    reading.write_grams(docs.coalesce(1), root)
+    stored = reading.read_grams(spark, root)
+    assert sorted(stored.select("path", "gram").collect()) == sorted(reading.grams(docs).select("path", "gram").collect())
+    for file in glob.glob(f"{root}/bucket=*/*.parquet"):
+        paths = pq.read_table(file, partitioning=None).column("path").to_pylist()
+        assert len(list(itertools.groupby(paths))) == len(set(paths))
