@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.operators.skew import broadcast_if_small, salted_join
+from memlake.operators.skew import broadcast_if_small, dealt_by_rows, salted_join
+from memlake.session import cut_lineage
 
 FILE_KEY = ("project", "path")
 
@@ -16,13 +17,13 @@ def _drop_keys(target: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFra
     """Target rows whose key is not listed. Rows of one file may be many, so they stay spread."""
     on = list(on)
     listed = keys.select(*on).distinct()
-    return salted_join(target, listed, on, "left_anti", spread=target.columns).select(*target.columns)
+    return salted_join(target, listed, on, "left_anti", spread=target.columns, sized=True).select(*target.columns)
 
 
 def _keep_keys(target: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     on = list(on)
     listed = keys.select(*on).distinct()
-    return salted_join(target, listed, on, "left_semi", spread=target.columns).select(*target.columns)
+    return salted_join(target, listed, on, "left_semi", spread=target.columns, sized=True).select(*target.columns)
 
 
 def merge_units(
@@ -46,11 +47,14 @@ def merge_report(
 ) -> DataFrame:
     """What a merge does, as one row of counts: updated, inserted, deleted."""
     on, full = list(on), [*on, *row_key]
-    touched = batch.select(*on)
+    # Written once: the batch is counted, names the touched files and is compared.
+    new = cut_lineage(batch.select(*full, F.lit(1).alias("n")))
+    touched = new.select(*on)
     if cleared is not None:
         touched = touched.unionByName(cleared.select(*on))
     old = _keep_keys(target, touched, on).select(*full, F.lit(1).alias("o"))
-    both = old.join(batch.select(*full, F.lit(1).alias("n")), full, "full_outer")
+    rows = max(target.count(), new.count())
+    both = dealt_by_rows(old, full, rows).join(dealt_by_rows(new, full, rows), full, "full_outer")
     return both.agg(
         F.count_if(F.col("o").isNotNull() & F.col("n").isNotNull()).alias("updated"),
         F.count_if(F.col("o").isNull()).alias("inserted"),

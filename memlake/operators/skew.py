@@ -19,6 +19,8 @@ from memlake.session import cut_lineage
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
+#: Rows of the left side that one task of a sized join sorts.
+TASK_ROWS = 500_000
 
 
 def fits_broadcast(
@@ -60,6 +62,31 @@ def hot_keys(df: DataFrame, on: Sequence[str], parts: int | None = None) -> Data
     return counts.where(F.col("count") > share).select(*on, F.ceil(F.col("count") / share).cast("int").alias("_n"))
 
 
+def hot_keys_by_buckets(df: DataFrame, on: Sequence[str], parts: int | None = None) -> tuple[int, DataFrame | None]:
+    """The number of rows, and what ``hot_keys`` finds, or None if there is no such key. Runs at once.
+
+    Rows are counted by bucket of hashed keys first, 64 buckets a partition however many keys there are. A key with more
+    than a share lies in a bucket with more than a share; only the keys of such buckets are counted one by one.
+    """
+    parts = parts or _parts(df)
+    bucket = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in on]), F.lit(64 * parts)).cast("int")
+    sizes = df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total = sum(r["n"] for r in sizes)
+    share = max(total / parts, 1.0)
+    heavy = [r["_b"] for r in sizes if r["n"] > share]
+    if not heavy:
+        return total, None
+    counts = df.where(bucket.isin(heavy)).groupBy(*on).count().where(F.col("count") > share)
+    hot = cut_lineage(counts.select(*on, F.ceil(F.col("count") / F.lit(share)).cast("int").alias("_n")))
+    return total, hot if hot.head(1) else None
+
+
+def dealt_by_rows(df: DataFrame, on: Sequence[str], rows: int) -> DataFrame:
+    """``df`` in as many partitions as ``rows`` rows need, where the session's number of them gives a task too many."""
+    parts = -(-rows // TASK_ROWS)
+    return df.repartition(parts, *on) if parts > _parts(df) else df
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -68,6 +95,7 @@ def salted_join(
     spread: Sequence[str] | None = None,
     salts: int = SALTS,
     find_hot: bool = True,
+    sized: bool = False,
 ) -> DataFrame:
     """Equi-join whose left side may have hot keys.
 
@@ -79,6 +107,10 @@ def salted_join(
     Finding the heavy keys reads the left side once more, so a left side that is dear to compute is
     written first (``cut_lineage``). Where the right side is small, ``find_hot`` off spreads all keys over
     ``salts`` tasks without looking.
+
+    ``sized`` is for a left side that may have many more rows than the session's partitions hold well: its heavy keys are
+    found by buckets, at once, and the join has a partition for every ``TASK_ROWS`` rows, so that neither the counts nor
+    the sorts of a task grow with the table.
     """
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot do a {how} join")
@@ -90,7 +122,11 @@ def salted_join(
         copied = right.withColumn("_salt", F.explode(every))
         salt = F.pmod(hashed, F.lit(salts)).cast("int")
         return left.withColumn("_salt", salt).join(copied, [*on, "_salt"], how).drop("_salt")
-    hot = F.broadcast(hot_keys(left, on))
+    rows, found = hot_keys_by_buckets(left, on) if sized else (0, hot_keys(left, on))
+    if found is None:
+        # No key is split; the sides meet as they are.
+        return dealt_by_rows(left, on, rows).join(dealt_by_rows(right, on, rows), on, how)
+    hot = F.broadcast(found)
     lost = F.lit(False)
     for c in on:
         lost |= F.col(f"`{c}`").isNull()
@@ -98,7 +134,8 @@ def salted_join(
     spread_left = left.join(hot, on, "left").withColumn("_salt", F.pmod(hashed, shares).cast("int")).drop("_n")
     copies = F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)
     copied_right = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_n")
-    return spread_left.join(copied_right, [*on, "_salt"], how).drop("_salt")
+    salted = [*on, "_salt"]
+    return dealt_by_rows(spread_left, salted, rows).join(dealt_by_rows(copied_right, salted, rows), salted, how).drop("_salt")
 
 
 def _splits(df: DataFrame, value: Column, parts: int, step: int) -> Column:

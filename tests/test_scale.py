@@ -13,7 +13,7 @@ from memlake.catalog import inputs
 from memlake.catalog.base import table
 from memlake.functions.chunking import overlap_chunks
 from memlake.functions.keywords import extract_keywords
-from memlake.operators import code, knn, reading, retrieval, skew
+from memlake.operators import code, index, knn, reading, retrieval, skew
 from memlake.streaming import changes
 
 
@@ -282,3 +282,37 @@ def test_set_places_of_a_mask(spark):
     for shape in ((0, 5), (1, 3), (7, 13), (64, 64), (5, 0)):
         mask = rng.random(shape) < 0.1
         assert all((a == b).all() for a, b in zip(knn.places(mask), np.nonzero(mask)))
+
+
+def test_heavy_keys_are_found_by_buckets(spark):
+    """The first count has 64 groups a partition however many keys there are, and finds what counting every key finds."""
+    df = spark.range(1000).selectExpr("IF(id < 600, 'most', IF(id < 750, NULL, concat('k', id))) AS key", "id")
+    total, found = skew.hot_keys_by_buckets(df, ["key"], parts=10)
+    assert total == 1000 and sorted(map(repr, found.collect())) == sorted(map(repr, skew.hot_keys(df, ["key"], parts=10).collect()))
+    assert skew.hot_keys_by_buckets(df.where("id >= 750"), ["key"], parts=10) == (250, None)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_sized_joins_have_partitions_for_their_rows(spark, skewed, how, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 50)
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), (None, 4)], "key string, w int")
+    for left in (skewed, skewed.where("key <> 'hot'")):
+        n = -(-left.count() // 50)
+        assert n > skew._parts(left)
+        sized = skew.salted_join(left, right, ["key"], how, sized=True)
+        assert "REPARTITION_BY_NUM" in plan(sized) and f", {n})" in plan(sized)
+        key = lambda df: sorted(map(repr, df.collect()))
+        assert key(sized) == key(left.join(right, "key", how))
+
+
+def test_merges_do_not_count_every_file_in_a_task(spark, monkeypatch):
+    """An index of more rows than the session's partitions hold is sorted in more of them; the merge is the same."""
+    target = spark.range(900).selectExpr("'p' AS project", "concat('f', id % 300) AS path", "'m' AS chunk_type", "concat('n', id) AS chunk_name")
+    batch = target.where("path IN ('f1', 'f2')").where("chunk_name <> 'n1'").unionByName(
+        spark.sql("SELECT 'p' AS project, 'f1' AS path, 'm' AS chunk_type, 'fresh' AS chunk_name"))
+    cleared = spark.sql("SELECT 'p' AS project, 'f9' AS path")
+    before = rows(index.merge_units(target, batch, cleared)), rows(index.merge_report(target, batch, cleared))
+    monkeypatch.setattr(skew, "TASK_ROWS", 20)
+    merged, report = index.merge_units(target, batch, cleared), index.merge_report(target, batch, cleared)
+    assert "REPARTITION_BY_NUM" in plan(merged) and "REPARTITION_BY_NUM" in plan(report)
+    assert (rows(merged), rows(report)) == before and before[1] == [(5, 1, 4)]
