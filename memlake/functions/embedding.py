@@ -7,10 +7,12 @@ function DataFrame-side: a Column in, an array<float> Column out, for instance o
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,32 +30,33 @@ def prepare(text: Column | str, cap: int | None = None) -> Column:
     return F.when(~is_blank(cut), F.lower(collapse_spaces(cut)))
 
 
-def word_buckets(text: Column, dim: int) -> Column:
-    """Bucket of every word: the first seven hex digits of its MD5, modulo the width."""
-    return F.transform(
-        F.split(text, " ", -1),
-        lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int"), F.lit(dim)),
-    )
-
-
 #: Rows whose words are counted at once.
-_ROWS = 4096
+_ROWS = 512
 
 
-def _count_buckets(dim: int):
-    """Unit-length counts of the buckets of whole Arrow batches; a null list stays null."""
+def _count_words(dim: int):
+    """Unit-length counts of the buckets of the words of whole Arrow batches; a null text stays null."""
     @F.arrow_udf("array<float>")
-    def count(buckets: pa.Array) -> pa.Array:
-        parts = [_counted(buckets.slice(at, _ROWS), dim) for at in range(0, len(buckets), _ROWS)]
+    def count(texts: pa.Array) -> pa.Array:
+        parts = [_counted(texts.slice(at, _ROWS), dim) for at in range(0, len(texts), _ROWS)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
 
     return count
 
 
-def _counted(buckets: pa.Array, dim: int) -> pa.Array:
+def _bucket(word: bytes, dim: int) -> int:
+    """Bucket of a word: the first seven hex digits of its MD5, modulo the width."""
+    return int(hashlib.md5(word, usedforsecurity=False).hexdigest()[:7], 16) % dim
+
+
+def _counted(texts: pa.Array, dim: int) -> pa.Array:
+    """Every different word of the rows is hashed once."""
+    buckets = pc.split_pattern(texts, " ")
     sizes = buckets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     owner = np.repeat(np.arange(len(buckets)), sizes)
-    cells = owner * dim + buckets.flatten().to_numpy(zero_copy_only=False)
+    words = buckets.flatten().dictionary_encode()
+    known = np.fromiter((_bucket(w, dim) for w in words.dictionary.cast(pa.binary()).to_pylist()), np.int64, len(words.dictionary))
+    cells = owner * dim + known[words.indices.to_numpy(zero_copy_only=False)]
     counts = np.bincount(cells, minlength=len(buckets) * dim).reshape(len(buckets), dim).astype(np.float64)
     length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
     unit = np.divide(counts, length, out=np.zeros_like(counts), where=length > 0).astype(np.float32)
@@ -63,8 +66,7 @@ def _counted(buckets: pa.Array, dim: int) -> pa.Array:
 
 def hashed_words(dim: int = 64) -> Encoder:
     """Unit-length bag-of-words vectors over hashed words."""
-    count = _count_buckets(dim)
-    return lambda text: count(word_buckets(text, dim))
+    return _count_words(dim)
 
 
 _ENCODERS: dict[str, Callable[[], Encoder]] = {"hashed64": lambda: hashed_words(64)}

@@ -273,12 +273,13 @@ def _test_shared(docs: DataFrame, patterns: DataFrame, widths: Sequence[int], in
     shared = held.join(F.broadcast(anchors), "gram") if sent else salted_join(
         held, anchors, ["gram"], spread=["path"], find_hot=False)
     pairs = cut_lineage(shared.select("path", "_qid", "_pattern").distinct())
-    text = docs.select("path", "content")
+    # The case of a text is folded once, before it meets its patterns, and not again for each of them.
+    text = asked_for(docs.select("path", "content"), pairs, ["path"]).withColumn("_low", F.lower("content"))
     if fits_broadcast(pairs):
         near = text.join(F.broadcast(pairs), "path")
     else:
-        near = salted_join(pairs, asked_for(text, pairs, ["path"]), ["path"], spread=["_qid", "_pattern"])
-    some = near.where(F.contains(F.lower("content"), F.col("_pattern")))
+        near = salted_join(pairs, text, ["path"], spread=["_qid", "_pattern"])
+    some = near.where(F.contains("_low", F.col("_pattern")))
     lines = some.select("_qid", "_pattern", "path", F.posexplode(raw_lines(F.col("content"))).alias("line", "text"))
     return lines.where(F.contains(F.lower("text"), F.col("_pattern"))).select("_qid", "path", "line", "text")
 

@@ -1,5 +1,6 @@
 """Plans and skew: what must hold when one key has a third of the rows, whatever the partitioning."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -12,6 +13,7 @@ from memlake import catalog
 from memlake.catalog import inputs
 from memlake.catalog.base import table
 from memlake.functions.chunking import overlap_chunks
+from memlake.functions.embedding import embed
 from memlake.functions.keywords import extract_keywords
 from memlake.operators import code, index, knn, reading, retrieval, skew
 from memlake.streaming import changes
@@ -316,3 +318,32 @@ def test_merges_do_not_count_every_file_in_a_task(spark, monkeypatch):
     merged, report = index.merge_units(target, batch, cleared), index.merge_report(target, batch, cleared)
     assert "REPARTITION_BY_NUM" in plan(merged) and "REPARTITION_BY_NUM" in plan(report)
     assert (rows(merged), rows(report)) == before and before[1] == [(5, 1, 4)]
+
+
+def test_a_text_is_folded_once_for_all_its_patterns(spark, monkeypatch):
+    """The lower-cased text is a column of the texts; it is not made anew for each pattern that a text meets."""
+    docs = spark.createDataFrame([("d/1", "Ein Straßenfest IN KÖLN\nzwei"), ("d/2", "nothing here"), ("d/3", None)], "path string, content string")
+    asked = spark.createDataFrame([(1, "straßenfest"), (2, "fest in köln"), (3, "Nothing h"), (4, "absent words")], "qid int, query string")
+    for fits in (True, False):
+        monkeypatch.setattr(reading, "fits_broadcast", lambda *_, fits=fits, **__: fits)
+        found = reading.grep(docs, asked)
+        assert rows(found.select("qid", "path", "line")) == [(1, "d/1", 1), (2, "d/1", 1), (3, "d/2", 1)]
+        assert "Contains(lower(content" not in plan(found) and "lower(content" in plan(found)
+
+
+def test_words_are_hashed_where_they_are_counted(spark):
+    """No word is hashed in a lambda of the plan; the vector is the words' counts by bucket, blank and null have none."""
+    texts = ["a b  a\tC", "Ünï 你好 a", " ", None, "", "x" * 300]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    made = embed(df, "t")
+    assert "md5" not in plan(made) and "ArrowEvalPython" in plan(made)
+    got = {r.i: r.vector for r in made.collect()}
+    for i, text in enumerate(texts):
+        words = (text or "").lower().split()
+        if not words:
+            assert got[i] is None
+            continue
+        counts = np.zeros(64)
+        for w in words:
+            counts[int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % 64] += 1
+        assert got[i] == (counts / np.sqrt((counts * counts).sum())).astype(np.float32).tolist()
